@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import exact_dedup, sharding
+from . import exact_dedup, quality, secrets, sharding
 
 QUERIES = {
     "op1_kd_sharding": sharding.op1_kd_sharding,
+    "op3_adaptive_quality": quality.op3_adaptive_quality,
+    "op8_credential_linking": secrets.op8_credential_linking,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLES = {"op10_exact_dedup": exact_dedup.OP10_SQL}
+ORACLES = {"op3_adaptive_quality": quality.OP3_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
