@@ -33,7 +33,7 @@ METRICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_re
 RATIOS = {
     "symbols": ("n_symbols", "word_chars", False, 10_000),
     "dup_lines": ("n_dup_lines", "n_lines", False, 50_000),
-    "repeats": ("n_repeat_words", "n_words", False, 40_000),
+    "repeats": ("n_repeat_words", "n_words", False, 75_000),
     "word_length": ("word_chars", "n_words", True, 400_000),
 }
 #: Fences are broadcast up to this number of (lang, source) groups, else joined by shuffle.
