@@ -37,10 +37,13 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def buckets_for(df: DataFrame, each: int = 1 << 21) -> int:
-    """Buckets so that each holds about ``each`` bytes of input, and 4 for every shuffle partition."""
+def buckets_for(df: DataFrame, each: int = 1 << 23) -> int:
+    """Buckets so that each holds about ``each`` bytes of input, and one for every shuffle partition.
+
+    Tasks send an array for every bucket, so more buckets mean smaller arrays.
+    """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4 * partitions, min(input_bytes(df) // each, 1 << 20))
+    return max(partitions, min(input_bytes(df) // each, 1 << 20))
 
 
 class Words:

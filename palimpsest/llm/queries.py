@@ -1,12 +1,14 @@
 """The queries of this subpackage and their SQL."""
 
-from . import exact_dedup, packing, quality, secrets, sharding, substring
+from . import exact_dedup, minhash, packing, quality, secrets, sharding, substring, suffixes
 
 QUERIES = {
     "op1_kd_sharding": sharding.op1_kd_sharding,
     "op3_adaptive_quality": quality.op3_adaptive_quality,
     "op4_difference_cover": substring.op4_difference_cover,
+    "op5_suffix_family": suffixes.op5_suffix_family,
     "op6_linear_grouping": packing.op6_linear_grouping,
+    "op7_coordinate_join": minhash.op7_coordinate_join,
     "op8_credential_linking": secrets.op8_credential_linking,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
