@@ -199,9 +199,9 @@ def _match_windows(buckets: int):
         dest = np.repeat(group["dest"].to_numpy(np.int64), [len(p[0]) for p in parts])
         order, begin, least = _smallest(hashes, tails, ids)
         sizes = np.diff(np.append(begin, len(hashes)))
-        told = order[np.repeat(sizes > 1, sizes)]
         first = np.empty(len(hashes), np.int64)
         first[order] = np.repeat(least, sizes)
+        told = np.flatnonzero(first < ids)  # a group with the smallest id itself has decided already
         out = [(d, hashes[k].tobytes(), tails[k].tobytes(), first[k].tobytes()) for d, k in _by(dest, told[np.argsort(dest[told], kind="stable")])]
         return pd.DataFrame(out, columns=names)
 
