@@ -1,15 +1,17 @@
 """The queries of this subpackage and their SQL."""
 
-from . import exact_dedup, minhash, packing, quality, secrets, sharding, substring, suffixes
+from . import bpe, exact_dedup, language, minhash, packing, quality, secrets, sharding, substring, suffixes
 
 QUERIES = {
     "op1_kd_sharding": sharding.op1_kd_sharding,
+    "op2_chunk_reuse": bpe.op2_chunk_reuse,
     "op3_adaptive_quality": quality.op3_adaptive_quality,
     "op4_difference_cover": substring.op4_difference_cover,
     "op5_suffix_family": suffixes.op5_suffix_family,
     "op6_linear_grouping": packing.op6_linear_grouping,
     "op7_coordinate_join": minhash.op7_coordinate_join,
     "op8_credential_linking": secrets.op8_credential_linking,
+    "op9_unigram_language": language.op9_unigram_language,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {"op3_adaptive_quality": quality.OP3_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}

@@ -42,6 +42,9 @@ KINDS = ["assign", "access", "hex", "identifier", "secret", "endpoint"]
 #: Widening of a part, in code points.
 REACH = 200
 
+#: Linked parts are sent to the rows up to this number of texts that have some, else joined by shuffle.
+BROADCAST_LINKED = 100_000
+
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -105,8 +108,8 @@ def secret_spans(docs: DataFrame, carry: list[str], text_col: str = "text", reac
         F.concat("identifier", "endpoint", F.when(named_part, find_spans(t, WEAK_SECRET, 4, t.rlike(r"[0-9:=]"))).otherwise(F.array().cast(SPAN))).alias("weak"),
     )
     found = save(found, "secret-parts")
-    linked = _linked(found.where((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)), reach)
-    joined = found.join(linked, "rid", "left")
+    linked = save(_linked(found.where((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)), reach), "secret-links")
+    joined = found.join(F.broadcast(linked) if linked.count() <= BROADCAST_LINKED else linked, "rid", "left")
     extra = F.coalesce("linked", F.array().cast(SPAN))
     return joined.select(*[F.col(k).alias(c) for c, k in named.items()], "base", F.array_sort(F.concat("base", extra)).alias("spans"))
 
