@@ -8,10 +8,13 @@
 3. Skip merging: most members of a list belong together, and one good link
    joins each of them. Every list names its hub, the member whose values are the most
    common ones; candidates are (hub, member) only, a number linear in the postings.
-   A second round links the hubs of different components of a list.
-4. Prefix merging, for what is left: two signatures that agree in ``matches``
-   coordinates agree in one of the coordinates - matches + 1 rarest values of each.
-   Only lists of those, and only pairs from different components, are paired.
+4. Prefix merging, for what is left: classes with at least ``matches`` common
+   coordinate values are merged on their shingles, in order of rarity. Two sets of
+   n and m shingles that are similar enough share one among the first
+   n - overlap + 1 of one and m - overlap + 1 of the other, overlap being the number of
+   common shingles that the similarity needs. Lists whose members are all
+   in one component are skipped; of the others only pairs across components and
+   within that bound become candidates.
 5. Collisions of every candidate are counted on the signatures; those with at
    least ``matches`` equal coordinates are confirmed on the full shingle sets.
 6. Connected components by alternating large-star and small-star steps.
@@ -102,7 +105,7 @@ def _sets(width: int):
             for a, z in batches_of(texts):
                 hashes, first = shingle_sets(texts[a:z], width)
                 own = _digests(hashes, first)
-                rows = [(v, hashes[first[i] : first[i + 1]].tobytes()) for i, v in enumerate(own) if v == bytes(batch["v"].iloc[a + i])]
+                rows = [(v, hashes[first[i] : first[i + 1]].view(np.int64)) for i, v in enumerate(own) if v == bytes(batch["v"].iloc[a + i])]
                 yield pd.DataFrame(rows, columns=["v", "set"])
 
     return collect
@@ -113,9 +116,8 @@ def _confirm(percent: int):
         for batch in batches:
             links = []
             for a, b, x, y in zip(batch["a"], batch["b"], batch["set_a"], batch["set_b"], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * both >= percent * (len(p) + len(q) - both):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
                     links.append((a, b))
             yield pd.DataFrame(links, columns=["a", "b"])
 
@@ -168,6 +170,25 @@ def _hub_pairs(lists: DataFrame, hubs: DataFrame, total: int, percent: int) -> D
     return met.where((F.col("hub") != F.col("v")) & _close("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
 
 
+def _prefix_pairs(sets: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a shingle rare enough for both."""
+    every = sets.select("v", F.size("set").alias("n"), F.explode("set").alias("key"))
+    counts = save(every.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shingle-counts")
+    total = sets.agg(F.sum(F.size("set"))).first()[0] or 0
+    met = join_groups(every, counts, "key", "size", total)  # shingles of one set alone come first and meet nothing
+    own = Window.partitionBy("v")
+    nth = F.row_number().over(own.orderBy("size", "key")) + F.col("n") - F.count(F.lit(1)).over(own)
+    prefix = met.withColumn("nth", nth).where(100 * (F.col("n") - F.col("nth") + 1) >= percent * F.col("n"))
+    prefix = prefix.select("key", "v", "n", "nth").join(grouped, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    prefix = save(prefix, "prefixes")
+    mixed = prefix.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("z")).where("x != z").select("key")
+    left = save(prefix.join(mixed, "key", "left_semi"), "prefixes-open")
+    right = left.select("key", F.col("v").alias("b"), F.col("n").alias("n_b"), F.col("nth").alias("nth_b"), F.col("root").alias("root_b"))
+    overlap = 1 + F.least(F.col("n") - F.col("nth"), F.col("n_b") - F.col("nth_b"))
+    enough = (100 + percent) * overlap >= percent * (F.col("n") + F.col("n_b"))
+    return left.join(right, "key").where((F.col("root") < F.col("root_b")) & _close("n", "n_b", percent) & enough).select(F.col("v").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """id, n_shingles, component_id, kept of every row."""
     read = docs.select(col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
@@ -185,30 +206,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = save(lists.join(popular, "v"), "postings-shared")  # fewer shared values than matches: no partner
 
     wanted = lists.select("v").distinct().join(classes.select("v", "rep"), "v").select("v", F.col("rep").alias("id"))
-    sets = save(read.join(wanted, "id").select("v", "text").mapInPandas(_sets(width), "v binary, set binary").dropDuplicates(["v"]), "shingle-sets")
+    sets = save(read.join(wanted, "id").select("v", "text").mapInPandas(_sets(width), "v binary, set array<bigint>").dropDuplicates(["v"]), "shingle-sets")
     links = _Links(classes, sets, matches, percent)
 
     hub = lambda: F.max(F.struct("popularity", "v", "n"))
     hubs = lists.groupBy("key").agg(F.first("size").alias("size"), hub().alias("h")).select("key", "size", F.col("h.v").alias("hub"), F.col("h.n").alias("hub_n"))
     found = save(links.confirmed(save(_hub_pairs(lists, hubs, total, percent), "hub-pairs")), "links")
-    grouped = components(found)
-
-    for _ in range(1):  # hubs of the components that share a list
-        labelled = lists.join(grouped, "v", "left").withColumn("root", F.coalesce("root", "v"))
-        tops = labelled.groupBy("key", "root").agg(F.first("size").alias("size"), hub().alias("h")).select("key", "size", "root", F.col("h.v").alias("v"), F.col("h.n").alias("n"), F.col("h.popularity").alias("popularity"))
-        tops = save(tops, "component-hubs")
-        first = tops.groupBy("key").agg(F.max("size").alias("size"), hub().alias("h"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "size", F.col("h.v").alias("hub"), F.col("h.n").alias("hub_n"))
-        found = save(found.unionByName(links.confirmed(save(_hub_pairs(tops, first, total, percent), "hub-pairs"))), "links")
-        grouped = save(components(found), "components")
-
-    labelled = lists.join(grouped, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    rarest = Window.partitionBy("v").orderBy("size", "key")
-    prefix = labelled.withColumn("nth", F.row_number().over(rarest)).where(F.col("nth") + coordinates - F.col("shared") <= coordinates - matches + 1)
-    prefix = save(prefix.select("key", "v", "n", "root"), "prefixes")
-    mixed = prefix.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("z")).where("x != z").select("key")
-    open_lists = save(prefix.join(mixed, "key", "left_semi"), "prefixes-open")
-    other = open_lists.select("key", F.col("v").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    pairs = open_lists.join(other, "key").where((F.col("root") < F.col("root_b")) & _close("n", "n_b", percent)).select(F.col("v").alias("a"), "b").distinct()
+    grouped = save(components(found), "components")
+    pairs = _prefix_pairs(sets, grouped, percent)
     found = found.unionByName(links.confirmed(save(pairs, "prefix-pairs")))
     grouped = components(found)
 
