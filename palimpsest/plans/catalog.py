@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import pkgutil
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+import palimpsest.plans as plans
+
+from .registry import ORACLES, QUERIES
+
+for _module in sorted(m.name for m in pkgutil.iter_modules(plans.__path__)):
+    if _module not in ("catalog", "registry", "tables"):
+        importlib.import_module(f"palimpsest.plans.{_module}")
+
+__all__ = ["ORACLES", "QUERIES"]
