@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 
 #: The characters that separate words: space and U+0009 to U+000D.
@@ -120,3 +123,50 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(1, np.int64)
     return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]])
+
+
+def among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``held``."""
+    if not len(held):
+        return np.zeros(len(values), bool)
+    return held[np.minimum(np.searchsorted(held, values), len(held) - 1)] == values
+
+
+#: Texts on their way to a group: many of them in one compressed array.
+BLOBS = "dest int, ids binary, missing binary, dids binary, sizes binary, texts binary"
+
+
+def blobs(groups: int):
+    """An iterator function (id, text, did) -> BLOBS: the texts of a batch for each of ``groups`` groups."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(3)
+        for batch in batches:
+            texts = [t.encode() for t in batch["text"]]
+            missing, ids = batch["id"].isna().to_numpy(), batch["id"].fillna(0).to_numpy(np.int64)
+            dids = batch["did"].to_numpy(np.int64)
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            dest = dids % groups
+            order = np.argsort(dest, kind="stable")
+            cuts = runs(dest[order])
+            out = []
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                k = order[a:z]
+                out.append((int(dest[k[0]]), ids[k].tobytes(), missing[k].tobytes(), dids[k].tobytes(), sizes[k].tobytes(), press.compress(b"".join([texts[i] for i in k]))))
+            yield pd.DataFrame(out, columns=["dest", "ids", "missing", "dids", "sizes", "texts"])
+
+    return pack
+
+
+def unpacked(rows: pd.DataFrame) -> tuple[list, np.ndarray, list[bytes]]:
+    """Ids (None where missing), document keys and texts of some BLOBS."""
+    ids, dids, texts = [], [], []
+    for r in rows.itertuples():
+        missing = np.frombuffer(r.missing, bool).tolist()
+        ids += [None if m else i for i, m in zip(np.frombuffer(r.ids, np.int64).tolist(), missing, strict=True)]
+        dids.append(np.frombuffer(r.dids, np.int64))
+        data, at = zstandard.ZstdDecompressor().decompress(r.texts, max_output_size=1 << 31), 0
+        for n in np.frombuffer(r.sizes, np.int64).tolist():
+            texts.append(data[at : at + n])
+            at += n
+    return ids, np.concatenate(dids) if dids else np.zeros(0, np.int64), texts

@@ -18,11 +18,12 @@ at most log n levels and every entry is merged at most log n times.
 * Two runs with equal stretches are matched whole.
 * Anchors that occur with different stretches mark the ends of matches. There
   (and only there) each window is hashed by itself, one stretch of each kind in a
-  task, and windows met twice are returned.
+  task; one bit for each window comes back, in the order in which they were sent.
 
 Exchanges carry arrays. A task sends one entry for each distinct stretch or
 anchor, so a passage in a third of all documents costs each task one entry. Texts are
-shuffled once by a hash of (doc_id, text) and read twice from that exchange.
+shuffled once, compressed, by a hash of (doc_id, text) and read twice from that
+exchange.
 
 Defined results: texts are UTF-8 bytes, a null text has none; nothing crosses
 documents; repeated rows match each other like any two documents; texts below 200
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import col, text_or_empty
-from .arrays import batches_of, buckets_for, mix, multipliers, runs
+from .arrays import BLOBS, among, batches_of, blobs, buckets_for, mix, multipliers, runs, unpacked
 
 LENGTH, ANCHOR = 200, 32
 #: Low bits of a sort key that hold the place in the buffer.
@@ -51,8 +52,8 @@ _MASK = np.uint64((1 << 28) - 1)
 MERGED = 1 << 18
 _ROW = "bucket int, keys binary, others binary, tails binary, dids binary, marks binary, whole binary, ends binary"
 _FLAGS = "dest int, whole binary, ends binary"
-_WINDOWS = "bucket int, dest int, keys binary, tails binary, whole binary"
-_TOLD = "dest int, keys binary, tails binary, whole binary"
+_WINDOWS = "bucket int, dest int, keys binary, tails binary, whole binary, ends binary"
+_TOLD = "dest int, bucket int, hits binary, whole binary, ends binary"
 _BASES = multipliers(2, 77) * np.uint64(2) + np.uint64(1)  # odd, so powers can be inverted
 
 
@@ -130,7 +131,7 @@ class Runs:
 
     def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = starts + LENGTH
-        return mix(self.hashes(starts, ends, 0)), (mix(self.hashes(starts, ends, 1)) >> np.uint64(32)).astype(np.uint32)
+        return mix(self.hashes(starts, ends, 0)), (mix(self.hashes(starts, ends, 1)) >> np.uint64(48)).astype(np.uint16)
 
 
 class LevelFamily:
@@ -269,33 +270,39 @@ def _each(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.repeat(low - before, sizes) + np.arange(sizes.sum())
 
 
+def _end_windows(texts: list[bytes], dids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct windows (64 and 16 bits) of the stretches named, and which of them occur twice here."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint16))]
+    if len(ends):
+        for a, z in batches_of(texts, 1 << 20):
+            r = Runs(texts[a:z])
+            k = np.flatnonzero(among(joint(r.key, r.tail, dids[a:z][r.owner]), ends))
+            found.append(r.windows(_each(r.low[k], r.high[k])))
+    keys, tails = map(np.concatenate, zip(*found, strict=True))
+    order = np.lexsort((tails, keys))
+    keys, tails = keys[order], tails[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (tails[1:] != tails[:-1])
+    first = np.flatnonzero(new)
+    return keys[first], tails[first], np.diff(np.append(first, len(keys))) > 1
+
+
+def _dealt(keys: np.ndarray, buckets: int):
+    """(bucket, places) of sorted windows; the same in every run."""
+    return _by((keys % np.uint64(buckets)).astype(np.int64), np.arange(len(keys)))
+
+
 def _extend(buckets: int):
     def extend(docs: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
-        names = ["bucket", "dest", "keys", "tails", "whole"]
+        names = ["bucket", "dest", "keys", "tails", "whole", "ends"]
         if not len(docs) or not len(flags):
             return pd.DataFrame([], columns=names)
         dest = int(docs["dest"].iloc[0])
         whole, ends = _named(flags, "whole"), _named(flags, "ends")
-        out = [(buckets + dest, dest, b"", b"", whole.tobytes())]
-        found = []
-        if len(ends):
-            texts, dids = [t.encode() for t in docs["text"]], docs["did"].to_numpy(np.int64)
-            for a, z in batches_of(texts, 1 << 20):
-                r = Runs(texts[a:z])
-                k = np.flatnonzero(np.isin(joint(r.key, r.tail, dids[a:z][r.owner]), ends))
-                found.append(r.windows(_each(r.low[k], r.high[k])))
-        if found:
-            keys, tails = map(np.concatenate, zip(*found, strict=True))
-            order = np.lexsort((tails, keys))
-            keys, tails = keys[order], tails[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (tails[1:] != tails[:-1])
-            first = np.flatnonzero(new)
-            many = np.diff(np.append(first, len(keys))) > 1
-            keys, tails = keys[first], tails[first]
-            out.append((buckets + dest, dest, keys[many].tobytes(), tails[many].tobytes(), b""))
-            for b, k in _by((keys % np.uint64(buckets)).astype(np.int64), np.arange(len(keys))):
-                out.append((b, dest, keys[k].tobytes(), tails[k].tobytes(), b""))
+        _, dids, texts = unpacked(docs)
+        keys, tails, _ = _end_windows(texts, dids, ends)
+        out = [(buckets + dest, dest, b"", b"", whole.tobytes(), ends.tobytes())]
+        out += [(b, dest, keys[k].tobytes(), tails[k].tobytes(), b"", b"") for b, k in _dealt(keys, buckets)]
         return pd.DataFrame(out, columns=names)
 
     return extend
@@ -303,44 +310,59 @@ def _extend(buckets: int):
 
 def _match_windows(buckets: int):
     def match(group: pd.DataFrame) -> pd.DataFrame:
-        names = ["dest", "keys", "tails", "whole"]
         if group["bucket"].iloc[0] >= buckets:
-            return group[names]
-        parts = [(np.frombuffer(r.keys, np.uint64), np.frombuffer(r.tails, np.uint32)) for r in group.itertuples()]
+            return group.assign(hits=b"")[["dest", "bucket", "hits", "whole", "ends"]]
+        group = group.sort_values("dest")
+        parts = [(np.frombuffer(r.keys, np.uint64), np.frombuffer(r.tails, np.uint16)) for r in group.itertuples()]
         keys, tails = map(np.concatenate, zip(*parts, strict=True))
-        dest = np.repeat(group["dest"].to_numpy(np.int64), [len(p[0]) for p in parts])
         order = np.lexsort((tails, keys))
         k, t = keys[order], tails[order]
         same = (k[1:] == k[:-1]) & (t[1:] == t[:-1])
         hit = np.zeros(len(keys), bool)
         hit[order[1:]] |= same
         hit[order[:-1]] |= same
-        return pd.DataFrame([(d, keys[i].tobytes(), tails[i].tobytes(), b"") for d, i in _by(dest, np.flatnonzero(hit))], columns=names)
+        cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
+        rows = [(d, b, np.packbits(h).tobytes(), b"", b"") for d, b, h in zip(group["dest"], group["bucket"], np.split(hit, cuts), strict=True) if h.any()]
+        return pd.DataFrame(rows, columns=["dest", "bucket", "hits", "whole", "ends"])
 
     return match
 
 
-def _remove(with_text: bool):
+def _told_windows(told: pd.DataFrame, texts: list[bytes], dids: np.ndarray, buckets: int) -> np.ndarray:
+    """Windows of this group that occur twice, here or elsewhere."""
+    keys, tails, hit = _end_windows(texts, dids, _named(told, "ends"))
+    bits = {int(r.bucket): np.frombuffer(r.hits, np.uint8) for r in told.itertuples() if r.bucket < buckets}
+    for b, k in _dealt(keys, buckets):
+        if b in bits:
+            hit[k] |= np.unpackbits(bits[b], count=len(k)).astype(bool)
+    return _window_key(keys[hit], tails[hit])
+
+
+def _window_key(keys: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    return mix(keys ^ (tails.astype(np.uint64) << np.uint64(48)))
+
+
+def _remove(buckets: int, with_text: bool):
     def remove(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        texts, dids, rows = [t.encode() for t in docs["text"]], docs["did"].to_numpy(np.int64), []
-        whole = _named(told, "whole") if len(told) else np.zeros(0, np.uint64)
-        parts = [(np.frombuffer(r.keys, np.uint64), np.frombuffer(r.tails, np.uint32)) for r in told.itertuples()]
-        keys = np.zeros(0, np.uint64)
-        if parts:
-            keys, tails = map(np.concatenate, zip(*parts, strict=True))
-            keys = np.unique(mix(keys ^ (tails.astype(np.uint64) << np.uint64(32))))
+        ids, dids, texts = unpacked(docs)
+        rows = []
+        whole = ends = windows = np.zeros(0, np.uint64)
+        if len(told):
+            whole, ends = _named(told, "whole"), _named(told, "ends")
+            windows = np.unique(_told_windows(told, texts, dids, buckets))
         for a, z in batches_of(texts, 1 << 20):
             gone = None
-            if len(whole) or len(keys):
+            if len(whole) or len(windows):
                 r = Runs(texts[a:z])
-                full = np.isin(joint(r.key, r.tail, dids[a:z][r.owner]), whole)
+                names = joint(r.key, r.tail, dids[a:z][r.owner])
+                full = among(names, whole)
                 cover = np.zeros(r.n + 1, np.int32)
                 np.add.at(cover, r.low[full], 1)
                 np.add.at(cover, r.high[full] + LENGTH, -1)
-                if len(keys):
-                    starts = _each(r.low[~full], r.high[~full])
-                    h, t = r.windows(starts)
-                    starts = starts[np.isin(mix(h ^ (t.astype(np.uint64) << np.uint64(32))), keys)]
+                if len(windows):
+                    part = among(names, ends) & ~full  # a stretch that is matched in part is the only one of its kind, so it was sent
+                    starts = _each(r.low[part], r.high[part])
+                    starts = starts[among(_window_key(*r.windows(starts)), windows)]
                     np.add.at(cover, starts, 1)
                     np.add.at(cover, starts + LENGTH, -1)
                 gone = np.cumsum(cover) > 0
@@ -353,7 +375,7 @@ def _remove(with_text: bool):
                         spans = len(edges) // 2
                         bounds = [0, *edges.tolist(), len(text)]
                         kept = b"".join(text[bounds[k] : bounds[k + 1]] for k in range(0, len(bounds), 2))
-                rows.append((docs["id"].iloc[i], len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
+                rows.append((ids[i], len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
         frame = pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
         return frame.astype({"id": "Int64"})
 
@@ -367,11 +389,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(col(id_col), text).alias("did"))
     entries = rows.select("did", "text").mapInPandas(_send(buckets), _ROW)
     flags = entries.groupBy("bucket").applyInPandas(_match(buckets), _FLAGS)
-    placed = rows.withColumn("dest", F.pmod("did", F.lit(buckets)).cast("int"))
+    placed = rows.mapInPandas(blobs(buckets), BLOBS)
     windows = placed.groupBy("dest").cogroup(flags.groupBy("dest")).applyInPandas(_extend(buckets), _WINDOWS)
     told = windows.groupBy("bucket").applyInPandas(_match_windows(buckets), _TOLD)
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return placed.groupBy("dest").cogroup(told.groupBy("dest")).applyInPandas(_remove(with_text), schema)
+    return placed.groupBy("dest").cogroup(told.groupBy("dest")).applyInPandas(_remove(buckets, with_text), schema)
 
 
 def op5_suffix_family(spark, sf_dir: str) -> DataFrame:
