@@ -14,4 +14,4 @@ QUERIES = {
     "op9_unigram_language": language.op9_unigram_language,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLES = {"op3_adaptive_quality": quality.OP3_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+ORACLES = {"op3_adaptive_quality": quality.OP3_SQL, "op4_difference_cover": substring.OP4_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}

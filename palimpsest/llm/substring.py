@@ -14,7 +14,8 @@ the window. So it is enough to hash 3 of 7 positions to meet every match.
 Exchanges carry arrays, not rows. Before each of them equal hashes are merged
 within the task (anchors: shared or not; windows: smallest doc_id), so a
 passage that a third of all documents hold costs each task one entry. Texts are
-shuffled once, by a hash of (doc_id, text); steps 2 and 3 read the same exchange.
+shuffled once, compressed, by a hash of (doc_id, text); steps 2 and 3 read the
+same exchange.
 Groups are buckets of hashes, as many as the size of the input asks for.
 
 Defined results: a null text has no words. Documents with equal doc_id (repeated
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import col, text_or_empty
-from .arrays import Words, batches_of, buckets_for, mix, runs
+from .arrays import BLOBS, Words, among, batches_of, blobs, buckets_for, mix, runs, unpacked
 
 WINDOW, PERIOD, COVER = 13, 7, (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
@@ -139,8 +140,8 @@ def window_hashes(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return words.windows(WINDOW, 1)[at], (words.windows(WINDOW, 2)[at] >> np.uint64(32)).astype(np.uint32)
 
 
-def _ids(group: pd.DataFrame) -> np.ndarray:
-    return group["id"].fillna(_NO_ID).to_numpy(np.int64) if group["id"].isna().any() else group["id"].to_numpy(np.int64)
+def _order(ids: list) -> np.ndarray:
+    return np.array([_NO_ID if i is None else i for i in ids], np.int64)
 
 
 def _smallest(hashes: np.ndarray, tails: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,13 +161,12 @@ def _extend(buckets: int):
             return pd.DataFrame([], columns=names)
         dest = int(docs["dest"].iloc[0])
         told = np.unique(np.concatenate([_joint(*_unlisted(r)) for r in flags.itertuples()]))
-        dids, ids = docs["did"].to_numpy(np.int64), _ids(docs)
-        texts = [t.encode() for t in docs["text"]]
-        found = []
+        ids, dids, texts = unpacked(docs)
+        ids, found = _order(ids), []
         for a, z in batches_of(texts):
             words = Words(texts[a:z])
             at, hashes, owner = anchors_of(words)
-            at = at[np.isin(_joint(hashes, dids[a:z][owner]), told)]
+            at = at[among(_joint(hashes, dids[a:z][owner]), told)]
             near = np.zeros(len(words.hashes) + 1, np.int64)  # windows that start at most 6 words before a shared anchor
             np.add.at(near, np.maximum(at - (PERIOD - 1), 0), 1)
             np.add.at(near, at + 1, -1)
@@ -210,9 +210,9 @@ def _match_windows(buckets: int):
 
 def _remove(with_text: bool):
     def remove(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        ids, rows = _ids(docs), []
+        names, _, texts = unpacked(docs)
+        ids, rows = _order(names), []
         parts = [(np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.tails, np.uint32), np.frombuffer(r.ids, np.int64)) for r in told.itertuples()]
-        texts = [t.encode() for t in docs["text"]]
         if parts:
             hashes, tails, firsts = map(np.concatenate, zip(*parts, strict=True))
             order, begin, firsts = _smallest(hashes, tails, firsts)
@@ -241,7 +241,7 @@ def _remove(with_text: bool):
                     if own.any():
                         kept = [w for w, g in zip(kept, own.tolist(), strict=True) if not g]
                 text = b" ".join(kept)
-                rows.append((docs["id"].iloc[i], n, n - len(kept), hashlib.sha256(text).hexdigest(), *([text.decode()] if with_text else [])))
+                rows.append((names[i], n, n - len(kept), hashlib.sha256(text).hexdigest(), *([text.decode()] if with_text else [])))
         frame = pd.DataFrame(rows, columns=["id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])])
         return frame.astype({"id": "Int64"})
 
@@ -255,7 +255,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(col(id_col), text).alias("did"))
     anchors = rows.select("did", "text").mapInPandas(_send_anchors(buckets), _ROW)
     flags = anchors.groupBy("bucket").applyInPandas(_match_anchors(buckets), _FLAGS)
-    placed = rows.withColumn("dest", F.pmod("did", F.lit(buckets)).cast("int"))
+    placed = rows.mapInPandas(blobs(buckets), BLOBS)
     windows = placed.groupBy("dest").cogroup(flags.groupBy("dest")).applyInPandas(_extend(buckets), _WINDOWS)
     told = windows.groupBy("bucket").applyInPandas(_match_windows(buckets), "dest int, hashes binary, tails binary, ids binary")
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
@@ -265,3 +265,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op4_difference_cover(spark, sf_dir: str) -> DataFrame:
     found = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+OP4_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first_id FROM x) WHERE first_id < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM hit),
+g AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN js IS NULL THEN ws ELSE list_filter(ws, lambda v, k: NOT list_contains(js, k)) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+"""
