@@ -80,7 +80,7 @@ class Runs:
         self.begin = np.concatenate([[0], np.cumsum(sizes)])
         data = b"\0".join([*texts, bytes(ANCHOR)])
         self.n = len(data)
-        room = 1 << max(16, (self.n + 1).bit_length())
+        room = 1 << max(21, (self.n + 1).bit_length())  # one table serves all but very long texts
         self.sums = []
         buf = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
         for which in (0, 1):
