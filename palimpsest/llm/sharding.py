@@ -81,7 +81,7 @@ def _descend(rows: DataFrame, nodes: dict[int, Node], node: str) -> DataFrame:
     cuts = spark.sql(f"SELECT * FROM VALUES {table} AS t({node}, cut_dim, cut_at)")
     dims = [c for c in rows.columns if c[0] == "k" and c[1:].isdigit()]
     key = F.coalesce(*[F.when(F.col("cut_dim") == int(c[1:]), F.col(c)) for c in dims])
-    child = F.col(node) * 2 + F.when(key < F.col("cut_at"), 0).otherwise(1)
+    child = F.when(F.col("cut_at").isNotNull(), F.col(node) * 2 + F.when(key < F.col("cut_at"), 0).otherwise(1))  # null in a leaf
     moved = rows.join(F.broadcast(cuts), node, "left")  # one row for each node, as many as shards
     return moved.withColumn(node, F.coalesce(child, F.col(node))).drop("cut_dim", "cut_at")
 

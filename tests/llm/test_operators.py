@@ -158,9 +158,11 @@ def test_sharding_is_even_where_sizes_are(spark):
     assert len(shards) == 16 and all(abs(r["s"] / total * 16 - 1) < 0.01 for r in shards)
 
 
-def test_target_bytes(docs):
-    found = sharding.kd_shards(docs, target_bytes=20_000)
-    assert found.select("shard").distinct().count() > 4
+def test_target_bytes(spark):
+    """Leaves reach the target where no document is larger than it."""
+    d = spark.range(2000).selectExpr("id AS doc_id", "repeat('x', 99) AS text", "concat('s', id % 20) AS source", "'en' AS lang", "99 AS n_chars")
+    shards = sharding.kd_shards(d, target_bytes=20_000).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    assert len(shards) == 10 and all(abs(r["s"] - 20_000) <= 300 for r in shards)
 
 
 def test_quality_metrics(docs, empty):
