@@ -140,8 +140,9 @@ def jon02(spark, sf_dir):
 @query("qry03_approximate_neighbours")
 def qry03(spark, sf_dir):
     c = tables.chunks(spark, sf_dir)
+    asked = tables.table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
     centres = search.train_cells(c, 32)
-    return search.probe(search.with_cells(c, centres), centres, probe_vector(spark, sf_dir), 10, cells=12)
+    return search.probe_batch(search.with_cells(c, centres), centres, asked, 10, cells=12).select("qid", "id", "distance")
 
 
 @query("jon01_late_materialisation", f"WITH {C}, {_Q}, n AS ({_near_sql('true', 100)}) SELECT id, length(content) AS n_chars, project_name FROM chunks JOIN n USING (id)")
