@@ -71,6 +71,6 @@ def src20(spark, sf_dir):
 def snk16(spark, sf_dir):
     from ..functions.text import tokens
 
-    words = T.chunks(spark, sf_dir).select("id", F.explode(tokens(F.substring("content", 1, 400))).alias("token"))
-    index = words.groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"))  # the postings of the index
+    words = T.chunks(spark, sf_dir).select("doc_id", F.explode(tokens(F.col("content"))).alias("token"))
+    index = words.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("tf"))  # the postings of the index, by the number that the id is made of
     return index.groupBy("token").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("uses"))
