@@ -130,32 +130,25 @@ def text_search(chunks: DataFrame, question: str, limit: int = 10, filters: Filt
 
 
 def search_batch(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """Nearest chunks of each of a bounded batch of queries (qid, vector).
+    """Nearest chunks of each query (qid, vector), however many.
 
     The queries are read in blocks against all chunks by a matrix product in each Arrow
     batch; every batch hands on its best ``limit`` rows of each query only.
     """
-    asked = [(r["qid"], r["vector"]) for r in queries.limit(10_000).collect()]
-    names = np.array([q for q, _ in asked], np.int64)
-    matrix = np.array([v for _, v in asked], float).reshape(len(asked), -1)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-    def near(batches):
-        for batch in batches:
-            if not len(batch) or not len(names):
-                continue
-            rows = np.array(batch["vector"].tolist(), float)
-            rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-            ids = batch["id"].to_numpy()
-            for a in range(0, len(names), 256):
-                d = np.round(1 - rows @ matrix[a : a + 256].T, 9) + 0.0
-                for j in range(d.shape[1]):
-                    best = np.lexsort((ids, d[:, j]))[:limit]
-                    yield pd.DataFrame({"qid": names[a + j], "id": ids[best], "distance": d[best, j]})
-
-    found = chunks.where("vector IS NOT NULL").select("id", "vector").mapInPandas(near, "qid long, id string, distance double")
-    nth = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
-    return found.withColumn("nth", nth).where(F.col("nth") <= limit)
+
+    def near(names, matrix):
+        def answer(batches):
+            for batch in batches:
+                if not len(batch):
+                    continue
+                rows, ids = _unit(batch["vector"].tolist()), batch["id"].to_numpy()
+                place = np.unique(ids, return_inverse=True)[1]
+                for a in range(0, len(names), QUERY_COLUMNS):
+                    yield _best(names[a : a + QUERY_COLUMNS], ids, place, _distances(rows, matrix[a : a + QUERY_COLUMNS]), limit)
+
+        return answer
+
+    return _over_blocks(chunks.where("vector IS NOT NULL").select("id", "vector"), queries, near, limit)
 
 
 def _unit(vectors: list) -> np.ndarray:

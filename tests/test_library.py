@@ -214,3 +214,10 @@ def test_probing_reaches_across_cells(spark):
     centres = search.train_cells(c, 16)
     ranked = lambda d: sorted((r["qid"], r["distance"], r["id"]) for r in d.collect())
     assert ranked(search.probe_batch(search.with_cells(c, centres), centres, asked, 5, 1)) == ranked(search.search_batch(c, asked, 5))
+
+
+def test_every_query_of_a_batch_is_answered(spark):
+    c = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, vector array<double>")
+    asked = spark.range(25_000).select(F.col("id").alias("qid"), F.when(F.col("id") % 2 == 0, F.array(F.lit(2.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0))).alias("vector"))
+    found = search.search_batch(c, asked, 1)
+    assert found.where(F.col("id") == F.when(F.col("qid") % 2 == 0, "a").otherwise("b")).select("qid").distinct().count() == found.count() == 25_000
