@@ -174,7 +174,7 @@ def str17(spark, sf_dir):
 
 @query("str19_similarity")
 def str19(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", F.substring("text", 1, 200).alias("t"))
+    d = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("t"))
     following = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
     return d.join(following, "doc_id").select("doc_id", F.round(tx.similarity_ratio(tx.comparable(F.col("t")), tx.comparable(F.col("u"))), 9).alias("ratio"))
 
@@ -191,12 +191,12 @@ def str30(spark, sf_dir):
 
 @query("set02_distinct_terms", "WITH q AS (SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 300)), '[\\pL\\pN_]+') AS l FROM documents) SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS terms FROM q")
 def set02(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(F.array_distinct(tx.tokens(F.substring("text", 1, 300))), " ").alias("terms"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(F.array_distinct(tx.tokens(F.col("text"))), " ").alias("terms"))
 
 
 @query("str31_cache_keys", "SELECT doc_id, substr(sha256(concat_ws('|', trim(lower(substr(text, 1, 40))), source, 'hybrid', '5', lang)), 1, 32) AS key FROM documents")
 def str31(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", tx.cache_key(F.substring("text", 1, 40), F.col("source"), F.lit("hybrid"), F.lit(5), F.col("lang")).alias("key"))
+    return _docs(spark, sf_dir).select("doc_id", tx.cache_key(F.col("text"), F.col("source"), F.lit("hybrid"), F.lit(5), F.col("lang")).alias("key"))
 
 
 @query("str32_short_digests", "SELECT page_id, substr(sha256(url), 1, 12) AS digest FROM pages")
@@ -214,7 +214,7 @@ def str33(spark, sf_dir):
 
 @query("str34_reason_texts", "SELECT doc_id, substr(coalesce(nullif(trim(regexp_replace(substr(text, 1, 200), '[^A-Za-z0-9_.:-]+', '_', 'g'), '_'), ''), 'unknown'), 1, 120) AS reason, substr(trim(regexp_replace(substr(text, 1, 300), '[\\x00-\\x1f\\x7f]+', ' ', 'g')), 1, 256) AS name FROM documents")
 def str34(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", tx.reason_text(F.substring("text", 1, 200)).alias("reason"), tx.client_name(F.substring("text", 1, 300)).alias("name"))
+    return _docs(spark, sf_dir).select("doc_id", tx.reason_text(F.col("text")).alias("reason"), tx.client_name(F.col("text")).alias("name"))
 
 
 @query("str35_prefixes", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'search_document: ' || lang ELSE lang END AS document, CASE WHEN doc_id % 2 = 0 THEN 'search_query: ' || lang ELSE lang END AS question FROM documents")

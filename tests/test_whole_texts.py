@@ -21,3 +21,35 @@ def agrees(spark, duck, name, *cuts):
 
 def test_index_of_whole_contents(spark, duck):
     agrees(spark, duck, "snk16_inverted_index", ("substr(content, 1, 400)", "content"))
+
+
+def test_distinct_terms_of_whole_texts(spark, duck):
+    agrees(spark, duck, "set02_distinct_terms", ("substr(text, 1, 300)", "text"))
+
+
+def test_cache_keys_of_whole_texts(spark, duck):
+    agrees(spark, duck, "str31_cache_keys", ("substr(text, 1, 40)", "text"))
+
+
+def test_reason_texts_of_whole_texts(spark, duck):
+    agrees(spark, duck, "str34_reason_texts", ("substr(text, 1, 200)", "text"), ("substr(text, 1, 300)", "text"))
+
+
+def documents(spark, path, texts):
+    """A folder whose documents are the given texts, numbered from 0."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'src' AS source", "cast(length(text) AS bigint) AS n_chars").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_reasons_behind_long_runs(spark, tmp_path):
+    folder = documents(spark, tmp_path, ["*" * 500 + "late", "\x01" * 500 + "late"])
+    assert [tuple(r) for r in catalog.QUERIES["str34_reason_texts"](spark, folder).orderBy("doc_id").collect()] == [(0, "late", "*" * 256), (1, "late", "late")]
+
+
+def test_similarity_of_whole_texts(spark, tmp_path):
+    import difflib
+
+    texts = ["same start " * 30 + "then one end", "same start " * 30 + "and quite another finish", "short", "same start " * 40]
+    found = catalog.QUERIES["str19_similarity"](spark, documents(spark, tmp_path, texts)).orderBy("doc_id").collect()
+    plain = [" ".join(t.split()) for t in texts]
+    assert [(r["doc_id"], r["ratio"]) for r in found] == [(i, round(difflib.SequenceMatcher(None, plain[i], plain[i + 1]).ratio(), 9)) for i in range(3)]
