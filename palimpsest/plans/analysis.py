@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import analyze, evaluate, synthesize
+from ..operators import analyze, evaluate, search, synthesize
 from . import tables
 from .registry import query, text, texts
-from .search import HYBRID_SQL, hybrid
+from .search import HYBRID_SQL, QUESTION, hybrid, probe_vector
 
 
 def _one_of(words: list[str]) -> str:
@@ -150,7 +150,8 @@ def syn01(spark, sf_dir):
 
 @query("syn02_similar_results")
 def syn02(spark, sf_dir):
-    results = tables.chunks(spark, sf_dir).where("doc_id < 100").select(F.lit(0).alias("qid"), "id", "content", F.lit(0.5).alias("score"), "chunk_type", "session_id", "file_path", "operation", F.array().cast("array<string>").alias("techs"), F.array().cast("array<string>").alias("terms"))
+    best = search.hybrid_search(tables.chunks(spark, sf_dir), QUESTION, probe_vector(spark, sf_dir), fixed.MOST_RESULTS)
+    results = best.select(F.lit(0).alias("qid"), "id", "content", "score", "chunk_type", "session_id", "file_path", "operation", F.array().cast("array<string>").alias("techs"), F.array().cast("array<string>").alias("terms"))
     return synthesize.synthesized(results).select("qid", "deduplication_count", "n_unique")
 
 

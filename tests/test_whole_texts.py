@@ -53,3 +53,14 @@ def test_similarity_of_whole_texts(spark, tmp_path):
     found = catalog.QUERIES["str19_similarity"](spark, documents(spark, tmp_path, texts)).orderBy("doc_id").collect()
     plain = [" ".join(t.split()) for t in texts]
     assert [(r["doc_id"], r["ratio"]) for r in found] == [(i, round(difflib.SequenceMatcher(None, plain[i], plain[i + 1]).ratio(), 9)) for i in range(3)]
+
+
+def test_rows_of_all_structs(spark, duck):
+    agrees(spark, duck, "arr03_rows_of_structs", (" WHERE doc_id % 3 = 0", ""))
+
+
+def test_similar_results_are_those_of_a_search(spark, tmp_path):
+    folder = documents(spark, tmp_path, ["nothing of it"] * 100 + [f"the queion {i} " + chr(97 + i % 26) * (20 + i) for i in range(30)])
+    spark.createDataFrame([(7, [1.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    found = catalog.QUERIES["syn02_similar_results"](spark, folder).first()
+    assert found["n_unique"] + found["deduplication_count"] == 31 and found["n_unique"] > 20
