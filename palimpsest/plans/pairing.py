@@ -29,7 +29,7 @@ def jon03(spark, sf_dir):
 
 @query("str04_turn_chunks", f"WITH {_PAIRS} SELECT session_id, user_line, sha256(content) AS content_sha, substr(sha256(content || session_id || {_TS}), 1, 16) AS id FROM turns WHERE length(content) <= 8000")
 def str04(spark, sf_dir):
-    turns = chunking.turn_chunks(_pairs(spark, sf_dir)).where("parts = 1")
+    turns = chunking.turn_chunks(_pairs(spark, sf_dir))
     return turns.select("session_id", "user_line", F.sha2("content", 256).alias("content_sha"), "id")
 
 
@@ -95,16 +95,16 @@ def _break(s: str) -> str:
 
 @query("str01_split_content", _SPLIT.format(b0=_break("0"), b=_break("ns")))
 def str01(spark, sf_dir):
-    d = tables.table(spark, sf_dir, "documents").where(F.length("text") > fixed.SPLIT_MAX)
-    parts = d.select("doc_id", F.posexplode(tx.split_parts("text")).alias("i", "part_text"))
-    return parts.select("doc_id", (F.col("i") + 1).alias("part"), F.md5("part_text").alias("part_md5"))
+    d = tables.table(spark, sf_dir, "documents")
+    short = d.where(F.length("text") <= fixed.SPLIT_MAX).select("doc_id", F.lit(0).alias("i"), F.col("text").alias("part_text"))
+    long = d.where(F.length("text") > fixed.SPLIT_MAX).select("doc_id", F.posexplode(tx.split_parts("text")).alias("i", "part_text"))  # only these reach Python
+    return short.unionByName(long).select("doc_id", (F.col("i") + 1).alias("part"), F.md5("part_text").alias("part_md5"))
 
 
 @query("prj22_str03_win05_parts", _SPLIT.format(b0=_break("0"), b=_break("ns")).replace("SELECT doc_id, i AS part, md5(substr(text, s + 1, e - s)) AS part_md5 FROM p",
        ", q AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id) AS n, substr(text, s + 1, e - s) AS t, text FROM p) SELECT doc_id, i AS part, n AS parts, substr(sha256('[Part ' || i || '/' || n || '] ' || t || 's' || doc_id || '2026-01-01 00:00:00+00:00_part' || i), 1, 16) AS id, CASE WHEN i > 1 THEN substr(sha256(text || 's' || doc_id || '2026-01-01 00:00:00+00:00'), 1, 16) END AS parent_chunk_id FROM q"))
 def prj22(spark, sf_dir):
-    d = tables.table(spark, sf_dir, "documents").where(F.length("text") > fixed.SPLIT_MAX)
-    rows = d.select("doc_id", F.col("text").alias("content"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("session_id"), F.lit("2026-01-01 00:00:00+00:00").alias("time"))
+    rows = tables.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("session_id"), F.lit("2026-01-01 00:00:00+00:00").alias("time"))
     return chunking.with_parts(rows).select("doc_id", "part", F.col("parts").cast("long").alias("parts"), "id", "parent_chunk_id")
 
 

@@ -64,3 +64,26 @@ def test_similar_results_are_those_of_a_search(spark, tmp_path):
     spark.createDataFrame([(7, [1.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
     found = catalog.QUERIES["syn02_similar_results"](spark, folder).first()
     assert found["n_unique"] + found["deduplication_count"] == 31 and found["n_unique"] > 20
+
+
+def test_parts_of_all_documents(spark, duck):
+    agrees(spark, duck, "str01_split_content", (" WHERE length(text) > 8000", ""))
+
+
+def test_ids_of_parts_of_all_documents(spark, duck):
+    # a single part keeps its content and the id of the whole
+    single = "CASE WHEN n = 1 THEN substr(sha256(text || 's' || doc_id || '2026-01-01 00:00:00+00:00'), 1, 16) ELSE substr(sha256('[Part '"
+    agrees(spark, duck, "prj22_str03_win05_parts", (" WHERE length(text) > 8000", ""), ("substr(sha256('[Part '", single), ("1, 16) AS id", "1, 16) END AS id"))
+
+
+def test_all_parts_of_long_turns(spark, tmp_path):
+    from palimpsest.functions import text as tx
+
+    answer = "".join(f"Sentence number {i}. " for i in range(1500))
+    spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", answer), (1, 2, "user", "r"), (1, 3, "assistant", "a")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = catalog.QUERIES["str04_turn_chunks"](spark, str(tmp_path)).collect()
+    parts = tx.split_text(f"In project p1, user asked:\nq\n\nAssistant responded:\n{answer.strip()}")
+    assert len(parts) > 3 and sorted(r["user_line"] for r in found) == [1] * len(parts) + [3]
+    import hashlib
+
+    assert {r["content_sha"] for r in found if r["user_line"] == 1} == {hashlib.sha256(f"[Part {i}/{len(parts)}] {p}".encode()).hexdigest() for i, p in enumerate(parts, 1)}
