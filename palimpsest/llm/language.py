@@ -10,7 +10,7 @@ answer is the language with the largest sum.
 The probabilities are learned by expectation maximisation (forward and backward
 sums) from word counts of a bounded sample of labelled rows: about
 ``docs_per_language`` rows and at most ``words_per_language`` distinct words of
-each of the ``languages`` most frequent labels. Rows are held out when crc32 of
+each label, ``languages`` labels at a time. Rows are held out when crc32 of
 the id as text is 1 modulo 3. Every text is then read in whole, in
 batches; a worker remembers the sums of words it has seen.
 
@@ -43,6 +43,8 @@ UNKNOWN = 1e-8
 #: Added to the expected count of every piece.
 SMOOTHING = 0.02
 REMEMBERED = 300_000
+#: Languages for which those and GROUP are meant; with more of them, fewer words are kept at once.
+ABREAST = 200
 #: Texts are read in groups of about so many characters.
 GROUP = 1 << 20
 
@@ -141,9 +143,10 @@ def word_sums(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarray
     for k in _by_length(words):
         group = [words[i] for i in k]
         lengths, arcs = pieces.lattice(group)
-        alpha, scale = _forward(lengths, arcs, max(map(len, group)), table)
         row = np.arange(len(group))
-        out[k] = np.log(np.maximum(alpha[row, lengths], 1e-300)) + scale[row, lengths][:, None]
+        for a in range(0, table.shape[1], ABREAST):
+            alpha, scale = _forward(lengths, arcs, max(map(len, group)), table[:, a : a + ABREAST])
+            out[k, a : a + ABREAST] = np.log(np.maximum(alpha[row, lengths], 1e-300)) + scale[row, lengths][:, None]
     return out
 
 
@@ -220,23 +223,35 @@ def held_out(name: str):
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, model_path: str, docs_per_language: int = 1500, words_per_language: int = 12_000, languages: int = 200) -> Model | None:
-    """Fit on the rows that are not held out."""
+    """Fit on the rows that are not held out: every label, ``languages`` of them in each pass over the rows."""
     known = docs.where(~held_out(id_col) & col(lang_col).isNotNull() & col(text_col).isNotNull())
-    labels = known.groupBy(col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not labels:
-        return None
-    share = F.create_map(*[F.lit(x) for r in labels for x in (r["lang"], min(1.0, docs_per_language / r["n"]))])
+    labels = known.groupBy(col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()
     draw = F.pmod(F.xxhash64(col(id_col), F.lit("sample")), F.lit(1_000_000)) / 1e6
-    sample = known.select(col(lang_col).alias("lang"), col(text_col).cast("string").alias("text"), draw.alias("draw"))
-    sample = sample.where(F.col("draw") < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
-    words = sample.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    every = known.select(col(lang_col).alias("lang"), col(text_col).cast("string").alias("text"), draw.alias("draw"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = words.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= words_per_language)
-    counts: dict[str, dict[str, int]] = {r["lang"]: {} for r in labels}
-    for r in top.select("lang", "word", "n").toLocalIterator():
-        counts[r["lang"]][MARK + r["word"]] = r["n"]
-    counts = {k: v for k, v in counts.items() if v}
-    return learn(counts, letter_pieces(model_path)) if counts else None
+    pieces, models = letter_pieces(model_path) if labels else [], []
+    for at in range(0, len(labels), languages):
+        block = labels[at : at + languages]
+        share = F.create_map(*[F.lit(x) for r in block for x in (r["lang"], min(1.0, docs_per_language / r["n"]))])
+        sample = every.where(F.col("draw") < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
+        words = sample.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        top = words.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= words_per_language)
+        counts: dict[str, dict[str, int]] = {r["lang"]: {} for r in block}
+        for r in top.select("lang", "word", "n").toLocalIterator():
+            counts[r["lang"]][MARK + r["word"]] = r["n"]
+        counts = {k: v for k, v in counts.items() if v}
+        if counts:
+            models.append(learn(counts, pieces))
+    return _together(models) if models else None
+
+
+def _together(models: list[Model]) -> Model:
+    """One model of the languages of all; each language is learned by itself."""
+    if len(models) == 1:
+        return models[0]
+    names = [x for m in models for x in m.languages]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return Model([names[i] for i in order], models[0].pieces, np.concatenate([m.table for m in models], 1)[:, order])
 
 
 class Reader:
@@ -245,12 +260,13 @@ class Reader:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
         self.sums = np.zeros((0, len(model.languages)))
+        self.most = REMEMBERED * ABREAST // max(ABREAST, len(model.languages))
 
     def read(self, texts: list[str]) -> list[tuple[str, float]]:
         found = [_WORD.findall(t.lower()) for t in texts]
         known = self.known
         fresh = list({w for words in found for w in words if w not in known})
-        if len(known) + len(fresh) > REMEMBERED:
+        if len(known) + len(fresh) > self.most:
             known.clear()
             self.sums = self.sums[:0]
             fresh = list({w for words in found for w in words})
@@ -274,12 +290,13 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(model) if model else None
+        most = GROUP * ABREAST // max(ABREAST, len(model.languages) if model else 0)
         for batch in batches:
             texts, told, group, held = batch.pop("text").tolist(), [], [], 0
             for i, t in enumerate(texts):
                 group.append(t)
                 held += len(t)
-                if held >= GROUP or i == len(texts) - 1:
+                if held >= most or i == len(texts) - 1:
                     told += reader.read(group) if reader else [("und", 0.0)] * len(group)
                     group, held = [], 0
             yield batch.assign(lang_pred=[t[0] for t in told], score=[t[1] for t in told])
