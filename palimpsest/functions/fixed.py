@@ -4,6 +4,15 @@
 SPLIT_MAX, SPLIT_OVERLAP, SPLIT_SEARCH = 8000, 1500, 1000
 USER_TEXT_IN_FILE_CHANGE = 200
 
+# --- fixed values: cleaning of texts that a model refused, in order ---
+KEPT_CATEGORIES = ["L", "N", "P", "M"]
+NOISE = [
+    (r"(.)\1{3,}", r"\1\1"),
+    (r"(?:[0-9a-fA-F]{2}[\s:,]?){8,}", "[binary data]"),
+    (r"[A-Za-z0-9+/=]{40,}", "[encoded data]"),
+    (r" {2,}", " "),
+]
+
 # --- fixed values: retrieval ---
 RRF_K, CANDIDATE_POOL = 60, 100
 BM25_K1, BM25_B = 1.2, 0.75
@@ -81,20 +90,21 @@ TECHNOLOGIES = {
 
 # --- fixed values: key terms ---
 SHORT_TERMS = ["go", "js", "ts", "py", "db", "ui", "ai", "ml", "ci", "cd"]
-STOP_WORDS = (
-    "a an the is are was were be been being have has had do does did will would could should may might must can "
-    "to of in for on with at by from up about into through during before after above below between under again "
-    "further then once here there when where why how all each few more most other some such no nor not only own "
-    "same so than too very just but and or if what which who this that these those am i we you he she it they me "
-    "him her us them my your his its our their show get find look"
-).split()
+STOP_WORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "must", "can", "to", "of", "in", "for", "on", "with", "at", "by", "from", "up", "about", "into", "through", "during",
+    "before", "after", "above", "below", "between", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how",
+    "all", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "just",
+    "but", "and", "or", "if", "what", "which", "who", "this", "that", "these", "those", "am", "i", "we", "you", "he", "she", "it", "they", "me",
+    "him", "her", "us", "them", "my", "your", "his", "its", "our", "their", "show", "get", "find", "look",
+]
 MOST_TERMS = 10
 
 # --- fixed values: file references ---
-FILE_EXTENSIONS = (
-    ".py .js .ts .tsx .jsx .java .go .rs .rb .php .cs .swift .kt .dart .cpp .c .h .json .yaml .yml .toml .xml .html "
-    ".css .md .txt .sh .bash .sql .env .config"
-).split()
+FILE_EXTENSIONS = [
+    ".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".go", ".rs", ".rb", ".php", ".cs", ".swift", ".kt", ".dart", ".cpp", ".c", ".h", ".json", ".yaml",
+    ".yml", ".toml", ".xml", ".html", ".css", ".md", ".txt", ".sh", ".bash", ".sql", ".env", ".config",
+]
 
 # --- fixed values: evaluation ---
 INTENT_CUES = {
@@ -125,12 +135,15 @@ SHELL_OPERATIONS = [
 PATCH_HEADERS = [("*** Add File: ", "write", "Added file"), ("*** Update File: ", "edit", "Updated file"), ("*** Delete File: ", "delete", "Deleted file"), ("*** Move to: ", "move", "Moved file")]
 
 # --- fixed values: heartbeat sections ---
-NUMERIC_KEYS = (
-    "size queued pending failed failed_count queue_size queue_max_size files_indexed files_pending files_failed total "
-    "count memory_mb cpu_percent pending_uploads pending_uploads_oldest_age_sec active_claims blocked_records retry_total "
-    "failed_files_count debounce_ms generation catchup_failure_count catchup_failure_oldest_age_sec reindex_generation"
-).split()
-TEXT_KEYS = "status last_indexed_file_hash required_at ack_at reindex_status source_name projects_path_hash storage_backend embedding_mode".split()
+NUMERIC_KEYS = [
+    "size", "queued", "pending", "failed", "failed_count", "queue_size", "queue_max_size", "files_indexed", "files_pending", "files_failed", "total",
+    "count", "memory_mb", "cpu_percent", "pending_uploads", "pending_uploads_oldest_age_sec", "active_claims", "blocked_records", "retry_total",
+    "failed_files_count", "debounce_ms", "generation", "catchup_failure_count", "catchup_failure_oldest_age_sec", "reindex_generation",
+]
+TEXT_KEYS = [
+    "status", "last_indexed_file_hash", "required_at", "ack_at", "reindex_status", "source_name", "projects_path_hash", "storage_backend",
+    "embedding_mode",
+]
 
 # --- fixed values: default phrases and limits ---
 FILE_CHANGE_PHRASE = "file changes modifications edits"

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import re
+import sys
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -210,19 +213,38 @@ def file_operations(blocks: Column) -> Column:
 # --- Arrow functions: sequential cuts, Unicode forms and similarity have no built-in counterpart ---
 
 
+_PARAGRAPH, _LINE, _SENTENCE = re.compile(r"(?=\n\n)"), re.compile(r"\n"), re.compile(r"[.!?](?= )")
+
+
+def _last_within(points: np.ndarray, above: int, most: int) -> int:
+    """The largest of the sorted points in (above, most], or -1."""
+    k = int(np.searchsorted(points, most, "right")) - 1
+    return int(points[k]) if k >= 0 and points[k] > above else -1
+
+
 def split_text(text: str, most: int = fixed.SPLIT_MAX, overlap: int = fixed.SPLIT_OVERLAP) -> list[str]:
-    """Overlapping parts of at most ``most`` characters, cut at paragraphs or sentences where one ends near."""
-    parts, at = [], 0
-    while len(text) - at > most:
-        end = at + most
-        low = max(at, end - fixed.SPLIT_SEARCH)
-        near = text[low:end]
-        paragraph = near.rfind("\n\n")
-        sentence = max(near.rfind(mark) for mark in (". ", "! ", "? ", "\n"))
-        stop = low + paragraph + 2 if paragraph > 0 else low + sentence + 1 if sentence > 0 else end
-        parts.append(text[at:stop])
-        at = max(at + 1, stop - overlap)
-    return [*parts, text[at:]]
+    """Overlapping parts of at most ``most`` characters, cut at paragraphs or sentences where one ends near.
+
+    All places where a part may end are found in one pass; each part looks up
+    the last that lies in its final SPLIT_SEARCH characters.
+    """
+    if len(text) <= most:
+        return [text]
+    ends = lambda pattern, past: np.fromiter((m.start() + past for m in pattern.finditer(text)), np.int64)
+    paragraphs, lines, marks = ends(_PARAGRAPH, 2), ends(_LINE, 1), ends(_SENTENCE, 1)
+    spans = [(0, 0)]
+    while spans[-1][1] < len(text):
+        begin = max(spans[-1][0] + 1, spans[-1][1] - overlap) if spans[-1][1] else 0
+        last = begin + most
+        if last >= len(text):
+            spans.append((begin, len(text)))
+            continue
+        low = max(begin, last - fixed.SPLIT_SEARCH) + 1  # a break at the first place of the region does not count
+        stop = _last_within(paragraphs, low + 1, last)
+        if stop < 0:
+            stop = max(_last_within(lines, low, last), _last_within(marks, low, last - 1))  # the blank behind a mark lies in the part's region
+        spans.append((begin, stop if stop >= 0 else last))
+    return [text[a:z] for a, z in spans[1:]]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -230,16 +252,20 @@ def split_parts(texts: pd.Series) -> pd.Series:
     return texts.map(split_text, na_action="ignore")
 
 
-_KEPT = re.compile(r"[\n\t\r\x20-\x7e]")
-_REPEATED, _HEX, _BASE64 = re.compile(r"(.)\1{3,}"), re.compile(r"(?:[0-9a-fA-F]{2}[\s:,]?){8,}"), re.compile(r"[A-Za-z0-9+/=]{40,}")
+@functools.lru_cache(1)
+def _cleaning() -> list[tuple[re.Pattern, str]]:
+    """Replacements in order: one class of all characters to blank out, built from their categories, then the fixed ones."""
+    plain = {9, 10, 13, *range(0x20, 0x7F)}
+    gone = [c for c in range(sys.maxunicode + 1) if c not in plain and unicodedata.category(chr(c))[0] not in fixed.KEPT_CATEGORIES]
+    cuts = np.flatnonzero(np.diff(gone) > 1)
+    first, last = np.array(gone)[np.append(0, cuts + 1)], np.array(gone)[np.append(cuts, len(gone) - 1)]
+    blank = "[" + "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in zip(first.tolist(), last.tolist(), strict=True)) + "]"
+    return [(re.compile(blank), " "), *[(re.compile(p), put) for p, put in fixed.NOISE]]
 
 
 def clean_for_embedding(text: str) -> str:
     """Unicode NFC; letters, numbers, punctuation and marks kept; long runs, hex and base64 shortened."""
-    text = unicodedata.normalize("NFC", text)
-    text = "".join(c if _KEPT.match(c) or unicodedata.category(c)[0] in "LNPM" else " " for c in text)
-    text = _BASE64.sub("[encoded data]", _HEX.sub("[binary data]", _REPEATED.sub(r"\1\1", text)))
-    return re.sub(" {2,}", " ", text).strip()
+    return functools.reduce(lambda t, rule: rule[0].sub(rule[1], t), _cleaning(), unicodedata.normalize("NFC", text)).strip()
 
 
 @F.pandas_udf(T.StringType())

@@ -67,7 +67,7 @@ def src20(spark, sf_dir):
     return spark.range(1).select(F.lit("vector" in columns).alias("has_column"), F.lit(spark.catalog.tableExists("palimpsest_absent")).alias("has_table"))
 
 
-@query("snk16_inverted_index", f"WITH {T.CHUNKS_SQL}, t AS (SELECT id, unnest(regexp_extract_all(lower(substr(content, 1, 400)), '[\\pL\\pN_]+')) AS token FROM chunks) SELECT token, count(DISTINCT id) AS documents, count(*) AS uses FROM t GROUP BY 1")
+@query("snk16_inverted_index", f"WITH {T.CHUNKS_SQL}, t AS (SELECT id, unnest(regexp_extract_all(lower(content), '[\\pL\\pN_]+')) AS token FROM chunks) SELECT token, count(DISTINCT id) AS documents, count(*) AS uses FROM t GROUP BY 1")
 def snk16(spark, sf_dir):
     from ..functions.text import tokens
 

@@ -105,7 +105,7 @@ def prj20(spark, sf_dir):
     return tables.chunks(spark, sf_dir).select("id", "chunk_type", "session_id", F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("timestamp"), "machine_id")
 
 
-@query("arr03_rows_of_structs", f"WITH {C} SELECT id, session_id FROM chunks WHERE doc_id % 3 = 0")
+@query("arr03_rows_of_structs", f"WITH {C} SELECT id, session_id FROM chunks")
 def arr03(spark, sf_dir):
     c = tables.chunks(spark, sf_dir)
     rows = c.groupBy("source_file").agg(F.collect_list(F.struct("id", "session_id")).alias("rows"))

@@ -27,12 +27,6 @@ def jon03(spark, sf_dir):
     return _pairs(spark, sf_dir).select("session_id", "user_line", "assistant_line")
 
 
-@query("str04_turn_chunks", f"WITH {_PAIRS} SELECT session_id, user_line, sha256(content) AS content_sha, substr(sha256(content || session_id || {_TS}), 1, 16) AS id FROM turns WHERE length(content) <= 8000")
-def str04(spark, sf_dir):
-    turns = chunking.turn_chunks(_pairs(spark, sf_dir))
-    return turns.select("session_id", "user_line", F.sha2("content", 256).alias("content_sha"), "id")
-
-
 @query("jon03_unpaired_assistants", f"WITH {_PAIRS} SELECT session_id, line FROM x WHERE role = 'assistant' AND coalesce(prev, '') <> 'user'")
 def jon03_unpaired(spark, sf_dir):
     return chunking.unpaired(tables.entries(spark, sf_dir)).select("session_id", "line")
@@ -76,13 +70,6 @@ def win04(spark, sf_dir):
     return chunking.carried(e, "cwd").select("session_id", "line", F.col("cwd").alias("seen"))
 
 
-_LONG = "documents d WHERE length(text) > 8000"
-_SPLIT = """WITH RECURSIVE p(doc_id, text, i, s, e) AS (
- SELECT doc_id, text, 1, 0, brk FROM (SELECT doc_id, text, {b0} AS brk FROM documents WHERE length(text) > 8000)
- UNION ALL SELECT doc_id, text, i + 1, ns, {b} FROM (SELECT doc_id, text, i, greatest(s + 1, e - 1500) AS ns FROM p WHERE e < length(text)))
-SELECT doc_id, i AS part, md5(substr(text, s + 1, e - s)) AS part_md5 FROM p"""
-
-
 def _break(s: str) -> str:
     """SQL for where the part that begins at ``s`` ends."""
     low = f"greatest({s}, {s} + 7000)"
@@ -93,7 +80,22 @@ def _break(s: str) -> str:
     return f"CASE WHEN {s} + 8000 >= length(text) THEN length(text) WHEN {para} > 0 THEN {low} + {para} + 2 WHEN {best} > 0 THEN {low} + {best} + 1 ELSE {s} + 8000 END"
 
 
-@query("str01_split_content", _SPLIT.format(b0=_break("0"), b=_break("ns")))
+def _split_sql(rows: str, keys: str) -> str:
+    """Relation p of all parts (i from 1, text from s to e) of all texts of the relation ``rows`` (keys, text)."""
+    return f"""p AS (
+ SELECT {keys}, text, 1 AS i, 0 AS s, brk AS e FROM (SELECT *, {_break("0")} AS brk FROM {rows})
+ UNION ALL SELECT {keys}, text, i + 1, ns, {_break("ns")} FROM (SELECT {keys}, text, i, greatest(s + 1, e - 1500) AS ns FROM p WHERE e < length(text)))"""
+
+
+def _ids_sql(keys: str, session: str, time: str) -> str:
+    """Relations q and c: parts with their number, content, id and parent."""
+    base = f"substr(sha256(text || {session} || {time}), 1, 16)"
+    return f"""q AS (SELECT *, count(*) OVER (PARTITION BY {keys}) AS n, substr(text, s + 1, e - s) AS t FROM p),
+c AS (SELECT *, CASE WHEN n = 1 THEN t ELSE '[Part ' || i || '/' || n || '] ' || t END AS content, {base} AS base, {session} || {time} AS salt FROM q),
+parts AS (SELECT *, CASE WHEN n = 1 THEN base ELSE substr(sha256(content || salt || '_part' || i), 1, 16) END AS id, CASE WHEN i > 1 THEN base END AS parent_chunk_id FROM c)"""
+
+
+@query("str01_split_content", f"WITH RECURSIVE {_split_sql('documents', 'doc_id')} SELECT doc_id, i AS part, md5(substr(text, s + 1, e - s)) AS part_md5 FROM p")
 def str01(spark, sf_dir):
     d = tables.table(spark, sf_dir, "documents")
     short = d.where(F.length("text") <= fixed.SPLIT_MAX).select("doc_id", F.lit(0).alias("i"), F.col("text").alias("part_text"))
@@ -101,13 +103,24 @@ def str01(spark, sf_dir):
     return short.unionByName(long).select("doc_id", (F.col("i") + 1).alias("part"), F.md5("part_text").alias("part_md5"))
 
 
-@query("prj22_str03_win05_parts", _SPLIT.format(b0=_break("0"), b=_break("ns")).replace("SELECT doc_id, i AS part, md5(substr(text, s + 1, e - s)) AS part_md5 FROM p",
-       ", q AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id) AS n, substr(text, s + 1, e - s) AS t, text FROM p) SELECT doc_id, i AS part, n AS parts, substr(sha256('[Part ' || i || '/' || n || '] ' || t || 's' || doc_id || '2026-01-01 00:00:00+00:00_part' || i), 1, 16) AS id, CASE WHEN i > 1 THEN substr(sha256(text || 's' || doc_id || '2026-01-01 00:00:00+00:00'), 1, 16) END AS parent_chunk_id FROM q"))
+_DOC_PARTS = f"WITH RECURSIVE {_split_sql('documents', 'doc_id')}, {_ids_sql('doc_id', chr(39) + 's' + chr(39) + ' || doc_id', chr(39) + '2026-01-01 00:00:00+00:00' + chr(39))}"
+
+
+@query("prj22_str03_win05_parts", f"{_DOC_PARTS} SELECT doc_id, i AS part, n AS parts, id, parent_chunk_id FROM parts")
 def prj22(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("session_id"), F.lit("2026-01-01 00:00:00+00:00").alias("time"))
     return chunking.with_parts(rows).select("doc_id", "part", F.col("parts").cast("long").alias("parts"), "id", "parent_chunk_id")
 
 
+_TURN_PARTS = _PAIRS + ", " + _split_sql(f"(SELECT session_id, user_line, {_TS} AS time, content AS text FROM turns WHERE user_text <> '' OR assistant_text <> '')", "session_id, user_line, time") + ", " + _ids_sql("session_id, user_line", "session_id", "time")
+
+
+@query("str04_turn_chunks", f"WITH RECURSIVE {_TURN_PARTS} SELECT session_id, user_line, sha256(content) AS content_sha, id FROM parts")
+def str04(spark, sf_dir):
+    turns = chunking.turn_chunks(_pairs(spark, sf_dir))
+    return turns.select("session_id", "user_line", F.sha2("content", 256).alias("content_sha"), "id")
+
+
 @query("jon08_parent_and_children", f"""WITH {_PAIRS}, t AS (SELECT session_id, user_line, substr(sha256(content || session_id || {_TS}), 1, 16) AS id FROM turns),
 f AS (SELECT session_id, user_line, unnest(range(0, user_line % 3)) AS k FROM turns) SELECT t.session_id, t.user_line, t.id, count(f.k) AS children FROM t LEFT JOIN f USING (session_id, user_line) GROUP BY ALL""")
 def jon08(spark, sf_dir):

@@ -189,12 +189,12 @@ def str30(spark, sf_dir):
     return T.values(spark, "i, f", _TERMS).select("i", F.array_join(tx.file_terms(F.col("f")), "|").alias("terms"))
 
 
-@query("set02_distinct_terms", "WITH q AS (SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 300)), '[\\pL\\pN_]+') AS l FROM documents) SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS terms FROM q")
+@query("set02_distinct_terms", "WITH q AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\pL\\pN_]+') AS l FROM documents), w AS (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS i FROM q), f AS (SELECT doc_id, w, min(i) AS i FROM w GROUP BY 1, 2) SELECT doc_id, coalesce(string_agg(w, ' ' ORDER BY i), '') AS terms FROM q LEFT JOIN f USING (doc_id) GROUP BY 1")
 def set02(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(F.array_distinct(tx.tokens(F.col("text"))), " ").alias("terms"))
 
 
-@query("str31_cache_keys", "SELECT doc_id, substr(sha256(concat_ws('|', trim(lower(substr(text, 1, 40))), source, 'hybrid', '5', lang)), 1, 32) AS key FROM documents")
+@query("str31_cache_keys", "SELECT doc_id, substr(sha256(concat_ws('|', trim(lower(text)), source, 'hybrid', '5', lang)), 1, 32) AS key FROM documents")
 def str31(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.cache_key(F.col("text"), F.col("source"), F.lit("hybrid"), F.lit(5), F.col("lang")).alias("key"))
 
@@ -212,7 +212,7 @@ def str33(spark, sf_dir):
     return T.values(spark, "i, u", _URLS).select("i", tx.redact_url(F.col("u")).alias("url"))
 
 
-@query("str34_reason_texts", "SELECT doc_id, substr(coalesce(nullif(trim(regexp_replace(substr(text, 1, 200), '[^A-Za-z0-9_.:-]+', '_', 'g'), '_'), ''), 'unknown'), 1, 120) AS reason, substr(trim(regexp_replace(substr(text, 1, 300), '[\\x00-\\x1f\\x7f]+', ' ', 'g')), 1, 256) AS name FROM documents")
+@query("str34_reason_texts", "SELECT doc_id, substr(coalesce(nullif(trim(regexp_replace(text, '[^A-Za-z0-9_.:-]+', '_', 'g'), '_'), ''), 'unknown'), 1, 120) AS reason, substr(trim(regexp_replace(text, '[\\x00-\\x1f\\x7f]+', ' ', 'g')), 1, 256) AS name FROM documents")
 def str34(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.reason_text(F.col("text")).alias("reason"), tx.client_name(F.col("text")).alias("name"))
 
