@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +24,13 @@ def col(name: str) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (tests in local mode) one is chosen here.
+    Only in local mode (tests) one is chosen where that setting is unset; on a
+    cluster a machine-local folder would split tables over machines.
     """
     path = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "/tmp/palimpsest-checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -56,6 +61,11 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(col(name).cast("string"), F.lit(""))
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import col, save, text_or_empty
+from ._shared import bound, col, save, text_or_empty
 
 SPACES = r"[\x20\x09-\x0D]"
 METRICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -40,43 +40,44 @@ RATIOS = {
 BROADCAST_GROUPS = 50_000
 
 
-def with_metrics(rows: DataFrame, text: Column) -> DataFrame:
-    """Add METRICS to ``rows``; ``text`` is not null."""
+def _measures(text: Column) -> Column:
+    """METRICS of a text as a struct.
+
+    Every array is bound to a lambda variable, so that an optimiser which puts
+    this expression into a filter evaluates it once a row there, not once an element.
+    """
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    carried = [col(c) for c in rows.columns]
-    step = rows.select(
-        *carried, lines.alias("__lines"),
-        F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.trim(F.regexp_replace(text, SPACES + "+", " ")).alias("__plain"),
-    )
-    words = F.when(F.col("__plain") == "", F.array().cast("array<string>")).otherwise(F.split("__plain", " "))
-    step = step.select(
-        *carried, "n_symbols", words.alias("__w"), F.length("__plain").alias("__len"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-    )
-    w, n = F.col("__w"), F.size("__w")
-    windows = F.transform(
-        F.slice(w, 1, F.greatest(n - 2, F.lit(0))),
-        lambda x, i: F.struct(x.alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i")),
-    )
-    step = step.select(
-        *carried, "n_symbols", "n_lines", "n_dup_lines", n.cast("long").alias("n_words"),
-        (F.col("__len") - F.greatest(n - 1, F.lit(0))).cast("long").alias("word_chars"), F.sort_array(windows).alias("__s"),
-    )
-    s = F.col("__s")
+    plain = F.trim(F.regexp_replace(text, SPACES + "+", " "))
+
+    def windows(w: Column) -> Column:
+        starts = F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0)))
+        return F.sort_array(F.transform(starts, lambda x, i: F.struct(x.alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))))
 
     def same(x: Column, y: Column) -> Column:
         return F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
 
-    found = F.transform(s, lambda x, i: F.when(same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)), x["i"]))
-    step = step.withColumn("__p", F.sort_array(F.array_compact(found))).drop("__s")
-    p = F.col("__p")
-    covered = F.aggregate(
-        F.transform(p, lambda v, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - v, F.lit(3)))),
-        F.lit(0).cast("long"), lambda acc, v: acc + v.cast("long"),
-    )
-    return step.withColumn("n_repeat_words", F.when(F.size(p) == 0, F.lit(0).cast("long")).otherwise(covered)).drop("__p")
+    def repeated(s: Column) -> Column:
+        """Sorted places of the windows that occur twice or more."""
+        return F.sort_array(F.array_compact(F.transform(s, lambda x, i: F.when(same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)), x["i"]))))
+
+    def covered(p: Column) -> Column:
+        widths = F.transform(p, lambda v, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - v, F.lit(3))))
+        return F.aggregate(widths, F.lit(0).cast("long"), lambda total, v: total + v.cast("long"))
+
+    def measured(pl: Column, li: Column) -> Column:
+        words = F.when(pl == "", F.array().cast("array<string>")).otherwise(F.split(pl, " "))
+        return bound(words, lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"), (F.length(pl) - F.greatest(F.size(w) - 1, F.lit(0))).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"), F.size(li).cast("long").alias("n_lines"),
+            (F.size(li) - F.size(F.array_distinct(li))).cast("long").alias("n_dup_lines"), bound(bound(windows(w), repeated), covered).alias("n_repeat_words")))
+
+    return bound(plain, lambda pl: bound(lines, lambda li: measured(pl, li)))
+
+
+def with_metrics(rows: DataFrame, text: Column) -> DataFrame:
+    """Add METRICS to ``rows``; ``text`` is not null."""
+    carried = [col(c) for c in rows.columns]
+    return rows.select(*carried, _measures(text).alias("__m")).select(*carried, *[F.col(f"__m.{m}").alias(m) for m in METRICS])
 
 
 def base_failed() -> Column:
