@@ -9,9 +9,12 @@ part is reported only when its complements occur in the same scope:
 * a weak secret, when an identifier (weak, or a base access identifier) does;
 * an endpoint, when both do.
 
-Scopes are an interval join by sweep: every part is widened by ``reach`` code
-points, and overlapping intervals of a text chain into one scope. The sweep is
-two window functions over the parts of one text, so no pairs are made.
+Scopes are an interval join: every part is widened by ``reach`` code points on both
+sides, and two parts share a scope when their intervals overlap (parts do not
+chain). A part needs only one complement of each kind, so the join is a sweep over
+the sorted parts of a text: the furthest end of that kind before it and the nearest
+start behind it decide. These are running maxima and minima over one text's parts,
+linear in their number; no pairs are made.
 
 Positions come from the built-in regular expressions alone: splitting a text by a
 pattern gives the gaps between its leftmost non-overlapping matches, and prefix
@@ -34,12 +37,12 @@ KEYWORDS = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][C
 ASSIGN = rf"""({KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Weak parts.
-IDENTIFIER = r"""(?:[Uu]ser(?:_?[Nn]ame)?|[Ll]ogin|[Aa]ccount|[Cc]lient_?[Ii]d|[Kk]ey_?[Ii]d)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]+|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"""
+#: Weak parts. No group is repeated in any pattern: the regular expressions here recurse on those, and a long text would end the JVM's stack.
+IDENTIFIER = r"""(?:[Uu]ser(?:_?[Nn]ame)?|[Ll]ogin|[Aa]ccount|[Cc]lient_?[Ii]d|[Kk]ey_?[Ii]d)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]+|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}\.[A-Za-z0-9.-]*[A-Za-z0-9-]"""
 WEAK_SECRET = r"""(?:[Pp]wd|[Pp]ass|[Aa]uth|[Cc]redentials?|[Pp]rivate_?[Kk]ey)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}|[Bb]earer\x20+[A-Za-z0-9+/_.=-]{8,}|\b(?=[A-Za-z0-9+/_-]{0,64}[0-9])(?=[A-Za-z0-9+/_-]{0,64}[A-Z])(?=[A-Za-z0-9+/_-]{0,64}[a-z])[A-Za-z0-9+/_-]{20,}"""
 ENDPOINT = r"""[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|(?:[Hh]ost|[Ee]ndpoint|[Ss]erver)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]+"""
 KINDS = ["assign", "access", "hex", "identifier", "secret", "endpoint"]
-#: Widening of a part, in code points.
+#: Widening of a part on both sides, in code points.
 REACH = 200
 
 #: Linked parts are sent to the rows up to this number of texts that have some, else joined by shuffle.
@@ -117,21 +120,23 @@ def secret_spans(docs: DataFrame, carry: list[str], text_col: str = "text", reac
 def _linked(rows: DataFrame, reach: int) -> DataFrame:
     """rid and the weak parts whose complements are in their scope."""
     parts = rows.select("rid", F.inline(F.concat("base", "weak")))
-    order = Window.partitionBy("rid").orderBy("start", "kind", "end")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    text = Window.partitionBy("rid")
+    before = text.orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
+    after = text.orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)  # a running minimum from the end
     base = F.col("kind") <= 2
-    swept = parts.select(
+    free = parts.select(
         "*",
-        (F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1 << 30)) + 2 * reach).cast("int").alias("opens"),
-        F.coalesce(F.max(F.when(base, F.col("end"))).over(before) > F.col("start"), F.lit(False)).alias("under"),
-        F.coalesce(F.min(F.when(base, F.col("start"))).over(after) < F.col("end"), F.lit(False)).alias("over"),
-    ).withColumn("scope", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    free = base | ~(F.col("under") | F.col("over"))
-    scope = Window.partitionBy("rid", "scope")
-    has = lambda *kinds: F.max(free & F.col("kind").isin(*kinds)).over(scope)
-    named, secret = has(1, 3), has(0, 2, 4)
-    seen = swept.where(free).select("rid", "start", "kind", "end", named.alias("named"), secret.alias("secret"))
+        (F.coalesce(F.max(F.when(base, F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(F.min(F.when(base, F.col("start"))).over(after) < F.col("end"), F.lit(False))).alias("hidden"),
+    ).where(base | ~F.col("hidden"))  # weak parts that overlap a base span are dropped
+
+    def near(*kinds: int) -> Column:
+        of = F.col("kind").isin(*kinds)
+        gap_before = F.col("start") - F.max(F.when(of, F.col("end"))).over(before)
+        gap_after = F.min(F.when(of, F.col("start"))).over(after) - F.col("end")
+        return F.coalesce(gap_before <= 2 * reach, F.lit(False)) | F.coalesce(gap_after <= 2 * reach, F.lit(False))
+
     k = F.col("kind")
+    seen = free.select("rid", "start", "kind", "end", near(1, 3).alias("named"), near(0, 2, 4).alias("secret"))
     told = seen.where(((k == 3) & F.col("secret")) | ((k == 4) & F.col("named")) | ((k == 5) & F.col("secret") & F.col("named")))
     return told.groupBy("rid").agg(F.collect_list(F.struct("start", "kind", "end")).cast(SPAN).alias("linked"))
 

@@ -81,6 +81,26 @@ def secret_base(text):
     return ",".join(f"{kind}:{a}:{z}" for a, _, kind, z in sorted(found))
 
 
+def secret_parts(text, patterns):
+    """(start, kind, end) of base spans and of the matches of weak ``patterns`` (kind -> pattern)."""
+    number = {"assign": 0, "access": 1, "hex": 2}
+    base = [(int(a), number[k], int(z)) for k, a, z in (x.split(":") for x in secret_base(text).split(",") if x)]
+    return base, [(m.start(), kind, m.end()) for kind, p in patterns.items() for m in re.finditer(p, text, re.ASCII)]
+
+
+def secret_spans(text, patterns, reach=200):
+    """All spans: weak parts stay when complements lie within twice ``reach``, by trying every pair."""
+    base, weak = secret_parts(text, patterns)
+    weak = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
+    parts = base + weak
+
+    def near(x, kinds):
+        return any(y is not x and y[1] in kinds and max(x[0], y[0]) - min(x[2], y[2]) <= 2 * reach for y in parts)
+
+    needs = {3: [(0, 2, 4)], 4: [(1, 3)], 5: [(0, 2, 4), (1, 3)]}
+    return sorted(base + [w for w in weak if all(near(w, kinds) for kinds in needs[w[1]])])
+
+
 def quality(text):
     words = WORD.findall(text or "")
     windows = Counter(zip(words, words[1:], words[2:], strict=False))
