@@ -52,13 +52,28 @@ def save(df: DataFrame, name: str, partition_by: list[str] | None = None, **opti
     return back
 
 
-def discard(df: DataFrame) -> None:
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of the shared store; none if it does not exist."""
+    system, target = _file_system(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(target)] if system.exists(target) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+
+
+def discard(*saved: DataFrame) -> None:
     """Delete what :func:`save` wrote, once nothing reads it any more."""
-    path = getattr(df, "saved_at", None)
-    if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
+    for df in saved:
+        path = getattr(df, "saved_at", None)
+        if path:
+            remove(df.sparkSession, path)
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
