@@ -5,9 +5,10 @@
    classes go on, so copies are never expanded into pairs.
 2. Inverted join: a class is posted under each pair (coordinate, value). Lists of
    one posting are dropped, and classes with fewer than ``matches`` postings left.
-3. Prefix: of c postings a class needs only the c - matches + 1 in the shortest
-   lists. Two classes with ``matches`` collisions or more meet in one of those, if both
-   order the lists alike.
+3. Prefix: of c postings a class needs only the c - matches + 1 first
+   lists of a common order. Two classes with ``matches`` collisions or more meet in one of those, if both
+   order the lists alike. The order is longest first: long lists of near copies share
+   their hubs, so step 4 has the fewest pairs.
 4. Skip merging: most members of a list belong together, and one good link joins
    each of them. Every list names its hub, the member in the most and longest lists; the
    lists are merged as (hub, member) only, a number linear in the postings, and
@@ -158,26 +159,22 @@ class _Links:
     def __init__(self, classes: DataFrame, sets: DataFrame, matches: int, percent: int):
         self.classes, self.sets, self.matches, self.percent = classes, sets, matches, percent
 
-    def counted(self, pairs: DataFrame) -> DataFrame:
+    def counted(self, pairs: DataFrame, total: int) -> DataFrame:
         """Of distinct pairs (a, b) with a count of collisions so far, those with ``matches`` or more in all."""
-        short = pairs.where(F.col("collisions") < self.matches)
+        short = pairs.where(F.col("collisions") < self.matches).select("a", "b")
         side = lambda x: self.classes.select(F.col("v").alias(x), F.col("sig").alias(f"sig_{x}"))
-        signed = self._beside(short.select("a", "b").join(side("b"), "b"), side("a"))
+        hubs = short.groupBy("a").agg(F.count(F.lit(1)).alias("size")).join(side("a"), "a")
+        signed = join_groups(short, hubs, "a", "size", total).join(side("b"), "b")
         equal = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda e: e))
         return pairs.where(F.col("collisions") >= self.matches).select("a", "b").unionByName(signed.where(equal >= self.matches).select("a", "b"))
 
-    def _beside(self, pairs: DataFrame, of_a: DataFrame) -> DataFrame:
-        """Join on a, hot a's being broadcast."""
-        sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size")).join(of_a, "a")
-        return join_groups(pairs, sizes, "a", "size", pairs.count()).drop("size")
-
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Links (a, b) among distinct candidate pairs (a, b, collisions)."""
         pairs = save(pairs, "pairs")
-        likely = save(self.counted(pairs), "likely")
+        likely = save(self.counted(pairs, pairs.count()), "likely")
         sizes = self.sets.select("v", F.size("set").alias("n"))
         bytes_b = likely.select(F.col("b").alias("v")).join(sizes, "v").agg(F.sum("n")).first()[0] or 0
-        groups = max(int(likely.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(bytes_b * 8 // GROUP_BYTES, 1 << 20))
+        groups = max(4 * int(likely.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(bytes_b * 8 // GROUP_BYTES, 1 << 20))
         salted = likely.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
         counts = salted.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
         spread = F.least(F.lit(SALTS), F.ceil(F.col("m") / MEMBERS)).cast("int")
@@ -191,7 +188,7 @@ class _Links:
 
 
 #: A hub's members are dealt to groups of about so many, by at most SALTS salts; a group holds about GROUP_BYTES of sets.
-MEMBERS, SALTS, GROUP_BYTES = 256, 4096, 1 << 23
+MEMBERS, SALTS, GROUP_BYTES = 64, 1 << 16, 1 << 23
 #: Rows of a list of shingles that meet all of its other side in one task.
 LIST_ROWS = 1000
 #: Sizes of sets in one class differ by at most this factor.
@@ -253,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = join_groups(posts, save(sizes, "list-sizes"), "key", "size", total)
     lists = save(lists, "postings")
     popular = lists.groupBy("v").agg(F.sum("size").alias("popularity"), F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= matches)
-    own = Window.partitionBy("v").orderBy("size", "key")
+    own = Window.partitionBy("v").orderBy(F.desc("size"), "key")
     shared = lists.join(popular, "v").withColumn("nth", F.row_number().over(own))  # a class has at most ``coordinates`` rows
     shared = save(shared.where(F.col("nth") <= F.col("shared") - matches + 1).drop("nth", "shared"), "postings-prefix")
 
