@@ -5,24 +5,20 @@
    classes go on, so copies are never expanded into pairs.
 2. Inverted join: a class is posted under each pair (coordinate, value). Lists of
    one posting are dropped, and classes with fewer than ``matches`` postings left.
-3. Prefix: of c postings a class needs only the c - matches + 1 first
-   lists of a common order. Two classes with ``matches`` collisions or more meet in one of those, if both
-   order the lists alike. The order is longest first: long lists of near copies share
-   their hubs, so step 4 has the fewest pairs.
-4. Skip merging: most members of a list belong together, and one good link joins
+3. Skip merging: most members of a list belong together, and one good link joins
    each of them. Every list names its hub, the member in the most and longest lists; the
    lists are merged as (hub, member) only, a number linear in the postings, and
    collisions are counted while merging. A pair that reaches ``matches`` there is
    retained; for the others the skipped lists are settled by the hub's signature.
-5. For what the hubs leave over, classes of different components are merged on
-   their shingles in order of rarity. Of two sets of n >= m shingles that are similar
-   enough, the larger has a common shingle among its first n - least(n) + 1, least
-   being the overlap that the similarity needs with the smallest partner, and the smaller
-   among its first m - least(m, m) + 1. Each posting of the smaller side goes to the
-   size classes that its place in the set allows, so lists are cut by size before
-   they are joined; lists in one component only are skipped.
-6. Pairs are retained above the match threshold and confirmed on the full sets.
-7. Connected components by alternating large-star and small-star steps.
+4. Prefix merging: for what the hubs leave over, classes of different components are
+   merged on their shingles in order of rarity. Of two sets of n >= m shingles that
+   are similar enough, the larger has a common shingle among its first n - least(n) + 1,
+   least being the overlap that the similarity needs with the smallest partner, and the
+   smaller among its first m - least(m, m) + 1. Each posting of the smaller side goes to
+   the size classes that its place in the set allows, so lists are cut by size
+   before they are joined; lists in one component only are skipped.
+5. Pairs are retained above the match threshold and confirmed on the full sets.
+6. Connected components by alternating large-star and small-star steps.
 
 At similarity 0.8 exactly, the 48 coordinates agree in 38 on average (deviation
 2.8); fewer than 22 happen once in 10^8 pairs, so practically no link is lost.
@@ -30,7 +26,7 @@ At similarity 0.8 exactly, the 48 coordinates agree in 38 on average (deviation
 Hot values, hubs, vertices and components: rows meet their groups through
 ``join_groups`` (hot keys broadcast, bounded). The set of a hub is not copied beside its
 members: pairs are dealt to groups of bounded size by (hub, salt), and a group gets a hub's
-set once. Long lists of step 5 are salted. Lineage is cut by Parquet tables in the
+set once. Long lists of step 4 are salted. Lineage is cut by Parquet tables in the
 shared folder, which go when nothing reads them any more.
 
 Defined results: a null text has no words, its set is empty, and it is linked
@@ -250,9 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = join_groups(posts, save(sizes, "list-sizes"), "key", "size", total)
     lists = save(lists, "postings")
     popular = lists.groupBy("v").agg(F.sum("size").alias("popularity"), F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= matches)
-    own = Window.partitionBy("v").orderBy(F.desc("size"), "key")
-    shared = lists.join(popular, "v").withColumn("nth", F.row_number().over(own))  # a class has at most ``coordinates`` rows
-    shared = save(shared.where(F.col("nth") <= F.col("shared") - matches + 1).drop("nth", "shared"), "postings-prefix")
+    shared = save(lists.join(popular, "v"), "postings-shared")  # fewer shared values than matches: no partner
 
     wanted = shared.select("v").distinct().join(classes.select("v", "rep"), "v").select("v", F.col("rep").alias("id"))
     sets = save(read.join(wanted, "id").select("v", "text").mapInPandas(_sets(width), "v binary, set array<bigint>").dropDuplicates(["v"]), "shingle-sets")
