@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from . import analyze, cache, evaluate, synthesize
 from .search import Filters, hybrid_search
+from .textindex import TextIndex
 
 MOST_QUESTION = 10_000
 
@@ -37,6 +38,7 @@ class Engine:
     chunks: DataFrame
     embed: Callable[[str], list[float]]
     version: str = "0"
+    index: TextIndex | None = None
     config: Config = field(default_factory=Config)
 
     def __post_init__(self):
@@ -69,7 +71,7 @@ class Engine:
         return analyze.analysis(one)
 
     def _search(self, question: str, limit: int, filters: Filters) -> list[dict]:
-        found = hybrid_search(self.chunks, question, self.embed(question), limit, filters, self.config.candidate_pool)
+        found = hybrid_search(self.chunks, question, self.embed(question), limit, filters, self.config.candidate_pool, self.index)
         return [r.asDict() for r in found.orderBy("score", "id").collect()]  # at most ``limit`` rows
 
     _FIELDS = "id string, content string, chunk_type string, session_id string, project_path string, project_name string, timestamp timestamp, file_path string, operation string, machine_id string, score double"

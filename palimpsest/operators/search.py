@@ -17,6 +17,7 @@ from ..functions import fixed
 from ..functions.text import tokens
 from ..functions.vectors import cosine_distance
 from ..schema import RESULT_COLUMNS
+from .textindex import TextIndex
 
 #: Queries of a batch that one pass over the vectors answers, and how many of them are multiplied at once.
 QUERY_BLOCK, QUERY_COLUMNS = 10_000, 256
@@ -61,22 +62,30 @@ def vector_candidates(chunks: DataFrame, query: list[float], pool: int, filters:
     return near.where("distance IS NOT NULL").orderBy("distance", "id").limit(pool)
 
 
-def text_candidates(chunks: DataFrame, question: str, pool: int, filters: Filters = Filters()) -> DataFrame:
+def text_candidates(chunks: DataFrame, question: str, pool: int, filters: Filters = Filters(), index: TextIndex | None = None) -> DataFrame:
     """The ``pool`` best chunks by BM25 over the question's terms: id, relevance.
 
-    One pass over the texts gives each chunk's length and how often it has each
-    term; document counts and the mean length are one aggregate row.
+    With an index its postings give each chunk's length and how often it has each
+    term; without one all texts are read, for the counts and again for the
+    statistics (document counts and the mean length, one row).
     """
     terms = sorted(set(_tokens(question)))
     if not terms:
         return chunks.select("id", F.lit(0.0).alias("relevance")).limit(0)
+    if index is not None:
+        counted, stats = index.counted(terms, filters.condition() if filters != Filters() else None)
+        return _bm25(counted, stats, len(terms), pool)
     words = chunks.where(filters.condition()).select("id", tokens(F.col("content")).alias("w"))
     counted = words.select("id", F.size("w").alias("n"), *[_count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    both = counted.where(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0).join(F.broadcast(stats))  # one row of statistics
+    return _bm25(counted.where(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0), stats, len(terms), pool)
+
+
+def _bm25(counted: DataFrame, stats: DataFrame, terms: int, pool: int) -> DataFrame:
+    both = counted.join(F.broadcast(stats))  # one row of statistics
     k, b = fixed.BM25_K1, fixed.BM25_B
     total = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(terms):
         idf = F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         tf = F.col(f"tf{i}")
         total = total + idf * tf * (k + 1) / (tf + k * (1 - b + b * F.col("n") / F.col("mean")))
@@ -104,7 +113,7 @@ def fused(vector: DataFrame, text: DataFrame, k: int = fixed.RRF_K) -> DataFrame
     return total.select("id", F.round(1 - F.least(F.lit(1.0), F.col("total") / F.lit(2.0 / (k + 1))), 9).alias("score"))
 
 
-def hybrid_search(chunks: DataFrame, question: str, query: list[float], limit: int = 10, filters: Filters = Filters(), pool: int = fixed.CANDIDATE_POOL) -> DataFrame:
+def hybrid_search(chunks: DataFrame, question: str, query: list[float], limit: int = 10, filters: Filters = Filters(), pool: int = fixed.CANDIDATE_POOL, index: TextIndex | None = None) -> DataFrame:
     """Both arms under the same filters, fused, then joined with the wide columns.
 
     A blank question leaves the vector arm alone. Only ids travel to the fusion.
@@ -113,7 +122,7 @@ def hybrid_search(chunks: DataFrame, question: str, query: list[float], limit: i
     if not _tokens(question):
         return vector_search(chunks, query, limit, filters)
     pool = max(limit, pool)
-    best = fused(vector_candidates(chunks, query, pool, filters), text_candidates(chunks, question, pool, filters)).orderBy("score", "id").limit(limit)
+    best = fused(vector_candidates(chunks, query, pool, filters), text_candidates(chunks, question, pool, filters, index)).orderBy("score", "id").limit(limit)
     return chunks.join(F.broadcast(best), "id").select(*RESULT_COLUMNS)
 
 
@@ -122,9 +131,9 @@ def vector_search(chunks: DataFrame, query: list[float], limit: int = 10, filter
     return chunks.join(F.broadcast(best), "id").select(*RESULT_COLUMNS)
 
 
-def text_search(chunks: DataFrame, question: str, limit: int = 10, filters: Filters = Filters()) -> DataFrame:
+def text_search(chunks: DataFrame, question: str, limit: int = 10, filters: Filters = Filters(), index: TextIndex | None = None) -> DataFrame:
     """Full text alone; the score is 1 - relevance clipped to 0..1."""
-    best = text_candidates(chunks, question, check_limit(limit), filters)
+    best = text_candidates(chunks, question, check_limit(limit), filters, index)
     best = best.select("id", (1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("relevance")))).alias("score"), "relevance")
     return chunks.join(F.broadcast(best), "id").select(*RESULT_COLUMNS, "relevance")
 

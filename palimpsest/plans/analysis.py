@@ -150,7 +150,7 @@ def syn01(spark, sf_dir):
 
 @query("syn02_similar_results")
 def syn02(spark, sf_dir):
-    best = search.hybrid_search(tables.chunks(spark, sf_dir), QUESTION, probe_vector(spark, sf_dir), fixed.MOST_RESULTS)
+    best = search.hybrid_search(tables.chunks(spark, sf_dir), QUESTION, probe_vector(spark, sf_dir), fixed.MOST_RESULTS, index=tables.text_index(spark, sf_dir))
     results = best.select(F.lit(0).alias("qid"), "id", "content", "score", "chunk_type", "session_id", "file_path", "operation", F.array().cast("array<string>").alias("techs"), F.array().cast("array<string>").alias("terms"))
     return synthesize.synthesized(results).select("qid", "deduplication_count", "n_unique")
 

@@ -20,7 +20,7 @@ T = tables
 @query("eng01_rfn01_qry11_pipeline")
 def eng01(spark, sf_dir):
     vector = probe_vector(spark, sf_dir)
-    e = engine.Engine(spark, T.chunks(spark, sf_dir), lambda q: vector)
+    e = engine.Engine(spark, T.chunks(spark, sf_dir), lambda q: vector, index=T.text_index(spark, sf_dir))
     answer = e.ask("how to fix the queion error in main.py")
     row = (answer.analysis["intent"], len(answer.results), answer.evaluation["relevance"], answer.refined, answer.synthesis["primary_content"])
     return spark.createDataFrame([row], "intent string, n int, relevance double, refined boolean, primary_content string")
@@ -69,8 +69,4 @@ def src20(spark, sf_dir):
 
 @query("snk16_inverted_index", f"WITH {T.CHUNKS_SQL}, t AS (SELECT id, unnest(regexp_extract_all(lower(content), '[\\pL\\pN_]+')) AS token FROM chunks) SELECT token, count(DISTINCT id) AS documents, count(*) AS uses FROM t GROUP BY 1")
 def snk16(spark, sf_dir):
-    from ..functions.text import tokens
-
-    words = T.chunks(spark, sf_dir).select("doc_id", F.explode(tokens(F.col("content"))).alias("token"))
-    index = words.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("tf"))  # the postings of the index, by the number that the id is made of
-    return index.groupBy("token").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("uses"))
+    return T.text_index(spark, sf_dir).postings().groupBy("token").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("uses"))

@@ -57,7 +57,7 @@ HYBRID_SQL = f"{C}, {_Q}, {_fused_sql()}, best AS (SELECT * FROM fused ORDER BY
 
 
 def hybrid(spark, sf_dir):
-    return search.hybrid_search(tables.chunks(spark, sf_dir), QUESTION, probe_vector(spark, sf_dir), 10)
+    return search.hybrid_search(tables.chunks(spark, sf_dir), QUESTION, probe_vector(spark, sf_dir), 10, index=tables.text_index(spark, sf_dir))
 
 
 @query("qry05_hybrid_search", f"WITH {HYBRID_SQL} SELECT {_COLUMNS} FROM results")
@@ -71,7 +71,7 @@ _WHERE = "project_name = 'src3' AND timestamp >= TIMESTAMP '2026-01-01 01:00:00'
 @query("qry06_qry12_filtered_hybrid", f"WITH {C}, {_Q}, {_fused_sql(_WHERE)}, best AS (SELECT * FROM fused ORDER BY score, id LIMIT 10) SELECT {_COLUMNS} FROM chunks JOIN best USING (id)")
 def qry06(spark, sf_dir):
     wanted = search.Filters(project_name="src3", date_from="2026-01-01 01:00:00", date_to="2026-01-01 15:00:00")
-    return shown(search.hybrid_search(tables.chunks(spark, sf_dir), QUESTION, probe_vector(spark, sf_dir), 10, wanted))
+    return shown(search.hybrid_search(tables.chunks(spark, sf_dir), QUESTION, probe_vector(spark, sf_dir), 10, wanted, index=tables.text_index(spark, sf_dir)))
 
 
 def _vector(name: str, where: str, filters: search.Filters, limit: int = 10):
@@ -89,7 +89,7 @@ _vector("flt08_all_filters", "project_path = '/work/src5' AND chunk_type = 'turn
 
 @query("qry04_text_search", f"WITH {C}, t AS ({_bm25_sql(QUESTION, 'true', 20)}) SELECT id, session_id, round(relevance, 7) AS relevance FROM chunks JOIN t USING (id)")
 def qry04(spark, sf_dir):
-    return search.text_search(tables.chunks(spark, sf_dir), QUESTION, 20).select("id", "session_id", F.round("relevance", 7).alias("relevance"))
+    return search.text_search(tables.chunks(spark, sf_dir), QUESTION, 20, index=tables.text_index(spark, sf_dir)).select("id", "session_id", F.round("relevance", 7).alias("relevance"))
 
 
 @query("qry10_summaries_once_a_session", f"WITH {C}, {_Q}, n AS ({_near_sql(chr(39).join(['chunk_type = ', 'summary', '']), 30)}) SELECT id, session_id, score FROM (SELECT c.id, session_id, n.distance AS score, row_number() OVER (PARTITION BY session_id ORDER BY n.distance, c.id) AS nth FROM chunks c JOIN n USING (id)) WHERE nth = 1 ORDER BY score, id LIMIT 10")
@@ -110,7 +110,7 @@ def top01(spark, sf_dir):
 
 @query("top02_text_ranks", f"WITH {C}, t AS ({_bm25_sql(QUESTION, 'true', 100)}) SELECT id, row_number() OVER (ORDER BY relevance DESC, id) - 1 AS rank FROM t")
 def top02(spark, sf_dir):
-    best = search.text_candidates(tables.chunks(spark, sf_dir), QUESTION, fixed.CANDIDATE_POOL)
+    best = search.text_candidates(tables.chunks(spark, sf_dir), QUESTION, fixed.CANDIDATE_POOL, index=tables.text_index(spark, sf_dir))
     return best.selectExpr("id", "cast(row_number() OVER (ORDER BY relevance DESC, id) - 1 AS bigint) AS rank")
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.textindex import TextIndex
+from ..paths import scratch, state_of
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,6 +47,18 @@ CHUNKS_SQL = """chunks AS (
   FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
 
 
+_INDEXES: dict = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The stored index of the chunks; built once for each state of their table."""
+    path = f"{sf_dir}/documents.parquet"
+    key = (spark.sparkContext.applicationId, path, state_of(spark, path))
+    if key not in _INDEXES or not _INDEXES[key].exists():
+        _INDEXES[key] = TextIndex(spark, scratch(spark, "text-index")).build(chunks(spark, sf_dir))
+    return _INDEXES[key]
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation rows as log entries: session, line (from 1), role, text."""
     c = table(spark, sf_dir, "conversations")
