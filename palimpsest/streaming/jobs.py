@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.store import upsert
-from ..paths import scratch
+from ..paths import names_in, scratch
 from .pairing import streamed_pairs
 
 
@@ -24,46 +25,90 @@ def pairs_to(entries: DataFrame, target: str, checkpoint: str) -> None:
     _drained(streamed_pairs(entries).writeStream.outputMode("append").format("parquet").option("path", target), checkpoint)
 
 
-def upsert_to(rows: DataFrame, target: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
-    """Upsert every micro-batch by id into versions of a table below ``target``.
+#: Parts of a table that a job keeps; a batch writes only those that hold its keys.
+PARTS = 16
+
+
+def _newest(spark: SparkSession, target: str, before: int | None = None) -> dict[int, str]:
+    """The newest complete copy of each part, of versions below ``before``."""
+    parts: dict[int, str] = {}
+    versions = sorted(int(n[1:]) for n in names_in(spark, target) if n[:1] == "v")
+    for n in versions:
+        names = names_in(spark, f"{target}/v{n}")
+        if (before is None or n < before) and "_SUCCESS" in names:
+            parts |= {int(k.removeprefix("part=")): f"{target}/v{n}/{k}" for k in names if k.startswith("part=")}
+    return parts
 
-    A batch writes version n from n - 1 and its own rows, so a batch that is repeated after
-    a failure writes the same version again.
+
+def _merged_to(stream: DataFrame, target: str, checkpoint: str, keys: list[str], reduce: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame], mode: str = "append") -> None:
+    """Merge every micro-batch into a table kept in parts by key.
+
+    Batch n writes the parts that hold its keys, as version n, from the newest copies
+    below n; other parts stay where they are. A batch repeated after a failure writes the
+    same again. No state is kept between batches but the table.
     """
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        fresh = prepare(batch)
-        table = upsert(spark.read.parquet(f"{target}/v{n - 1}"), fresh) if n else upsert(fresh.drop("seq").limit(0), fresh)
-        table.write.mode("overwrite").parquet(f"{target}/v{n}")
+        fresh = reduce(batch).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int"))
+        touched = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most PARTS
+        held = _newest(spark, target, n)
+        old = [spark.read.parquet(held[k]).withColumn("part", F.lit(k)) for k in touched if k in held]
+        empty = fresh.limit(0).drop("seq")
+        merge(functools.reduce(DataFrame.unionByName, old, empty), fresh).write.mode("overwrite").partitionBy("part").parquet(f"{target}/v{n}")
+
+    _drained(stream.writeStream.outputMode(mode).foreachBatch(write), checkpoint)
 
-    _drained(rows.writeStream.foreachBatch(write), checkpoint)
+
+def upsert_to(rows: DataFrame, target: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """Upsert every micro-batch by id; of equal ids in a batch the last by ``seq`` wins."""
+    _merged_to(rows, target, checkpoint, ["id"], prepare, upsert)
 
 
 def latest_version(spark: SparkSession, target: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    names = [str(f.getPath().getName()) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
-    return spark.read.parquet(f"{target}/v{max(int(n[1:]) for n in names if n[:1] == 'v')}")
+    """The table that a job keeps, as of its last complete batch."""
+    return spark.read.parquet(*_newest(spark, target).values())
 
 
-def heartbeats_to(events: DataFrame, target: str, checkpoint: str, delay: str = "7 days") -> None:
+def heartbeats_to(events: DataFrame, target: str, checkpoint: str) -> None:
     """The last heartbeat of each machine (machine, ts, event_id, kind)."""
-    last = events.withWatermark("ts", delay).groupBy("machine").agg(F.max_by(F.struct("event_id", "ts", "kind"), F.struct("ts", "event_id")).alias("h"))
+    def last(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("machine").agg(F.max_by(F.struct("event_id", "ts", "kind"), F.struct("ts", "event_id")).alias("h")).select("machine", "h.*")
 
-    def write(batch: DataFrame, n: int) -> None:
-        batch.select("machine", "h.*").write.mode("overwrite").parquet(f"{target}/v{n}")
+    def merge(old: DataFrame, fresh: DataFrame) -> DataFrame:
+        both = old.unionByName(fresh)
+        return both.groupBy("machine", "part").agg(F.max_by(F.struct("event_id", "ts", "kind"), F.struct("ts", "event_id")).alias("h")).select("machine", "part", "h.*")
 
-    _drained(last.writeStream.outputMode("complete").foreachBatch(write), checkpoint)
+    _merged_to(events, target, checkpoint, ["machine"], last, merge)
 
 
 def cursors_to(positions: DataFrame, target: str, checkpoint: str) -> None:
     """Positions (machine, file, position) that never go back."""
-    top = positions.groupBy("machine", "file").agg(F.max("position").alias("position"))
-
-    def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/v{n}")
-
-    _drained(top.writeStream.outputMode("complete").foreachBatch(write), checkpoint)
+    def merge(old: DataFrame, fresh: DataFrame) -> DataFrame:
+        return old.unionByName(fresh).groupBy("machine", "file", "part").agg(F.max("position").alias("position"))
+
+    _merged_to(positions, target, checkpoint, ["machine", "file"], lambda rows: rows.groupBy("machine", "file").agg(F.max("position").alias("position")), merge)
+
+
+def periodic(spark: SparkSession, work: Callable[[], None], seconds: float, times: int, checkpoint: str) -> int:
+    """Run ``work`` every so many seconds, ``times`` times; how often it succeeded. A failure waits for the next turn."""
+    done, turns = [], []
+
+    def turn(batch: DataFrame, n: int) -> None:
+        if len(turns) < times:
+            try:
+                work()
+                done.append(n)
+            except Exception:  # noqa: BLE001  a job that fails now is tried again next time
+                pass
+            turns.append(n)  # after the work: the query stops when all turns are over
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    query = ticks.writeStream.foreachBatch(turn).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+    while len(turns) < times and query.isActive:
+        query.awaitTermination(0.2)
+    query.stop()
+    return len(done)
 
 
 def places(spark: SparkSession, name: str) -> tuple[str, str]:

@@ -1,9 +1,11 @@
-"""A streaming source of appended lines: offsets are lines read of each file.
+"""A streaming source of appended lines: offsets are bytes and lines read of each file.
 
 Spark's file source ignores what is appended to a file it has seen; this one
-keeps, for each file, how many physical lines were read and a digest of
-them. A file whose beginning changed is read anew under a higher generation.
-Files are read where driver and executors can open them.
+keeps, for each file, how far it was read and digests of its first bytes and of the
+bytes before that place. A file that became shorter, or whose digests changed, is
+read anew under a higher generation. The driver reads each new byte once, in blocks, to
+count lines up to the bound of a trigger; executors seek to their span. Files are
+read where driver and executors can open them.
 """
 
 from __future__ import annotations
@@ -11,23 +13,47 @@ from __future__ import annotations
 import glob
 import hashlib
 import json
+import os
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+#: Bytes of each digest, and of each block that is read.
+MARK, BLOCK = 4096, 1 << 20
+_NEW = {"bytes": 0, "lines": 0, "head": "", "mark": "", "generation": 0}
+
 
 class _Span(InputPartition):
-    def __init__(self, path: str, start: int, end: int, generation: int):
-        self.path, self.start, self.end, self.generation = path, start, end, generation
+    def __init__(self, path: str, start: int, end: int, line: int, generation: int):
+        self.path, self.start, self.end, self.line, self.generation = path, start, end, line, generation
 
 
-def _complete(path: str) -> list[bytes]:
-    """Lines that have ended; what follows the last end is still being written."""
+def _digests(path: str, end: int) -> tuple[str, str]:
+    """Of the first bytes of a file, and of those before ``end``."""
     with open(path, "rb") as f:
-        return f.read().split(b"\n")[:-1]
+        head = f.read(min(MARK, end))
+        f.seek(max(0, end - MARK))
+        mark = f.read(min(MARK, end))
+    return hashlib.sha256(head).hexdigest(), hashlib.sha256(mark).hexdigest()
 
 
-def _digest(lines: list[bytes]) -> str:
-    return hashlib.sha256(b"\n".join(lines)).hexdigest()
+def _ahead(path: str, start: int, most: int) -> tuple[int, int]:
+    """Bytes and lines from ``start`` on, of whole lines and at most ``most`` of them."""
+    taken = lines = 0
+    with open(path, "rb") as f:
+        f.seek(start)
+        at = 0
+        while lines < most and (block := f.read(BLOCK)):
+            n = block.count(b"\n")
+            if lines + n <= most:
+                if n:
+                    taken, lines = at + block.rindex(b"\n") + 1, lines + n
+            else:
+                place = -1
+                for _ in range(most - lines):
+                    place = block.index(b"\n", place + 1)
+                taken, lines = at + place + 1, most
+            at += len(block)
+    return taken, lines
 
 
 class _Reader(DataSourceStreamReader):
@@ -42,14 +68,15 @@ class _Reader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         files, left = dict(self.known), self.most
         for path in sorted(glob.glob(self.pattern, recursive=True)):
-            lines = _complete(path)
-            seen = files.get(path, {"n": 0, "digest": _digest([]), "generation": 0})
-            if len(lines) < seen["n"] or _digest(lines[: seen["n"]]) != seen["digest"]:
-                seen = {"n": 0, "digest": _digest([]), "generation": seen["generation"] + 1}
-            n = min(len(lines), seen["n"] + left)
-            left -= n - seen["n"]
-            if n > seen["n"] or path not in files or seen["generation"] > files[path]["generation"]:
-                files[path] = {"n": n, "digest": _digest(lines[:n]), "generation": seen["generation"]}
+            seen, size = files.get(path, _NEW), os.path.getsize(path)
+            if size < seen["bytes"] or (seen["bytes"] and _digests(path, seen["bytes"]) != (seen["head"], seen["mark"])):
+                seen = _NEW | {"generation": seen["generation"] + 1}
+            taken, lines = _ahead(path, seen["bytes"], left) if size > seen["bytes"] and left else (0, 0)
+            if taken or path not in files or seen["generation"] > files[path]["generation"]:
+                end = seen["bytes"] + taken
+                head, mark = _digests(path, end)
+                files[path] = {"bytes": end, "lines": seen["lines"] + lines, "head": head, "mark": mark, "generation": seen["generation"]}
+            left -= lines
         self.known = files
         return {"files": json.dumps(files, sort_keys=True)}
 
@@ -57,17 +84,21 @@ class _Reader(DataSourceStreamReader):
         before, after = json.loads(start["files"]), json.loads(end["files"])
         spans = []
         for path, now in after.items():
-            was = before.get(path, {"n": 0, "generation": 0})
-            begin = was["n"] if was["generation"] == now["generation"] else 0
-            if now["n"] > begin:
-                spans.append(_Span(path, begin, now["n"], now["generation"]))
-        return spans or [_Span("", 0, 0, 0)]
+            was = before.get(path, _NEW)
+            was = was if was["generation"] == now["generation"] else _NEW
+            if now["bytes"] > was["bytes"]:
+                spans.append(_Span(path, was["bytes"], now["bytes"], was["lines"], now["generation"]))
+        return spans or [_Span("", 0, 0, 0, 0)]
 
     def read(self, partition: _Span):
         if not partition.path:
             return
-        for i, line in enumerate(_complete(partition.path)[partition.start : partition.end], partition.start + 1):
-            yield partition.path, i, line.decode("utf-8").removesuffix("\r"), partition.generation
+        with open(partition.path, "rb") as f:
+            f.seek(partition.start)
+            number = partition.line
+            while f.tell() < partition.end:
+                number += 1
+                yield partition.path, number, f.readline()[:-1].decode("utf-8").removesuffix("\r"), partition.generation
 
     def commit(self, end: dict) -> None:
         self.known = json.loads(end["files"])
