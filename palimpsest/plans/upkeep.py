@@ -128,7 +128,7 @@ def udf02(spark, sf_dir):
     return a.join(b, "id").join(d, "id").select("id", ((F.col("v0") == F.col("v1")) & (F.col("v0") == F.col("v2"))).alias("same"))
 
 
-@query("udf08_custom_patterns", "SELECT doc_id, regexp_matches(lower(text), '\\bund\\b') AS tech, regexp_matches(lower(text), '\\bthe\\b') AS intent FROM documents")
+@query("udf08_custom_patterns", "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\pL\\pN_]+') AS w FROM documents) SELECT doc_id, list_contains(w, 'und') AS tech, list_contains(w, 'the') AS intent FROM w")
 def udf08(spark, sf_dir):
     d = T.table(spark, sf_dir, "documents")
     low = F.lower("text")
