@@ -3,27 +3,31 @@
 A match is a string of 200 bytes that starts at two places or more. Suffixes are
 sampled: in every 200-byte window the smallest 32-byte hash marks one anchor (the
 leftmost of equal ones), so equal windows have equal anchors at equal offsets. The
-windows with one anchor are a run of consecutive starts. A task's runs, sorted by
-the fingerprint of the suffix at their anchor and of the whole stretch of text
-they cover, are the suffix array of a batch. (All suffixes of all bytes would
-take 14 times the input as eight-byte entries; about one in 85 is sampled. The
-order of fingerprints serves as well as that of the letters: only equality of
-long prefixes is asked for.)
-
-Index family, for each range of fingerprints: a new batch is merge-scanned
-against the existing levels, both sides of every match are noted, the batch
-becomes the newest level, and levels of about equal size merge, so n batches make
-at most log n levels and every entry is merged at most log n times.
-
-* Two runs with equal stretches are matched whole.
-* Anchors that occur with different stretches mark the ends of matches. There
-  (and only there) each window is hashed by itself, one stretch of each kind in a
-  task; one bit for each window comes back, in the order in which they were sent.
-
-Exchanges carry arrays. A task sends one entry for each distinct stretch or
-anchor, so a passage in a third of all documents costs each task one entry. Texts are
-shuffled once, compressed, by a hash of (doc_id, text) and read twice from that
-exchange.
+windows with one anchor are a run of consecutive starts; the suffix at the anchor,
+as far as the run's last window reaches, and the bytes before it back to the run's
+first are one entry. (All suffixes of all bytes would take far more than the input
+allows; about one in 85 is sampled, and no window is without one.)
+
+1. Anchors that occur twice anywhere are found by the hashes of their 32 bytes. This
+   only selects: equal bytes have equal hashes, so nothing is lost.
+2. A batch (the texts of one group) sorts the entries of those anchors by their bytes,
+   the suffix first: the suffix array of the batch. It is cut into ranges by
+   anchor and sent, one entry for each distinct stretch of text.
+3. Index family, for each range: the suffix array of a new batch is merge-scanned
+   against the existing levels. Equal entries are matched whole; entries beside each
+   other that share the anchor only are noted. The batch then becomes the newest
+   level, and levels of about equal size merge, so n batches make at most log n
+   levels and every entry is merged at most log n times.
+4. Noted anchors mark the ends of matches. The common prefixes of neighbours in the
+   merged suffix array, and of neighbours in the array of the bytes before, tell for each
+   window which entries agree on all its bytes. All comparisons are of bytes.
+5. Each batch gets back, in the order of its suffix array, which entries are matched
+   whole and which windows of the others, and removes those bytes.
+
+Exchanges carry arrays. A passage in a third of all documents costs each batch one
+entry. Texts are shuffled once, compressed, by a hash of (doc_id, text) and read twice
+from that exchange. Long texts are worked on in overlapping pieces, so memory does
+not grow with them beyond the text itself.
 
 Defined results: texts are UTF-8 bytes, a null text has none; nothing crosses
 documents; repeated rows match each other like any two documents; texts below 200
@@ -32,12 +36,12 @@ bytes lose nothing. An empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,59 +49,37 @@ from ._shared import col, text_or_empty
 from .arrays import BLOBS, among, batches_of, blobs, buckets_for, mix, multipliers, runs, unpacked
 
 LENGTH, ANCHOR = 200, 32
-#: Low bits of a sort key that hold the place in the buffer.
-_PLACE = np.uint64(28)
+#: Most bytes of a run before its anchor; an entry is LENGTH bytes from the anchor on and BACK before it, filled with zeros.
+BACK = LENGTH - ANCHOR
+WIDTH = LENGTH + BACK
+ENTRY = f"S{WIDTH}"
+#: Low bits of a sort key that hold the place in a piece; windows that start in one piece of a text.
 _MASK = np.uint64((1 << 28) - 1)
-#: Entries that a task merges before it sends them on.
-MERGED = 1 << 18
-_ROW = "bucket int, keys binary, others binary, tails binary, dids binary, marks binary, whole binary, ends binary"
-_FLAGS = "dest int, whole binary, ends binary"
-_WINDOWS = "bucket int, dest int, keys binary, tails binary, whole binary, ends binary"
-_TOLD = "dest int, bucket int, hits binary, whole binary, ends binary"
-_BASES = multipliers(2, 77) * np.uint64(2) + np.uint64(1)  # odd, so powers can be inverted
-
-
-@functools.lru_cache(4)
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base modulo 2^64 and of its inverse."""
-    base = int(_BASES[which])
-    inverse = pow(base, -1, 1 << 64)
-
-    def table(b: int) -> np.ndarray:
-        out = np.ones(n, np.uint64)
-        out[1:] = np.uint64(b)
-        return np.multiply.accumulate(out)
-
-    return table(base), table(inverse)
+PIECE = 1 << 20
+#: Heads that a task merges before it sends them on; runs whose entries are in memory at once.
+MERGED, SLICE = 1 << 19, 1 << 15
+_HEADS = "bucket int, heads binary, dests binary, shared binary"
+_TOLD_HEADS = "dest int, heads binary"
+_ARRAYS = "bucket int, dest int, entries binary, n int, heads binary"
+_TOLD = "dest int, bucket int, whole binary, some binary, windows binary, heads binary"
 
 
 class Runs:
-    """Runs of windows with a common anchor, over some texts."""
+    """Runs of windows with a common anchor, over some pieces of text."""
 
-    def __init__(self, texts: list[bytes]):
-        self.texts = texts
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    def __init__(self, pieces: list[bytes]):
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
         self.begin = np.concatenate([[0], np.cumsum(sizes)])
-        data = b"\0".join([*texts, bytes(ANCHOR)])
-        self.n = len(data)
-        room = 1 << max(21, (self.n + 1).bit_length())  # one table serves all but very long texts
-        self.sums = []
-        buf = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-        for which in (0, 1):
-            power, _ = _powers(room, which)
-            total = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(buf * power[: self.n], out=total[1:])
-            self.sums.append(total)
-        self.room = room
-        usable = self.n - ANCHOR + 1
-        loads = np.ndarray(self.n - 7, "<u8", data, 0, (1,))
+        data = b"\0".join([*pieces, bytes(ANCHOR)])
+        usable = len(data) - ANCHOR + 1
+        loads = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))
         gram = np.zeros(usable, np.uint64)
         for k, m in enumerate(multipliers(ANCHOR // 8, 5)):
             gram += loads[8 * k : 8 * k + usable] * m
-        self.gram = mix(gram)
+        gram = mix(gram)
         owner_end = np.repeat(self.begin[1:] - 1, sizes)
         starts = np.flatnonzero(np.arange(len(owner_end)) + LENGTH <= owner_end)
-        anchor = self._anchors(usable)[starts] if len(starts) else starts
+        anchor = _anchors(gram)[starts] if len(starts) else starts
         new = np.ones(len(starts), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
         first = np.flatnonzero(new)
@@ -105,66 +87,32 @@ class Runs:
         self.high = starts[np.append(first[1:], len(starts)) - 1] if len(first) else starts
         self.anchor = anchor[first]
         self.owner = np.searchsorted(self.begin, self.low, "right") - 1
-        shape = (self.anchor - self.low).astype(np.uint64) * np.uint64(512) + (self.high - self.low).astype(np.uint64)
-        self.head = self.gram[self.anchor]
-        body = [self.hashes(self.low, self.high + LENGTH, which) for which in (0, 1)]
-        self.key = mix(body[0] + mix(self.head ^ shape))
-        self.tail = (mix(body[1] + shape) >> np.uint64(32)).astype(np.uint32)
-
-    def _anchors(self, usable: int) -> np.ndarray:
-        """Place of the smallest 32-byte hash in the window from each byte on (block prefix and suffix minima)."""
-        width = LENGTH - ANCHOR + 1
-        keys = (self.gram & ~_MASK) | np.arange(usable, dtype=np.uint64)
-        blocks = -(-usable // width) + 1
-        padded = np.full(blocks * width, np.iinfo(np.uint64).max)
-        padded[:usable] = keys
-        grid = padded.reshape(blocks, width)
-        ahead = np.minimum.accumulate(grid, 1).ravel()
-        behind = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-        n = usable
-        return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & _MASK).astype(np.int64)
-
-    def hashes(self, a: np.ndarray, z: np.ndarray, which: int) -> np.ndarray:
-        """Polynomial hashes of the bytes from a to z."""
-        _, inverse = _powers(self.room, which)
-        return (self.sums[which][z] - self.sums[which][a]) * inverse[a]
-
-    def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ends = starts + LENGTH
-        return mix(self.hashes(starts, ends, 0)), (mix(self.hashes(starts, ends, 1)) >> np.uint64(48)).astype(np.uint16)
+        self.head = gram[self.anchor]
 
 
-class LevelFamily:
-    """Levels of sorted distinct keys, each with its entry's number, value and mark."""
+def _anchors(gram: np.ndarray) -> np.ndarray:
+    """Place of the smallest 32-byte hash in the window from each byte on (block prefix and suffix minima)."""
+    width, n = LENGTH - ANCHOR + 1, len(gram)
+    keys = (gram & ~_MASK) | np.arange(n, dtype=np.uint64)
+    padded = np.full((-(-n // width) + 1) * width, np.iinfo(np.uint64).max)
+    padded[:n] = keys
+    grid = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(grid, 1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
+    return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & _MASK).astype(np.int64)
 
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def add(self, keys: np.ndarray, entry: np.ndarray, value: np.ndarray, mark: np.ndarray):
-        """Scan a sorted batch of distinct keys against the levels, then insert it.
-
-        Yields, for each level: entries of the batch, entries of the level, whether
-        their values agree, and the marks of both, for all keys in common.
-        """
-        for k, e, v, m in self.levels:
-            at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-            met = k[at] == keys
-            at = at[met]
-            yield entry[met], e[at], value[met] == v[at], mark[met], m[at]
-        if len(keys):
-            self.levels.append((keys, entry, value, mark))
-        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
-            newer, older = self.levels.pop(), self.levels.pop()
-            parts = [np.concatenate(x) for x in zip(older, newer, strict=True)]
-            order = np.argsort(parts[0], kind="stable")  # of equal keys the older entry stays
-            parts = [x[order] for x in parts]
-            keep = runs(parts[0])[:-1]
-            self.levels.append(tuple(x[keep] for x in parts))
 
+def all_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, low, high, anchor, head) of the runs of all texts, places counted within the text.
 
-def joint(key: np.ndarray, tail: np.ndarray, did: np.ndarray) -> np.ndarray:
-    """What names a stretch within a document."""
-    return mix((key ^ tail.astype(np.uint64)) + did.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    A text longer than PIECE is read in pieces that overlap by a window less one byte;
+    a run that goes on over a border becomes two, which the comparison of windows allows for.
+    """
+    pieces = [(i, at, t[at : at + PIECE + LENGTH - 1]) for i, t in enumerate(texts) if len(t) >= LENGTH for at in range(0, len(t) - LENGTH + 1, PIECE)]
+    for a, z in batches_of([p for _, _, p in pieces], PIECE):
+        r = Runs([p for _, _, p in pieces[a:z]])
+        shift = np.array([at for _, at, _ in pieces[a:z]], np.int64)[r.owner] - r.begin[r.owner]
+        yield np.array([i for i, _, _ in pieces[a:z]], np.int64)[r.owner], r.low + shift, r.high + shift, r.anchor + shift, r.head
 
 
 def _by(keys: np.ndarray, order: np.ndarray):
@@ -174,48 +122,40 @@ def _by(keys: np.ndarray, order: np.ndarray):
         yield int(keys[order[a]]), order[a:z]
 
 
-def _dest_rows(dest: np.ndarray, names: np.ndarray, whole: np.ndarray, base: int, pad: tuple):
-    """Flag rows: names of stretches that are matched whole, and those at ends."""
-    for d, k in _by(dest, np.arange(len(dest))):
-        w = whole[k]
-        yield (base + d, *pad, names[k[w]].tobytes(), names[k[~w]].tobytes())
+def _bytes(a: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(a.tobytes())
 
 
-def _send(buckets: int):
-    names = ["bucket", "keys", "others", "tails", "dids", "marks", "whole", "ends"]
+def _read(packed: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed, max_output_size=1 << 31), kind) if packed else np.zeros(0, kind)
 
-    def rows(head, key, tail, did) -> pd.DataFrame:
-        order = np.lexsort((did, tail, key))
-        head, key, tail, did = head[order], key[order], tail[order], did[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (tail[1:] != tail[:-1])
-        first = np.flatnonzero(new)
-        sizes = np.diff(np.append(first, len(key)))
-        met = np.repeat(sizes > 1, sizes)
-        out = list(_dest_rows(did[met] % buckets, joint(key[met], tail[met], did[met]), np.ones(met.sum(), bool), 2 * buckets, (b"",) * 5))
-        head, key, tail, did, many = head[first], key[first], tail[first], did[first], sizes > 1  # one of each stretch
-        for b, k in _by((key % np.uint64(buckets)).astype(np.int64), np.arange(len(key))):
-            out.append((b, key[k].tobytes(), b"", tail[k].tobytes(), did[k].tobytes(), many[k].tobytes(), b"", b""))
-        order = np.argsort(head, kind="stable")
-        cuts = runs(head[order])
-        mixed = np.empty(len(head), bool)
-        mixed[order] = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
-        out += _dest_rows(did[mixed] % buckets, joint(key[mixed], tail[mixed], did[mixed]), np.zeros(mixed.sum(), bool), 2 * buckets, (b"",) * 5)
-        one = order[cuts[:-1]]  # one of each anchor
-        for b, k in _by((head % np.uint64(buckets)).astype(np.int64), one):
-            out.append((buckets + b, head[k].tobytes(), key[k].tobytes(), tail[k].tobytes(), did[k].tobytes(), mixed[k].tobytes(), b"", b""))
-        return pd.DataFrame(out, columns=names)
+
+# --- 1: anchors that occur twice ---
+
+
+def _send(buckets: int):
+    def rows(heads: np.ndarray, dests: np.ndarray) -> pd.DataFrame:
+        order = np.argsort(heads, kind="stable")
+        heads, dests = heads[order], dests[order]
+        cuts = runs(heads)
+        sizes = np.diff(cuts)
+        many = np.repeat(sizes > 1, sizes)  # their groups need not wait for other tasks
+        out = [(buckets + d, np.unique(heads[k]).tobytes(), b"", b"") for d, k in _by(dests, np.flatnonzero(many))]
+        first = cuts[:-1]
+        shared = np.zeros(len(heads), bool)
+        shared[first] = sizes > 1
+        for b, k in _by((heads % np.uint64(buckets)).astype(np.int64), first):
+            s = shared[k]
+            out.append((b, heads[k[~s]].tobytes(), dests[k[~s]].astype(np.int32).tobytes(), heads[k[s]].tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "heads", "dests", "shared"])
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            texts, dids = [t.encode() for t in batch["text"]], batch["did"].to_numpy(np.int64)
-            long = [i for i, t in enumerate(texts) if len(t) >= LENGTH]
-            texts, dids = [texts[i] for i in long], dids[long]
-            for a, z in batches_of(texts, 1 << 20):
-                r = Runs(texts[a:z])
-                held.append((r.head, r.key, r.tail, dids[a:z][r.owner]))
-                if sum(len(h[0]) for h in held) >= MERGED:
+            texts, dests = [t.encode() for t in batch["text"]], batch["did"].to_numpy(np.int64) % buckets
+            for text, _, _, _, head in all_runs(texts):
+                held.append((head, dests[text]))
+                if sum(len(h) for h, _ in held) >= MERGED:
                     yield rows(*map(np.concatenate, zip(*held, strict=True)))
                     held = []
         if held:
@@ -224,158 +164,242 @@ def _send(buckets: int):
     return send
 
 
-def _match(buckets: int):
+def _twice(buckets: int):
     def match(group: pd.DataFrame) -> pd.DataFrame:
-        names = ["dest", "whole", "ends"]
-        bucket = int(group["bucket"].iloc[0])
-        if bucket >= 2 * buckets:
-            return group.assign(dest=group["bucket"] - 2 * buckets)[names]
-        anchors = bucket >= buckets
-        family, at, told = LevelFamily(), 0, []
-        entries = []
-        for r in group.itertuples():
-            keys, tails = np.frombuffer(r.keys, np.uint64), np.frombuffer(r.tails, np.uint32)
-            dids, marks = np.frombuffer(r.dids, np.int64), np.frombuffer(r.marks, bool)
-            other = np.frombuffer(r.others, np.uint64) if anchors else keys
-            entries.append((other, tails, dids, marks))
-            sort = np.lexsort((tails, keys)) if not anchors else np.argsort(keys, kind="stable")
-            number = np.arange(at, at + len(keys))
-            at += len(keys)
-            key = mix(keys ^ (tails.astype(np.uint64) << np.uint64(32))) if not anchors else keys
-            sort = np.argsort(key, kind="stable")
-            for mine, theirs, same, my_mark, their_mark in family.add(key[sort], number[sort], (other ^ tails)[sort], marks[sort]):
-                if anchors:
-                    differ = ~same | my_mark | their_mark
-                    told += [mine[differ], theirs[differ]]
-                else:
-                    told += [mine, theirs]
-        if not told:
-            return pd.DataFrame([], columns=names)
-        other, tails, dids, marks = map(np.concatenate, zip(*entries, strict=True))
-        hit = np.unique(np.concatenate(told))
-        hit = hit[~marks[hit]]  # those with a mark know already
-        return pd.DataFrame(_dest_rows(dids[hit] % buckets, joint(other[hit], tails[hit], dids[hit]), np.full(len(hit), not anchors), 0, ()), columns=names)
+        if group["bucket"].iloc[0] >= buckets:
+            return pd.DataFrame({"dest": group["bucket"] - buckets, "heads": group["heads"]})
+        heads = np.concatenate([np.frombuffer(x, np.uint64) for x in group["heads"]])
+        dests = np.concatenate([np.frombuffer(x, np.int32) for x in group["dests"]])
+        known = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in group["shared"]]))
+        order = np.argsort(heads, kind="stable")
+        sizes = np.diff(runs(heads[order]))
+        many = np.empty(len(heads), bool)
+        many[order] = np.repeat(sizes > 1, sizes)
+        told = np.flatnonzero(many | among(heads, known))
+        return pd.DataFrame([(d, heads[k].tobytes()) for d, k in _by(dests, told)], columns=["dest", "heads"])
 
     return match
 
 
-def _named(flags: pd.DataFrame, column: str) -> np.ndarray:
-    return np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in flags[column]] or [np.zeros(0, np.uint64)]))
-
+# --- 2: the suffix array of a batch ---
 
-def _each(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """All numbers from low to high, for every pair."""
-    sizes = high - low + 1
-    before = np.cumsum(sizes) - sizes
-    return np.repeat(low - before, sizes) + np.arange(sizes.sum())
 
+class Batch:
+    """The texts of a group and the runs whose anchors occur twice."""
 
-def _end_windows(texts: list[bytes], dids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct windows (64 and 16 bits) of the stretches named, and which of them occur twice here."""
-    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint16))]
-    if len(ends):
-        for a, z in batches_of(texts, 1 << 20):
-            r = Runs(texts[a:z])
-            k = np.flatnonzero(among(joint(r.key, r.tail, dids[a:z][r.owner]), ends))
-            found.append(r.windows(_each(r.low[k], r.high[k])))
-    keys, tails = map(np.concatenate, zip(*found, strict=True))
-    order = np.lexsort((tails, keys))
-    keys, tails = keys[order], tails[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (tails[1:] != tails[:-1])
-    first = np.flatnonzero(new)
-    return keys[first], tails[first], np.diff(np.append(first, len(keys))) > 1
-
-
-def _dealt(keys: np.ndarray, buckets: int):
-    """(bucket, places) of sorted windows; the same in every run."""
-    return _by((keys % np.uint64(buckets)).astype(np.int64), np.arange(len(keys)))
+    def __init__(self, texts: list[bytes], told: np.ndarray):
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        self.begin = BACK + np.concatenate([[0], np.cumsum(sizes)])
+        # every byte one more, so that zero fills what an entry lacks: UTF-8 has no byte 255
+        self.data = np.frombuffer(b"".join([bytes(BACK), b"\xff".join(texts), bytes(LENGTH)]), np.uint8) + np.uint8(1)
+        parts = []
+        for text, low, high, anchor, head in all_runs(texts):
+            k = np.flatnonzero(among(head, told))
+            at = self.begin[text[k]]
+            parts.append((low[k] + at, high[k] + at, anchor[k] + at, head[k]))
+        empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        self.low, self.high, self.anchor, self.head = map(np.concatenate, zip(empty, *parts, strict=True))
+
+    def entries(self, k: np.ndarray) -> np.ndarray:
+        out = np.empty((len(k), WIDTH), np.uint8)
+        view = np.lib.stride_tricks.sliding_window_view
+        out[:, :LENGTH] = view(self.data, LENGTH)[self.anchor[k]]
+        out[:, LENGTH:] = view(self.data, BACK)[self.anchor[k] - BACK][:, ::-1]
+        out[:, :LENGTH][np.arange(LENGTH) >= (self.high[k] + LENGTH - self.anchor[k])[:, None]] = 0
+        out[:, LENGTH:][np.arange(BACK) >= (self.anchor[k] - self.low[k])[:, None]] = 0
+        return out.view(ENTRY).ravel()
+
+    def arrays(self, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each range: sorted distinct entries, which of them occur twice here, the runs, and the entry of each run."""
+        bucket = (self.head % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts, at = runs(bucket[order]), 0
+        while at < len(cuts) - 1:
+            end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + SLICE, "right")) - 1)
+            k = order[cuts[at] : cuts[end]]
+            found = self.entries(k)
+            place = np.argsort(found, kind="stable")
+            for b, p in _by(bucket[k], place):
+                s = found[p]
+                new = np.ones(len(s), bool)
+                new[1:] = s[1:] != s[:-1]
+                yield b, s[new], np.diff(np.append(np.flatnonzero(new), len(s))) > 1, k[p], np.cumsum(new) - 1
+            at = end
 
 
 def _extend(buckets: int):
     def extend(docs: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
-        names = ["bucket", "dest", "keys", "tails", "whole", "ends"]
+        names = ["bucket", "dest", "entries", "n", "heads"]
         if not len(docs) or not len(flags):
             return pd.DataFrame([], columns=names)
         dest = int(docs["dest"].iloc[0])
-        whole, ends = _named(flags, "whole"), _named(flags, "ends")
-        _, dids, texts = unpacked(docs)
-        keys, tails, _ = _end_windows(texts, dids, ends)
-        out = [(buckets + dest, dest, b"", b"", whole.tobytes(), ends.tobytes())]
-        out += [(b, dest, keys[k].tobytes(), tails[k].tobytes(), b"", b"") for b, k in _dealt(keys, buckets)]
-        return pd.DataFrame(out, columns=names)
+        told = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in flags["heads"]]))
+        batch = Batch(unpacked(docs)[2], told)
+        out = [(b, dest, _bytes(entries), len(entries), b"") for b, entries, _, _, _ in batch.arrays(buckets)]
+        return pd.DataFrame([*out, (buckets + dest, dest, b"", 0, _bytes(told))], columns=names)
 
     return extend
 
 
-def _match_windows(buckets: int):
+# --- 3 and 4: the index family and the windows at the ends of matches ---
+
+
+def _heads(entries: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(entries.view(np.uint8).reshape(-1, WIDTH)[:, :ANCHOR]).view(f"S{ANCHOR}").ravel()
+
+
+class LevelFamily:
+    """Levels of sorted distinct entries, each with the number that first brought it."""
+
+    def __init__(self):
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, entries: np.ndarray, numbers: np.ndarray):
+        """Scan the suffix array of a batch against the levels, then insert it.
+
+        Yields, for each level, the numbers of equal entries (of the batch and of the level)
+        and the anchors that both have with different entries.
+        """
+        heads = _heads(entries)
+        for held, old in self.levels:
+            at = np.searchsorted(held, entries)
+            here = np.minimum(at, len(held) - 1)
+            equal = held[here] == entries
+            beside = np.zeros(len(entries), bool)
+            for place in (here, np.maximum(at - 1, 0), np.minimum(at + 1, len(held) - 1)):  # suffixes with a common prefix stand beside each other
+                beside |= (_heads(held[place]) == heads) & (held[place] != entries)
+            yield numbers[equal], old[here[equal]], heads[beside]
+        if len(entries):
+            self.levels.append((entries, numbers))
+        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
+            self._merge()
+
+    def _merge(self) -> None:
+        newer, older = self.levels.pop(), self.levels.pop()
+        entries, numbers = (np.concatenate(x) for x in zip(older, newer, strict=True))
+        order = np.argsort(entries, kind="stable")  # merges two runs; of equal entries the older stays
+        entries, numbers = entries[order], numbers[order]
+        keep = np.ones(len(entries), bool)
+        keep[1:] = entries[1:] != entries[:-1]
+        self.levels.append((entries[keep], numbers[keep]))
+
+    def whole(self) -> np.ndarray:
+        """All distinct entries, sorted."""
+        while len(self.levels) > 1:
+            self._merge()
+        return self.levels[0][0] if self.levels else np.zeros(0, ENTRY)
+
+
+def _common(rows: np.ndarray) -> np.ndarray:
+    """Common prefix of every row with the row before it; 0 for the first."""
+    out = np.zeros(len(rows), np.int64)
+    for a in range(1, len(rows), 1 << 15):
+        differ = rows[a : a + (1 << 15)] != rows[a - 1 : a - 1 + len(rows[a : a + (1 << 15)])]
+        out[a : a + len(differ)] = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    return out
+
+
+def repeated_windows(entries: np.ndarray) -> np.ndarray:
+    """For sorted distinct entries: bit j says that the window j bytes before the anchor is in two entries."""
+    rows = entries.view(np.uint8).reshape(-1, WIDTH)
+    forward, back = rows[:, :LENGTH], np.ascontiguousarray(rows[:, LENGTH:])
+    reach, room = (forward != 0).sum(1), (back != 0).sum(1)
+    by_back = np.argsort(back.view(f"S{BACK}").ravel(), kind="stable")
+    lcp, lcp_back = _common(forward), _common(back[by_back])
+    out = np.zeros((len(rows), BACK + 1), bool)
+    behind = np.empty(len(rows), np.int64)
+    for j in range(BACK + 1):
+        k = np.flatnonzero((room >= j) & (reach >= LENGTH - j))
+        if len(k) > 1:
+            ahead = np.cumsum(lcp < LENGTH - j)  # equal for entries that agree on so many bytes from the anchor on
+            behind[by_back] = np.cumsum(lcp_back < j)  # and on j bytes before it
+            key = ahead[k] * (len(rows) + 1) + behind[k]
+            order = np.argsort(key, kind="stable")
+            sizes = np.diff(runs(key[order]))
+            out[k[order], j] = np.repeat(sizes > 1, sizes)
+    return out
+
+
+def _match(buckets: int):
     def match(group: pd.DataFrame) -> pd.DataFrame:
+        names = ["dest", "bucket", "whole", "some", "windows", "heads"]
         if group["bucket"].iloc[0] >= buckets:
-            return group.assign(hits=b"")[["dest", "bucket", "hits", "whole", "ends"]]
+            return group.assign(whole=b"", some=b"", windows=b"")[names]
         group = group.sort_values("dest")
-        parts = [(np.frombuffer(r.keys, np.uint64), np.frombuffer(r.tails, np.uint16)) for r in group.itertuples()]
-        keys, tails = map(np.concatenate, zip(*parts, strict=True))
-        order = np.lexsort((tails, keys))
-        k, t = keys[order], tails[order]
-        same = (k[1:] == k[:-1]) & (t[1:] == t[:-1])
-        hit = np.zeros(len(keys), bool)
-        hit[order[1:]] |= same
-        hit[order[:-1]] |= same
-        cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
-        rows = [(d, b, np.packbits(h).tobytes(), b"", b"") for d, b, h in zip(group["dest"], group["bucket"], np.split(hit, cuts), strict=True) if h.any()]
-        return pd.DataFrame(rows, columns=["dest", "bucket", "hits", "whole", "ends"])
+        arrays = [_read(r.entries, ENTRY) for r in group.itertuples()]
+        first = np.concatenate([[0], np.cumsum(group["n"].to_numpy(np.int64))])
+        family, hit, noted = LevelFamily(), np.zeros(first[-1], bool), [np.zeros(0, f"S{ANCHOR}")]
+        for i, entries in enumerate(arrays):
+            for mine, theirs, mixed in family.add(entries, np.arange(first[i], first[i + 1])):
+                hit[mine] = True
+                hit[theirs] = True
+                noted.append(mixed)
+            heads = _heads(entries)
+            noted.append(heads[1:][heads[1:] == heads[:-1]])
+        mixed = np.unique(np.concatenate(noted))
+        every = family.whole()
+        if len(mixed):
+            every = every[among(_heads(every), mixed)]
+            windows = repeated_windows(every)
+        out = []
+        for i, entries in enumerate(arrays):
+            own = hit[first[i] : first[i + 1]]  # an older number may stand for several batches, so each looks itself up
+            some, bits = np.zeros(0, np.int32), b""
+            if len(mixed):
+                k = np.flatnonzero(among(_heads(entries), mixed))
+                found = windows[np.searchsorted(every, entries[k])]
+                k, found = k[found.any(1)], found[found.any(1)]
+                some, bits = k.astype(np.int32), np.packbits(found, 1).tobytes()
+            if own.any() or len(some):
+                out.append((int(group["dest"].iloc[i]), int(group["bucket"].iloc[i]), np.packbits(own).tobytes(), some.tobytes(), bits, b""))
+        return pd.DataFrame(out, columns=names)
 
     return match
 
 
-def _told_windows(told: pd.DataFrame, texts: list[bytes], dids: np.ndarray, buckets: int) -> np.ndarray:
-    """Windows of this group that occur twice, here or elsewhere."""
-    keys, tails, hit = _end_windows(texts, dids, _named(told, "ends"))
-    bits = {int(r.bucket): np.frombuffer(r.hits, np.uint8) for r in told.itertuples() if r.bucket < buckets}
-    for b, k in _dealt(keys, buckets):
-        if b in bits:
-            hit[k] |= np.unpackbits(bits[b], count=len(k)).astype(bool)
-    return _window_key(keys[hit], tails[hit])
-
-
-def _window_key(keys: np.ndarray, tails: np.ndarray) -> np.ndarray:
-    return mix(keys ^ (tails.astype(np.uint64) << np.uint64(48)))
+# --- 5: removal ---
 
 
 def _remove(buckets: int, with_text: bool):
+    def gone_of(texts: list[bytes], told: pd.DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+        heads = [_read(x, np.uint64) for x in told["heads"] if x]
+        if not heads:
+            return None
+        batch = Batch(texts, np.concatenate(heads))
+        cover = np.zeros(len(batch.data) + 1, np.int32)
+        answers = {int(r.bucket): r for r in told.itertuples() if r.bucket < buckets}
+        for b, entries, twice, k, number in batch.arrays(buckets):
+            whole, r = twice.copy(), answers.get(b)
+            if r is not None:
+                whole |= np.unpackbits(np.frombuffer(r.whole, np.uint8), count=len(entries)).astype(bool)
+            full = k[whole[number]]
+            np.add.at(cover, batch.low[full], 1)
+            np.add.at(cover, batch.high[full] + LENGTH, -1)
+            some = np.frombuffer(r.some, np.int32) if r is not None else ()
+            if len(some):
+                row = np.full(len(entries), -1)
+                row[some] = np.arange(len(some))
+                bits = np.unpackbits(np.frombuffer(r.windows, np.uint8).reshape(len(some), -1), axis=1, count=BACK + 1)
+                part = np.flatnonzero((row[number] >= 0) & ~whole[number])
+                which, j = np.nonzero(bits[row[number[part]]])
+                starts = batch.anchor[k[part[which]]] - j
+                np.add.at(cover, starts, 1)
+                np.add.at(cover, starts + LENGTH, -1)
+        return np.cumsum(cover) > 0, batch.begin
+
     def remove(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        ids, dids, texts = unpacked(docs)
-        rows = []
-        whole = ends = windows = np.zeros(0, np.uint64)
-        if len(told):
-            whole, ends = _named(told, "whole"), _named(told, "ends")
-            windows = np.unique(_told_windows(told, texts, dids, buckets))
-        for a, z in batches_of(texts, 1 << 20):
-            gone = None
-            if len(whole) or len(windows):
-                r = Runs(texts[a:z])
-                names = joint(r.key, r.tail, dids[a:z][r.owner])
-                full = among(names, whole)
-                cover = np.zeros(r.n + 1, np.int32)
-                np.add.at(cover, r.low[full], 1)
-                np.add.at(cover, r.high[full] + LENGTH, -1)
-                if len(windows):
-                    part = among(names, ends) & ~full  # a stretch that is matched in part is the only one of its kind, so it was sent
-                    starts = _each(r.low[part], r.high[part])
-                    starts = starts[among(_window_key(*r.windows(starts)), windows)]
-                    np.add.at(cover, starts, 1)
-                    np.add.at(cover, starts + LENGTH, -1)
-                gone = np.cumsum(cover) > 0
-            for i in range(a, z):
-                text, spans, kept = texts[i], 0, texts[i]
-                if gone is not None:
-                    own = gone[r.begin[i - a] : r.begin[i - a] + len(text)]
-                    if own.any():
-                        edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).view(np.int8)))
-                        spans = len(edges) // 2
-                        bounds = [0, *edges.tolist(), len(text)]
-                        kept = b"".join(text[bounds[k] : bounds[k + 1]] for k in range(0, len(bounds), 2))
-                rows.append((ids[i], len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
+        ids, _, texts = unpacked(docs)
+        found, rows = gone_of(texts, told) if len(told) else None, []
+        for i, text in enumerate(texts):
+            spans, kept = 0, text
+            if found is not None:
+                own = found[0][found[1][i] : found[1][i] + len(text)]
+                if own.any():
+                    edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).view(np.int8)))
+                    spans = len(edges) // 2
+                    bounds = [0, *edges.tolist(), len(text)]
+                    kept = b"".join(text[bounds[k] : bounds[k + 1]] for k in range(0, len(bounds), 2))
+            rows.append((ids[i], len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
         frame = pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
         return frame.astype({"id": "Int64"})
 
@@ -387,11 +411,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = buckets_for(docs)
     text = text_or_empty(text_col)
     rows = docs.select(col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(col(id_col), text).alias("did"))
-    entries = rows.select("did", "text").mapInPandas(_send(buckets), _ROW)
-    flags = entries.groupBy("bucket").applyInPandas(_match(buckets), _FLAGS)
+    heads = rows.select("did", "text").mapInPandas(_send(buckets), _HEADS)
+    flags = heads.groupBy("bucket").applyInPandas(_twice(buckets), _TOLD_HEADS)
     placed = rows.mapInPandas(blobs(buckets), BLOBS)
-    windows = placed.groupBy("dest").cogroup(flags.groupBy("dest")).applyInPandas(_extend(buckets), _WINDOWS)
-    told = windows.groupBy("bucket").applyInPandas(_match_windows(buckets), _TOLD)
+    arrays = placed.groupBy("dest").cogroup(flags.groupBy("dest")).applyInPandas(_extend(buckets), _ARRAYS)
+    told = arrays.groupBy("bucket").applyInPandas(_match(buckets), _TOLD)
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return placed.groupBy("dest").cogroup(told.groupBy("dest")).applyInPandas(_remove(buckets, with_text), schema)
 

@@ -99,11 +99,53 @@ def test_suffix_random_overlaps(spark):
 def test_level_family_is_logarithmic():
     import numpy as np
 
-    family = suffixes.LevelFamily()
+    family, every = suffixes.LevelFamily(), set()
     for i in range(64):
-        keys = np.sort(np.random.default_rng(i).integers(0, 1 << 40, 50, dtype=np.uint64))
-        list(family.add(keys, np.arange(50), keys, np.zeros(50, bool)))
+        entries = np.unique(np.random.default_rng(i).integers(1, 200, (50, suffixes.WIDTH), dtype=np.uint8).view(suffixes.ENTRY).ravel())
+        list(family.add(entries, np.arange(50 * i, 50 * i + len(entries))))
+        every |= set(entries.tolist())
         assert len(family.levels) <= 7
+        assert all((np.sort(e) == e).all() for e, _ in family.levels)
+    assert family.whole().tolist() == sorted(every)
+
+
+def test_levels_find_equal_and_neighbouring_entries():
+    import numpy as np
+
+    def entries(*rows):
+        out = np.zeros((len(rows), suffixes.WIDTH), np.uint8)
+        for r, (head, rest) in enumerate(rows):
+            out[r, : len(head + rest)] = np.frombuffer(head + rest, np.uint8)
+        return np.sort(out.view(suffixes.ENTRY).ravel())
+
+    a, b, c = b"a" * 32, b"b" * 32, b"c" * 32
+    family = suffixes.LevelFamily()
+    assert list(family.add(entries((a, b"x"), (b, b"y")), np.array([0, 1]))) == []
+    (mine, theirs, heads), = family.add(entries((a, b"x"), (b, b"z"), (c, b"w")), np.array([2, 3, 4]))
+    assert mine.tolist() == [2] and theirs.tolist() == [0] and heads.tolist() == [b]
+
+
+def test_suffix_long_texts_in_pieces(spark, monkeypatch):
+    """Matches over the borders of pieces, and texts that hold zero bytes."""
+    import numpy as np
+
+    random.seed(13)
+    shared = prose(400)
+    made = [(0, prose(300) + shared + prose(200)), (1, prose(211) + shared), (2, "\0" * 700 + "x" + "\0" * 350), (3, shared[100:900] + "ÿ" * 150), (4, prose(10) + "ÿ" * 120)]
+    monkeypatch.setattr(suffixes, "PIECE", 700)
+    texts = [t.encode() for _, t in made]
+    whole = [np.concatenate(x) for x in zip(*suffixes.all_runs(texts), strict=True)]
+    assert sum((whole[2] - whole[1] + 1).tolist()) == sum(max(0, len(t) - 199) for t in texts)  # every window is in one run
+    told = np.unique(whole[4])
+    batch = suffixes.Batch(texts, told)
+    frame = suffixes._extend(3)
+    import pandas as pd
+
+    docs = pd.DataFrame([{"dest": 0, "ids": np.arange(5).tobytes(), "missing": bytes(5), "dids": np.arange(5).tobytes(), "sizes": np.array([len(t) for t in texts]).tobytes(), "texts": __import__("zstandard").ZstdCompressor().compress(b"".join(texts))}])
+    sent = frame(docs, pd.DataFrame([{"dest": 0, "heads": told.tobytes()}]))
+    back = pd.concat([suffixes._match(3)(g) for _, g in sent.groupby("bucket")])
+    out = suffixes._remove(3, False)(docs, back)
+    assert len(batch.low) and sorted(map(tuple, out.itertuples(index=False))) == brute.suffix(made)
 
 
 def test_near_duplicates(docs, empty):
