@@ -8,9 +8,8 @@ has a small fixed probability. A text's score is the sum over its words, and the
 answer is the language with the largest sum.
 
 The probabilities are learned by expectation maximisation (forward and backward
-sums) from word counts of a bounded sample of labelled rows: about
-``docs_per_language`` rows and at most ``words_per_language`` distinct words of
-each label, ``languages`` labels at a time. Rows are held out when crc32 of
+sums) from the counts of all words of a bounded sample of labelled rows: about
+``docs_per_language`` rows of each label, ``languages`` labels at a time. Rows are held out when crc32 of
 the id as text is 1 modulo 3. Every text is then read in whole, in
 batches; a worker remembers the sums of words it has seen.
 
@@ -29,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import col, text_or_empty
@@ -222,22 +221,20 @@ def held_out(name: str):
     return F.coalesce(F.crc32(F.encode(col(name).cast("string"), "utf-8")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, model_path: str, docs_per_language: int = 1500, words_per_language: int = 12_000, languages: int = 200) -> Model | None:
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, model_path: str, docs_per_language: int = 1500, languages: int = 200) -> Model | None:
     """Fit on the rows that are not held out: every label, ``languages`` of them in each pass over the rows."""
     known = docs.where(~held_out(id_col) & col(lang_col).isNotNull() & col(text_col).isNotNull())
     labels = known.groupBy(col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()
     draw = F.pmod(F.xxhash64(col(id_col), F.lit("sample")), F.lit(1_000_000)) / 1e6
     every = known.select(col(lang_col).alias("lang"), col(text_col).cast("string").alias("text"), draw.alias("draw"))
-    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     pieces, models = letter_pieces(model_path) if labels else [], []
     for at in range(0, len(labels), languages):
         block = labels[at : at + languages]
         share = F.create_map(*[F.lit(x) for r in block for x in (r["lang"], min(1.0, docs_per_language / r["n"]))])
         sample = every.where(F.col("draw") < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
         words = sample.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-        top = words.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= words_per_language)
         counts: dict[str, dict[str, int]] = {r["lang"]: {} for r in block}
-        for r in top.select("lang", "word", "n").toLocalIterator():
+        for r in words.orderBy("lang", "word").toLocalIterator():
             counts[r["lang"]][MARK + r["word"]] = r["n"]
         counts = {k: v for k, v in counts.items() if v}
         if counts:
