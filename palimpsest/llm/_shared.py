@@ -47,7 +47,7 @@ def save(df: DataFrame, name: str, partition_by: list[str] | None = None, **opti
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path).select(df.columns)
+    back = spark.read.schema(df.schema).parquet(path).select([col(c) for c in df.columns])
     back.saved_at = path
     return back
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import bound, col, save, text_or_empty
+from ._shared import bound, col, discard, save, text_or_empty
 
 SPACES = r"[\x20\x09-\x0D]"
 METRICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -133,6 +133,7 @@ def adaptive_quality(docs: DataFrame, carry: list[str], text_col: str = "text",
 
     sides = [f"{m}_high" for m in RATIOS] + [f"{m}_low" for m, r in RATIOS.items() if r[2]]
     fences = save(fences.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *[fence(x).alias(x) for x in sides]), "quality-fences")
+    discard(sketch)
     few = fences.count() <= BROADCAST_GROUPS
     joined = measured.join(F.broadcast(fences) if few else fences, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     inside = F.lit(True)

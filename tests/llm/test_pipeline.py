@@ -79,6 +79,21 @@ def test_empty_and_repeated_rows(spark):
         assert rows.count() >= least
 
 
+def test_hard_rows(spark):
+    """Long repetitive texts, nulls, and extra columns whose names the stages use themselves."""
+    words, other, third = (" ".join(f"{w}{i} of{i % 97}" for i in range(400)) for w in ("word", "other", "third"))
+    texts = [words + " x@b" + ".c" * 200_000, None, "", words, words, other + " token=abcdef123 user: bob", "a" * 300_000, ("row " * 3 + "\n") * 30_000, third + " " + "f" * 100_000]
+    rows = [(i if i != 3 else None, t, "en", None, len(t or ""), "k", 7, "d") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, v int, `doc.id` string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.save(stage(spark, docs, SMALL), "test-hard")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "v", "doc.id"]
+    left = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert set(left) == {0, 5, 8}  # 3, of null id, and 4 repeat each other and are near copies of 0; the rest fails the rules
+    assert all("token=abcdef123" not in t and "f" * 24 not in t for t in left.values())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() >= len(left)
+
+
 def test_every_operator_is_registered():
     names = {n.split("_")[0] for n in __spark_entry__.queries()}
     assert {f"op{i}" for i in range(1, 11)} | {"pipeline"} <= names
