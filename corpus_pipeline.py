@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import exact_dedup, minhash, packing, quality, secrets
-from palimpsest.llm._shared import save
+from palimpsest.llm._shared import col, discard, save
 
 #: Identifiers of dropped rows are sent to the scan up to this number, else joined by shuffle.
 BROADCAST_DROPPED = 200_000
@@ -49,7 +49,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id."""
     found = minhash.near_duplicates(docs, width=5, percent=80)
     gone = save(found.where("NOT kept").select(F.col("id").alias("doc_id")).distinct(), "near-copies")
-    return docs.join(_few(gone), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(_few(gone), "doc_id", "left_anti").select([col(c) for c in docs.columns])
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,5 +85,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        docs = save(stage(spark, before, sf_dir), name.replace(" ", "-"))
+        discard(before)  # only what this pipeline wrote itself
     return STAGES[-1][1](spark, docs, sf_dir)
