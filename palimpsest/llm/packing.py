@@ -6,10 +6,12 @@
    numbers, whatever the input. On the driver, lengths above ``capacity / 8`` are
    large: sorted by length they form groups of equal cardinality, each
    rounded up to its longest member. For these few sizes a column-generation
-   linear programme finds the mix of configurations; its whole part is taken,
-   the rest is packed best-fit decreasing. Actual lengths are substituted for
-   the rounded ones, and the freed room takes the small pieces by best fit. Equal
-   sequences are planned as runs, so the plan stays a few thousand rows.
+   linear programme finds the mix of configurations; its whole part is taken, and
+   actual lengths are substituted for the rounded ones. The freed room takes the
+   pieces that fit it best together, found by sums of lengths; so does what is
+   free beside the large pieces that no configuration took. The small pieces left
+   then are packed best-fit decreasing. Equal sequences are planned as runs, so
+   the plan stays a few thousand rows.
 3. Pieces get a rank among those of their length (distributed: hot lengths are
    split into parts of RANK_ROWS) and look their place up in the broadcast plan.
 
@@ -35,6 +37,8 @@ from .tokens import vocabulary, word_encoder
 CAPACITY = 4096
 #: Groups of the linear grouping; lengths above capacity / LARGE are grouped.
 GROUPS, LARGE = 48, 8
+#: Ways to substitute: how many of a configuration's smallest slots are left open, and whether best sets fill them.
+WAYS = ((1, True), (2, True), (0, False))
 #: Pieces of one length that one task ranks.
 RANK_ROWS = 1 << 16
 
@@ -158,13 +162,64 @@ class _Plan:
             count -= each * used
 
 
+def best_set(lengths: dict[int, int], room: int) -> dict[int, int]:
+    """How many of which lengths fill ``room`` best together; bit x of a number says that x is a sum."""
+    sums, steps, within = [1], [], (2 << room) - 1
+    for s in sorted((s for s, n in lengths.items() if n and s <= room), reverse=True):
+        n, pack = min(lengths[s], room // s), 1
+        while n and not sums[-1] >> room:
+            take = min(pack, n)
+            steps.append((s, take))
+            sums.append((sums[-1] | sums[-1] << s * take) & within)
+            n, pack = n - take, 2 * pack
+    left, found = sums[-1].bit_length() - 1, {}
+    for k in range(len(steps), 0, -1):
+        if not sums[k - 1] >> left & 1:
+            s, take = steps[k - 1]
+            found[s] = found.get(s, 0) + take
+            left -= s * take
+    return found
+
+
+def _put_set(plan: _Plan, rest: dict[int, int], found: dict[int, int], room: int, first: int, times: int) -> None:
+    """Put one set into each of ``times`` sequences that have ``room``."""
+    for s, n in found.items():
+        plan.put(s, n, first, times, plan.capacity - room)
+        rest[s] -= n * times
+        room -= s * n
+    plan.offer(room, first, times)
+
+
+def _complete(plan: _Plan, rest: dict[int, int], large: int) -> None:
+    """Best sets for the free room, then for sequences opened with each length above ``large``.
+
+    Every step uses up a length (but for a few pieces) or a run, so the steps don't grow with the pieces.
+    """
+    freed, plan.free, plan.rooms = plan.free, {}, []
+    for room in sorted(freed, reverse=True):
+        for first, many in freed[room]:
+            while many and (found := best_set(rest, room)):
+                times = min([many, *(rest[s] // n for s, n in found.items())])
+                _put_set(plan, rest, found, room, first, times)
+                first, many = first + times, many - times
+            plan.offer(room, first, many)
+    for s in sorted((s for s in rest if s > large), reverse=True):
+        while rest[s]:
+            found = best_set(rest | {s: rest[s] - 1}, plan.capacity - s)
+            found = {s: 1 + found.pop(s, 0)} | found
+            times = min(rest[t] // n for t, n in found.items())
+            _put_set(plan, rest, found, plan.capacity, plan.open(times), times)
+
+
 def plan_lengths(lengths: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[int, list[tuple[int, int, int, int, int, int]]]:
-    """Number of sequences, and rows (length, first rank, rank after, each, first sequence, offset)."""
-    plan = _Plan(capacity)
+    """Number of sequences, and rows (length, first rank, rank after, each, first sequence, offset).
+
+    The best of WAYS; one that needs no more sequences than the tokens fill ends the search.
+    """
     large = [(s, n) for s, n in sorted(lengths.items(), reverse=True) if s > capacity // LARGE]
     total = sum(n for _, n in large)
     share = max(1, -(-total // groups))
-    queues: list[list[list[int]]] = []  # of each group, its longest first: [length, how many]
+    queues: list[list[tuple[int, int]]] = []  # of each group, its longest first: length, how many
     held = share
     for s, n in large:
         while n:
@@ -172,23 +227,31 @@ def plan_lengths(lengths: dict[int, int], capacity: int = CAPACITY, groups: int
                 queues.append([])
                 held = 0
             take = min(n, share - held)
-            queues[-1].append([s, take])
+            queues[-1].append((s, take))
             held, n = held + take, n - take
-    merged: dict[int, list[list[int]]] = {}
+    merged: dict[int, list[tuple[int, int]]] = {}
     for q in queues:
         merged.setdefault(q[0][0], []).extend(q)
     sizes = sorted(merged, reverse=True)
-    pools = [merged[s] for s in sizes]
-    for counts, times in configurations(sizes, [sum(n for _, n in p) for p in pools], capacity):
-        first = plan.open(times)
-        _substitute(plan, pools, [g for g, c in enumerate(counts) for _ in range(c)], first, times)
-    rest = {s: 0 for p in pools for s, _ in p} | {s: n for s, n in lengths.items() if s <= capacity // LARGE}
-    for p in pools:
-        for s, n in p:
-            rest[s] += n
-    for s in sorted(rest, reverse=True):
-        plan.best_fit(s, rest[s])
-    return plan.sequences, plan.rows
+    chosen = configurations(sizes, [sum(n for _, n in merged[s]) for s in sizes], capacity)
+    fewest, best = -(-sum(s * n for s, n in lengths.items()) // capacity), None
+    for left_open, sets in WAYS:
+        plan, pools = _Plan(capacity), [[[*x] for x in merged[s]] for s in sizes]
+        for counts, times in chosen:
+            slots = [g for g, c in enumerate(counts) for _ in range(c)]
+            _substitute(plan, pools, slots[: len(slots) - left_open], plan.open(times), times)
+        rest = {s: n for s, n in lengths.items() if s <= capacity // LARGE}
+        for s, n in (x for p in pools for x in p):
+            rest[s] = rest.get(s, 0) + n
+        if sets:
+            _complete(plan, rest, capacity // LARGE)
+        for s in sorted(rest, reverse=True):
+            plan.best_fit(s, rest[s])
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences <= fewest:
+            break
+    return best.sequences, best.rows
 
 
 def _substitute(plan: _Plan, pools: list[list[list[int]]], slots: list[int], first: int, times: int) -> None:
