@@ -11,7 +11,7 @@
    pieces that fit it best together, found by sums of lengths; so does what is
    free beside the large pieces that no configuration took. The small pieces left
    then are packed best-fit decreasing. Equal sequences are planned as runs, so
-   the plan stays a few thousand rows.
+   the plan grows with the number of lengths, not of pieces.
 3. Pieces get a rank among those of their length (distributed: hot lengths are
    split into parts of RANK_ROWS) and look their place up in the broadcast plan.
 
