@@ -99,3 +99,18 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     warm_rows = rows.join(F.broadcast(hot), key, "inner")
     cold_rows = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "inner")
     return warm_rows.unionByName(cold_rows)
+
+
+def join_dealt(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, deal: str) -> DataFrame:
+    """As :func:`join_groups`, reading ``rows`` once: for rows that are dear to make again.
+
+    Rows of a hot key are dealt to parts of about max(HOT_LEAST, total / HOT_GROUPS)
+    rows by a hash of ``deal``, and its group goes to each part. Only keys and
+    numbers of parts of hot keys are broadcast, at most HOT_GROUPS rows.
+    """
+    limit = max(HOT_LEAST, total // HOT_GROUPS)
+    parts = F.when(F.col(size) > limit, F.ceil(F.col(size) / limit)).otherwise(1).cast("int")
+    hot = groups.where(F.col(size) > limit).select(key, parts.alias("parts"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("part", F.pmod(F.xxhash64(deal), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    each = groups.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(each, [key, "part"]).drop("part")

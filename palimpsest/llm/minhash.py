@@ -23,8 +23,9 @@
 At similarity 0.8 exactly, the 48 coordinates agree in 38 on average (deviation
 2.8); fewer than 22 happen once in 10^8 pairs, so practically no link is lost.
 
-Hot values, hubs, vertices and components: rows meet their groups through
-``join_groups`` (hot keys broadcast, bounded). The set of a hub is not copied beside its
+Hot hubs, vertices and components: rows meet their groups through ``join_groups``
+(hot keys broadcast, bounded). Postings meet their lists through ``join_dealt`` (hot
+lists in parts), so they are made once. The set of a hub is not copied beside its
 members: pairs are dealt to groups of bounded size by (hub, salt), and a group gets a hub's
 set once. Long lists of step 4 are salted. Lineage is cut by Parquet tables in the
 shared folder, which go when nothing reads them any more.
@@ -45,7 +46,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import col, discard, join_groups, save, text_or_empty
+from ._shared import col, discard, join_dealt, join_groups, save, text_or_empty
 from .arrays import Words, batches_of, mix, multipliers
 
 COORDINATES, MATCHES = 48, 22
@@ -208,14 +209,14 @@ def _prefix_pairs(sets: DataFrame, grouped: DataFrame, percent: int) -> DataFram
     every = sets.select("v", F.size("set").alias("n"), F.explode("set").alias("key"))
     counts = save(every.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shingle-counts")
     total = sets.agg(F.sum(F.size("set"))).first()[0] or 0
-    met = join_groups(every, counts, "key", "size", total)  # shingles of one set alone come first and meet nothing
+    met = join_dealt(every, counts, "key", "size", total, "v")  # shingles of one set alone come first and meet nothing
     own = Window.partitionBy("v")
     nth = F.row_number().over(own.orderBy("size", "key")) + F.col("n") - F.count(F.lit(1)).over(own)
     prefix = met.withColumn("nth", nth).where(100 * (F.col("n") - F.col("nth") + 1) >= percent * F.col("n"))
     prefix = prefix.select("key", "v", "n", "nth").join(grouped, "v", "left").withColumn("root", F.coalesce("root", "v"))
     prefix = save(prefix, "prefixes")
     mixed = prefix.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("z"), F.count(F.lit(1)).alias("size")).where("x != z").select("key", "size")
-    left = save(join_groups(prefix, save(mixed, "lists-open"), "key", "size", prefix.count()), "prefixes-open")
+    left = save(join_dealt(prefix, save(mixed, "lists-open"), "key", "size", prefix.count(), "v"), "prefixes-open")
     # the smaller side: the overlap with a set of n shingles, at most m - nth + 1, must reach percent / (100 + percent) of n + m
     most = F.expr(f"least((n - nth + 1) * {100 + percent} div {percent} - n, n * 100 div {percent})")  # the largest partner
     sized = lambda c: F.floor(F.log(c.cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
@@ -243,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posts = classes.select("v", "n", F.posexplode("sig").alias("k", "value")).select("v", "n", key().alias("key"))
     total = classes.count() * coordinates
     sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    lists = join_groups(posts, save(sizes, "list-sizes"), "key", "size", total)
+    lists = join_dealt(posts, save(sizes, "list-sizes"), "key", "size", total, "v")
     lists = save(lists, "postings")
     popular = lists.groupBy("v").agg(F.sum("size").alias("popularity"), F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= matches)
     shared = save(lists.join(popular, "v"), "postings-shared")  # fewer shared values than matches: no partner
