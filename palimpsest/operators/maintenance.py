@@ -7,17 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..paths import file_system, names_in, stored
+from ..paths import file_system, stored
 from ..schema import CHUNKS
-from . import search
+from .mergetable import Merged, MergeTable
 from .textindex import TextIndex
+from .vectorindex import VectorIndex
 
 #: Fixed value: tables with fewer rows get no vector index.
 VECTOR_INDEX_ROWS = 10_000
 #: Columns that lookups go by besides the id: each has a narrow copy sorted by it.
 SECONDARY = ("session_id", "project_path", "file_path", "timestamp")
-#: Columns stored beside the vectors of the vector index, so that filters need no join.
-STORED = ("chunk_type", "session_id", "project_name", "machine_id")
 
 
 def define_table(spark: SparkSession, name: str, path: str, buckets: int = 16) -> bool:
@@ -35,42 +34,35 @@ def secondary_indexes(table: DataFrame, path: str) -> list[str]:
     return list(SECONDARY)
 
 
-def vector_index(table: DataFrame, path: str, cells: int) -> int:
-    """Vectors in folders by cell, with the STORED columns; the number of cells."""
-    centres = search.train_cells(table, cells)
-    kept = [c for c in STORED if c in table.columns]
-    search.with_cells(table, centres).select("id", "vector", "cell", *kept).write.mode("overwrite").partitionBy("cell").parquet(path)
-    return len(centres)
-
-
 @dataclass
 class Upkeep:
     rows: int
     text_index: bool
     vector_cells: int
-    files: int
+    merged: Merged
 
 
-def optimise(spark: SparkSession, source: str, target: str, files: int = 4, least: int = VECTOR_INDEX_ROWS) -> Upkeep:
-    """Text index first, a vector index if the table is large enough, then compaction into ``target``/table.
+def optimise(table: MergeTable, indexes: str, least: int = VECTOR_INDEX_ROWS) -> Upkeep:
+    """Text index first, a vector index if the table is large enough, then the table's merge and vacuum.
 
-    An index that is there and belongs to this compaction is not built again; if an
-    index fails, the compaction is still done and the failure is raised after it.
+    An index that is there is not built again; if an index fails, the merge is still
+    done and the failure is raised after it.
     """
-    table, failure, cells = spark.read.parquet(source), None, 0
-    rows = table.count()
-    index = TextIndex(spark, f"{target}/text-index")
+    rows, failure, cells, spark = table.read(), None, 0, table.spark
+    index = TextIndex(spark, f"{indexes}/text-index")
     try:
         if not index.exists():
-            index.build(table)
-        if table.where("vector IS NOT NULL").count() >= least:
-            cells = vector_index(table, f"{target}/cells", max(1, min(2048, int(rows**0.5))))
-    except Exception as error:  # noqa: BLE001  compaction does not depend on an index
+            index.build(rows)
+        if rows.where("vector IS NOT NULL").count() >= least:
+            vectors = VectorIndex(spark, f"{indexes}/vector-index")
+            cells = (vectors if vectors.exists() else vectors.build(rows)).centres().count()
+    except Exception as error:  # noqa: BLE001  the merge does not depend on an index
         failure = error
-    table.repartitionByRange(files, "project_name", "timestamp").sortWithinPartitions("project_name", "timestamp").write.mode("overwrite").parquet(f"{target}/table")
+    merged = table.merge()
+    table.vacuum()
     if failure:
         raise failure
-    return Upkeep(rows, index.exists(), cells, sum(n.startswith("part-") for n in names_in(spark, f"{target}/table")))
+    return Upkeep(table.read().count(), index.exists(), cells, merged)
 
 
 def reindexed(spark: SparkSession, target: str, checkpoint: str, run) -> None:

@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import islice
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +14,9 @@ from ..functions import fixed
 from ..functions.text import tokens
 from ..functions.vectors import cosine_distance
 from ..schema import RESULT_COLUMNS
+from . import blocks
 from .textindex import TextIndex
 
-#: Queries of a batch that one pass over the vectors answers, and how many of them are multiplied at once.
-QUERY_BLOCK, QUERY_COLUMNS = 10_000, 256
-
 
 @dataclass(frozen=True)
 class Filters:
@@ -66,15 +61,15 @@ def text_candidates(chunks: DataFrame, question: str, pool: int, filters: Filter
     """The ``pool`` best chunks by BM25 over the question's terms: id, relevance.
 
     With an index its postings give each chunk's length and how often it has each
-    term; without one all texts are read, for the counts and again for the
-    statistics (document counts and the mean length, one row).
+    term, and without filters only blocks that may hold one of the best are scored. Without
+    an index all texts are read, for the counts and again for the statistics (document
+    counts and the mean length, one row).
     """
     terms = sorted(set(_tokens(question)))
     if not terms:
         return chunks.select("id", F.lit(0.0).alias("relevance")).limit(0)
     if index is not None:
-        counted, stats = index.counted(terms, filters.condition() if filters != Filters() else None)
-        return _bm25(counted, stats, len(terms), pool)
+        return index.best(terms, pool) if filters == Filters() else _bm25(*index.counted(terms, filters.condition()), len(terms), pool)
     words = chunks.where(filters.condition()).select("id", tokens(F.col("content")).alias("w"))
     counted = words.select("id", F.size("w").alias("n"), *[_count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
@@ -139,64 +134,13 @@ def text_search(chunks: DataFrame, question: str, limit: int = 10, filters: Filt
 
 
 def search_batch(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """Nearest chunks of each query (qid, vector), however many.
+    """Nearest chunks of each query (qid, vector), however many: qid, id, distance, nth.
 
-    The queries are read in blocks against all chunks by a matrix product in each Arrow
-    batch; every batch hands on its best ``limit`` rows of each query only.
+    Queries and chunks meet in blocks on the executors; zero vectors are near nothing.
     """
-
-    def near(names, matrix):
-        def answer(batches):
-            for batch in batches:
-                if not len(batch):
-                    continue
-                rows, ids = _unit(batch["vector"].tolist()), batch["id"].to_numpy()
-                place = np.unique(ids, return_inverse=True)[1]
-                for a in range(0, len(names), QUERY_COLUMNS):
-                    yield _best(names[a : a + QUERY_COLUMNS], ids, place, _distances(rows, matrix[a : a + QUERY_COLUMNS]), limit)
-
-        return answer
-
-    return _over_blocks(chunks.where("vector IS NOT NULL").select("id", "vector"), queries, near, limit)
-
-
-def _unit(vectors: list) -> np.ndarray:
-    rows = np.array(vectors, float).reshape(len(vectors), -1)
-    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-
-
-def _distances(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    return np.round(1 - rows @ queries.T, 9) + 0.0
-
-
-def _best(names: np.ndarray, ids: np.ndarray, place: np.ndarray, d: np.ndarray, limit: int) -> pd.DataFrame:
-    """The best ``limit`` finite distances of each column of d, of equal ones the least ids (by their place)."""
-    last = np.partition(d, limit - 1, 0)[limit - 1] if len(d) > limit else np.full(d.shape[1], np.inf)
-    row, query = np.nonzero((d <= last) & (d < np.inf))
-    order = np.lexsort((place[row], d[row, query], query))
-    row, query = row[order], query[order]
-    keep = np.arange(len(query)) - np.searchsorted(query, query) < limit
-    row, query = row[keep], query[keep]
-    return pd.DataFrame({"qid": names[query], "id": ids[row], "distance": d[row, query]})
-
-
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """qid and unit vectors of all queries by qid, at most QUERY_BLOCK at a time."""
-    rows = queries.select("qid", "vector").orderBy("qid").toLocalIterator()
-    while block := list(islice(rows, QUERY_BLOCK)):
-        yield np.array([r["qid"] for r in block], np.int64), _unit([r["vector"] for r in block])
-
-
-def _over_blocks(rows: DataFrame, queries: DataFrame, near, limit: int) -> DataFrame:
-    """The best ``limit`` rows of every query: one pass over the rows for each block of queries."""
-    shape = "qid long, id string, distance double"
-    passes = [rows.mapInPandas(near(*block), shape) for block in _blocks(queries)]
-    found = reduce(DataFrame.unionAll, passes) if passes else rows.sparkSession.createDataFrame([], shape)
-    nth = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
-    return found.withColumn("nth", nth).where(F.col("nth") <= limit)
-
-
-# --- approximate neighbours: cells around centroids ---
+    vectors = blocks.packed_vectors(chunks.where("vector IS NOT NULL").selectExpr("0 AS key", "id", "vector", "0D AS angle"))
+    asked = blocks.packed_queries(queries.selectExpr("0 AS key", "qid", "vector", "-1D AS low", "4D AS high"))
+    return blocks.nearest(vectors, asked, limit)
 
 
 def train_cells(chunks: DataFrame, cells: int, sample: int = 20_000, rounds: int = 8) -> np.ndarray:
@@ -215,67 +159,6 @@ def train_cells(chunks: DataFrame, cells: int, sample: int = 20_000, rounds: int
     return centres
 
 
-def with_cells(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Every chunk with a vector and its cell; write it partitioned by `cell` to prune by it."""
-
-    @F.pandas_udf("int")
-    def cell(vectors: pd.Series) -> pd.Series:
-        rows = np.array(vectors.tolist(), float).reshape(len(vectors), centres.shape[1])
-        return pd.Series((rows @ centres.T).argmax(1), dtype="int32")
-
-    return chunks.where("vector IS NOT NULL").withColumn("cell", cell("vector"))
-
-
-def probe(indexed: DataFrame, centres: np.ndarray, query: list[float], limit: int, cells: int) -> DataFrame:
-    """Exact ranking within the ``cells`` cells nearest to the query."""
-    nearest = np.argsort(-(centres @ np.array(query, float)))[:cells]
-    return vector_candidates(indexed.where(F.col("cell").isin([int(c) for c in nearest])), query, limit)
-
-
-def probe_batch(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, limit: int, cells: int) -> DataFrame:
-    """Nearest chunks of each query (qid, vector): its ``cells`` nearest cells, then every other cell that may hold a nearer one.
-
-    The angle between a query and a vector is at least the angle between the query and
-    the cell's centre less the cell's radius. Cells that this leaves within reach of the
-    last of the best ``limit`` are read too, so no true neighbour is lost.
-    """
-
-    def near(names, matrix):
-        ahead = matrix @ centres.T
-        nearest = np.zeros(ahead.shape, bool)
-        np.put_along_axis(nearest, np.argsort(-ahead, 1)[:, :cells], True, 1)
-        apart = np.where(np.linalg.norm(matrix, axis=1, keepdims=True) > 0, np.arccos(np.clip(ahead, -1, 1)), 0)
-
-        def answer(batches):
-            for batch in batches:
-                if not len(batch):
-                    continue
-                rows, cell, ids = _unit(batch["vector"].tolist()), batch["cell"].to_numpy(), batch["id"].to_numpy()
-                angle = np.arccos(np.clip((rows * centres[cell]).sum(1), -1, 1))
-                angle[~rows.any(1)] = np.pi
-                place = np.unique(ids, return_inverse=True)[1]
-                members = [(c, np.flatnonzero(cell == c)) for c in np.unique(cell)]
-                for a in range(0, len(names), QUERY_COLUMNS):
-                    of = slice(a, a + QUERY_COLUMNS)
-                    d = np.full((len(rows), len(names[of])), np.inf)
-
-                    def measure(asked, own, d=d, of=of):
-                        if len(asked):
-                            d[np.ix_(own, asked)] = _distances(rows[own], matrix[of][asked])
-
-                    for c, own in members:
-                        measure(np.flatnonzero(nearest[of, c]), own)
-                    last = np.partition(d, limit - 1, 0)[limit - 1] if len(rows) >= limit else np.full(d.shape[1], np.inf)
-                    reach = np.where(last < np.inf, np.arccos(np.clip(1 - last - 1e-8, -1, 1)) + 1e-6, np.inf)
-                    for c, own in members:
-                        measure(np.flatnonzero(~nearest[of, c] & (apart[of, c] - angle[own].max() <= reach)), own)
-                    yield _best(names[of], ids, place, d, limit)
-
-        return answer
-
-    return _over_blocks(indexed.select("id", "vector", "cell"), queries, near, limit)
-
-
 def file_change_search(chunks: DataFrame, query: list[float], limit: int = 10, path: str | None = None, operation: str | None = None) -> DataFrame:
     if path is not None and ".." in path:
         return vector_search(chunks, query, limit).limit(0)

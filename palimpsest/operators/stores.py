@@ -7,8 +7,9 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..paths import file_system, names_in, scratch
+from ..paths import file_system, scratch
 from . import search, store
+from .mergetable import Merged, MergeTable
 from .textindex import TextIndex
 
 
@@ -35,42 +36,48 @@ class ChunkStore(Protocol):
 
 
 class VersionedStore:
-    """Versions of a table below a path; every write makes the next one, and the last complete one counts."""
+    """A keyed table that is merged on read, with a text index that follows its writes in segments."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self._index = spark, path, None
-
-    def _version(self) -> int:
-        done = [int(n[1:]) for n in names_in(self.spark, self.path) if n[:1] == "v" and "_SUCCESS" in names_in(self.spark, f"{self.path}/{n}")]
-        return max(done, default=-1)
-
-    def _write(self, table: DataFrame) -> None:
-        now = self._version()
-        table.write.mode("overwrite").parquet(f"{self.path}/v{now + 1}")
-        self._index = None
-        if now > 0:  # readers of the version before this one go on undisturbed
-            system, old = file_system(self.spark, f"{self.path}/v{now - 1}")
-            system.delete(old, True)
+        self.spark, self.path = spark, path
+        self._held = MergeTable(spark, f"{path}/table", cluster=("project_name", "timestamp"))
+        self._index = TextIndex(spark, f"{path}/text-index")
 
     def table(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self._version()}")
+        return self._held.read()
 
     def append(self, batch: DataFrame) -> None:
-        self._write(batch if self._version() < 0 else self.table().unionByName(batch))
+        self.upsert(batch)
 
     def upsert(self, batch: DataFrame) -> None:
-        self._write(store.upsert(self.table(), batch))
+        self._held.upsert(batch)
+        if self._index.exists():  # the rows of the batch as they are in the table now, so of equal ids the last
+            self._index.add(self.table().join(batch.select("id").distinct(), "id", "left_semi"))
+        if self._held.due():
+            self.optimise()
+
+    def optimise(self) -> Merged:
+        """Fold small writes in and drop what no recent version names."""
+        done = self._held.merge()
+        self._held.vacuum()
+        if self._index.exists():
+            self._index.vacuum()
+        return done
+
+    def _delete(self, rows: DataFrame) -> int:
+        ids = rows.select("id")
+        n = ids.count()
+        if n:
+            if self._index.exists():
+                self._index.remove(ids)
+            self._held.delete(ids)
+        return n
 
     def delete_machine(self, machine: str) -> int:
-        left, gone = store.without_machine(self.table(), machine)
-        n = gone.first()["deleted"]
-        self._write(left)
-        return n
+        return self._delete(self.table().where(F.col("machine_id") == machine)) if machine else 0
 
     def clear(self) -> int:
-        n = self.table().count()
-        self._write(self.table().where(F.lit(False)))
-        return n
+        return self._delete(self.table())
 
     def by_id(self, chunk_id: str) -> DataFrame:
         return store.by_id(self.table(), chunk_id)
@@ -79,7 +86,9 @@ class VersionedStore:
         return store.waiting(self.table(), prefix, limit)
 
     def backfill(self, embed: store.Embed) -> None:
-        self._write(store.backfill(self.table(), embed))
+        """Only chunks that get a vector are written."""
+        found = store.backfill(self.table().where("vector IS NULL"), embed).where("vector IS NOT NULL")
+        self._held.upsert(found)
 
     def statistics(self) -> DataFrame:
         return store.statistics(self.table())
@@ -103,14 +112,12 @@ class VersionedStore:
         return search.session_summaries(self.table(), query, count, session)
 
     def ensure_text_index(self) -> TextIndex:
-        if self._index is None:
-            self._index = TextIndex(self.spark, f"{self.path}/text-index-v{self._version()}")
-            if not self._index.exists():
-                self._index.build(self.table())
+        if not self._index.exists():
+            self._index.build(self.table())
         return self._index
 
     def close(self) -> None:
-        self._index = None
+        """Nothing is held open."""
 
 
 class ScratchStore(VersionedStore):

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import store
+from ..operators.mergetable import MergeTable
+from ..paths import scratch
 from . import tables
 from .registry import query
 
@@ -33,6 +35,20 @@ def snk02(spark, sf_dir):
     return _seen(store.upsert(tables.chunks(spark, sf_dir), _batch(spark, sf_dir)))
 
 
+@query("snk02_stm04_merged_on_read", f"""WITH {C}, b AS (SELECT * REPLACE ('v1 ' || content AS content), 1 AS seq FROM chunks WHERE doc_id % 10 = 0 UNION ALL BY NAME
+SELECT * REPLACE ('v2! ' || content AS content), 2 AS seq FROM chunks WHERE doc_id % 20 = 0 UNION ALL BY NAME SELECT * REPLACE ('new' || id AS id), 1 AS seq FROM chunks WHERE doc_id % 50 = 0),
+a AS (SELECT *, 0 AS seq FROM chunks UNION ALL BY NAME SELECT * FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS nth FROM a) SELECT {_SEEN} FROM r WHERE nth = 1 AND (id LIKE 'new%' OR doc_id % 30 <> 10)""")
+def snk02_merged(spark, sf_dir):
+    """Three writes, the second of which is sent again, and deletes: read as deltas over a merged table."""
+    held, c = MergeTable(spark, scratch(spark, "merged-on-read"), cluster=("project_name", "timestamp")), tables.chunks(spark, sf_dir)
+    held.upsert(c.withColumn("seq", F.lit(0)), number=0)
+    held.merge()
+    for number in (1, 1):
+        held.upsert(_batch(spark, sf_dir), number=number)
+    held.delete(c.where("doc_id % 30 = 10").select("id"))
+    return _seen(held.read())
+
+
 @query("snk03_insert_without_vector", f"WITH {C} SELECT id, vector IS NULL AS awaiting FROM chunks UNION ALL SELECT 'later' || id, true FROM chunks WHERE doc_id % 7 = 0")
 def snk03(spark, sf_dir):
     c = tables.chunks(spark, sf_dir)

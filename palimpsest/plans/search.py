@@ -133,16 +133,32 @@ def mth01(spark, sf_dir):
 
 @query("jon02_batch_of_queries", f"WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), {C}, d AS (SELECT qid, id, {_DIST} AS distance FROM chunks, q WHERE vector IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS nth FROM d) SELECT qid, id, abs(round(distance, 6)) AS distance FROM r WHERE nth <= 5")
 def jon02(spark, sf_dir):
-    asked = tables.table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    return search.search_batch(tables.chunks(spark, sf_dir), asked, 5).select("qid", "id", F.abs(F.round("distance", 6)).alias("distance"))
+    return search.search_batch(tables.chunks(spark, sf_dir), asked_vectors(spark, sf_dir), 5).select("qid", "id", F.abs(F.round("distance", 6)).alias("distance"))
+
+
+def asked_vectors(spark, sf_dir):
+    """The batch of queries: every embedding whose id is divisible by 100."""
+    return tables.table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
 
 
 @query("qry03_approximate_neighbours")
 def qry03(spark, sf_dir):
-    c = tables.chunks(spark, sf_dir)
-    asked = tables.table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    centres = search.train_cells(c, 32)
-    return search.probe_batch(search.with_cells(c, centres), centres, asked, 10, cells=12).select("qid", "id", "distance")
+    """Through the stored index with the reach that it has learnt."""
+    return tables.vector_index(spark, sf_dir).search(asked_vectors(spark, sf_dir), 10).select("qid", "id", "distance")
+
+
+@query("qry03_snk12_exact_through_index", f"WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), {C}, d AS (SELECT qid, id, {_DIST} AS distance FROM chunks, q WHERE vector IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS nth FROM d WHERE distance IS NOT NULL) SELECT qid, id, abs(round(distance, 6)) AS distance FROM r WHERE nth <= 10")
+def qry03_exact(spark, sf_dir):
+    """Through the same index with bands that can't miss a neighbour."""
+    found = tables.vector_index(spark, sf_dir).search(asked_vectors(spark, sf_dir), 10, reach=1.0)
+    return found.select("qid", "id", F.abs(F.round("distance", 6)).alias("distance"))
+
+
+@query("qry03_snk12_filtered_in_index", f"WITH {C}, {_Q}, n AS ({_near_sql(chr(39).join(['chunk_type = ', 'turn', ' AND project_name = ', 'src5', '']), 15)}) SELECT id, distance FROM n")
+def qry03_filtered(spark, sf_dir):
+    """One query with filters on columns that the index stores: no join with the chunks."""
+    wanted = (F.col("chunk_type") == "turn") & (F.col("project_name") == "src5")
+    return tables.vector_index(spark, sf_dir).one(probe_vector(spark, sf_dir), 15, reach=1.0, condition=wanted)[0]
 
 
 @query("jon01_late_materialisation", f"WITH {C}, {_Q}, n AS ({_near_sql('true', 100)}) SELECT id, length(content) AS n_chars, project_name FROM chunks JOIN n USING (id)")

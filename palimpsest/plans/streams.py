@@ -46,7 +46,7 @@ def stm17(spark, sf_dir):
     e = _stream(spark, sf_dir, "events").select(_machine(), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("kind"))
     target, offsets = jobs.places(spark, "heartbeats")
     jobs.heartbeats_to(e, target, offsets)
-    return jobs.latest_version(spark, target).select("machine", "kind")
+    return jobs.latest_version(spark, target, *jobs.HEARTBEATS).select("machine", "kind")
 
 
 @query("stm19_streamed_cursors", "SELECT 'm' || (user_id % 20) AS machine, event_type AS file, max(event_id) AS position FROM events GROUP BY ALL")
@@ -54,4 +54,4 @@ def stm19(spark, sf_dir):
     e = _stream(spark, sf_dir, "events").select(_machine(), F.col("event_type").alias("file"), F.col("event_id").alias("position"))
     target, offsets = jobs.places(spark, "cursors")
     jobs.cursors_to(e, target, offsets)
-    return jobs.latest_version(spark, target)
+    return jobs.latest_version(spark, target, *jobs.CURSORS)

@@ -6,33 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.textindex import TextIndex
+from ..operators.vectorindex import VectorIndex
 from ..paths import scratch, state_of
 
 
+_SCHEMAS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its columns are looked up once for each state of its files."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (path, state_of(spark, path))
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks; the vector is null where a document has no embedding."""
-    d = table(spark, sf_dir, "documents")
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    n = F.col("doc_id")
-    change = n % 4 == 2
-    joined = d.join(e, "doc_id", "left")
-    return joined.select(
+    e = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS doc_id", "embedding AS vector")
+    return table(spark, sf_dir, "documents").join(e, "doc_id", "left").selectExpr(
         "doc_id",
-        F.substring(F.sha2(F.concat(F.lit("chunk-"), n.cast("string")), 256), 1, 16).alias("id"),
-        F.col("text").alias("content"), "vector",
-        F.when(n % 4 < 2, "turn").when(change, "file_change").otherwise("summary").alias("chunk_type"),
-        F.concat(F.lit("s"), (n % 50).cast("string")).alias("session_id"),
-        F.concat(F.lit("/work/"), F.col("source")).alias("project_path"), F.col("source").alias("project_name"),
-        F.timestamp_micros((n + F.lit(1767225600 // 60)) * 60_000_000).alias("timestamp"),
-        F.when(change, F.concat(F.lit("/work/"), F.col("source"), F.lit("/file_"), (n % 7).cast("string"), F.lit(".py"))).alias("file_path"),
-        F.when(change, F.when(n % 8 == 2, "edit").otherwise("write")).alias("operation"),
-        F.concat(F.lit("/logs/s"), (n % 50).cast("string"), F.lit(".jsonl")).alias("source_file"),
-        n.alias("source_line"),
-        F.concat(F.lit("machine-"), (n % 3).cast("string")).alias("machine_id"),
+        "substring(sha2(concat('chunk-', doc_id), 256), 1, 16) AS id",
+        "text AS content", "vector",
+        "CASE WHEN doc_id % 4 < 2 THEN 'turn' WHEN doc_id % 4 = 2 THEN 'file_change' ELSE 'summary' END AS chunk_type",
+        "concat('s', doc_id % 50) AS session_id",
+        "concat('/work/', source) AS project_path", "source AS project_name",
+        f"timestamp_micros((doc_id + {1767225600 // 60}) * 60000000) AS timestamp",
+        "CASE WHEN doc_id % 4 = 2 THEN concat('/work/', source, '/file_', doc_id % 7, '.py') END AS file_path",
+        "CASE WHEN doc_id % 4 = 2 THEN CASE WHEN doc_id % 8 = 2 THEN 'edit' ELSE 'write' END END AS operation",
+        "concat('/logs/s', doc_id % 50, '.jsonl') AS source_file",
+        "doc_id AS source_line",
+        "concat('machine-', doc_id % 3) AS machine_id",
     )
 
 
@@ -59,6 +64,15 @@ def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     return _INDEXES[key]
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The stored index of the chunks' vectors; built once for each state of their tables."""
+    paths = [f"{sf_dir}/{t}.parquet" for t in ("documents", "embeddings")]
+    key = (spark.sparkContext.applicationId, *paths, *[state_of(spark, p) for p in paths])
+    if key not in _INDEXES or not _INDEXES[key].exists():
+        _INDEXES[key] = VectorIndex(spark, scratch(spark, "vector-index")).build(chunks(spark, sf_dir))
+    return _INDEXES[key]
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation rows as log entries: session, line (from 1), role, text."""
     c = table(spark, sf_dir, "conversations")

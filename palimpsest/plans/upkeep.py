@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text as tx
 from ..operators import analyze, cache, delivery, limits, maintenance, providers, store, stores, synthesize
+from ..operators.mergetable import MergeTable
 from ..operators.search import vector_candidates
+from ..operators.textindex import TextIndex
 from ..paths import scratch, write_text
 from ..schema import CHUNKS
 from ..sources import discovery, readers
@@ -38,12 +40,18 @@ def snk01(spark, sf_dir):
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("appended"))
 
 
-@query("snk09_snk10_optimised_table", f"WITH {C} SELECT count(*) AS n_rows, true AS text_index, count(vector) >= 10000 AS vector_index, count(*) AS compacted FROM chunks")
+@query("snk09_snk10_optimised_table", f"WITH {C} SELECT id, project_name, CAST(epoch_us(timestamp) AS BIGINT) AS us, md5(CASE WHEN doc_id % 40 = 0 THEN 'changed ' || content ELSE content END) AS content_md5, CAST(len(regexp_extract_all(lower(content), '[\\pL\\pN_]+')) AS BIGINT) AS n_words FROM chunks WHERE doc_id % 90 <> 7")
 def snk09(spark, sf_dir):
-    source, target = scratch(spark, "to-optimise"), scratch(spark, "optimised")
-    T.chunks(spark, sf_dir).write.parquet(source)
-    done = maintenance.optimise(spark, source, target)
-    return spark.read.parquet(f"{target}/table").agg(F.lit(done.rows).cast("long").alias("n_rows"), F.lit(done.text_index).alias("text_index"), F.lit(done.vector_cells > 0).alias("vector_index"), F.count(F.lit(1)).alias("compacted"))
+    """A table after writes, changes and deletes, an upkeep and a second one; beside each row its length from the text index of the first."""
+    held, indexes = MergeTable(spark, scratch(spark, "to-optimise"), cluster=("project_name", "timestamp")), scratch(spark, "indexes")
+    c = T.chunks(spark, sf_dir)
+    held.upsert(c.withColumn("seq", F.lit(0)))
+    maintenance.optimise(held, indexes)
+    held.upsert(c.where("doc_id % 40 = 0").withColumns({"content": F.concat(F.lit("changed "), "content"), "seq": F.lit(1)}))
+    held.delete(c.where("doc_id % 90 = 7").select("id"))
+    maintenance.optimise(held, indexes)
+    lengths = TextIndex(spark, f"{indexes}/text-index").lengths().select("id", F.col("n").cast("long").alias("n_words"))
+    return held.read().join(lengths, "id").select("id", "project_name", F.unix_micros("timestamp").alias("us"), F.md5("content").alias("content_md5"), "n_words")
 
 
 _DDL = ", ".join(f"('{f.name}', '{f.dataType.simpleString()}')" for f in sorted(CHUNKS, key=lambda f: f.name))
@@ -68,11 +76,11 @@ def snk11_indexes(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("snk12_vector_index", f"WITH {C} SELECT chunk_type, project_name, count(*) AS n FROM chunks WHERE vector IS NOT NULL GROUP BY ALL")
+@query("snk12_vector_index", f"WITH {C} SELECT id, chunk_type, session_id, project_name, machine_id, sha256(array_to_string(list_transform(vector, lambda x: CAST(CAST(round(x * 1048576) AS BIGINT) AS VARCHAR)), ',')) AS vector_sha FROM chunks WHERE vector IS NOT NULL")
 def snk12(spark, sf_dir):
-    path = scratch(spark, "cells")
-    maintenance.vector_index(T.chunks(spark, sf_dir), path, 32)
-    return spark.read.parquet(path).groupBy("chunk_type", "project_name").agg(F.count(F.lit(1)).alias("n"))
+    """Every chunk with a vector is in the index once, with its vector and the stored columns."""
+    numbers = F.array_join(F.transform("vector", lambda x: F.round(x.cast("double") * 1048576).cast("long").cast("string")), ",")
+    return T.vector_index(spark, sf_dir).rows().select("id", "chunk_type", "session_id", "project_name", "machine_id", F.sha2(numbers, 256).alias("vector_sha"))
 
 
 @query("snk13_udf05_model_in_sql", f"WITH {C} SELECT id, 32 AS n FROM chunks WHERE vector IS NULL")
@@ -217,9 +225,11 @@ def stm15(spark, sf_dir):
     """Two turns of each job; its work is that of the backfill and of the upkeep query."""
     path, target = scratch(spark, "periodic"), scratch(spark, "periodic-optimised")
     T.chunks(spark, sf_dir).write.parquet(path)
+    held = MergeTable(spark, scratch(spark, "periodic-table"))
+    held.upsert(T.chunks(spark, sf_dir))
     work = {
         "backfill": lambda: store.backfill(spark.read.parquet(path).select("id", "content", "vector"), store.hashed_vectors(64)).where("vector IS NULL").count(),
-        "optimise": lambda: maintenance.optimise(spark, path, target),
+        "optimise": lambda: maintenance.optimise(held, target),
     }
     return T.values(spark, "job, runs", [(name, jobs.periodic(spark, do, 0.2, 2, scratch(spark, f"{name}-ticks"))) for name, do in work.items()])
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators.store import upsert
-from ..paths import names_in, scratch
+from ..operators.mergetable import MergeTable
+from ..paths import scratch
 from .pairing import streamed_pairs
 
 
@@ -25,69 +23,45 @@ def pairs_to(entries: DataFrame, target: str, checkpoint: str) -> None:
     _drained(streamed_pairs(entries).writeStream.outputMode("append").format("parquet").option("path", target), checkpoint)
 
 
-#: Parts of a table that a job keeps; a batch writes only those that hold its keys.
-PARTS = 16
+def _merged_to(stream: DataFrame, table: MergeTable, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """Write every micro-batch as a delta of the table; merge when the deltas have grown enough.
 
-
-def _newest(spark: SparkSession, target: str, before: int | None = None) -> dict[int, str]:
-    """The newest complete copy of each part, of versions below ``before``."""
-    parts: dict[int, str] = {}
-    versions = sorted(int(n[1:]) for n in names_in(spark, target) if n[:1] == "v")
-    for n in versions:
-        names = names_in(spark, f"{target}/v{n}")
-        if (before is None or n < before) and "_SUCCESS" in names:
-            parts |= {int(k.removeprefix("part=")): f"{target}/v{n}/{k}" for k in names if k.startswith("part=")}
-    return parts
-
-
-def _merged_to(stream: DataFrame, target: str, checkpoint: str, keys: list[str], reduce: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame], mode: str = "append") -> None:
-    """Merge every micro-batch into a table kept in parts by key.
-
-    Batch n writes the parts that hold its keys, as version n, from the newest copies
-    below n; other parts stay where they are. A batch repeated after a failure writes the
-    same again. No state is kept between batches but the table.
+    A batch costs its own rows. A batch repeated after a failure is known by its number
+    and changes nothing.
     """
 
     def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        fresh = reduce(batch).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int"))
-        touched = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most PARTS
-        held = _newest(spark, target, n)
-        old = [spark.read.parquet(held[k]).withColumn("part", F.lit(k)) for k in touched if k in held]
-        empty = fresh.limit(0).drop("seq")
-        merge(functools.reduce(DataFrame.unionByName, old, empty), fresh).write.mode("overwrite").partitionBy("part").parquet(f"{target}/v{n}")
+        held = MergeTable(batch.sparkSession, table.path, tuple(table.keys), tuple(table.order), tuple(table.cluster), table.target)
+        held.upsert(prepare(batch), number=n)
+        if held.due():
+            held.merge()
+            held.vacuum()
 
-    _drained(stream.writeStream.outputMode(mode).foreachBatch(write), checkpoint)
+    _drained(stream.writeStream.foreachBatch(write), checkpoint)
 
 
 def upsert_to(rows: DataFrame, target: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
     """Upsert every micro-batch by id; of equal ids in a batch the last by ``seq`` wins."""
-    _merged_to(rows, target, checkpoint, ["id"], prepare, upsert)
+    _merged_to(rows, MergeTable(rows.sparkSession, target), checkpoint, prepare)
 
 
-def latest_version(spark: SparkSession, target: str) -> DataFrame:
+def latest_version(spark: SparkSession, target: str, keys: tuple[str, ...] = ("id",), order: tuple[str, ...] = ("__batch", "__seq")) -> DataFrame:
     """The table that a job keeps, as of its last complete batch."""
-    return spark.read.parquet(*_newest(spark, target).values())
+    return MergeTable(spark, target, keys, order).read()
 
 
-def heartbeats_to(events: DataFrame, target: str, checkpoint: str) -> None:
-    """The last heartbeat of each machine (machine, ts, event_id, kind)."""
-    def last(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("machine").agg(F.max_by(F.struct("event_id", "ts", "kind"), F.struct("ts", "event_id")).alias("h")).select("machine", "h.*")
+#: Keys and order of the tables of heartbeats and of cursors.
+HEARTBEATS, CURSORS = (("machine",), ("ts", "event_id")), (("machine", "file"), ("position",))
 
-    def merge(old: DataFrame, fresh: DataFrame) -> DataFrame:
-        both = old.unionByName(fresh)
-        return both.groupBy("machine", "part").agg(F.max_by(F.struct("event_id", "ts", "kind"), F.struct("ts", "event_id")).alias("h")).select("machine", "part", "h.*")
 
-    _merged_to(events, target, checkpoint, ["machine"], last, merge)
+def heartbeats_to(events: DataFrame, target: str, checkpoint: str) -> None:
+    """The last heartbeat of each machine (machine, ts, event_id, kind)."""
+    _merged_to(events, MergeTable(events.sparkSession, target, *HEARTBEATS), checkpoint)
 
 
 def cursors_to(positions: DataFrame, target: str, checkpoint: str) -> None:
     """Positions (machine, file, position) that never go back."""
-    def merge(old: DataFrame, fresh: DataFrame) -> DataFrame:
-        return old.unionByName(fresh).groupBy("machine", "file", "part").agg(F.max("position").alias("position"))
-
-    _merged_to(positions, target, checkpoint, ["machine", "file"], lambda rows: rows.groupBy("machine", "file").agg(F.max("position").alias("position")), merge)
+    _merged_to(positions, MergeTable(positions.sparkSession, target, *CURSORS), checkpoint)
 
 
 def periodic(spark: SparkSession, work: Callable[[], None], seconds: float, times: int, checkpoint: str) -> int:

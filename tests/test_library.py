@@ -124,22 +124,6 @@ def test_knn_is_one_sorted_scan(spark):
     assert "TakeOrderedAndProject" in plan and "PushedFilters: [IsNotNull(source), EqualTo(source,src1)" in plan
 
 
-def test_approximate_recall(spark):
-    from palimpsest.plans import tables
-
-    from .conftest import SMALL
-
-    c = tables.chunks(spark, SMALL)
-    centres = search.train_cells(c, 8)
-    indexed = search.with_cells(c, centres).cache()
-    found = 0
-    queries = [[float(x) for x in r["vector"]] for r in c.where("vector IS NOT NULL").orderBy("id").limit(5).collect()]
-    for q in queries:
-        exact = {r["id"] for r in search.vector_candidates(c, q, 10).collect()}
-        found += len(exact & {r["id"] for r in search.probe(indexed, centres, q, 10, 6).collect()})
-    assert found >= 0.9 * 50
-
-
 def test_cache():
     now = [0.0]
     c = cache.Cache(2, 10, lambda: now[0])
@@ -193,29 +177,6 @@ def test_appended_lines_are_paired_across_batches(spark, tmp_path):
     assert drain() == [("q1", "a1"), ("q2", "a2")]
 
 
-@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
-def test_recall_of_the_registered_setting(spark, sf_dir):
-    from palimpsest.plans import catalog, tables
-
-    asked = tables.table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    exact = {(r["qid"], r["id"]) for r in search.search_batch(tables.chunks(spark, sf_dir), asked, 10).collect()}
-    found = catalog.QUERIES["qry03_approximate_neighbours"](spark, sf_dir).collect()
-    assert len({r["qid"] for r in found}) == asked.count() and len(found) == len(exact)
-    assert len(exact & {(r["qid"], r["id"]) for r in found}) >= 0.9 * len(exact)
-
-
-def test_probing_reaches_across_cells(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(5)
-    vectors = [[0.0] * 4, *rng.normal(size=(300, 4)).tolist(), *[[1.0, 0.0, 0.0, 0.0]] * 20]
-    c = spark.createDataFrame([(f"{i:03}", v) for i, v in enumerate(vectors)], "id string, vector array<double>")
-    asked = c.where("id % 7 = 0").select(F.col("id").cast("long").alias("qid"), "vector")
-    centres = search.train_cells(c, 16)
-    ranked = lambda d: sorted((r["qid"], r["distance"], r["id"]) for r in d.collect())
-    assert ranked(search.probe_batch(search.with_cells(c, centres), centres, asked, 5, 1)) == ranked(search.search_batch(c, asked, 5))
-
-
 def test_every_query_of_a_batch_is_answered(spark):
     c = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, vector array<double>")
     asked = spark.range(25_000).select(F.col("id").alias("qid"), F.when(F.col("id") % 2 == 0, F.array(F.lit(2.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0))).alias("vector"))

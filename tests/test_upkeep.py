@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import delivery, limits, maintenance, providers, store, stores, synthesize
+from palimpsest.operators import search, textindex
+from palimpsest.operators.mergetable import MergeTable
 from palimpsest.operators.textindex import TextIndex
-from palimpsest.operators import search
 from palimpsest.plans import catalog, tables
 from palimpsest.streaming import jobs
 from palimpsest.streaming import source as appended
@@ -78,13 +80,51 @@ def test_stores(spark, tmp_path):
         stores.open_store(spark, "nowhere")
 
 
-def test_index_agrees_with_a_scan(spark, tmp_path):
+FILTERS = (search.Filters(), search.Filters(project_name="src3"), search.Filters(chunk_type="turn", date_from="2026-01-01 00:30:00"))
+
+
+@pytest.mark.parametrize("direct", [0, 10**9])
+def test_index_agrees_with_a_scan(spark, tmp_path, direct, monkeypatch):
+    """Over one segment and over many, by blocks and at once."""
+    monkeypatch.setattr(textindex, "FIRST", 2)
     c = tables.chunks(spark, SMALL)
-    index = TextIndex(spark, str(tmp_path / "index"), buckets=8).build(c)
+    rows = lambda d: [tuple(r) for r in d.orderBy(F.desc("relevance"), "id").collect()]
+    index = TextIndex(spark, str(tmp_path / "one"), block=4, direct=direct).build(c)
     for question in ("the queion therand", "und", "absentword", "the und der die"):
-        for filters in (search.Filters(), search.Filters(project_name="src3"), search.Filters(chunk_type="turn", date_from="2026-01-01 00:30:00")):
-            rows = lambda d: [tuple(r) for r in d.orderBy(F.desc("relevance"), "id").collect()]
-            assert rows(search.text_candidates(c, question, 50, filters, index)) == rows(search.text_candidates(c, question, 50, filters))
+        for filters in FILTERS[: 3 if direct else 1]:
+            assert rows(search.text_candidates(c, question, 12, filters, index)) == rows(search.text_candidates(c, question, 12, filters))
+
+
+def test_changed_and_removed_chunks(spark, tmp_path):
+    c = tables.chunks(spark, SMALL)
+    rows = lambda d: [tuple(r) for r in d.orderBy(F.desc("relevance"), "id").collect()]
+    index = TextIndex(spark, str(tmp_path / "index"), block=4, direct=0).build(c.where("doc_id < 100"))
+    before = {n for n in os.listdir(tmp_path / "index") if n != "log"}
+    changed = c.where("doc_id >= 90").withColumn("content", F.when(F.col("doc_id") < 110, F.concat(F.lit("the queion anew "), "content")).otherwise(F.col("content")))
+    index.add(changed)
+    assert before < {n for n in os.listdir(tmp_path / "index") if n != "log"}  # an added batch leaves what is there alone
+    index.remove(c.where("doc_id % 10 = 3").select("id"))
+    now = c.where("doc_id < 90").unionByName(changed).where("doc_id % 10 <> 3")
+    for question in ("the queion therand anew", "und der"):
+        for filters in FILTERS:
+            assert rows(search.text_candidates(c, question, 15, filters, index)) == rows(search.text_candidates(now, question, 15, filters))
+    for lo in range(0, 200, 50):
+        index.add(now.where((F.col("doc_id") >= lo) & (F.col("doc_id") < lo + 50)))
+    assert len(index.segments()) < 6 and sum(s["docs"] for s in index.segments()) >= now.count()  # segments of a size were merged
+    assert rows(search.text_candidates(c, "the queion anew", 15, index=index)) == rows(search.text_candidates(now, "the queion anew", 15))
+    index.vacuum(keep=1)
+    assert {n for n in os.listdir(tmp_path / "index") if n != "log"} == {s["name"] for s in index.segments()}
+    assert index.lengths().count() == now.count()
+
+
+def test_blocks_that_cannot_reach_the_best_are_not_scored(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "FIRST", 4)
+    texts = spark.range(2000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 400 == 0, "needle needle needle hay").otherwise(F.concat(F.lit("needle "), F.repeat(F.lit("hay "), (F.col("id") % 90 + 5).cast("int")))).alias("content"))
+    index = TextIndex(spark, str(tmp_path / "index"), block=16, direct=0).build(texts)
+    held = index.segments()
+    docs, mean, df, _ = index._statistics(["needle"], held)
+    found, scored, blocks = index._by_blocks({"needle": math.log(1 + (docs - df["needle"] + 0.5) / (df["needle"] + 0.5))}, mean, held, 5)
+    assert {r["id"] for r in found.collect()} == {"0", "400", "800", "1200", "1600"} and scored < 0.2 * blocks
 
 
 def test_an_index_is_built_again_when_its_table_changes(spark, tmp_path):
@@ -99,24 +139,11 @@ def test_an_index_is_built_again_when_its_table_changes(spark, tmp_path):
 
 def test_a_failed_index_does_not_stop_compaction(spark, tmp_path):
     c = tables.chunks(spark, SMALL).drop("content")
-    c.write.parquet(f"{tmp_path}/source")
+    held = MergeTable(spark, f"{tmp_path}/t")
+    held.upsert(c)
     with pytest.raises(Exception, match="content"):
-        maintenance.optimise(spark, f"{tmp_path}/source", f"{tmp_path}/target")
-    assert spark.read.parquet(f"{tmp_path}/target/table").count() == c.count()
-
-
-def test_upserts_leave_other_parts_alone(spark, tmp_path):
-    target, offsets, inbox = f"{tmp_path}/t", f"{tmp_path}/o", f"{tmp_path}/in"
-    rows = lambda ids, v: spark.createDataFrame([(i, v, 1) for i in ids], "id long, v string, seq long")
-
-    def run(df):
-        df.write.mode("append").parquet(inbox)
-        jobs.upsert_to(spark.readStream.schema("id long, v string, seq long").parquet(inbox), target, offsets)
-        return {r["id"]: r["v"] for r in jobs.latest_version(spark, target).collect()}
-
-    assert run(rows(range(200), "a")) == dict.fromkeys(range(200), "a")
-    assert run(rows([3], "b")) == dict.fromkeys(range(200), "a") | {3: "b"}
-    assert len([n for n in os.listdir(f"{target}/v1") if n.startswith("part=")]) == 1
+        maintenance.optimise(held, f"{tmp_path}/indexes")
+    assert held.read().count() == c.count() and not any(f["delta"] for f in held.version()["files"])
 
 
 def test_appended_lines_are_bounded_and_seek(tmp_path):
