@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,10 +50,20 @@ def buckets_for(df: DataFrame, each: int = 1 << 23) -> int:
     return max(partitions, min(input_bytes(df) // each, 1 << 20))
 
 
+def fresh_key() -> int:
+    """128 bits drawn for one run. The driver gives them to all tasks, so tasks run again agree.
+
+    A hash without a key can be undone: words that differ and share a hash can be
+    made in advance and planted in a text. Under a key that nobody knows before the run,
+    different words share a hash by chance only, once in 2^64 pairs.
+    """
+    return secrets.randbits(128)
+
+
 class Words:
-    """The words of some texts: 64-bit hashes, and the first word of each text."""
+    """The words of some texts: keyed 64-bit hashes, and the first word of each text."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], key: int):
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         data = b"\n".join([*texts, b"        "])  # room to load eight bytes at any word
         buf = np.frombuffer(data, np.uint8)
@@ -62,7 +73,7 @@ class Words:
         before[1:] = space[:-1]
         starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
         self.first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
-        self.hashes = _hashed(data, starts, ends[: len(starts)])
+        self.hashes = _hashed(data, starts, ends[: len(starts)], key)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -85,8 +96,9 @@ class Words:
         return np.arange(len(self.hashes)) + width <= last
 
 
-def _hashed(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Eight bytes at a time; two words of at most eight bytes never share a hash."""
+def _hashed(data: bytes, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """Eight bytes at a time, each under both halves of the key; what a key maps bijectively never collides in its first eight bytes."""
+    add, times = np.uint64(key & (2**64 - 1)), np.uint64(key >> 64 | 1)
     sizes = ends - starts
     loads = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))
     out = np.zeros(len(starts), np.uint64)
@@ -98,11 +110,11 @@ def _hashed(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         part = loads[at]
         short = left < 8
         part[short] &= (np.uint64(1) << (left[short].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
-        out[active] = mix(out[active] * _MIX2 ^ part)
+        out[active] = mix((out[active] * _MIX2 ^ part ^ add) * times)
         more = left > 8
         active, at, left = active[more], at[more] + 8, left[more] - 8
     for i in active:  # the few words longer than LONG_WORD
-        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=key.to_bytes(16, "little")).digest(), "little")
     return mix(out ^ sizes.astype(np.uint64))
 
 

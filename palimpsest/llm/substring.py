@@ -11,6 +11,10 @@ the window. So it is enough to hash 3 of 7 positions to meet every match.
    in full (96 bits). The smallest doc_id with each window is found.
 3. A window that also starts in a document with a smaller doc_id removes its words.
 
+Hashes are keyed, with a key drawn for each run: words that were made to share a hash
+don't. By chance a word takes another's place once in 2^64 pairs, and then only
+where the other twelve words of a window agree.
+
 Exchanges carry arrays, not rows. Before each of them equal hashes are merged
 within the task (anchors: shared or not; windows: smallest doc_id), so a
 passage that a third of all documents hold costs each task one entry. Texts are
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import col, text_or_empty
-from .arrays import BLOBS, Words, among, batches_of, blobs, buckets_for, mix, runs, unpacked
+from .arrays import BLOBS, Words, among, batches_of, blobs, buckets_for, fresh_key, mix, runs, unpacked
 
 WINDOW, PERIOD, COVER = 13, 7, (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
@@ -72,7 +76,7 @@ def anchors_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, words.windows(ANCHOR)[at], owners[at]
 
 
-def _send_anchors(buckets: int):
+def _send_anchors(buckets: int, key: int):
     def rows(hashes: np.ndarray, dids: np.ndarray) -> pd.DataFrame:
         order = np.lexsort((dids, hashes))
         hashes, dids = hashes[order], dids[order]
@@ -100,7 +104,7 @@ def _send_anchors(buckets: int):
         for batch in batches:
             texts, dids = [t.encode() for t in batch["text"]], batch["did"].to_numpy(np.int64)
             for a, z in batches_of(texts):
-                _, hashes, owner = anchors_of(Words(texts[a:z]))
+                _, hashes, owner = anchors_of(Words(texts[a:z], key))
                 held.append((hashes, dids[a:z][owner]))
                 if sum(len(h) for h, _ in held) >= MERGED:
                     yield rows(*map(np.concatenate, zip(*held, strict=True)))
@@ -154,7 +158,7 @@ def _smallest(hashes: np.ndarray, tails: np.ndarray, ids: np.ndarray) -> tuple[n
     return order, begin, np.minimum.reduceat(ids[order], begin) if len(begin) else ids[:0]
 
 
-def _extend(buckets: int):
+def _extend(buckets: int, key: int):
     def extend(docs: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
         names = ["bucket", "dest", "hashes", "tails", "ids"]
         if not len(docs) or not len(flags):
@@ -164,7 +168,7 @@ def _extend(buckets: int):
         ids, dids, texts = unpacked(docs)
         ids, found = _order(ids), []
         for a, z in batches_of(texts):
-            words = Words(texts[a:z])
+            words = Words(texts[a:z], key)
             at, hashes, owner = anchors_of(words)
             at = at[among(_joint(hashes, dids[a:z][owner]), told)]
             near = np.zeros(len(words.hashes) + 1, np.int64)  # windows that start at most 6 words before a shared anchor
@@ -208,7 +212,7 @@ def _match_windows(buckets: int):
     return match
 
 
-def _remove(with_text: bool):
+def _remove(with_text: bool, key: int):
     def remove(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         names, _, texts = unpacked(docs)
         ids, rows = _order(names), []
@@ -223,7 +227,7 @@ def _remove(with_text: bool):
         for a, z in batches_of(texts):
             gone = None
             if parts:
-                words = Words(texts[a:z])
+                words = Words(texts[a:z], key)
                 starts = np.flatnonzero(words.whole(WINDOW))
                 h, t = window_hashes(words, starts)
                 near = np.searchsorted(keys, mix(h ^ (t.astype(np.uint64) << np.uint64(32))))
@@ -250,16 +254,16 @@ def _remove(with_text: bool):
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 (and kept_text) of every row."""
-    buckets = buckets_for(docs)
+    buckets, key = buckets_for(docs), fresh_key()
     text = text_or_empty(text_col)
     rows = docs.select(col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(col(id_col), text).alias("did"))
-    anchors = rows.select("did", "text").mapInPandas(_send_anchors(buckets), _ROW)
+    anchors = rows.select("did", "text").mapInPandas(_send_anchors(buckets, key), _ROW)
     flags = anchors.groupBy("bucket").applyInPandas(_match_anchors(buckets), _FLAGS)
     placed = rows.mapInPandas(blobs(buckets), BLOBS)
-    windows = placed.groupBy("dest").cogroup(flags.groupBy("dest")).applyInPandas(_extend(buckets), _WINDOWS)
+    windows = placed.groupBy("dest").cogroup(flags.groupBy("dest")).applyInPandas(_extend(buckets, key), _WINDOWS)
     told = windows.groupBy("bucket").applyInPandas(_match_windows(buckets), "dest int, hashes binary, tails binary, ids binary")
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return placed.groupBy("dest").cogroup(told.groupBy("dest")).applyInPandas(_remove(with_text), schema)
+    return placed.groupBy("dest").cogroup(told.groupBy("dest")).applyInPandas(_remove(with_text, key), schema)
 
 
 def op4_difference_cover(spark, sf_dir: str) -> DataFrame:
