@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import exact_dedup, minhash, packing, quality, secrets
-from palimpsest.llm._shared import col, discard, save
+from palimpsest.llm._shared import discard, save
 
 #: Identifiers of dropped rows are sent to the scan up to this number, else joined by shuffle.
 BROADCAST_DROPPED = 200_000
@@ -46,10 +46,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id."""
-    found = minhash.near_duplicates(docs, width=5, percent=80)
-    gone = save(found.where("NOT kept").select(F.col("id").alias("doc_id")).distinct(), "near-copies")
-    return docs.join(_few(gone), "doc_id", "left_anti").select([col(c) for c in docs.columns])
+    """One document of each group stays: the one with the smallest doc_id. A row goes by id and text, not by id alone."""
+    found = minhash.near_duplicates(docs, width=5, percent=80, with_sha=True)
+    gone = save(found.where("NOT kept").select(F.col("id").alias("gone_id"), F.col("sha").alias("gone_sha")).distinct(), "near-copies")
+    packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha"))
+    return packed.join(_few(gone), (F.col("id") == F.col("gone_id")) & (F.col("sha") == F.col("gone_sha")), "left_anti").select("doc.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
