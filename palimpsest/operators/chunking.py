@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .ordered import packed, running
 
 #: Entries: session_id, line, role, text, project_name, ts; optionally is_summary.
 
@@ -116,36 +117,28 @@ def safe_interval(entries: DataFrame, wanted: DataFrame) -> DataFrame:
     user still waiting there, is left for later.
     """
     pairs = paired(entries).select("session_id", "user_line", F.col("assistant_line").alias("reply"))
-    talk = _talk(entries).join(wanted.select("session_id", F.col("end_inclusive").alias("e")), "session_id")
-    last = talk.where("line <= e").groupBy("session_id").agg(F.max_by("role", "line").alias("role"), F.max("line").alias("line"))
+    talk = _talk(entries).join(wanted.select("session_id", F.col("end_inclusive").alias("e")).distinct(), "session_id")
+    last = talk.where("line <= e").groupBy("session_id", F.col("e").alias("end_inclusive")).agg(F.max_by("role", "line").alias("role"), F.max("line").alias("line"))
     before = F.greatest(F.col("user_line") - 1, F.lit(0))
     s, e = F.col("start_exclusive"), F.col("end_inclusive")
     joined = wanted.join(pairs, "session_id", "left").groupBy("session_id", "start_exclusive", "end_inclusive").agg(
         F.min(F.when((F.col("user_line") <= s) & (s < F.col("reply")), before)).alias("low"), F.min(F.when((F.col("user_line") <= e) & (e < F.col("reply")), before)).alias("high"))
-    joined = joined.join(last, "session_id", "left")
+    joined = joined.join(last, ["session_id", "end_inclusive"], "left")
     trailing = F.when(F.col("role") == "user", F.greatest(F.col("line") - 1, F.lit(0)))
     start = F.least(s, F.coalesce("low", s))
     end = F.least(e, F.coalesce("high", e), F.coalesce(trailing, e))
-    return joined.select("session_id", start.alias("safe_start"), F.greatest(start, end).alias("safe_end"))
+    return joined.select("session_id", "start_exclusive", "end_inclusive", start.alias("safe_start"), F.greatest(start, end).alias("safe_end"))
 
 
-def packed_uploads(chunks: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
-    """Upload records: consecutive lines of a file together, within both bounds; a line is never split.
+def packed_uploads(chunks: DataFrame, most_rows: int = 500, most_bytes: int = 1 << 20) -> DataFrame:
+    """Upload records of chunks (source_file, line, seq, bytes): consecutive chunks of one consumed line, within both bounds.
 
-    A line's chunks open a new record when they would overflow the last one, so
-    the rule looks at running sums of whole lines, file by file.
+    A record never spans lines. The position of a file moves to a line with the line's
+    last record only; records before it leave the position at the line before. Lines are
+    packed apart from each other, so a file with a million of them is shared out.
     """
-    lines = chunks.groupBy("source_file", "line").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))
-
-    def pack(rows):
-        record, n, b, out = 0, 0, 0, []
-        for r in rows.sort_values("line").itertuples():
-            if n and (n + r.rows > most_rows or b + r.bytes > most_bytes):
-                record, n, b = record + 1, 0, 0
-            n, b = n + r.rows, b + r.bytes
-            out.append((r.source_file, r.line, record, r.rows, r.bytes))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["source_file", "line", "record", "rows", "bytes"])
-
-    return lines.groupBy("source_file").applyInPandas(pack, "source_file string, line long, record long, rows long, bytes long")
+    records = packed(chunks, ["source_file", "line"], [F.col("seq")], "bytes", most_rows, most_bytes)
+    lines = running(chunks.select("source_file", "line").distinct(), ["source_file"], [F.col("line")], {"start_position": ("max", F.col("line"))}, own=False)
+    told = records.join(lines.withColumn("start_position", F.coalesce("start_position", F.lit(0))), ["source_file", "line"])
+    position = F.when(F.col("last"), F.col("line")).otherwise(F.col("start_position"))
+    return told.select("source_file", "line", "record", "rows", F.col("size").alias("bytes"), "start_position", position.alias("position"), F.col("last").alias("final_fragment"), "oversize")

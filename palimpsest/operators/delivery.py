@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunking import paired, safe_interval
 
-def expanded(lines: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Lines (file, line) of widened intervals (file, start, consumed, safe_end): start < line <= safe_end.
 
-    An interval that would go back (safe_end before start) gives no line but one
-    row with the reason in ``error``.
+def expanded(entries: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Units (file, user_line, line) that intervals (session_id, start_exclusive, end_inclusive) hand on, and where each then ends.
+
+    The end is drawn back before a pair that crosses it and before a user that still waits
+    there, so consecutive intervals, each from the safe end of the one before, hand on every
+    pair once and whole. A pair that crosses the start is read from its user on. An
+    interval that would go back (its end before its start) gives no unit but one row
+    with the reason in ``error``.
     """
-    back = F.col("safe_end") < F.col("start")
-    good = intervals.where(~back).select("file", "start", "safe_end")
-    read = lines.join(good, "file").where((F.col("line") > F.col("start")) & (F.col("line") <= F.col("safe_end")))
-    told = intervals.where(back).select("file", F.lit(None).cast("long").alias("line"), F.lit("regressive boundary").alias("error"))
-    return read.select("file", "line", F.lit(None).cast("string").alias("error")).unionByName(told)
+    back = F.col("end_inclusive") < F.col("start_exclusive")
+    safe = safe_interval(entries, intervals.where(~back))
+    pairs = paired(entries).select("session_id", "user_line", F.col("assistant_line").alias("line"))
+    read = safe.join(pairs, "session_id").where((F.col("line") > F.col("start_exclusive")) & (F.col("line") <= F.col("safe_end")))
+    no_line, no_text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    told = intervals.where(back).select(F.col("session_id").alias("file"), no_line.alias("user_line"), no_line.alias("line"), no_line.alias("safe_end"), F.lit("regressive boundary").alias("error"))
+    return read.select(F.col("session_id").alias("file"), "user_line", "line", "safe_end", no_text.alias("error")).unionByName(told)
 
 
 def delivered(records: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ disks do.)
 * A merge folds deltas into the table. Rows that lost are listed as dead beside their file; only
   files with a large dead share, and small files, are rewritten. Rewritten rows are ordered
   by interleaved places of the ``cluster`` columns, so filters on either of them skip row groups.
+* Side tables live below the same path and in the same versions, so that a batch and, say, the
+  position up to which its source was read come into force together or not at all.
 * Vacuum removes versions beyond the last few and the files that none of them names.
 """
 
@@ -53,8 +55,8 @@ class Merged:
 class MergeTable:
     """Rows by ``keys``; of a key the row with the greatest ``order`` counts. Orders begin with "__" unless they are columns of the table."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = ("id",), order: tuple[str, ...] = ("__batch", "__seq"), cluster: tuple[str, ...] = (), target: int = TARGET):
-        self.spark, self.path, self.keys, self.order, self.cluster, self.target = spark, path.rstrip("/"), list(keys), list(order), list(cluster), target
+    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = ("id",), order: tuple[str, ...] = ("__batch", "__seq"), cluster: tuple[str, ...] = (), target: int = TARGET, side: str = ""):
+        self.spark, self.path, self.keys, self.order, self.cluster, self.target, self.side = spark, path.rstrip("/"), list(keys), list(order), list(cluster), target, side
 
     # --- versions ---
 
@@ -64,7 +66,7 @@ class MergeTable:
     def version(self, n: int | None = None) -> dict:
         versions = self.versions()
         if not versions:
-            return {"n": -1, "batch": -1, "schema": None, "files": [], "dead": []}
+            return {"n": -1, "batch": -1, "schemas": {}, "files": [], "dead": []}
         return json.loads(read_text(self.spark, f"{self.path}/log/{versions[-1] if n is None else n}.json"))
 
     def _commit(self, before: dict, **changes) -> None:
@@ -87,14 +89,15 @@ class MergeTable:
         whole = self._scan([f for f in files if not f["dead"]], schema)
         if not marred:
             return whole
-        dead = self.spark.read.parquet(*[f"{self.path}/dead/{d}" for d in v["dead"]])
+        dead = self.spark.read.parquet(*[f"{self.path}/dead/{d['name']}" for d in v["dead"] if d["side"] == self.side])
         if sum(f["dead"] for f in marred) <= BROADCAST_ROWS:
             dead = F.broadcast(dead.where(F.col("__file").isin([f["file"].rsplit("/", 1)[1] for f in marred])))
         return whole.unionByName(self._scan(marred, schema).join(dead, ["__file", *self.keys], "left_anti"))
 
     def _split(self, v: dict) -> tuple[list[dict], list[dict], list[dict]]:
         """Merged files that the deltas can't meet, those that they can, and the deltas."""
-        deltas, merged = [f for f in v["files"] if f["delta"]], [f for f in v["files"] if not f["delta"]]
+        own = [f for f in v["files"] if f["side"] == self.side]
+        deltas, merged = [f for f in own if f["delta"]], [f for f in own if not f["delta"]]
         meets = [any(f["low"] <= d["high"] and d["low"] <= f["high"] for d in deltas) for f in merged]
         return [f for f, m in zip(merged, meets, strict=True) if not m], [f for f, m in zip(merged, meets, strict=True) if m], deltas
 
@@ -113,9 +116,9 @@ class MergeTable:
     def read(self, n: int | None = None) -> DataFrame:
         """The table as of a version, the newest by default."""
         v = self.version(n)
-        if v["schema"] is None:
+        if self.side not in v["schemas"]:
             raise FileNotFoundError(f"no table at {self.path}")
-        schema = StructType.fromJson(v["schema"])
+        schema = StructType.fromJson(v["schemas"][self.side])
         far, met, deltas = self._split(v)
         rows = self._live(far + met, v, schema)
         if deltas:
@@ -134,30 +137,51 @@ class MergeTable:
         key = F.concat_ws("\x00", *[F.col(c).cast("string") for c in self.keys])
         held = self.spark.read.parquet(at)
         told = held.groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("low"), F.max(key).alias("high"))
-        return [{"file": f"{folder}/{r['file']}", "bytes": r["bytes"], "rows": r["rows"], "low": r["low"], "high": r["high"], "delta": delta, "dead": 0} for r in told.collect()]
+        return [{"file": f"{folder}/{r['file']}", "bytes": r["bytes"], "rows": r["rows"], "low": r["low"], "high": r["high"], "delta": delta, "dead": 0, "side": self.side} for r in told.collect()]
 
     def upsert(self, batch: DataFrame, number: int | None = None, gone: Column | None = None) -> bool:
         """Insert or update the rows of a batch; of equal keys the greatest ``seq`` wins. False if the batch was there already.
 
         ``gone`` marks rows that delete their key. ``number`` rises with each batch of a stream.
         """
-        v = self.version()
+        return self.write_together([(self, batch)], number, gone)
+
+    @staticmethod
+    def write_together(parts: list[tuple[MergeTable, DataFrame]], number: int | None = None, gone: Column | None = None, whole: list[int] | None = None) -> bool:
+        """Batches for a table and for side tables below the same path, in one version: all of them or none.
+
+        ``whole`` says how many rows each batch must have come to; if it is otherwise,
+        nothing counts. False if the batch was there already.
+        """
+        first = parts[0][0]
+        v = first.version()
         if number is not None and number <= v["batch"]:
             return False
+        schemas, files, rows = dict(v["schemas"]), list(v["files"]), []
+        for table, batch in parts:
+            schemas[table.side], written = table._delta(batch, v, gone)
+            files += written
+            rows.append(sum(f["rows"] for f in written))
+        if whole is not None and whole != rows:
+            raise ValueError(f"{rows} rows were stored, not {whole}")
+        first._commit(v, schemas=schemas, files=files, batch=v["batch"] if number is None else number)
+        return True
+
+    def _delta(self, batch: DataFrame, v: dict, gone: Column | None) -> tuple[dict, list[dict]]:
+        """The schema, and the files that hold the greatest row of each key of a batch."""
         told = {"__batch": F.lit(v["n"] + 1).cast("long"), "__seq": F.col("seq").cast("long") if "seq" in batch.columns else F.lit(0).cast("long"), "__gone": F.lit(False) if gone is None else F.coalesce(gone, F.lit(False))}
         rows = batch.withColumns(told)
         rows = rows.drop(*[c for c in ("seq",) if c in batch.columns and c not in self.order])
         newest = Window.partitionBy(self.keys).orderBy(*[F.col(c).desc_nulls_last() for c in self.order])
         rows = rows.withColumn("__nth", F.row_number().over(newest)).where("__nth = 1").drop("__nth")
-        schema = v["schema"] or json.loads(rows.schema.json())
+        schema = v["schemas"].get(self.side) or json.loads(rows.schema.json())
         rows = rows.select([f.name for f in StructType.fromJson(schema)]).sortWithinPartitions(*self.keys)
-        self._commit(v, schema=schema, files=v["files"] + self._write(rows, True), batch=v["batch"] if number is None else number)
-        return True
+        return schema, self._write(rows, True)
 
     def delete(self, keys: DataFrame) -> bool:
         """Delete the rows with these keys."""
         v = self.version()
-        fields = StructType.fromJson(v["schema"])
+        fields = StructType.fromJson(v["schemas"][self.side])
         rows = keys.select(*self.keys, *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields if f.name not in self.keys and not f.name.startswith("__")])
         return self.upsert(rows, gone=F.lit(True))
 
@@ -166,16 +190,17 @@ class MergeTable:
     def due(self) -> bool:
         """Whether deltas have grown so much that a merge pays."""
         v = self.version()
-        deltas = [f for f in v["files"] if f["delta"]]
-        merged = sum(f["rows"] for f in v["files"] if not f["delta"])
+        own = [f for f in v["files"] if f["side"] == self.side]
+        deltas = [f for f in own if f["delta"]]
+        merged = sum(f["rows"] for f in own if not f["delta"])
         return len({f["file"].split("/")[0] for f in deltas}) > DELTAS or sum(f["rows"] for f in deltas) > SHARE * merged
 
     def merge(self) -> Merged:
         """Fold the deltas in and combine small files; all other files stay as they are."""
         v = self.version()
-        if v["schema"] is None:
+        if self.side not in v["schemas"]:
             return Merged(0, 0, 0, 0, 0)
-        schema = StructType.fromJson(v["schema"])
+        schema = StructType.fromJson(v["schemas"][self.side])
         far, met, deltas = self._split(v)
         name = lambda f: f["file"].rsplit("/", 1)[1]
         lost, rows, counts = None, None, {}
@@ -198,13 +223,14 @@ class MergeTable:
         amount = sum(f["bytes"] for f in old) + sum(f["bytes"] for f in deltas)
         written = self._write(self._clustered(rows, max(1, -(-amount // self.target))), False)
         kept = [f for f in merged if name(f) not in again]
-        dead = list(v["dead"])
+        beside = [f for f in v["files"] if f["side"] != self.side]
+        dead, others = [d for d in v["dead"] if d["side"] == self.side], [d for d in v["dead"] if d["side"] != self.side]
         if lost is not None and any(counts.get(name(f)) for f in kept):
-            dead.append(uuid.uuid4().hex)
-            lost.where(~F.col("__file").isin(sorted(again))).write.parquet(f"{self.path}/dead/{dead[-1]}")
+            dead.append({"name": uuid.uuid4().hex, "side": self.side})
+            lost.where(~F.col("__file").isin(sorted(again))).write.parquet(f"{self.path}/dead/{dead[-1]['name']}")
         if not any(f["dead"] for f in kept):
             dead = []
-        self._commit(v, files=kept + written, dead=dead)
+        self._commit(v, files=beside + kept + written, dead=others + dead)
         return Merged(len(old), sum(f["bytes"] for f in old), len(kept), sum(f["bytes"] for f in kept), sum(f["bytes"] for f in written))
 
     def _clustered(self, rows: DataFrame, files: int) -> DataFrame:
@@ -229,7 +255,7 @@ class MergeTable:
         versions, went = self.versions(), []
         held = [self.version(n) for n in versions[-keep:]]
         files = {f["file"] for v in held for f in v["files"]}
-        dead = {d for v in held for d in v["dead"]}
+        dead = {d["name"] for v in held for d in v["dead"]}
         for n in versions[:-keep]:
             went.append(f"log/{n}.json")
         for folder in names_in(self.spark, f"{self.path}/data"):

@@ -104,11 +104,11 @@ def hashed_vectors(dimension: int) -> Embed:
     return embed
 
 
-def embed_batches(embed: Embed, size: int = 32, retries: int = 2, clean: Callable[[str], str] | None = None, wait: float = 0.5):
+def embed_batches(embed: Embed, size: int = 32, retries: int = 2, clean: Callable[[str], str] | None = None, wait: float = 0.5, some: bool = True):
     """An iterator function (id, content) -> (id, vector): batches, then single texts, then cleaned texts.
 
     What still fails is left out; blank texts are skipped; if a task fails for
-    every text it had, the task fails.
+    every text it had, the task fails, unless ``some`` is false.
     """
 
     def tried(texts: list[str]) -> list[list[float]] | None:
@@ -134,8 +134,8 @@ def embed_batches(embed: Embed, size: int = 32, retries: int = 2, clean: Callabl
                         vectors[i] = one[0] if one else None
                 kept = [v is not None for v in vectors]
                 given += sum(kept)
-                yield pd.DataFrame({"id": part["id"][kept], "vector": [v for v in vectors if v is not None]})
-        if asked and not given:
+                yield pd.DataFrame({"id": part["id"][kept].array, "vector": pd.Series([v for v in vectors if v is not None], dtype=object)})
+        if some and asked and not given:
             raise RuntimeError("no text could be embedded")
 
     return run

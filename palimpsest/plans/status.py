@@ -194,12 +194,21 @@ def snk18(spark, sf_dir):
     return rollups.exposition(s).select("name", F.substring_index("text", "\n", -2).alias("text"))
 
 
-@query("stm08_upload_packing")
+_FRAGMENTS = """c AS (SELECT '/logs/m' || (doc_id % 3) AS f, doc_id % 50 + 1 AS line, doc_id AS seq, strlen(text) AS b, row_number() OVER (PARTITION BY doc_id % 3, doc_id % 50 ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT f, line, i, b, 1 AS rows, b AS bytes, 0 AS record FROM c WHERE i = 1 UNION ALL
+      SELECT c.f, c.line, c.i, c.b, CASE WHEN r.rows + 1 > 8 OR r.bytes + c.b > 16384 THEN 1 ELSE r.rows + 1 END, CASE WHEN r.rows + 1 > 8 OR r.bytes + c.b > 16384 THEN c.b ELSE r.bytes + c.b END,
+             CASE WHEN r.rows + 1 > 8 OR r.bytes + c.b > 16384 THEN r.record + 1 ELSE r.record END FROM r JOIN c ON c.f = r.f AND c.line = r.line AND c.i = r.i + 1),
+l AS (SELECT f, line, coalesce(lag(line) OVER (PARTITION BY f ORDER BY line), 0) AS before FROM (SELECT DISTINCT f, line FROM c))"""
+
+
+@query("stm08_upload_packing", f"WITH RECURSIVE {_FRAGMENTS}, g AS (SELECT f, line, CAST(record AS BIGINT) AS record, max(rows) AS n, CAST(max(bytes) AS BIGINT) AS bytes, max(record) OVER (PARTITION BY f, line) = record AS last FROM r GROUP BY f, line, record) SELECT f AS source_file, line, record, CAST(n AS BIGINT) AS rows, bytes, before AS start_position, CASE WHEN last THEN line ELSE before END AS position, last AS final_fragment, bytes > 16384 AS oversize FROM g JOIN l USING (f, line)")
 def stm08(spark, sf_dir):
+    """Documents as chunks of some lines of three logs, in records of at most eight chunks and 16 KiB."""
     from ..operators.chunking import packed_uploads
 
-    c = T.chunks(spark, sf_dir).select("source_file", F.col("source_line").alias("line"), F.octet_length("content").cast("long").alias("bytes"))
-    return packed_uploads(c, 500, 1 << 20)
+    n = F.col("doc_id")
+    c = T.table(spark, sf_dir, "documents").select(F.concat(F.lit("/logs/m"), (n % 3).cast("string")).alias("source_file"), (n % 50 + 1).alias("line"), n.alias("seq"), F.octet_length("text").cast("long").alias("bytes"))
+    return packed_uploads(c, 8, 1 << 14)
 
 
 @query("jsn01_body_size_and_hash", "SELECT doc_id, strlen(text) AS bytes, sha256(text) AS digest FROM documents")

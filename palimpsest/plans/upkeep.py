@@ -16,6 +16,7 @@ from ..paths import scratch, write_text
 from ..schema import CHUNKS
 from ..sources import discovery, readers
 from ..streaming import cursors, jobs
+from ..streaming import delivery as delivery_jobs
 from ..streaming.source import AppendedLines
 from . import tables as T
 from .registry import query
@@ -176,34 +177,66 @@ def cch01(spark, sf_dir):
 
 # --- delivery ---
 
-_IV = "iv AS (SELECT 'c' || conv_id AS file, CAST(conv_id % 3 AS BIGINT) AS s, CAST(CASE WHEN conv_id % 11 = 0 THEN conv_id % 3 - 1 ELSE conv_id % 3 + 4 END AS BIGINT) AS e FROM (SELECT DISTINCT conv_id FROM conversations))"
+_IV = f"""WITH {E}, p AS (SELECT session_id AS file, uline AS user_line, line FROM (SELECT *, lag(role) OVER w AS prev, lag(line) OVER w AS uline FROM entries WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY session_id ORDER BY line)) WHERE role = 'assistant' AND prev = 'user'),
+iv AS (SELECT 'c' || conv_id AS file, CAST(conv_id * 7 % 5 AS BIGINT) AS s, CAST(CASE WHEN conv_id % 11 = 0 THEN conv_id * 7 % 5 - 1 ELSE conv_id * 7 % 5 + conv_id % 6 END AS BIGINT) AS e FROM (SELECT DISTINCT conv_id FROM conversations)),
+h AS (SELECT file, arg_max(role, line) AS role, max(line) AS line FROM iv JOIN entries ON session_id = file AND line <= e WHERE role IN ('user', 'assistant') GROUP BY file),
+x AS (SELECT file, s, e, least(s, min(greatest(user_line - 1, 0)) FILTER (user_line <= s AND s < line)) AS safe_start, least(e, min(greatest(user_line - 1, 0)) FILTER (user_line <= e AND e < line)) AS paired_end FROM iv LEFT JOIN p USING (file) WHERE e >= s GROUP BY file, s, e),
+y AS (SELECT file, s, greatest(safe_start, least(paired_end, CASE WHEN role = 'user' THEN h.line - 1 ELSE e END)) AS safe_end FROM x LEFT JOIN h USING (file))"""
 
 
-@query("stm07_expanded_intervals", f"WITH {E}, {_IV} SELECT file, line, NULL::VARCHAR AS error FROM iv JOIN entries ON session_id = file WHERE e >= s AND line > s AND line <= e UNION ALL SELECT file, NULL, 'regressive boundary' FROM iv WHERE e < s")
+@query("stm07_expanded_intervals", f"{_IV} SELECT file, user_line, line, safe_end, NULL::VARCHAR AS error FROM y JOIN p USING (file) WHERE line > s AND line <= safe_end UNION ALL SELECT file, NULL, NULL, NULL, 'regressive boundary' FROM iv WHERE e < s")
 def stm07(spark, sf_dir):
+    """Boundaries anywhere in the conversations: no pair is split."""
     n = F.col("conv_id")
     wanted = T.table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    wanted = wanted.select(F.concat(F.lit("c"), n.cast("string")).alias("file"), (n % 3).cast("long").alias("start"), F.when(n % 11 == 0, n % 3 - 1).otherwise(n % 3 + 4).cast("long").alias("safe_end"))
-    return delivery.expanded(_lines(spark, sf_dir), wanted)
+    start = n * 7 % 5
+    wanted = wanted.select(F.concat(F.lit("c"), n.cast("string")).alias("session_id"), start.cast("long").alias("start_exclusive"), F.when(n % 11 == 0, start - 1).otherwise(start + n % 6).cast("long").alias("end_inclusive"))
+    return delivery.expanded(T.entries(spark, sf_dir), wanted)
 
 
-_OUTCOME = "CASE WHEN event_id % 4001 = 4000 THEN 'down' WHEN event_id % 389 = 17 THEN 'blocked' ELSE 'ok' END"
+@query("stm09_ordered_delivery", "WITH r AS (SELECT 'f' || (user_id % 40) AS file, event_id AS seq FROM events) SELECT file, seq, CASE WHEN seq % 389 = 17 THEN 3 ELSE 1 END AS tries FROM (SELECT *, min(seq) FILTER (seq % 997 = 5) OVER (PARTITION BY file) AS stuck FROM r) WHERE stuck IS NULL OR seq < stuck")
+def stm09(spark, sf_dir):
+    """Two runs: in the first the server is down from the middle record on, the second goes on from its state.
 
+    Some records are blocked twice, some for ever; the latter hold up their own files only.
+    """
+    e = T.table(spark, sf_dir, "events").select(F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string")).alias("file"), F.col("event_id").alias("seq"))
+    middle = e.agg(F.max("seq")).first()[0] // 2
+    inbox, (target, offsets) = scratch(spark, "outbox"), jobs.places(spark, "delivered")
 
-@query("stm09_ordered_delivery", f"WITH r AS (SELECT 'f' || (user_id % 200) AS file, event_id AS seq, {_OUTCOME} AS outcome FROM events) SELECT file, seq, coalesce(seq < min(seq) FILTER (outcome = 'blocked') OVER (PARTITION BY file), true) AND coalesce(seq < min(seq) FILTER (outcome = 'down') OVER (), true) AS delivered FROM r")
-def stm09(spark, sf_dir):
-    n = F.col("event_id")
-    e = T.table(spark, sf_dir, "events").select(F.concat(F.lit("f"), (F.col("user_id") % 200).cast("string")).alias("file"), n.alias("seq"), F.when(n % 4001 == 4000, "down").when(n % 389 == 17, "blocked").otherwise("ok").alias("outcome"))
-    return delivery.delivered(e).select("file", "seq", "delivered")
+    def sender(down_from):
+        def send(file: str, seq: int, tries: int) -> str:
+            if seq >= down_from:
+                return "down"
+            return "blocked" if seq % 997 == 5 or (seq % 389 == 17 and tries < 3) else "ok"
+
+        return send
+
+    for part, down_from in ((F.col("seq") <= middle, middle // 2), (F.col("seq") > middle, 2**62)):
+        e.where(part).write.mode("append").parquet(inbox)
+        delivery_jobs.deliver_to(spark.readStream.schema(e.schema).parquet(inbox), target, offsets, sender(down_from), partitions=4)
+    return spark.read.schema("file string, seq long, tries int").parquet(target)
+
+
+def _embedding_that_fails(texts: list[str]) -> list[list[float]]:
+    if any("unreadable" in t for t in texts):
+        raise ValueError("a text can't be embedded")
+    return store.hashed_vectors(16)(texts)
 
 
-@query("stm10_acknowledged_uploads", "WITH u AS (SELECT event_type AS file, event_id // 50 AS upload, max(event_id) AS e, count(*) AS n, count(*) FILTER (event_id % 503 <> 7) AS m FROM events GROUP BY ALL) SELECT file, greatest(0, coalesce(max(e) FILTER (n = m), 0)) AS position FROM u GROUP BY 1")
+@query("stm10_snk17_acknowledged_uploads", "WITH u AS (SELECT event_type AS file, event_id // 50 AS upload, max(event_id) AS e, count(*) AS n, count(*) FILTER (event_id % 503 <> 7) AS m FROM events GROUP BY ALL) SELECT file, max(e) AS position, CAST(sum(n) AS BIGINT) AS stored, CAST(sum(n) AS BIGINT) AS embedded FROM u WHERE n = m GROUP BY file")
 def stm10(spark, sf_dir):
-    n = F.col("event_id")
+    """Uploads with a text that can't be embedded leave nothing behind and don't move their file."""
     e = T.table(spark, sf_dir, "events").select(F.col("event_type").alias("file"), F.expr("event_id div 50").alias("upload"), "event_id")
-    counts = e.groupBy("file", "upload").agg(F.max("event_id").alias("end"), F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("received"), F.count_if(n % 503 != 7).alias("embedded"), F.count(F.lit(1)).alias("stored"))
-    start = e.select("file", F.lit(0).cast("long").alias("position")).distinct()
-    return delivery.advanced(start, delivery.acknowledged(counts))
+    counts = e.groupBy("file", "upload").agg(F.max("event_id").alias("end"), F.count(F.lit(1)).alias("n"))
+    inbox, (target, offsets) = scratch(spark, "uploads"), jobs.places(spark, "acknowledged")
+    content = F.when(F.col("event_id") % 503 == 7, "unreadable").otherwise(F.concat(F.lit("event "), F.col("event_id").cast("string")))
+    rows = e.join(counts, ["file", "upload"]).select("upload", "file", "end", "n", F.col("event_id").cast("string").alias("id"), content.alias("content"))
+    rows.repartition(4, "upload").write.parquet(inbox)  # an upload is one request: its chunks are in one file
+    delivery_jobs.uploads_to(spark.readStream.schema(rows.schema).parquet(inbox), target, offsets, _embedding_that_fails)
+    chunks, cursors = delivery_jobs.upload_tables(spark, target)
+    held = chunks.read().groupBy("file").agg(F.count(F.lit(1)).alias("stored"), F.count("vector").alias("embedded"))
+    return cursors.read().join(held, "file").select("file", "position", "stored", "embedded")
 
 
 @query("stm01_stm02_appended_lines", f"WITH {E} SELECT count(*) AS n, count(DISTINCT session_id) AS sessions, max(line) AS longest FROM entries")

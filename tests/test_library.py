@@ -147,15 +147,6 @@ def test_config_ignores_bad_values(monkeypatch):
     assert (c.search_limit, c.cache_seconds, c.rrf_k) == (7, 300.0, 60)
 
 
-def test_upload_packing_never_splits_a_line(spark):
-    rows = [("f", i // 3, 40) for i in range(30)]
-    packed = chunking.packed_uploads(spark.createDataFrame(rows, "source_file string, line long, bytes long"), 7, 300).collect()
-    by: dict = {}
-    for r in packed:
-        by.setdefault(r["record"], []).append(r)
-    assert len(packed) == 10 and all(sum(x["rows"] for x in v) <= 7 and sum(x["bytes"] for x in v) <= 300 for v in by.values())
-
-
 def test_appended_lines_are_paired_across_batches(spark, tmp_path):
     import json
 

@@ -33,12 +33,6 @@ def test_acknowledgement_is_all_or_nothing(spark):
     assert {tuple(r) for r in delivery.advanced(now, delivery.acknowledged(up)).collect()} == {("a", 5), ("b", 7), ("c", 0)}
 
 
-def test_regressive_intervals_are_errors(spark):
-    lines = spark.createDataFrame([("a", i) for i in range(1, 8)] + [("b", 1)], "file string, line long")
-    wanted = spark.createDataFrame([("a", 2, 4), ("b", 3, 1)], "file string, start long, safe_end long")
-    assert {tuple(r) for r in delivery.expanded(lines, wanted).collect()} == {("a", 3, None), ("a", 4, None), ("b", None, "regressive boundary")}
-
-
 def test_cursor_state_survives_a_failed_save(spark, tmp_path):
     state = CursorFile(spark, str(tmp_path / "state"))
     assert state.load() == {}
