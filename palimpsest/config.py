@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, fields
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .functions import fixed
 
 
@@ -35,3 +38,14 @@ class Config:
             if value is not None and (kind is bool or value >= 0):
                 found[f.name] = value
         return cls(**found)
+
+
+def setting(name: Column, raw: Column) -> Column:
+    """The value of a reported setting as text: ``raw`` read as its field wants, else the field's default."""
+    value = F.lit(None).cast("string")
+    for f in fields(Config):
+        kind = type(f.default)
+        number = raw.try_cast("double" if kind is float else "bigint")
+        read = F.when(F.lower(raw).isin("1", "true", "yes"), "True").otherwise("False") if kind is bool else F.when(number >= 0, number.cast("string")).otherwise(str(f.default))
+        value = F.when(name == f.name, read).otherwise(value)
+    return value

@@ -278,6 +278,14 @@ def similarity(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
+def alike(a: str, b: str, least: float, equal: bool) -> bool:
+    """Whether the ratio exceeds ``least`` (or equals it); cheap upper bounds settle most pairs."""
+    if not a or not b:
+        return False
+    matcher = difflib.SequenceMatcher(None, a, b)
+    return all(r() >= least if equal else r() > least for r in (matcher.real_quick_ratio, matcher.quick_ratio, matcher.ratio))
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -40,26 +40,26 @@ class VersionedStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self._held = MergeTable(spark, f"{path}/table", cluster=("project_name", "timestamp"))
+        self.held = MergeTable(spark, f"{path}/table", cluster=("project_name", "timestamp"))
         self._index = TextIndex(spark, f"{path}/text-index")
 
     def table(self) -> DataFrame:
-        return self._held.read()
+        return self.held.read()
 
     def append(self, batch: DataFrame) -> None:
         self.upsert(batch)
 
     def upsert(self, batch: DataFrame) -> None:
-        self._held.upsert(batch)
+        self.held.upsert(batch)
         if self._index.exists():  # the rows of the batch as they are in the table now, so of equal ids the last
             self._index.add(self.table().join(batch.select("id").distinct(), "id", "left_semi"))
-        if self._held.due():
+        if self.held.due():
             self.optimise()
 
     def optimise(self) -> Merged:
         """Fold small writes in and drop what no recent version names."""
-        done = self._held.merge()
-        self._held.vacuum()
+        done = self.held.merge()
+        self.held.vacuum()
         if self._index.exists():
             self._index.vacuum()
         return done
@@ -70,7 +70,7 @@ class VersionedStore:
         if n:
             if self._index.exists():
                 self._index.remove(ids)
-            self._held.delete(ids)
+            self.held.delete(ids)
         return n
 
     def delete_machine(self, machine: str) -> int:
@@ -88,7 +88,7 @@ class VersionedStore:
     def backfill(self, embed: store.Embed) -> None:
         """Only chunks that get a vector are written."""
         found = store.backfill(self.table().where("vector IS NULL"), embed).where("vector IS NOT NULL")
-        self._held.upsert(found)
+        self.held.upsert(found)
 
     def statistics(self) -> DataFrame:
         return store.statistics(self.table())

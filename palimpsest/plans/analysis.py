@@ -33,7 +33,7 @@ a1 AS (SELECT *, {_TECH_LIST} AS techs, {_COUNTS} FROM a0),
 a2 AS (SELECT *, {_MOST} AS most FROM a1),
 a3 AS (SELECT *, {_INTENT} AS intent FROM a2),
 a4 AS (SELECT *, CASE WHEN most = 0 THEN 0.3 ELSE least(1.0, 0.4 + most / CAST({_PATTERNS} AS DOUBLE) * 0.6) END AS sure, {_TECH_WORDS} AS tech_words,
-       regexp_extract_all(q, '\\b[a-zA-Z][a-zA-Z0-9_-]*\\b') AS ws,
+       list_filter(regexp_extract_all(regexp_replace(q, '[^\\x00-\\x7F\\pP\\pS\\pZ\\pC]', 'zqz', 'g'), '\\b[a-zA-Z][a-zA-Z0-9_-]*\\b'), lambda w: NOT contains(w, 'zqz')) AS ws,
        list_transform(list_filter(regexp_split_to_array(question, '\\s+'), lambda w: w <> ''), lambda w: rtrim(w, '.,;:!?')) AS fw FROM a3),
 a5 AS (SELECT *, list_filter(ws, lambda w: NOT list_contains(tech_words, w) AND (list_contains({texts(fixed.SHORT_TERMS)}, w) OR (NOT list_contains({texts(fixed.STOP_WORDS)}, w) AND length(w) > 2))) AS kw,
        list_filter(fw, lambda w: {_ANY_END.format('w')} OR ((contains(w, '/') OR contains(w, chr(92))) AND {_ANY_IN.format('w')})) AS f1, {_FOUND} AS f2 FROM a4),
@@ -44,43 +44,43 @@ analysis AS (SELECT qid, question, q, CASE WHEN q = '' THEN '{fixed.DEFAULT_INTE
             + CASE WHEN intent <> '{fixed.DEFAULT_INTENT}' THEN 0.2 ELSE 0 END) END AS confidence FROM a6)"""
 
 
-def _analysis(spark):
-    return analyze.analysis(tables.questions(spark))
+def _analysis(spark, sf_dir):
+    return analyze.analysis(tables.questions(spark, sf_dir))
 
 
 @query("anl01_analyze", f"WITH {ANALYSIS_SQL} SELECT qid, intent, array_to_string(techs, ',') AS techs, array_to_string(terms, ',') AS terms, array_to_string(files, ',') AS files, about_files, round(confidence, 9) AS confidence FROM analysis")
 def anl01(spark, sf_dir):
-    return _analysis(spark).select("qid", "intent", *[F.array_join(c, ",").alias(c) for c in ("techs", "terms", "files")], "about_files", F.round("confidence", 9).alias("confidence"))
+    return _analysis(spark, sf_dir).select("qid", "intent", *[F.array_join(c, ",").alias(c) for c in ("techs", "terms", "files")], "about_files", F.round("confidence", 9).alias("confidence"))
 
 
 @query("str25_intent", f"WITH {ANALYSIS_SQL} SELECT qid, intent, round(CASE WHEN q = '' THEN 0.3 ELSE sure END, 9) AS sure FROM analysis")
 def str25(spark, sf_dir):
-    return _analysis(spark).select("qid", "intent", F.round("sure", 9).alias("sure"))
+    return _analysis(spark, sf_dir).select("qid", "intent", F.round("sure", 9).alias("sure"))
 
 
 @query("str26_intent_patterns", "WITH " + tables.QUESTIONS_SQL + ", p(intent, ord, pattern) AS (VALUES " + ", ".join(f"('{i}', {k}, {text(p)})" for i, ps in fixed.INTENT_PATTERNS.items() for k, p in enumerate(ps)) + ") SELECT qid, intent, CAST(count(*) AS BIGINT) AS n FROM questions, p WHERE regexp_matches(lower(question), pattern) GROUP BY ALL")
 def str26(spark, sf_dir):
-    return analyze.matching_patterns(tables.questions(spark)).groupBy("qid", "intent").agg(F.count(F.lit(1)).alias("n"))
+    return analyze.matching_patterns(tables.questions(spark, sf_dir)).groupBy("qid", "intent").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("jon11_str27_technologies", f"WITH {ANALYSIS_SQL} SELECT qid, unnest(techs) AS technology FROM analysis")
 def jon11(spark, sf_dir):
-    return _analysis(spark).select("qid", F.explode("techs").alias("technology"))
+    return _analysis(spark, sf_dir).select("qid", F.explode("techs").alias("technology"))
 
 
 @query("str23_set04_key_terms", f"WITH {ANALYSIS_SQL} SELECT qid, len(terms) AS n, array_to_string(terms, ' ') AS terms FROM analysis")
 def str23(spark, sf_dir):
-    return _analysis(spark).select("qid", F.size("terms").cast("long").alias("n"), F.array_join("terms", " ").alias("terms"))
+    return _analysis(spark, sf_dir).select("qid", F.size("terms").cast("long").alias("n"), F.array_join("terms", " ").alias("terms"))
 
 
 @query("str24_file_references", f"WITH {ANALYSIS_SQL} SELECT qid, unnest(files) AS file FROM analysis")
 def str24(spark, sf_dir):
-    return _analysis(spark).select("qid", F.explode("files").alias("file"))
+    return _analysis(spark, sf_dir).select("qid", F.explode("files").alias("file"))
 
 
 @query("str28_confidence", f"WITH {ANALYSIS_SQL} SELECT intent, count(*) AS n, round(avg(confidence), 9) AS confidence FROM analysis GROUP BY intent")
 def str28(spark, sf_dir):
-    return _analysis(spark).groupBy("intent").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 9).alias("confidence"))
+    return _analysis(spark, sf_dir).groupBy("intent").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 9).alias("confidence"))
 
 
 _SUGGEST = """list_filter([CASE WHEN len(techs) = 0 THEN q || ' python' END, CASE WHEN len(techs) = 0 THEN q || ' implementation' END,
@@ -91,7 +91,7 @@ _SUGGEST = """list_filter([CASE WHEN len(techs) = 0 THEN q || ' python' END, CAS
 
 @query("str29_refinements", f"WITH {ANALYSIS_SQL} SELECT qid, array_to_string({_SUGGEST}, '|') AS suggestions FROM analysis")
 def str29(spark, sf_dir):
-    return _analysis(spark).select("qid", F.array_join(analyze.refinements(), "|").alias("suggestions"))
+    return _analysis(spark, sf_dir).select("qid", F.array_join(analyze.refinements(), "|").alias("suggestions"))
 
 
 # --- evaluation of the hybrid results for one question, under the analysis of each ---
@@ -110,7 +110,7 @@ e AS (SELECT qid, any_value(intent) AS intent, any_value(techs) AS techs, count(
 
 
 def _marks(spark, sf_dir):
-    return evaluate.marked(_analysis(spark).where("q <> ''"), hybrid(spark, sf_dir))
+    return evaluate.marked(_analysis(spark, sf_dir).where("q <> ''"), hybrid(spark, sf_dir))
 
 
 @query("mth06_mth07_result_scores", f"WITH {ANALYSIS_SQL}, {HYBRID_SQL}, {SCORED_SQL} SELECT qid, id, round(mark, 9) AS mark FROM marks")
@@ -143,8 +143,7 @@ def evl02(spark, sf_dir):
 
 @query("syn01_synthesize")
 def syn01(spark, sf_dir):
-    asked = _analysis(spark).where("qid < 6")
-    results = asked.select("qid", "techs", "terms").crossJoin(F.broadcast(hybrid(spark, sf_dir)))  # ten results
+    results = _analysis(spark, sf_dir).select("qid", "techs", "terms").crossJoin(F.broadcast(hybrid(spark, sf_dir)))  # ten results
     return synthesize.synthesized(results)
 
 

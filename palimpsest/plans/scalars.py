@@ -1,4 +1,4 @@
-"""Scalar functions over documents and small fixed tables."""
+"""Scalar functions over documents, pages and events, and over rows that documents make of templates."""
 
 from __future__ import annotations
 
@@ -19,12 +19,12 @@ def _docs(spark, sf_dir):
     return T.table(spark, sf_dir, "documents")
 
 
-_PATHS = [(0, "-Users-ann-projects-app"), (1, "plain"), (2, "-a-..-b"), (3, "--double"), (4, ""), (5, "-home-x-y_z")]
+_PATHS = [(0, "-Users-ann-projects-§"), (1, "§"), (2, "-a-..-§"), (3, "--double§"), (4, ""), (5, "-home-§-y_z")]
 
 
-@query("prj01_prj02_project_path", f"WITH {T.values_sql('p', 'i, d', _PATHS)}, r AS (SELECT i, CASE WHEN contains(d, '..') THEN '/invalid/path' ELSE '/' || replace(regexp_replace(d, '^-', ''), '-', '/') END AS path FROM p) SELECT i, path, list_extract(string_split(regexp_replace(path, '/+$', ''), '/'), -1) AS name FROM r")
+@query("prj01_prj02_project_path", f"WITH {T.varied_sql('p', 'i, d', _PATHS)}, r AS (SELECT i, CASE WHEN contains(d, '..') THEN '/invalid/path' ELSE '/' || replace(regexp_replace(d, '^-', ''), '-', '/') END AS path FROM p) SELECT i, path, list_extract(string_split(regexp_replace(path, '/+$', ''), '/'), -1) AS name FROM r")
 def prj01(spark, sf_dir):
-    p = T.values(spark, "i, d", _PATHS).select("i", tx.project_path(F.col("d")).alias("path"))
+    p = T.varied(spark, sf_dir, "i, d", _PATHS).select("i", tx.project_path(F.col("d")).alias("path"))
     return p.select("i", "path", tx.last_component(F.col("path")).alias("name"))
 
 
@@ -34,43 +34,43 @@ def prj02(spark, sf_dir):
 
 
 _FILES = [
-    (0, "/logs/rollout-2026-01-01T00-00-00-0F8FAD5B-D9CB-469F-A165-70867728950E.jsonl"), (1, "/logs/short.jsonl"), (2, "/x/tmp/abc/chats/s.json"), (3, "/y/brain/sess9/logs/t.jsonl"),
-    (4, "/y/brain"), (5, "/tmp/zzz/logs.json"), (6, "/q/r.name.with.dots.jsonl"),
+    (0, "/logs/rollout-2026-01-01T00-00-00-0F8FAD5B-D9CB-469F-A165-70867728950E.jsonl"), (1, "/logs/short§.jsonl"), (2, "/x/tmp/abc§/chats/s.json"), (3, "/y/brain/§/logs/t.jsonl"),
+    (4, "/y/brain"), (5, "/tmp/§/logs.json"), (6, "/q/r.name.§.dots.jsonl"),
 ]
 _STEM = "regexp_replace(list_extract(string_split(f, '/'), -1), '(.)\\.[^.]*$', '\\1')"
 
 
-@query("prj07_prj09_prj11_names_from_paths", f"WITH {T.values_sql('p', 'i, f', _FILES)}, s AS (SELECT i, f, {_STEM} AS stem, string_split(f, '/') AS parts FROM p) SELECT i, CASE WHEN regexp_full_match(right(stem, 36), '[0-9a-fA-F-]{{36}}') THEN lower(right(stem, 36)) END AS codex, coalesce(parts[list_position(parts, 'tmp') + 1], 'unknown') AS gemini, coalesce(CASE WHEN list_position(parts, 'brain') > 0 THEN parts[list_position(parts, 'brain') + 1] END, stem) AS antigravity FROM s")
+@query("prj07_prj09_prj11_names_from_paths", f"WITH {T.varied_sql('p', 'i, f', _FILES)}, s AS (SELECT i, f, {_STEM} AS stem, string_split(f, '/') AS parts FROM p) SELECT i, CASE WHEN regexp_full_match(right(stem, 36), '[0-9a-fA-F-]{{36}}') THEN lower(right(stem, 36)) END AS codex, coalesce(parts[list_position(parts, 'tmp') + 1], 'unknown') AS gemini, coalesce(CASE WHEN list_position(parts, 'brain') > 0 THEN parts[list_position(parts, 'brain') + 1] END, stem) AS antigravity FROM s")
 def prj07(spark, sf_dir):
     f = F.col("f")
     stem = tx.stem(f)
-    p = T.values(spark, "i, f", _FILES)
+    p = T.varied(spark, sf_dir, "i, f", _FILES)
     return p.select(
         "i", F.lower(F.nullif(F.regexp_extract(stem, "([0-9a-fA-F-]{36})$", 1), F.lit(""))).alias("codex"),
         tx.component_after(f, "tmp", F.lit("unknown")).alias("gemini"), tx.component_after(f, "brain", stem).alias("antigravity"),
     )
 
 
-_EVENTS = [(0, "user", "MSG", "done", "hello", None), (1, None, "TOOL", None, None, "hm"), (2, "model", None, "ok", "", "")]
+_EVENTS = [(0, "user", "MSG", "done", "hello §", None), (1, None, "TOOL §", None, None, "hm"), (2, "model", None, "ok", "", "§")]
 
 
-@query("prj12_event_text", f"""WITH {T.values_sql('e', 'i, source, kind, status, content, thinking', _EVENTS)} SELECT i, concat_ws(chr(10) || chr(10), 'Source: ' || coalesce(source, 'unknown'), 'Type: ' || coalesce(kind, 'unknown'), 'Status: ' || coalesce(status, 'unknown'),
+@query("prj12_event_text", f"""WITH {T.varied_sql('e', 'i, author, kind, status, content, thinking', _EVENTS)} SELECT i, concat_ws(chr(10) || chr(10), 'Source: ' || coalesce(author, 'unknown'), 'Type: ' || coalesce(kind, 'unknown'), 'Status: ' || coalesce(status, 'unknown'),
 CASE WHEN content <> '' THEN 'Content:' || chr(10) || content END, CASE WHEN thinking <> '' THEN 'Thinking:' || chr(10) || thinking END) AS text FROM e""")
 def prj12(spark, sf_dir):
     from ..sources import readers
 
-    return T.values(spark, "i, source, type, status, content, thinking", _EVENTS).select("i", readers.event_text(F.lit(None).cast("string")).alias("text"))
+    return T.varied(spark, sf_dir, "i, source, type, status, content, thinking", _EVENTS).select("i", readers.event_text(F.lit(None).cast("string")).alias("text"))
 
 
-_ROLES = [(0, "Human"), (1, "user"), (2, "ASSISTANT"), (3, "claude"), (4, "system"), (5, None)]
+_ROLES = [(0, "Human"), (1, "user"), (2, "ASSISTANT"), (3, "claude"), (4, "System§"), (5, None)]
 
 
-@query("prj08_prj15_prj16_roles", f"WITH {T.values_sql('r', 'i, role', _ROLES)} SELECT i, lower(coalesce(role, '')) AS plain, CASE WHEN lower(role) IN ('human', 'user') THEN 'user' WHEN lower(role) IN ('assistant', 'claude') THEN 'assistant' ELSE lower(coalesce(role, 'unknown')) END AS role, coalesce(nullif(role, ''), '/unknown') AS project FROM r")
+@query("prj08_prj15_prj16_roles", f"WITH {T.varied_sql('r', 'i, role', _ROLES)} SELECT i, lower(coalesce(role, '')) AS plain, CASE WHEN lower(role) IN ('human', 'user') THEN 'user' WHEN lower(role) IN ('assistant', 'claude') THEN 'assistant' ELSE lower(coalesce(role, 'unknown')) END AS role, coalesce(nullif(role, ''), '/unknown') AS project FROM r")
 def prj15(spark, sf_dir):
     from ..sources import readers
 
     r = F.col("role")
-    return T.values(spark, "i, role", _ROLES).select("i", F.lower(F.coalesce(r, F.lit(""))).alias("plain"), readers.normal_role(r).alias("role"), readers.project_of_cwd(r).alias("project"))
+    return T.varied(spark, sf_dir, "i, role", _ROLES).select("i", F.lower(F.coalesce(r, F.lit(""))).alias("plain"), readers.normal_role(r).alias("role"), readers.project_of_cwd(r).alias("project"))
 
 
 @query("str02_chunk_ids", "SELECT doc_id, substr(sha256(text || 's' || doc_id || '2026-01-01 00:00:' || lpad(CAST(doc_id % 60 AS VARCHAR), 2, '0') || CASE WHEN doc_id % 3 > 0 THEN '.' || lpad(CAST(doc_id % 3 AS VARCHAR), 6, '0') ELSE '' END || '+00:00'), 1, 16) AS id FROM documents")
@@ -107,8 +107,8 @@ def str08(spark, sf_dir):
 
 
 _COMMANDS = [
-    (0, "rm -rf build/out"), (1, "mv a.txt b.txt"), (2, "cp x y"), (3, "touch new.py"), (4, "mkdir -p a/b"), (5, "echo hi > out.log"), (6, "cat a | tee -a log.txt"),
-    (7, "sed -i s/a/b/ file.c"), (8, "ls -la"), (9, "git rm old.py && touch x"), (10, ""), (11, "echo a >b"),
+    (0, "rm -rf build/§"), (1, "mv a.txt §.txt"), (2, "cp x §"), (3, "touch §.py"), (4, "mkdir -p a/§"), (5, "echo hi > §.log"), (6, "cat a | tee -a §.txt"),
+    (7, "sed -i s/a/b/ §.c"), (8, "ls -la §"), (9, "git rm §.py && touch x"), (10, ""), (11, "echo a >§"),
 ]
 
 
@@ -122,19 +122,19 @@ def _shell_sql() -> tuple[str, str]:
     return "coalesce(" + ", ".join(paths) + ")", "CASE " + " ".join(operations) + " END"
 
 
-@query("str09_str10_str11_shell_operations", f"WITH {T.values_sql('s', 'i, c', _COMMANDS)} SELECT i, {_shell_sql()[0]} AS file_path, {_shell_sql()[1]} AS operation FROM s")
+@query("str09_str10_str11_shell_operations", f"WITH {T.varied_sql('s', 'i, c', _COMMANDS)} SELECT i, {_shell_sql()[0]} AS file_path, {_shell_sql()[1]} AS operation FROM s")
 def str09(spark, sf_dir):
     op = tx.shell_operation(F.col("c"))
-    return T.values(spark, "i, c", _COMMANDS).select("i", op["file_path"].alias("file_path"), op["operation"].alias("operation"))
+    return T.varied(spark, sf_dir, "i, c", _COMMANDS).select("i", op["file_path"].alias("file_path"), op["operation"].alias("operation"))
 
 
-_PATCHES = [(0, "*** Begin Patch\n*** Add File: a/b.py\n+x\n*** Update File: c.py \n*** Move to: d.py\n-y"), (1, "*** Delete File: old.txt"), (2, "nothing here")]
+_PATCHES = [(0, "*** Begin Patch\n*** Add File: a/§.py\n+x\n*** Update File: c.py \n*** Move to: d.py\n-y"), (1, "*** Delete File: §.txt"), (2, "nothing here §")]
 
 
-@query("str12_str13_str14_patches", f"""WITH {T.values_sql('p', 'i, patch', _PATCHES)}, l AS (SELECT i, unnest(string_split(patch, chr(10))) AS line FROM p)
+@query("str12_str13_str14_patches", f"""WITH {T.varied_sql('p', 'i, patch', _PATCHES)}, l AS (SELECT i, unnest(string_split(patch, chr(10))) AS line FROM p)
 SELECT i, trim(substr(line, length(h) + 1)) AS file_path, op AS operation FROM l, (VALUES {", ".join(f"('{h}', '{o}')" for h, o, _ in fixed.PATCH_HEADERS)}) t(h, op) WHERE starts_with(line, h)""")
 def str12(spark, sf_dir):
-    ops = T.values(spark, "i, patch", _PATCHES).select("i", F.inline(tx.patch_operations(F.col("patch"))))
+    ops = T.varied(spark, sf_dir, "i, patch", _PATCHES).select("i", F.inline(tx.patch_operations(F.col("patch"))))
     return ops.select("i", "file_path", "operation")
 
 
@@ -157,13 +157,13 @@ def str21(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.cut_at_word(F.col("text"), 500).alias("cut"))
 
 
-_CODE = [(0, "see ```python\nprint(1)\n``` and ```\nls -l\n```"), (1, "no code"), (2, "```js\n\n``` empty"), (3, "a ```c\nint x;\n``` b ```c\nint x;\n```")]
+_CODE = [(0, "see ```python\nprint(§)\n``` and ```\nls -l\n```"), (1, "no code"), (2, "```js\n\n``` empty"), (3, "a ```c\nint x;\n``` b ```c\nint x;\n```")]
 
 
-@query("str22_code_blocks", f"""WITH {T.values_sql('c', 'i, t', _CODE)}, m AS (SELECT i, unnest(regexp_extract_all(t, '(?s)```(\\w*)\\n(.*?)```', 1)) AS l, unnest(regexp_extract_all(t, '(?s)```(\\w*)\\n(.*?)```', 2)) AS c FROM c)
+@query("str22_code_blocks", f"""WITH {T.varied_sql('c', 'i, t', _CODE)}, m AS (SELECT i, unnest(regexp_extract_all(t, '(?s)```(\\w*)\\n(.*?)```', 1)) AS l, unnest(regexp_extract_all(t, '(?s)```(\\w*)\\n(.*?)```', 2)) AS c FROM c)
 SELECT DISTINCT i, CASE WHEN l = '' THEN 'text' ELSE l END AS language, md5(trim(c, chr(10) || ' ')) AS code_md5 FROM m WHERE trim(c, chr(10) || ' ') <> ''""")
 def str22(spark, sf_dir):
-    blocks = T.values(spark, "i, t", _CODE).select("i", F.inline(tx.code_blocks(F.col("t"))))
+    blocks = T.varied(spark, sf_dir, "i, t", _CODE).select("i", F.inline(tx.code_blocks(F.col("t"))))
     return blocks.select("i", "language", F.md5("code").alias("code_md5")).distinct()
 
 
@@ -179,14 +179,14 @@ def str19(spark, sf_dir):
     return d.join(following, "doc_id").select("doc_id", F.round(tx.similarity_ratio(tx.comparable(F.col("t")), tx.comparable(F.col("u"))), 9).alias("ratio"))
 
 
-_TERMS = [(0, "src/app/main.py"), (1, "main.py"), (2, "/etc"), (3, "../x"), (4, "a/b/"), (5, ".env"), (6, " ")]
+_TERMS = [(0, "src/§/main.py"), (1, "§.py"), (2, "/§"), (3, "../§"), (4, "a/§/"), (5, ".env"), (6, " ")]
 
 
-@query("str30_flt19_file_terms", f"""WITH {T.values_sql('p', 'i, f', _TERMS)}, b AS (SELECT i, f, regexp_extract(f, '[^/]*$') AS base, regexp_replace(regexp_replace(f, '[^/]*$', ''), '(.)/$', '\\1') AS dir FROM p),
+@query("str30_flt19_file_terms", f"""WITH {T.varied_sql('p', 'i, f', _TERMS)}, b AS (SELECT i, f, regexp_extract(f, '[^/]*$') AS base, regexp_replace(regexp_replace(f, '[^/]*$', ''), '(.)/$', '\\1') AS dir FROM p),
 l AS (SELECT i, f, list_filter([f, nullif(base, ''), CASE WHEN dir <> '' AND dir <> '/' THEN dir END, CASE WHEN regexp_replace(base, '([^.])\\.[^.]*$', '\\1') NOT IN ('', base) THEN regexp_replace(base, '([^.])\\.[^.]*$', '\\1') END], lambda x: x IS NOT NULL) AS t FROM b)
 SELECT i, CASE WHEN trim(f) = '' OR contains(f, '..') THEN '' ELSE array_to_string(list_filter(t, lambda x, k: list_position(t, x) = k), '|') END AS terms FROM l""")
 def str30(spark, sf_dir):
-    return T.values(spark, "i, f", _TERMS).select("i", F.array_join(tx.file_terms(F.col("f")), "|").alias("terms"))
+    return T.varied(spark, sf_dir, "i, f", _TERMS).select("i", F.array_join(tx.file_terms(F.col("f")), "|").alias("terms"))
 
 
 @query("set02_distinct_terms", "WITH q AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\pL\\pN_]+') AS l FROM documents), w AS (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS i FROM q), f AS (SELECT doc_id, w, min(i) AS i FROM w GROUP BY 1, 2) SELECT doc_id, coalesce(string_agg(w, ' ' ORDER BY i), '') AS terms FROM q LEFT JOIN f USING (doc_id) GROUP BY 1")
@@ -204,12 +204,12 @@ def str32(spark, sf_dir):
     return T.table(spark, sf_dir, "pages").select("page_id", F.substring(F.sha2("url", 256), 1, 12).alias("digest"))
 
 
-_URLS = [(0, "https://user:pw@Example.com:8080/p?q=1#f"), (1, "http://host/x"), (2, "redis://:secret@cache:6379/0"), (3, "not a url"), (4, "https://tok@api.example.org")]
+_URLS = [(0, "https://user:§@Example.com:8080/p?q=1#f"), (1, "http://host/§"), (2, "redis://:§@cache:6379/0"), (3, "not a url §"), (4, "https://§@api.example.org")]
 
 
-@query("str33_redacted_urls", f"WITH {T.values_sql('u', 'i, u', _URLS)} SELECT i, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@') THEN lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(u, '@([^/?#:]*)', 1)) || regexp_extract(u, '@[^/?#:]*(.*)$', 1) ELSE u END AS url FROM u")
+@query("str33_redacted_urls", f"WITH {T.varied_sql('u', 'i, u', _URLS)} SELECT i, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@') THEN lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(u, '@([^/?#:]*)', 1)) || regexp_extract(u, '@[^/?#:]*(.*)$', 1) ELSE u END AS url FROM u")
 def str33(spark, sf_dir):
-    return T.values(spark, "i, u", _URLS).select("i", tx.redact_url(F.col("u")).alias("url"))
+    return T.varied(spark, sf_dir, "i, u", _URLS).select("i", tx.redact_url(F.col("u")).alias("url"))
 
 
 @query("str34_reason_texts", "SELECT doc_id, substr(coalesce(nullif(trim(regexp_replace(text, '[^A-Za-z0-9_.:-]+', '_', 'g'), '_'), ''), 'unknown'), 1, 120) AS reason, substr(trim(regexp_replace(text, '[\\x00-\\x1f\\x7f]+', ' ', 'g')), 1, 256) AS name FROM documents")
@@ -224,19 +224,31 @@ def str35(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", with_prefix("search_document: ").alias("document"), with_prefix("search_query: ").alias("question"))
 
 
-_BOUNDS = [(0, "2026-01-02"), (1, "2026-01-02T03:04:05Z"), (2, "2026-01-02T03:04:05+02:00"), (3, "  "), (4, None), (5, "2026-01-02 03:04:05.5")]
+_BOUNDS_SQL = """x AS (SELECT event_id AS i, CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00'
+WHEN 3 THEN '  ' WHEN 5 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || '.5' END AS b FROM events)"""
+_MIDDLE = "2026-01-15 12:00:00"
+
+
+def _bounds(spark, sf_dir):
+    """The times of the events as users give them: days, moments with and without zone, blank and absent."""
+    shown = lambda f: F.date_format(F.col("ts").cast("timestamp"), f)
+    k = F.col("event_id") % 6
+    b = F.when(k == 0, shown("yyyy-MM-dd")).when(k == 1, shown("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 2, shown("yyyy-MM-dd'T'HH:mm:ss'+02:00'")).when(k == 3, "  ").when(k == 5, shown("yyyy-MM-dd HH:mm:ss'.5'"))
+    return T.table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), b.alias("b"))
+
+
 _LOW = "CASE WHEN trim(b) = '' OR b IS NULL THEN NULL WHEN length(trim(b)) = 10 THEN CAST(trim(b) || ' 00:00:00+00' AS TIMESTAMPTZ) WHEN regexp_matches(b, '(Z|[+-]\\d\\d:\\d\\d)$') THEN CAST(b AS TIMESTAMPTZ) ELSE CAST(b || '+00' AS TIMESTAMPTZ) END"
 
 
-@query("dat01_dat03_time_bounds", f"WITH {T.values_sql('x', 'i, b', _BOUNDS)} SELECT i, epoch_us({_LOW}) AS low, epoch_us({_LOW}) + CASE WHEN length(trim(b)) = 10 THEN 86399999999 ELSE 0 END AS high FROM x")
+@query("dat01_dat03_time_bounds", f"WITH {_BOUNDS_SQL} SELECT i, epoch_us({_LOW}) AS low, epoch_us({_LOW}) + CASE WHEN length(trim(b)) = 10 THEN 86399999999 ELSE 0 END AS high FROM x")
 def dat01(spark, sf_dir):
     b = F.col("b")
-    return T.values(spark, "i, b", _BOUNDS).select("i", F.unix_micros(times.bound(b)).alias("low"), F.unix_micros(times.bound(b, end_of_day=True)).alias("high"))
+    return _bounds(spark, sf_dir).select("i", F.unix_micros(times.bound(b)).alias("low"), F.unix_micros(times.bound(b, end_of_day=True)).alias("high"))
 
 
-@query("dat02_range_check", f"WITH {T.values_sql('x', 'i, b', _BOUNDS)} SELECT i, coalesce({_LOW} <= TIMESTAMPTZ '2026-01-02 02:00:00+00', true) AS valid FROM x")
+@query("dat02_range_check", f"WITH {_BOUNDS_SQL} SELECT i, coalesce({_LOW} <= TIMESTAMPTZ '{_MIDDLE}+00', true) AS valid FROM x")
 def dat02(spark, sf_dir):
-    return T.values(spark, "i, b", _BOUNDS).select("i", times.ordered(times.bound(F.col("b")), F.lit("2026-01-02 02:00:00").cast("timestamp")).alias("valid"))
+    return _bounds(spark, sf_dir).select("i", times.ordered(times.bound(F.col("b")), F.lit(_MIDDLE).cast("timestamp")).alias("valid"))
 
 
 @query("dat03_formatted_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || 'Z' AS shown FROM events")

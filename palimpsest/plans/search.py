@@ -117,13 +117,13 @@ def top02(spark, sf_dir):
 @query("agg03_set01_mth03_fusion", f"WITH {C}, {_Q}, {_fused_sql()} SELECT id, score FROM fused")
 def agg03(spark, sf_dir):
     c = tables.chunks(spark, sf_dir)
-    return search.fused(search.vector_candidates(c, probe_vector(spark, sf_dir), 100), search.text_candidates(c, QUESTION, 100))
+    return search.fused(search.vector_candidates(c, probe_vector(spark, sf_dir), 100), search.text_candidates(c, QUESTION, 100, index=tables.text_index(spark, sf_dir)))
 
 
 @query("top03_top04_best_fused", f"WITH {C}, {_Q}, {_fused_sql(pool=200)} SELECT id, score FROM fused ORDER BY score, id LIMIT 40")
 def top03(spark, sf_dir):
     c = tables.chunks(spark, sf_dir)
-    return search.fused(search.vector_candidates(c, probe_vector(spark, sf_dir), 200), search.text_candidates(c, QUESTION, 200)).orderBy("score", "id").limit(40)
+    return search.fused(search.vector_candidates(c, probe_vector(spark, sf_dir), 200), search.text_candidates(c, QUESTION, 200, index=tables.text_index(spark, sf_dir))).orderBy("score", "id").limit(40)
 
 
 @query("mth01_cosine_distances", f"WITH {C}, {_Q} SELECT id, {_DIST} AS distance FROM chunks, qv WHERE vector IS NOT NULL")

@@ -1,4 +1,4 @@
-"""Readers run over file texts that are made of the given conversations."""
+"""Readers run over file texts that are made of the given conversations and documents."""
 
 from __future__ import annotations
 
@@ -55,60 +55,66 @@ def src17(spark, sf_dir):
 
 
 _LOG = [
-    (1, '{"type":"assistant","sessionId":"s","message":{"model":"m1","content":[{"type":"text","text":"Hi"},{"type":"tool_use","id":"t1","name":"Edit","input":{"file_path":"a.py","old_string":"x","new_string":"y"}},{"type":"tool_use","id":"t2","name":"Bash","input":{"command":"ls -l"}},{"type":"tool_result","content":"ok"}]}}'),
-    (2, '{"type":"user","sessionId":"s","message":{"content":"plain"}}'), (3, "[1, 2]"), (4, "not json"), (5, '{"type":""}'), (6, '{"type":"assistant","message":{"content":[{"type":"tool_use","id":"t3","name":"Write","input":{"file_path":"b.py"}},{"type":"tool_use","name":"Grep","input":{}}]}}'),
+    (1, '{"type":"assistant","sessionId":"s","message":{"model":"m1","content":[{"type":"text","text":"Hi §"},{"type":"tool_use","id":"t1","name":"Edit","input":{"file_path":"a§.py","old_string":"x","new_string":"y"}},{"type":"tool_use","id":"t2","name":"Bash","input":{"command":"ls -l"}},{"type":"tool_result","content":"ok"}]}}'),
+    (2, '{"type":"user","sessionId":"s","message":{"content":"plain §"}}'), (3, "[1, 2]"), (4, "not json §"), (5, '{"type":""}'), (6, '{"type":"assistant","message":{"content":[{"type":"tool_use","id":"t3","name":"Write","input":{"file_path":"b§.py"}},{"type":"tool_use","name":"Grep","input":{}}]}}'),
 ]
 
 
-def _log(spark):
-    return T.values(spark, "line, text", _LOG).select(F.lit("/home/-proj/s.jsonl").alias("path"), F.col("line").cast("long").alias("line"), "text")
+def _lines(spark, sf_dir, folder, rows):
+    """A file of one line for every document, numbered as the document is."""
+    made = T.varied(spark, sf_dir, "line, text", rows)
+    return made.select(F.concat(F.lit(folder), F.col("line").cast("string"), F.lit(".jsonl")).alias("path"), F.col("line").cast("long").alias("line"), "text")
 
 
-@query("prj03_flattened_blocks", "SELECT * FROM (VALUES (1::BIGINT, 'Hi' || chr(10) || '[Used Edit on a.py]' || chr(10) || '[Ran command: ls -l]' || chr(10) || '[Result: ok]'), (2, 'plain'), (6, '[Used Write on b.py]' || chr(10) || '[Used Grep]')) t(line, text)")
+def _log(spark, sf_dir):
+    return _lines(spark, sf_dir, "/home/-proj/s", _LOG)
+
+
+@query("prj03_flattened_blocks", T.expected_sql("text", [(0, "Hi §\n[Used Edit on a§.py]\n[Ran command: ls -l]\n[Result: ok]"), (1, "plain §"), (5, "[Used Write on b§.py]\n[Used Grep]")], 6, "line"))
 def prj03(spark, sf_dir):
-    return readers.primary_entries(_log(spark)).select("line", "text")
+    return readers.primary_entries(_log(spark, sf_dir)).select("line", "text")
 
 
-@query("prj04_file_operations", "SELECT * FROM (VALUES (1::BIGINT, 'a.py', 'edit', 'Replaced ''x'' with ''y''', 't1'), (6, 'b.py', 'write', 'Created/overwrote file', 't3')) t(line, file_path, operation, summary, tool_id)")
+@query("prj04_file_operations", T.expected_sql("file_path, operation, summary, tool_id", [(0, "a§.py", "edit", "Replaced 'x' with 'y'", "t1"), (5, "b§.py", "write", "Created/overwrote file", "t3")], 6, "line"))
 def prj04(spark, sf_dir):
-    return readers.primary_entries(_log(spark)).select("line", F.inline("ops")).select("line", "file_path", "operation", "summary", "tool_id")
+    return readers.primary_entries(_log(spark, sf_dir)).select("line", F.inline("ops")).select("line", "file_path", "operation", "summary", "tool_id")
 
 
-@query("src02_flt14_rejected_lines", "SELECT * FROM (VALUES (3::BIGINT, 'not_an_object'), (4, 'invalid_json'), (5, 'no_type')) t(line, reason)")
+@query("src02_flt14_rejected_lines", T.expected_sql("reason", [(2, "not_an_object"), (3, "invalid_json"), (4, "no_type")], 6, "line"))
 def src02_rejects(spark, sf_dir):
-    return readers.parsed(_log(spark)).where("reason IS NOT NULL").select("line", "reason")
+    return readers.parsed(_log(spark, sf_dir)).where("reason IS NOT NULL").select("line", "reason")
 
 
 _CODEX = [
-    (1, '{"type":"session_meta","payload":{"id":"abc","cwd":"/w/app"}}'), (2, '{"type":"response_item","payload":{"type":"message","role":"user","content":[{"type":"input_text","text":"fix it"}]}}'),
-    (3, '{"type":"response_item","payload":{"type":"function_call","name":"shell","arguments":"{\\"command\\":\\"rm old.txt\\"}"}}'), (4, '{"type":"response_item","payload":{"type":"function_call_output","output":"done"}}'),
-    (5, '{"type":"response_item","payload":{"type":"reasoning","summary":["a","b"]}}'), (6, '{"type":"response_item","payload":{"type":"message","role":"assistant","content":[{"type":"output_text","text":"fixed"}]}}'),
-    (7, '{"type":"event_msg","payload":{"type":"user_message","message":"more"}}'), (8, '{"type":"response_item","payload":{"type":"web_search_call","action":{"query":"spark"}}}'),
+    (1, '{"type":"session_meta","payload":{"id":"abc","cwd":"/w/app"}}'), (2, '{"type":"response_item","payload":{"type":"message","role":"user","content":[{"type":"input_text","text":"fix it §"}]}}'),
+    (3, '{"type":"response_item","payload":{"type":"function_call","name":"shell","arguments":"{\\"command\\":\\"rm old§.txt\\"}"}}'), (4, '{"type":"response_item","payload":{"type":"function_call_output","output":"done §"}}'),
+    (5, '{"type":"response_item","payload":{"type":"reasoning","summary":["a§","b"]}}'), (6, '{"type":"response_item","payload":{"type":"message","role":"assistant","content":[{"type":"output_text","text":"fixed §"}]}}'),
+    (7, '{"type":"event_msg","payload":{"type":"user_message","message":"more §"}}'), (8, '{"type":"response_item","payload":{"type":"web_search_call","action":{"query":"spark §"}}}'),
 ]
+_CODEX_ROWS = [(0, "session_meta", "", 0), (1, "user", "fix it §", 0), (2, "tool", '[Tool call] shell {"command":"rm old§.txt"}', 1), (3, "tool", "[Tool output] done §", 0), (4, "tool", "[Reasoning summary] a§ b", 0), (5, "assistant", "fixed §", 0), (6, "event_msg", "more §", 0), (7, "tool", "[Web search] spark §", 0)]
 
 
-@query("src04_prj05_prj06_codex_events", """SELECT * FROM (VALUES (1::BIGINT, 'session_meta', '', 0::BIGINT), (2, 'user', 'fix it', 0), (3, 'tool', '[Tool call] shell {"command":"rm old.txt"}', 1), (4, 'tool', '[Tool output] done', 0),
-(5, 'tool', '[Reasoning summary] a b', 0), (6, 'assistant', 'fixed', 0), (7, 'event_msg', 'more', 0), (8, 'tool', '[Web search] spark', 0)) t(line, role, text, n_ops)""")
+@query("src04_prj05_prj06_codex_events", T.expected_sql("role, text, n_ops", _CODEX_ROWS, 8, "line"))
 def src04(spark, sf_dir):
-    rows = T.values(spark, "line, text", _CODEX).select(F.lit("/x/rollout.jsonl").alias("path"), F.col("line").cast("long").alias("line"), "text")
-    return readers.codex_entries(rows).select("line", "role", "text", F.size("ops").cast("long").alias("n_ops"))
+    return readers.codex_entries(_lines(spark, sf_dir, "/x/rollout", _CODEX)).select("line", "role", "text", F.size("ops").cast("long").alias("n_ops"))
 
 
-_DOCS = [(0, '{"sessionId":"g1","messages":[{"type":"user","content":"q"},{"type":"gemini","content":"a","timestamp":"2026-01-01T00:00:00Z"}]}'), (1, '[{"sessionId":"l1","type":"user","message":"m"}]'), (2, "broken")]
+_DOCS = [(0, '{"sessionId":"g§","messages":[{"type":"user","content":"q §"},{"type":"gemini","content":"a","timestamp":"2026-01-01T00:00:00Z"}]}'), (1, '[{"sessionId":"l§","type":"user","message":"m"}]'), (2, "broken §")]
 
 
-@query("src05_gemini_messages", "SELECT * FROM (VALUES ('g1', 1::BIGINT, 'user', 'q'), ('g1', 2, 'assistant', 'a'), ('l1', 1, 'user', 'm')) t(session_id, line, role, text)")
+@query("src05_gemini_messages", T.expected_sql("session_id, line, role, text", [(0, "g§", 1, "user", "q §"), (0, "g§", 2, "assistant", "a"), (1, "l§", 1, "user", "m")], 3))
 def src05(spark, sf_dir):
-    rows = T.values(spark, "i, content", _DOCS).select(F.concat(F.lit("/u/tmp/h"), F.col("i").cast("string"), F.lit("/logs.json")).alias("path"), "content")
+    rows = T.varied(spark, sf_dir, "i, content", _DOCS).select(F.concat(F.lit("/u/tmp/h"), F.col("i").cast("string"), F.lit("/logs.json")).alias("path"), "content")
     return readers.gemini_messages(rows).select("session_id", "line", "role", "text")
 
 
-_STEPS = [(1, '{"step_index":0,"source":"USER","type":"INPUT","status":"DONE","content":"hello"}'), (2, '{"type":"PLAN","thinking":"hm"}')]
+_TRANSCRIPT = "/h/brain/b§/logs/transcript_full.jsonl"
+_STEPS = [(1, _TRANSCRIPT, '{"step_index":0,"source":"USER","type":"INPUT","status":"DONE","content":"hello §"}'), (2, _TRANSCRIPT, '{"type":"PLAN","thinking":"hm §"}')]
 
 
-@query("src06_prj12_antigravity_events", "SELECT * FROM (VALUES ('b7', 1::BIGINT, 'Source: USER' || repeat(chr(10), 2) || 'Type: INPUT' || repeat(chr(10), 2) || 'Status: DONE' || repeat(chr(10), 2) || 'Content:' || chr(10) || 'hello'), ('b7', 2, 'Source: unknown' || repeat(chr(10), 2) || 'Type: PLAN' || repeat(chr(10), 2) || 'Status: unknown' || repeat(chr(10), 2) || 'Thinking:' || chr(10) || 'hm')) t(session_id, line, text)")
+@query("src06_prj12_antigravity_events", T.expected_sql("session_id, text", [(0, "b§", "Source: USER\n\nType: INPUT\n\nStatus: DONE\n\nContent:\nhello §"), (1, "b§", "Source: unknown\n\nType: PLAN\n\nStatus: unknown\n\nThinking:\nhm §")], 2, "line"))
 def src06(spark, sf_dir):
-    rows = T.values(spark, "line, text", _STEPS).select(F.lit("/h/brain/b7/logs/transcript_full.jsonl").alias("path"), F.col("line").cast("long").alias("line"), "text")
+    rows = T.varied(spark, sf_dir, "line, path, text", _STEPS).select("path", F.col("line").cast("long").alias("line"), "text")
     return readers.antigravity_events(rows).select("session_id", "line", "text")
 
 
@@ -118,22 +124,24 @@ def src07(spark, sf_dir):
     return readers.printable(rows)
 
 
-_CHATGPT = [(0, '[{"id":"k1","title":"t","mapping":{"b":{"message":{"author":{"role":"assistant"},"create_time":2,"content":{"parts":["yes"]}}},"a":{"message":{"author":{"role":"user"},"create_time":1,"content":{"parts":["ask","me"]}}},"r":{}}},{"id":"k2","messages":[{"role":"user","content":"x","create_time":5}]}]')]
+_CHATGPT = [(0, '[{"id":"k§","title":"t","mapping":{"b":{"message":{"author":{"role":"assistant"},"create_time":2,"content":{"parts":["yes §"]}}},"a":{"message":{"author":{"role":"user"},"create_time":1,"content":{"parts":["ask","me"]}}},"r":{}}},{"id":"l§","messages":[{"role":"user","content":"x","create_time":5}]}]')]
+
+
+def _exported(spark, sf_dir, rows):
+    return T.varied(spark, sf_dir, "i, content", rows).select(F.concat(F.lit("/e"), F.col("i").cast("string"), F.lit("/conversations.json")).alias("path"), "content")
 
 
-@query("src08_prj13_top09_chatgpt", "SELECT * FROM (VALUES ('k1', 0::BIGINT, 'user', 'ask' || chr(10) || 'me'), ('k1', 1, 'assistant', 'yes'), ('k2', 100000, 'user', 'x')) t(session_id, line, role, text)")
+@query("src08_prj13_top09_chatgpt", T.expected_sql("session_id, line, role, text", [(0, "k§", 0, "user", "ask\nme"), (0, "k§", 1, "assistant", "yes §"), (0, "l§", 100_000, "user", "x")], 1))
 def src08(spark, sf_dir):
-    rows = T.values(spark, "i, content", _CHATGPT).select(F.lit("/e/conversations.json").alias("path"), "content")
-    return readers.export_messages(rows, "chatgpt").select("session_id", "line", "role", "text")
+    return readers.export_messages(_exported(spark, sf_dir, _CHATGPT), "chatgpt").select("session_id", "line", "role", "text")
 
 
-_CLAUDE = [(0, '{"conversations":[{"uuid":"u1","name":"n","chat_messages":[{"sender":"human","text":"hi"},{"sender":"claude","content":[{"text":"yo"}]}]}]}')]
+_CLAUDE = [(0, '{"conversations":[{"uuid":"u§","name":"n","chat_messages":[{"sender":"human","text":"hi §"},{"sender":"claude","content":[{"text":"yo"}]}]}]}')]
 
 
-@query("src09_prj14_claude_app", "SELECT * FROM (VALUES ('u1', 0::BIGINT, 'user', 'hi'), ('u1', 1, 'assistant', 'yo')) t(session_id, line, role, text)")
+@query("src09_prj14_claude_app", T.expected_sql("session_id, line, role, text", [(0, "u§", 0, "user", "hi §"), (0, "u§", 1, "assistant", "yo")], 1))
 def src09(spark, sf_dir):
-    rows = T.values(spark, "i, content", _CLAUDE).select(F.lit("/e/conversations.json").alias("path"), "content")
-    return readers.export_messages(rows, "claude_app").select("session_id", "line", "role", "text")
+    return readers.export_messages(_exported(spark, sf_dir, _CLAUDE), "claude_app").select("session_id", "line", "role", "text")
 
 
 @query("str01_split_limits", "SELECT doc_id, length(text) > 8000 AS split FROM documents")

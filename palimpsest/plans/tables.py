@@ -99,16 +99,46 @@ QUESTIONS = [
 ]
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"({i}, {_spark_text(q)})" for i, q in enumerate(QUESTIONS))
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(qid, question)")
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users say in the conversations, each with one of the openings above before it; blank openings stay blank questions."""
+    stems = values(spark, "nth, stem", list(enumerate(QUESTIONS)))
+    said = table(spark, sf_dir, "conversations").where("role = 'user'").selectExpr("cast(conv_id * 1000 + turn AS int) AS qid", "text", f"(conv_id * 7 + turn) % {len(QUESTIONS)} AS nth")
+    return said.join(F.broadcast(stems), "nth").selectExpr("qid", "CASE WHEN trim(stem) = '' THEN stem ELSE concat(stem, ' ', text) END AS question")
 
 
 def _spark_text(value: str) -> str:
     return '"' + value.replace("\\", "\\\\").replace('"', '\\"') + '"'
 
 
-QUESTIONS_SQL = "questions(qid, question) AS (VALUES " + ", ".join("({}, '{}')".format(i, q.replace("'", "''")) for i, q in enumerate(QUESTIONS)) + ")"
+QUESTIONS_SQL = "stems(nth, stem) AS (VALUES " + ", ".join("({}, '{}')".format(i, q.replace("'", "''")) for i, q in enumerate(QUESTIONS)) + f"""),
+questions AS (SELECT CAST(conv_id * 1000 + turn AS INTEGER) AS qid, CASE WHEN trim(stem) = '' THEN stem ELSE stem || ' ' || text END AS question FROM conversations JOIN stems ON (conv_id * 7 + turn) % {len(QUESTIONS)} = nth WHERE role = 'user')"""
+
+#: In a template stands for what makes a document's row its own: source and id.
+MARK = "§"
+_OWN = "coalesce(documents.source, 'none') || '-' || documents.doc_id"
+
+
+def varied(spark: SparkSession, sf_dir: str, columns: str, rows: list[tuple]) -> DataFrame:
+    """A row for every document: the template that its id selects, with the marks replaced. The first column is the document's id."""
+    key, *names = columns.split(", ")
+    templates = values(spark, ", ".join(["nth", *names]), [(k, *r[1:]) for k, r in enumerate(rows)])
+    each = table(spark, sf_dir, "documents").alias("documents").selectExpr(f"doc_id AS {key}", f"doc_id % {len(rows)} AS nth", f"{_OWN} AS own")
+    made = [f"replace({c}, '{MARK}', own) AS {c}" if any(isinstance(r[i], str) for r in rows) else c for i, c in enumerate(names, 1)]
+    return each.join(F.broadcast(templates), "nth").selectExpr(key, *made)
+
+
+def varied_sql(name: str, columns: str, rows: list[tuple]) -> str:
+    """The same rows as SQL."""
+    key, *names = columns.split(", ")
+    made = ", ".join(f"replace({name}_t.{c}, '{MARK}', {_OWN}) AS {c}" if any(isinstance(r[i], str) for r in rows) else f"{name}_t.{c}" for i, c in enumerate(names, 1))
+    return f"{values_sql(name + '_t', ', '.join(['nth', *names]), [(k, *r[1:]) for k, r in enumerate(rows)])}, {name} AS (SELECT doc_id AS {key}, {made} FROM documents JOIN {name}_t ON doc_id % {len(rows)} = nth)"
+
+
+def expected_sql(columns: str, rows: list[tuple], templates: int, key: str | None = None) -> str:
+    """What every document must give: the rows (number of its template, columns), with the marks replaced; beside them its id as ``key``."""
+    names = columns.split(", ")
+    made = [f"replace(t.{c}, '{MARK}', {_OWN}) AS {c}" if any(isinstance(r[i], str) for r in rows) else f"t.{c}" for i, c in enumerate(names, 1)]
+    return f"WITH {values_sql('t', ', '.join(['nth', *names]), rows)} SELECT {', '.join([*([f'doc_id AS {key}'] if key else []), *made])} FROM documents JOIN t ON doc_id % {templates} = nth"
 
 
 def values(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import Config, setting
 from ..functions import text as tx
-from ..operators import analyze, cache, delivery, limits, maintenance, providers, store, stores, synthesize
+from ..operators import analyze, delivery, limits, maintenance, providers, store, stores, synthesize
 from ..operators.mergetable import MergeTable
 from ..operators.search import vector_candidates
 from ..operators.textindex import TextIndex
@@ -32,13 +34,17 @@ def _lines(spark, sf_dir):
 # --- definition and upkeep ---
 
 
-@query("snk01_append_validated", f"WITH {C} SELECT count(*) AS appended FROM chunks WHERE vector IS NOT NULL")
+def _full(spark, sf_dir):
+    """The chunks with all columns of the table."""
+    c = T.chunks(spark, sf_dir)
+    return c.select(*[(F.col(f.name) if f.name in c.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in CHUNKS])
+
+
+@query("snk01_append_validated", f"WITH {C} SELECT id, session_id, md5(content) AS content_md5, len(vector) AS n FROM chunks WHERE vector IS NOT NULL")
 def snk01(spark, sf_dir):
     path = scratch(spark, "appended")
-    c = T.chunks(spark, sf_dir).where("vector IS NOT NULL")
-    full = c.select(*[(F.col(f.name) if f.name in c.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in CHUNKS])
-    store.append(full, path, 64)
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("appended"))
+    store.append(_full(spark, sf_dir).where("vector IS NOT NULL"), path, 64)
+    return spark.read.parquet(path).select("id", "session_id", F.md5("content").alias("content_md5"), F.size("vector").cast("long").alias("n"))
 
 
 @query("snk09_snk10_optimised_table", f"WITH {C} SELECT id, project_name, CAST(epoch_us(timestamp) AS BIGINT) AS us, md5(CASE WHEN doc_id % 40 = 0 THEN 'changed ' || content ELSE content END) AS content_md5, CAST(len(regexp_extract_all(lower(content), '[\\pL\\pN_]+')) AS BIGINT) AS n_words FROM chunks WHERE doc_id % 90 <> 7")
@@ -55,25 +61,27 @@ def snk09(spark, sf_dir):
     return held.read().join(lengths, "id").select("id", "project_name", F.unix_micros("timestamp").alias("us"), F.md5("content").alias("content_md5"), "n_words")
 
 
-_DDL = ", ".join(f"('{f.name}', '{f.dataType.simpleString()}')" for f in sorted(CHUNKS, key=lambda f: f.name))
+_FIELDS = ", ".join(f"('{f.name}', '{f.dataType.simpleString()}')" for f in sorted(CHUNKS, key=lambda f: f.name))
 
 
-@query("snk11_snk14_table_definition", f"SELECT * FROM (VALUES {_DDL}) t(name, type)")
+@query("snk11_snk14_table_definition", f"WITH {C}, f(name, type) AS (VALUES {_FIELDS}) SELECT chunk_type, count(*) AS n, (SELECT string_agg(name || ' ' || type, ', ' ORDER BY name) FROM f) AS fields FROM chunks GROUP BY chunk_type")
 def snk11(spark, sf_dir):
-    """Defining the table twice is a success twice."""
+    """Defining the table twice is a success twice; then the chunks go into it."""
     name = f"palimpsest_{scratch(spark, 't').rsplit('-', 1)[1]}"
     path = scratch(spark, "defined")
     if not maintenance.define_table(spark, name, path) or maintenance.define_table(spark, name, path):
         raise ValueError("a definition must create a table once")
-    fields = [(f.name, f.dataType.simpleString()) for f in spark.table(name).schema]
-    spark.sql(f"DROP TABLE {name}")
-    return T.values(spark, "name, type", fields)
+    fields = ", ".join(sorted(f"{f.name} {f.dataType.simpleString()}" for f in spark.table(name).schema))
+    _full(spark, sf_dir).write.mode("append").partitionBy("chunk_type").bucketBy(16, "id").sortBy("id").format("parquet").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    return spark.read.schema(CHUNKS).parquet(path).groupBy("chunk_type").agg(F.count(F.lit(1)).alias("n")).select("chunk_type", "n", F.lit(fields).alias("fields"))
 
 
-@query("snk11_secondary_indexes", f"WITH {C} SELECT 'session_id' AS indexed, count(session_id) AS n FROM chunks UNION ALL SELECT 'project_path', count(project_path) FROM chunks UNION ALL SELECT 'file_path', count(file_path) FROM chunks UNION ALL SELECT 'timestamp', count(timestamp) FROM chunks")
+@query("snk11_secondary_indexes", f"WITH {C} SELECT 'session_id' AS indexed, session_id AS value, id FROM chunks UNION ALL SELECT 'project_path', project_path, id FROM chunks UNION ALL SELECT 'file_path', file_path, id FROM chunks WHERE file_path IS NOT NULL UNION ALL SELECT 'timestamp', CAST(epoch_us(timestamp) AS VARCHAR), id FROM chunks")
 def snk11_indexes(spark, sf_dir):
     path = scratch(spark, "secondary")
-    parts = [spark.read.parquet(f"{path}/{c}").agg(F.lit(c).alias("indexed"), F.count(F.lit(1)).alias("n")) for c in maintenance.secondary_indexes(T.chunks(spark, sf_dir), path)]
+    value = lambda c: F.unix_micros(c).cast("string") if c == "timestamp" else F.col(c)
+    parts = [spark.read.parquet(f"{path}/{c}").select(F.lit(c).alias("indexed"), value(c).alias("value"), "id") for c in maintenance.secondary_indexes(T.chunks(spark, sf_dir), path)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
@@ -84,11 +92,23 @@ def snk12(spark, sf_dir):
     return T.vector_index(spark, sf_dir).rows().select("id", "chunk_type", "session_id", "project_name", "machine_id", F.sha2(numbers, 256).alias("vector_sha"))
 
 
-@query("snk13_udf05_model_in_sql", f"WITH {C} SELECT id, 32 AS n FROM chunks WHERE vector IS NULL")
+def _letter_counts(texts: list[str]) -> list[list[float]]:
+    """A model whose vectors SQL can check: characters, letters a and spaces of a text."""
+    return [[float(len(t)), float(t.count("a")), float(t.count(" "))] for t in texts]
+
+
+_LETTERS = "CAST(length(content) AS BIGINT) AS n_chars, CAST(length(content) - length(replace(content, 'a', '')) AS BIGINT) AS n_a, CAST(length(content) - length(replace(content, ' ', '')) AS BIGINT) AS n_spaces"
+
+
+def _shown_letters(v: str):
+    return [F.col(v)[i].cast("long").alias(n) for i, n in enumerate(("n_chars", "n_a", "n_spaces"))]
+
+
+@query("snk13_udf05_model_in_sql", f"WITH {C} SELECT id, {_LETTERS} FROM chunks WHERE vector IS NULL")
 def snk13(spark, sf_dir):
-    providers.register_model(spark, "embed_text", store.hashed_vectors(32))
+    providers.register_model(spark, "count_letters", _letter_counts)
     T.chunks(spark, sf_dir).where("vector IS NULL").select("id", "content").createOrReplaceTempView("palimpsest_to_embed")
-    return spark.sql("SELECT id, size(embed_text(content)) AS n FROM palimpsest_to_embed")
+    return spark.sql("SELECT id, count_letters(content) AS v FROM palimpsest_to_embed").select("id", *_shown_letters("v"))
 
 
 @query("snk17_cursor_state", f"WITH {E} SELECT session_id AS file, max(line) AS position FROM entries GROUP BY 1")
@@ -108,14 +128,14 @@ def snk17(spark, sf_dir):
     return spark.read.schema("file string, position long").json(path)
 
 
-@query("udf01_snk19_store_by_setting", f"WITH {C} SELECT count(*) AS total, count(*) FILTER (machine_id = 'machine-2') AS deleted, count(*) FILTER (machine_id <> 'machine-2' AND doc_id % 10 = 0) AS updated, (SELECT count(DISTINCT source_file) FROM chunks WHERE machine_id <> 'machine-2') AS files FROM chunks")
+@query("udf01_snk19_store_by_setting", f"WITH {C} SELECT id, machine_id, md5(CASE WHEN doc_id % 10 = 0 THEN 'changed' ELSE content END) AS content_md5, max(source_line) OVER (PARTITION BY source_file) AS position FROM chunks WHERE machine_id <> 'machine-2'")
 def udf01(spark, sf_dir):
+    """A store that a setting names: append, delete a machine, upsert; then its rows and the positions of their files."""
     held = stores.open_store(spark, "versioned", scratch(spark, "versions"))
-    c = T.chunks(spark, sf_dir)
-    held.append(c)
-    total, deleted = held.table().count(), held.delete_machine("machine-2")
+    held.append(T.chunks(spark, sf_dir))
+    held.delete_machine("machine-2")
     held.upsert(held.table().where("doc_id % 10 = 0").withColumns({"content": F.lit("changed"), "seq": F.lit(1)}))
-    return held.table().agg(F.lit(total).cast("long").alias("total"), F.lit(deleted).cast("long").alias("deleted"), F.count_if(F.col("content") == "changed").alias("updated"), F.count_distinct("source_file").alias("files"))
+    return held.table().join(held.positions(), "source_file").select("id", "machine_id", F.md5("content").alias("content_md5"), "position")
 
 
 @query("prj21_mutation_values", f"WITH {C} SELECT id, md5(content) AS content_md5, source_line, strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS timestamp, coalesce(len(vector), 0) AS n FROM chunks")
@@ -127,14 +147,13 @@ def prj21(spark, sf_dir):
 # --- models ---
 
 
-@query("udf02_udf03_udf04_providers", f"WITH {C} SELECT id, true AS same FROM chunks WHERE vector IS NULL")
+@query("udf02_udf03_udf04_providers", f"WITH {C} SELECT kind, id, {_LETTERS} FROM chunks, (VALUES ('plain'), ('indexed'), ('single')) k(kind) WHERE vector IS NULL")
 def udf02(spark, sf_dir):
-    """Three kinds of service give the same vectors."""
-    model = store.hashed_vectors(16)
-    kinds = [model, providers.IndexedProvider(lambda texts: list(enumerate(model(texts)))[::-1], 16), providers.SingleProvider(lambda t, task: model([t])[0], 16)]
+    """Three kinds of service give each text its own vector, in whatever order they answer."""
+    kinds = {"plain": _letter_counts, "indexed": providers.IndexedProvider(lambda texts: list(enumerate(_letter_counts(texts)))[::-1], 3), "single": providers.SingleProvider(lambda t, task: _letter_counts([t])[0], 3)}
     c = T.chunks(spark, sf_dir).where("vector IS NULL").select("id", "content")
-    a, b, d = (providers.embedded(c, k).withColumnRenamed("vector", f"v{i}") for i, k in enumerate(kinds))
-    return a.join(b, "id").join(d, "id").select("id", ((F.col("v0") == F.col("v1")) & (F.col("v0") == F.col("v2"))).alias("same"))
+    a, b, d = (providers.embedded(c, model).select(F.lit(kind).alias("kind"), "id", *_shown_letters("vector")) for kind, model in kinds.items())
+    return a.unionByName(b).unionByName(d)
 
 
 @query("udf08_custom_patterns", "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\pL\\pN_]+') AS w FROM documents) SELECT doc_id, list_contains(w, 'und') AS tech, list_contains(w, 'the') AS intent FROM w")
@@ -145,34 +164,13 @@ def udf08(spark, sf_dir):
     return d.select("doc_id", (F.size(techs) > 0).alias("tech"), (analyze.intent_counts(low, {"article": [r"\bthe\b"]})["article"] > 0).alias("intent"))
 
 
-@query("udf09_udf10_settings", "SELECT * FROM (VALUES ('search_limit', '25'), ('rrf_k', '60'), ('refine', 'False'), ('cache_seconds', '300.0')) t(name, value)")
+@query("udf09_udf10_settings", f"WITH g AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'search_limit' WHEN 1 THEN 'cache_seconds' ELSE 'refine' END AS name, CASE event_id % 7 WHEN 0 THEN 'soon' WHEN 1 THEN '-3' WHEN 2 THEN 'yes' WHEN 3 THEN '' ELSE CAST(event_id AS VARCHAR) END AS raw FROM events) SELECT event_id, name, CASE name WHEN 'search_limit' THEN CASE WHEN try_cast(raw AS BIGINT) >= 0 THEN CAST(try_cast(raw AS BIGINT) AS VARCHAR) ELSE '{Config.search_limit}' END WHEN 'cache_seconds' THEN CASE WHEN try_cast(raw AS DOUBLE) >= 0 THEN CAST(try_cast(raw AS BIGINT) AS VARCHAR) || '.0' ELSE '{Config.cache_seconds}' END ELSE CASE WHEN lower(raw) IN ('1', 'true', 'yes') THEN 'True' ELSE 'False' END END AS value FROM g")
 def udf09(spark, sf_dir):
-    """Values that do not parse, or are negative, fall back to the default."""
-    import os
-
-    given = {"T_SEARCH_LIMIT": "25", "T_RRF_K": "-3", "T_REFINE": "no", "T_CACHE_SECONDS": "soon"}
-    os.environ |= given
-    try:
-        c = Config.from_environment("T_")
-    finally:
-        for k in given:
-            del os.environ[k]
-    return T.values(spark, "name, value", [(n, str(getattr(c, n))) for n in ("search_limit", "rrf_k", "refine", "cache_seconds")])
-
-
-@query("cch01_cch02_cache", "SELECT * FROM (VALUES ('hit', 1), ('copy', 1), ('evicted', 1), ('expired', 1), ('left', 0)) t(event, n)")
-def cch01(spark, sf_dir):
-    now = [0.0]
-    held = cache.Cache(2, 10.0, lambda: now[0])
-    held.put("a", [1])
-    held.get("a").append(2)  # a copy: what is held does not change
-    rows = [("hit", int(held.hits == 1)), ("copy", int(held.get("a") == [1]))]
-    held.put("b", 1)
-    held.put("c", 1)
-    rows.append(("evicted", int(held.get("a") is None)))
-    now[0] = 11.0
-    rows += [("expired", int(held.get("b") is None)), ("left", len(held) - held.expire())]
-    return T.values(spark, "event, n", rows)
+    """Settings that machines report, each read as its field wants; values that do not parse, or are negative, fall back to the default."""
+    n = F.col("event_id")
+    name = F.when(n % 3 == 0, "search_limit").when(n % 3 == 1, "cache_seconds").otherwise("refine")
+    raw = F.when(n % 7 == 0, "soon").when(n % 7 == 1, "-3").when(n % 7 == 2, "yes").when(n % 7 == 3, "").otherwise(n.cast("string"))
+    return T.table(spark, sf_dir, "events").select("event_id", name.alias("name"), setting(name, raw).alias("value"))
 
 
 # --- delivery ---
@@ -253,18 +251,14 @@ def stm01(spark, sf_dir):
     return spark.read.schema("session_id string, line long").parquet(target).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("session_id").alias("sessions"), F.max("line").alias("longest"))
 
 
-@query("stm15_stm16_periodic_jobs", "SELECT * FROM (VALUES ('backfill', 2), ('optimise', 2)) t(job, runs)")
+@query("stm15_stm16_periodic_jobs", f"WITH {C} SELECT id, true AS embedded, md5(content) AS content_md5 FROM chunks")
 def stm15(spark, sf_dir):
-    """Two turns of each job; its work is that of the backfill and of the upkeep query."""
-    path, target = scratch(spark, "periodic"), scratch(spark, "periodic-optimised")
-    T.chunks(spark, sf_dir).write.parquet(path)
-    held = MergeTable(spark, scratch(spark, "periodic-table"))
-    held.upsert(T.chunks(spark, sf_dir))
-    work = {
-        "backfill": lambda: store.backfill(spark.read.parquet(path).select("id", "content", "vector"), store.hashed_vectors(64)).where("vector IS NULL").count(),
-        "optimise": lambda: maintenance.optimise(held, target),
-    }
-    return T.values(spark, "job, runs", [(name, jobs.periodic(spark, do, 0.2, 2, scratch(spark, f"{name}-ticks"))) for name, do in work.items()])
+    """Two turns of the backfill and of the upkeep over a table with missing vectors: the table after them."""
+    held, indexes = stores.VersionedStore(spark, scratch(spark, "periodic")), scratch(spark, "periodic-indexes")
+    held.append(T.chunks(spark, sf_dir))
+    jobs.periodic(spark, lambda: held.backfill(store.hashed_vectors(64)), 0.2, 2, scratch(spark, "backfill-ticks"))
+    jobs.periodic(spark, lambda: maintenance.optimise(held.held, indexes), 0.2, 2, scratch(spark, "upkeep-ticks"))
+    return held.table().select("id", F.col("vector").isNotNull().alias("embedded"), F.md5("content").alias("content_md5"))
 
 
 @query("stm20_full_reindex", "SELECT count(DISTINCT doc_id % 300) AS first, count(DISTINCT doc_id % 300) AS again FROM documents")
@@ -288,44 +282,66 @@ _FILES = ["logs/a.jsonl", "logs/transcript_full.jsonl", "b/chats/one.json", "b/c
 _PATHS_SQL = ", ".join(f"('{s}', '{p}')" for s, p in discovery.PATHS.items())
 
 
-@query("src11_src12_src13_discovered_files", f"WITH f(path) AS (VALUES {', '.join(f'({chr(39)}{f}{chr(39)})' for f in _FILES)}), s(source, pattern) AS (VALUES {_PATHS_SQL}) SELECT source, path FROM f, s WHERE regexp_matches(path, pattern)")
+@query("src11_src12_src13_discovered_files", f"WITH f(file) AS (VALUES {', '.join(f'({chr(39)}{f}{chr(39)})' for f in _FILES)}), s(kind, pattern) AS (VALUES {_PATHS_SQL}) SELECT kind AS source, d.source || '/' || file AS path FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) d, f, s WHERE regexp_matches(file, pattern)")
 def src11(spark, sf_dir):
+    """Every source of the documents has a folder of files; each reader finds its own."""
     root = scratch(spark, "discover")
-    for f in _FILES:
-        write_text(spark, f"{root}/{f}", "x")
+    for r in T.table(spark, sf_dir, "documents").where("source IS NOT NULL").select("source").distinct().toLocalIterator():
+        for f in _FILES:
+            write_text(spark, f"{root}/{r['source']}/{f}", "x")
     name = root.rsplit("/", 1)[1]
     found = [discovery.discovered(spark, root, s).select(F.lit(s).alias("source"), F.substring_index("path", f"{name}/", -1).alias("path")) for s in discovery.PATHS]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    return functools.reduce(DataFrame.unionByName, found)
 
 
-_INSIDE = [(0, "/logs/a/b.jsonl"), (1, "/logs/../etc/p.jsonl"), (2, "/logsx/a.jsonl"), (3, "/logs"), (4, "/logs/..a/b.jsonl")]
+_INSIDE = [(0, "/logs/a§/b.jsonl"), (1, "/logs/../§/p.jsonl"), (2, "/logsx/§.jsonl"), (3, "/logs"), (4, "/logs/..§/b.jsonl")]
 
 
-@query("src11_contained_paths", f"WITH {T.values_sql('p', 'i, f', _INSIDE)} SELECT i, starts_with(f, '/logs/') AND NOT list_contains(string_split(f, '/'), '..') AS ok FROM p")
+@query("src11_contained_paths", f"WITH {T.varied_sql('p', 'i, f', _INSIDE)} SELECT i, starts_with(f, '/logs/') AND NOT list_contains(string_split(f, '/'), '..') AS ok FROM p")
 def src11_inside(spark, sf_dir):
-    return T.values(spark, "i, f", _INSIDE).select("i", discovery.inside(F.col("f"), "/logs/").alias("ok"))
+    return T.varied(spark, sf_dir, "i, f", _INSIDE).select("i", discovery.inside(F.col("f"), "/logs/").alias("ok"))
 
 
-@query("src10_landed_uploads", f"WITH {C}, u AS (SELECT session_id, count(*) AS n FROM chunks GROUP BY 1) SELECT session_id AS upload_id, n, n AS chunks, NULL::VARCHAR AS refused FROM u UNION ALL SELECT 'large', 0, 501, 'too many chunks'")
+@query("src10_landed_uploads", f"WITH {C}, p AS (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY doc_id) - 1) // 3 AS part FROM chunks), u AS (SELECT session_id, part, count(*) AS n FROM p GROUP BY ALL) SELECT p.id, session_id || '-' || part AS upload_id, md5(content) AS content_md5, NULL::VARCHAR AS refused FROM p UNION ALL SELECT NULL, session_id || '-all', NULL, 'too many chunks' FROM (SELECT DISTINCT session_id FROM chunks)")
 def src10(spark, sf_dir):
-    landing, target, offsets = scratch(spark, "landing"), *jobs.places(spark, "landed")
-    part = F.struct("id", F.substring("content", 1, 20).alias("content"), "source_file", "source_line")  # uploads here are of short chunks
-    c = T.chunks(spark, sf_dir).groupBy(F.col("session_id").alias("upload_id")).agg(F.lit("m").alias("machine_id"), F.collect_list(part).alias("chunks"))
-    many = spark.range(501).select(F.lit("large").alias("upload_id"), F.lit("m").alias("machine_id"), F.struct(F.col("id").cast("string").alias("id"), F.lit("c").alias("content"), F.lit("f").alias("source_file"), F.col("id").alias("source_line")).alias("c")).groupBy("upload_id", "machine_id").agg(F.collect_list("c").alias("chunks"))
-    parts = c.unionByName(many).select(F.posexplode(F.transform(F.sequence(F.lit(0), F.when(F.col("upload_id") == "large", 0).otherwise(F.expr("(size(chunks) - 1) div 500"))), lambda k: F.struct("upload_id", "machine_id", F.when(F.col("upload_id") == "large", F.col("chunks")).otherwise(F.slice("chunks", k * 500 + 1, F.lit(500))).alias("chunks")))))
-    parts.select(F.to_json("col").alias("value")).write.text(landing)
+    """Whole chunks land in uploads of three; beside them each session is sent once with a chunk 501 times, which is refused."""
+    landing, (target, offsets) = scratch(spark, "landing"), jobs.places(spark, "landed")
+    c = T.chunks(spark, sf_dir)
+    chunk = F.struct("id", "content", "source_file", "source_line")
+    order = Window.partitionBy("session_id").orderBy("doc_id")
+    placed = c.withColumn("part", F.floor((F.row_number().over(order) - 1) / 3).cast("long"))
+    small = placed.groupBy("session_id", "part").agg(F.collect_list(chunk).alias("chunks")).select(F.concat("session_id", F.lit("-"), F.col("part").cast("string")).alias("upload_id"), F.lit("m").alias("machine_id"), "chunks")
+    short = F.struct(F.col("id"), F.lit("c").alias("content"), "source_file", "source_line")
+    large = c.groupBy("session_id").agg(F.min(short).alias("one")).select(F.concat("session_id", F.lit("-all")).alias("upload_id"), F.lit("m").alias("machine_id"), F.array_repeat("one", 501).alias("chunks"))
+    small.unionByName(large).select(F.to_json(F.struct("upload_id", "machine_id", "chunks")).alias("value")).write.text(landing)
     discovery.landed(spark, landing).writeStream.format("parquet").option("path", target).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
-    told = spark.read.schema("upload_id string, refused string, id string").parquet(target)
-    n = F.count("id")
-    return told.groupBy("upload_id").agg(n.alias("n"), F.when(F.col("upload_id") == "large", F.lit(501).cast("long")).otherwise(n).alias("chunks"), F.max("refused").alias("refused"))
+    told = spark.read.schema("upload_id string, refused string, id string, content string").parquet(target)
+    return told.select("id", "upload_id", F.md5("content").alias("content_md5"), "refused")
+
+
+_READ = [
+    ("primary", '{"type":"user","sessionId":"s","message":{"content":"plain §"}}', "plain §"), ("codex", '{"type":"event_msg","payload":{"type":"user_message","message":"more §"}}', "more §"),
+    ("gemini", '{"sessionId":"g§","messages":[{"type":"user","content":"q §"}]}', "q §"), ("antigravity", '{"type":"PLAN","thinking":"hm §"}', "Source: unknown\n\nType: PLAN\n\nStatus: unknown\n\nThinking:\nhm §"),
+    ("antigravity_binary", "b §", "b §"), ("chatgpt", '[{"id":"k§","messages":[{"role":"user","content":"x §"}]}]', "x §"), ("claude_app", '[{"uuid":"u§","messages":[{"sender":"human","text":"hi §"}]}]', "hi §"),
+]
 
 
-@query("src14_udf06_readers", "SELECT unnest(['antigravity', 'antigravity_binary', 'chatgpt', 'claude_app', 'codex', 'gemini', 'primary']) AS source")
+@query("src14_udf06_readers", T.expected_sql("source_kind, text", [(k, s, told) for k, (s, _, told) in enumerate(_READ)], len(_READ)).replace("source_kind", "kind"))
 def src14(spark, sf_dir):
-    return T.values(spark, "source", [(s,) for s in sorted(readers.READERS) if callable(readers.READERS[s])])
+    """Every document is a file of one of the seven sources, read by the reader that its source names."""
+    files = T.varied(spark, sf_dir, "line, kind, content", [(k, s, content) for k, (s, content, _) in enumerate(_READ)])
+    files = files.withColumn("path", F.concat(F.lit("/h/"), F.col("line").cast("string"), F.lit("/conversations.json")))
+    out = []
+    for kind, read in readers.READERS.items():
+        own = files.where(F.col("kind") == kind)
+        if kind in ("primary", "codex", "antigravity"):
+            rows = read(own.select("path", F.col("line").cast("long").alias("line"), F.col("content").alias("text")))
+        elif kind == "antigravity_binary":
+            rows = read(own.select("path", F.encode("content", "utf-8").alias("bytes")))
+        else:
+            rows = read(own.select("path", "content"), kind) if kind in ("chatgpt", "claude_app") else read(own.select("path", "content"))
+        out.append(rows.select(F.lit(kind).alias("kind"), "text"))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 @query("dat07_modification_time", "SELECT count(*) AS n, count(*) FILTER (doc_id % 4 = 0) AS fallen_back FROM documents")

@@ -65,16 +65,16 @@ def cursors_to(positions: DataFrame, target: str, checkpoint: str) -> None:
 
 
 def periodic(spark: SparkSession, work: Callable[[], None], seconds: float, times: int, checkpoint: str) -> int:
-    """Run ``work`` every so many seconds, ``times`` times; how often it succeeded. A failure waits for the next turn."""
-    done, turns = [], []
+    """Run ``work`` every so many seconds, ``times`` times; how often it succeeded. A failure waits for the next turn; if no turn succeeds, the last failure is raised."""
+    done, turns, failures = [], [], []
 
     def turn(batch: DataFrame, n: int) -> None:
         if len(turns) < times:
             try:
                 work()
                 done.append(n)
-            except Exception:  # noqa: BLE001  a job that fails now is tried again next time
-                pass
+            except Exception as failure:  # noqa: BLE001  a job that fails now is tried again next time
+                failures.append(failure)
             turns.append(n)  # after the work: the query stops when all turns are over
 
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
@@ -82,6 +82,8 @@ def periodic(spark: SparkSession, work: Callable[[], None], seconds: float, time
     while len(turns) < times and query.isActive:
         query.awaitTermination(0.2)
     query.stop()
+    if failures and not done:
+        raise failures[-1]
     return len(done)
 
 
