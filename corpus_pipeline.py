@@ -79,7 +79,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Near-duplicate components and tokenised packing have no SQL; tests hold run() against a brute-force version.
+#: Near-duplicate components and tokenised packing have no SQL; tests hold the stages against plain versions, each on what the stage before kept.
 ORACLE_SQL = None
 
 

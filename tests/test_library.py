@@ -173,3 +173,14 @@ def test_every_query_of_a_batch_is_answered(spark):
     asked = spark.range(25_000).select(F.col("id").alias("qid"), F.when(F.col("id") % 2 == 0, F.array(F.lit(2.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0))).alias("vector"))
     found = search.search_batch(c, asked, 1)
     assert found.where(F.col("id") == F.when(F.col("qid") % 2 == 0, "a").otherwise("b")).select("qid").distinct().count() == found.count() == 25_000
+
+
+def test_question_vectors_are_those_of_the_model(spark):
+    from palimpsest.plans import catalog, tables
+
+    from .conftest import SMALL
+
+    asked = {r["qid"]: r["question"] for r in tables.questions(spark, SMALL).collect()}
+    found = {r["qid"]: r["vector"] for r in catalog.QUERIES["qry13_question_vector"](spark, SMALL).collect()}
+    assert set(found) == {q for q, t in asked.items() if t.strip()}
+    assert all(v == pytest.approx(store.hashed_vectors(64)([asked[q]])[0], abs=1e-6) for q, v in found.items())
