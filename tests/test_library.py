@@ -184,3 +184,12 @@ def test_question_vectors_are_those_of_the_model(spark):
     found = {r["qid"]: r["vector"] for r in catalog.QUERIES["qry13_question_vector"](spark, SMALL).collect()}
     assert set(found) == {q for q, t in asked.items() if t.strip()}
     assert all(v == pytest.approx(store.hashed_vectors(64)([asked[q]])[0], abs=1e-6) for q, v in found.items())
+
+
+def test_sources_are_the_most_relevant_of_many(spark):
+    from palimpsest.operators import synthesize
+
+    many = spark.range(300).select(F.format_string("%03d", 299 - F.col("id")).alias("id"), (F.col("id") * 7 % 300 / 300.0).alias("score")).repartition(5)
+    found = synthesize.sources(many).collect()
+    best = sorted((r["score"], r["id"]) for r in many.collect())[:100]
+    assert [(r["score"], r["id"]) for r in sorted(found, key=lambda r: r["nth"])] == best
