@@ -237,18 +237,17 @@ def stm10(spark, sf_dir):
     return cursors.read().join(held, "file").select("file", "position", "stored", "embedded")
 
 
-@query("stm01_stm02_appended_lines", f"WITH {E} SELECT count(*) AS n, count(DISTINCT session_id) AS sessions, max(line) AS longest FROM entries")
+@query("stm01_stm02_appended_lines", f"WITH {E} SELECT session_id, line, md5(text) AS text_md5 FROM entries")
 def stm01(spark, sf_dir):
-    """Conversations as logs, read by the source of appended lines, a bounded number of lines in each batch."""
+    """Conversations as logs, read by the source of appended lines: at most 4 MB and 100 files in a batch, 256 KB in a task, until nothing is left."""
     target, offsets = jobs.places(spark, "appended-lines")
     spark.dataSource.register(AppendedLines)
     logs = scratch(spark, "logs")
-    T.entries(spark, sf_dir).select(F.to_json(F.struct("session_id", "line")).alias("value")).coalesce(3).write.text(logs)
-    local = logs.removeprefix("file://").removeprefix("file:")
-    lines = spark.readStream.format("appended_lines").option("path", f"{local}/*.txt").option("maxLinesPerTrigger", 5000).load()
-    read = lines.select(F.from_json("text", "session_id string, line long").alias("r")).select("r.*")
-    read.writeStream.format("parquet").option("path", target).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("session_id string, line long").parquet(target).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("session_id").alias("sessions"), F.max("line").alias("longest"))
+    T.entries(spark, sf_dir).select(F.to_json(F.struct("session_id", "line", "text")).alias("value")).write.text(logs)
+    lines = spark.readStream.format("appended_lines").options(path=f"{logs}/*.txt", progress=f"{offsets}-progress", maxBytesPerTrigger=4 << 20, maxFilesPerTrigger=100, partBytes=1 << 18).load()
+    read = lines.select(F.from_json("text", "session_id string, line long, text string").alias("r")).select("r.session_id", "r.line", F.md5("r.text").alias("text_md5"))
+    jobs.drained(read.writeStream.format("parquet").option("path", target), offsets)
+    return spark.read.schema("session_id string, line long, text_md5 string").parquet(target)
 
 
 @query("stm15_stm16_periodic_jobs", f"WITH {C} SELECT id, true AS embedded, md5(content) AS content_md5 FROM chunks")

@@ -18,6 +18,20 @@ def _drained(stream, checkpoint: str):
     return query
 
 
+def drained(stream, checkpoint: str) -> int:
+    """Run a stream of bounded batches until a run changes no offset; how many runs had rows or offsets of their own.
+
+    For sources that PySpark gives a single batch under AvailableNow.
+    """
+    runs, last = 0, None
+    while True:
+        query = _drained(stream, checkpoint)
+        ends = [s["endOffset"] for s in (query.lastProgress or {"sources": []})["sources"]]
+        if not ends or ends == last:
+            return runs
+        runs, last = runs + 1, ends
+
+
 def pairs_to(entries: DataFrame, target: str, checkpoint: str) -> None:
     """Append the pairs of a stream of entries to a Parquet table."""
     _drained(streamed_pairs(entries).writeStream.outputMode("append").format("parquet").option("path", target), checkpoint)

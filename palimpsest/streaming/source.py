@@ -1,118 +1,218 @@
-"""A streaming source of appended lines: offsets are bytes and lines read of each file.
-
-Spark's file source ignores what is appended to a file it has seen; this one
-keeps, for each file, how far it was read and digests of its first bytes and of the
-bytes before that place. A file that became shorter, or whose digests changed, is
-read anew under a higher generation. The driver reads each new byte once, in blocks, to
-count lines up to the bound of a trigger; executors seek to their span. Files are
-read where driver and executors can open them.
+"""A streaming source of appended lines: offsets are bytes, and the driver opens no log.
+
+Spark's file source ignores what is appended to a file it has seen. This one lists the
+files and their sizes, and admits bytes up to the bound of a trigger wherever a
+line may stand just there: a line belongs to the part that holds its end, and the executor
+that reads a part goes back to where its first line begins. So parts are cut by numbers
+alone, a long file is many tasks, and a line without an end waits for it.
+
+The folder ``progress`` (in the store that driver and executors share) outlives a query:
+
+* ``offset.json``: how far bytes were admitted. It is written before Spark logs an offset, so
+  after a failure it is never behind; what it is ahead by goes into the next batch.
+* ``mark-*``: digests of the bytes before the end of what was read, left by executors. The
+  next reader of the file compares. A difference means another file under the same
+  name: the reader leaves ``replaced-*`` and gives no rows, and the next trigger reads the
+  file anew under a higher generation, as it does with a file that became shorter.
+
+PySpark ends an AvailableNow run after one bounded batch of such a source;
+``jobs.drained`` runs it until nothing is left. Paths are those of ``pyarrow.fs`` (local, hdfs,
+s3, gs) with `*`, `?` and `**`. Lines end with \\n; a \\r before it is cut off.
 """
 
 from __future__ import annotations
 
-import glob
 import hashlib
 import json
-import os
+import re
+from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-#: Bytes of each digest, and of each block that is read.
+#: Bytes of a digest, and of a block that is read.
 MARK, BLOCK = 4096, 1 << 20
-_NEW = {"bytes": 0, "lines": 0, "head": "", "mark": "", "generation": 0}
-
-
-class _Span(InputPartition):
-    def __init__(self, path: str, start: int, end: int, line: int, generation: int):
-        self.path, self.start, self.end, self.line, self.generation = path, start, end, line, generation
-
-
-def _digests(path: str, end: int) -> tuple[str, str]:
-    """Of the first bytes of a file, and of those before ``end``."""
-    with open(path, "rb") as f:
-        head = f.read(min(MARK, end))
-        f.seek(max(0, end - MARK))
-        mark = f.read(min(MARK, end))
-    return hashlib.sha256(head).hexdigest(), hashlib.sha256(mark).hexdigest()
-
-
-def _ahead(path: str, start: int, most: int) -> tuple[int, int]:
-    """Bytes and lines from ``start`` on, of whole lines and at most ``most`` of them."""
-    taken = lines = 0
-    with open(path, "rb") as f:
-        f.seek(start)
-        at = 0
-        while lines < most and (block := f.read(BLOCK)):
-            n = block.count(b"\n")
-            if lines + n <= most:
-                if n:
-                    taken, lines = at + block.rindex(b"\n") + 1, lines + n
-            else:
-                place = -1
-                for _ in range(most - lines):
-                    place = block.index(b"\n", place + 1)
-                taken, lines = at + place + 1, most
-            at += len(block)
-    return taken, lines
+_NEW = {"bytes": 0, "generation": 0}
+
+
+class _Part(InputPartition):
+    """Bytes ``start`` to ``end`` of a file; what was read before this batch ends at ``known``, the batch at ``last``."""
+
+    def __init__(self, path: str, start: int, end: int, known: int, last: int, generation: int):
+        self.path, self.start, self.end, self.known, self.last, self.generation = path, start, end, known, last, generation
+
+
+def _opened(uri: str) -> tuple[fs.FileSystem, str, str]:
+    """A store, the path in it, and what stands before the path in names of that store."""
+    system, path = fs.FileSystem.from_uri(uri)
+    return system, path, "" if uri.startswith(("/", "file:")) else uri[: uri.rindex(path)]
+
+
+def _matcher(pattern: str) -> re.Pattern:
+    wild = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return re.compile("".join(wild.get(t) or re.escape(t) for t in re.split(r"(\*\*/|\*\*|\*|\?)", pattern)))
+
+
+def listed(pattern: str) -> dict[str, int]:
+    """Sizes of the files that a pattern names; nothing is opened."""
+    fixed = re.split(r"[*?]", pattern)[0]
+    base = fixed.rpartition("/")[0] if fixed != pattern else pattern
+    system, path, before = _opened(base or "/")
+    found = system.get_file_info(fs.FileSelector(path, recursive="/" in pattern[len(base) + 1 :], allow_not_found=True) if fixed != pattern else [path])
+    matches = _matcher(path + pattern[len(base) :]).fullmatch
+    return {before + f.path: f.size for f in found if f.type == fs.FileType.File and matches(f.path)}
+
+
+def lines_ending(f, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """(first byte, line) of every line whose end lies in the bytes from ``start`` up to ``end``."""
+    f.seek(start)
+    at, begin, held = start, None, []
+    while at < end and (block := f.read(min(BLOCK, end - at))):
+        *whole, rest = block.split(b"\n")
+        if whole and begin is None:
+            begin, before = _line_before(f, start)
+            held.insert(0, before)
+            f.seek(at + len(block))
+        for piece in whole:
+            line = b"".join([*held, piece])
+            yield begin, line
+            begin, held = begin + len(line) + 1, []
+        if begin is not None or rest:
+            held.append(rest)
+        at += len(block)
+
+
+def _line_before(f, end: int) -> tuple[int, bytes]:
+    """Where the line begins that ``end`` is in, and its bytes up to there."""
+    found: list[bytes] = []
+    at = end
+    while at:
+        low = max(0, at - BLOCK)
+        f.seek(low)
+        block = f.read(at - low)
+        cut = block.rfind(b"\n") + 1
+        found.append(block[cut:])
+        if cut:
+            return low + cut, b"".join(reversed(found))
+        at = low
+    return 0, b"".join(reversed(found))
+
+
+def _digest(f, end: int) -> str:
+    f.seek(max(0, end - MARK))
+    return hashlib.sha256(f.read(min(MARK, end))).hexdigest()
+
+
+def _name(path: str) -> str:
+    return hashlib.sha256(path.encode()).hexdigest()[:32]
+
+
+class _Progress:
+    """The small files that planner and executors leave for each other."""
+
+    def __init__(self, folder: str):
+        self.system, self.folder, _ = _opened(folder)
+
+    def names(self) -> list[str]:
+        return [f.base_name for f in self.system.get_file_info(fs.FileSelector(self.folder, allow_not_found=True))]
+
+    def read(self, name: str) -> str | None:
+        path = f"{self.folder}/{name}"
+        if self.system.get_file_info(path).type == fs.FileType.NotFound:
+            return None
+        with self.system.open_input_stream(path) as f:
+            return f.read().decode()
+
+    def write(self, name: str, text: str) -> None:
+        """Whole or not at all: a reader never sees half of it."""
+        self.system.create_dir(self.folder, recursive=True)
+        with self.system.open_output_stream(f"{self.folder}/.{name}") as f:
+            f.write(text.encode())
+        self.system.move(f"{self.folder}/.{name}", f"{self.folder}/{name}")
+
+    def remove(self, name: str) -> None:
+        self.system.delete_file(f"{self.folder}/{name}")
 
 
 class _Reader(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.pattern = options["path"]
-        self.most = int(options.get("maxLinesPerTrigger", "100000"))
-        self.known: dict = {}
+        self.pattern, self.folder = options["path"], options["progress"]
+        self.most_bytes = int(options.get("maxBytesPerTrigger", str(1 << 40)))
+        self.most_files = int(options.get("maxFilesPerTrigger", str(1 << 40)))
+        self.part = int(options.get("partBytes", str(1 << 26)))
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:
-        files, left = dict(self.known), self.most
-        for path in sorted(glob.glob(self.pattern, recursive=True)):
-            seen, size = files.get(path, _NEW), os.path.getsize(path)
-            if size < seen["bytes"] or (seen["bytes"] and _digests(path, seen["bytes"]) != (seen["head"], seen["mark"])):
-                seen = _NEW | {"generation": seen["generation"] + 1}
-            taken, lines = _ahead(path, seen["bytes"], left) if size > seen["bytes"] and left else (0, 0)
-            if taken or path not in files or seen["generation"] > files[path]["generation"]:
-                end = seen["bytes"] + taken
-                head, mark = _digests(path, end)
-                files[path] = {"bytes": end, "lines": seen["lines"] + lines, "head": head, "mark": mark, "generation": seen["generation"]}
-            left -= lines
-        self.known = files
-        return {"files": json.dumps(files, sort_keys=True)}
+        progress = _Progress(self.folder)
+        files: dict = json.loads(progress.read("offset.json") or "{}")
+        replaced = {n for n in progress.names() if n.startswith("replaced-")}
+        before, left, room = json.dumps(files, sort_keys=True), self.most_bytes, self.most_files
+        sizes = listed(self.pattern)
+        for path in sorted(sizes, key=lambda p: (files.get(p, _NEW)["bytes"] > 0, p)):  # new files first: none waits for ever behind a busy one
+            seen = files.get(path, _NEW)
+            if sizes[path] < seen["bytes"] or f"replaced-{_name(path)}-{seen['generation']}" in replaced:
+                seen = {"bytes": 0, "generation": seen["generation"] + 1}
+            take = min(sizes[path] - seen["bytes"], left) if room else 0
+            if take or seen["generation"] != files.get(path, _NEW)["generation"]:
+                files[path] = {"bytes": seen["bytes"] + take, "generation": seen["generation"]}
+                left, room = left - take, room - (take > 0)
+        now = json.dumps(files, sort_keys=True)
+        if now != before:
+            progress.write("offset.json", now)
+        return {"files": now}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
-        spans = []
+        parts = []
         for path, now in after.items():
             was = before.get(path, _NEW)
-            was = was if was["generation"] == now["generation"] else _NEW
-            if now["bytes"] > was["bytes"]:
-                spans.append(_Span(path, was["bytes"], now["bytes"], was["lines"], now["generation"]))
-        return spans or [_Span("", 0, 0, 0, 0)]
+            known = was["bytes"] if was["generation"] == now["generation"] else 0
+            parts += [_Part(path, a, min(a + self.part, now["bytes"]), known, now["bytes"], now["generation"]) for a in range(known, now["bytes"], self.part)]
+        return parts or [_Part("", 0, 0, 0, 0, 0)]
 
-    def read(self, partition: _Span):
-        if not partition.path:
+    def read(self, part: _Part):
+        if not part.path:
             return
-        with open(partition.path, "rb") as f:
-            f.seek(partition.start)
-            number = partition.line
-            while f.tell() < partition.end:
-                number += 1
-                yield partition.path, number, f.readline()[:-1].decode("utf-8").removesuffix("\r"), partition.generation
+        system, path, _ = _opened(part.path)
+        progress, name = _Progress(self.folder), f"{_name(part.path)}-{part.generation}"
+        with system.open_input_file(path) as f:
+            mark = progress.read(f"mark-{name}-{part.known}") if part.known else None
+            if f.size() < part.last or (mark and mark != _digest(f, part.known)):
+                progress.write(f"replaced-{name}", "")
+                return
+            for position, line in lines_ending(f, part.start, part.end):
+                yield part.path, position, line.removesuffix(b"\r").decode("utf-8"), part.generation
+            if part.end == part.last:
+                progress.write(f"mark-{name}-{part.last}", _digest(f, part.last))
 
     def commit(self, end: dict) -> None:
-        self.known = json.loads(end["files"])
+        """Marks of ends before the last committed one, and what is left of older generations, are not needed any more."""
+        progress = _Progress(self.folder)
+        files = {_name(p): f for p, f in json.loads(end["files"]).items()}
+        for n in progress.names():
+            kind, _, rest = n.partition("-")
+            at = [int(x) for x in rest.split("-")[1:]] if kind in ("mark", "replaced") else []
+            held = files.get(rest.split("-")[0])
+            if at and held and (at[0] < held["generation"] or (at[0] == held["generation"] and at[1:] and at[1] < held["bytes"])):
+                progress.remove(n)
 
 
 class AppendedLines(DataSource):
-    """`spark.readStream.format("appended_lines").option("path", "/logs/**/*.jsonl")`."""
+    """`spark.readStream.format("appended_lines").option("path", "/logs/**/*.jsonl").option("progress", folder)`.
+
+    Columns: path, the byte its line begins at (from 0; plus 1 it orders lines where readers take a line number from 1), the
+    line, and the file's generation. ``maxBytesPerTrigger``
+    and ``maxFilesPerTrigger`` bound a batch, ``partBytes`` a task.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "appended_lines"
 
     def schema(self) -> str:
-        return "path string, line long, text string, generation long"
+        return "path string, position long, text string, generation long"
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return _Reader(self.options)

@@ -156,8 +156,8 @@ def test_appended_lines_are_paired_across_batches(spark, tmp_path):
     target, offsets = jobs.places(spark, "appended")
 
     def drain():
-        lines = spark.readStream.format("appended_lines").option("path", str(tmp_path / "*.jsonl")).load()
-        entries = readers.primary_entries(lines.select("path", "line", "text")).select("session_id", "line", "role", "text", "project_name", "ts")
+        lines = spark.readStream.format("appended_lines").options(path=str(tmp_path / "*.jsonl"), progress=str(tmp_path / "progress")).load()
+        entries = readers.primary_entries(lines.select("path", (F.col("position") + 1).alias("line"), "text")).select("session_id", "line", "role", "text", "project_name", "ts")
         jobs.pairs_to(entries, target, offsets)
         return sorted((r["user_text"], r["assistant_text"]) for r in spark.read.parquet(target).collect())
 

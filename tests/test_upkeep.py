@@ -140,25 +140,83 @@ def test_a_failed_index_does_not_stop_compaction(spark, tmp_path):
     assert held.read().count() == c.count() and not any(f["delta"] for f in held.version()["files"])
 
 
-def test_appended_lines_are_bounded_and_seek(tmp_path):
-    path = tmp_path / "a.log"
-    path.write_bytes(b"".join(b"line %d\n" % i for i in range(1, 11)) + b"unfinished")
-    r = appended._Reader({"path": str(tmp_path / "*.log"), "maxLinesPerTrigger": "4"})
-    at, seen = r.initialOffset(), []
-    for _ in range(4):
-        to = r.latestOffset()
-        seen.append([(n, t, g) for s in r.partitions(at, to) for _, n, t, g in r.read(s)])
-        r.commit(to)
-        at = to
-    assert [len(s) for s in seen] == [4, 4, 2, 0] and seen[1][0] == (5, "line 5", 0)
-    path.write_bytes(b"other\nlines\n")
+def _trigger(r, at):
+    """One trigger as Spark runs it: the offset, and every row of its parts."""
     to = r.latestOffset()
-    assert [(n, t, g) for s in r.partitions(at, to) for _, n, t, g in r.read(s)] == [(1, "other", 1), (2, "lines", 1)]
+    rows = [row[1:] for p in r.partitions(at, to) for row in r.read(p)]
+    r.commit(to)
+    return to, rows
+
+
+def test_appended_lines_are_bounded_and_seek(tmp_path, monkeypatch):
+    logs, options = tmp_path / "logs", {"path": str(tmp_path / "logs" / "**" / "*.log"), "progress": str(tmp_path / "progress")}
+    path = logs / "deep" / "a.log"
+    path.parent.mkdir(parents=True)
+    text = b"".join(b"line %d\n" % i for i in range(1, 11)) + "\u00e4\r\n\n".encode()
+    begins = [0, *[i + 1 for i, c in enumerate(text) if c == 10]][:-1]
+    path.write_bytes(text + b"unfinished")
+    expected = [(b, t.rstrip("\r"), 0) for b, t in zip(begins, text.decode().split("\n")[:-1], strict=True)]
+    for block, most, part in ((1 << 20, 1 << 20, 1 << 20), (3, 10, 4), (1, 1, 1), (5, 17, 6)):
+        monkeypatch.setattr(appended, "BLOCK", block)
+        folder = options | {"progress": str(tmp_path / f"p{most}"), "maxBytesPerTrigger": str(most), "partBytes": str(part)}
+        at, seen, sizes = appended._Reader(folder).initialOffset(), [], []
+        while True:
+            to, rows = _trigger(appended._Reader(folder), at)  # every trigger by a new reader, as after a restart
+            if to == at:
+                break
+            before = json.loads(at["files"]).get(str(path), {"bytes": 0})["bytes"]
+            sizes.append(json.loads(to["files"])[str(path)]["bytes"] - before)
+            seen, at = seen + rows, to
+        assert seen == expected and max(sizes) <= most and sum(sizes) == len(text) + 10
+
+    r = appended._Reader(options)
+    at, rows = _trigger(r, r.initialOffset())
+    assert rows == expected
     with path.open("ab") as f:
-        f.write(b"more\n")
-    at, to = to, r.latestOffset()
-    assert json.loads(to["files"])[str(path)]["lines"] == 3
-    assert [(n, t, g) for s in r.partitions(at, to) for _, n, t, g in r.read(s)] == [(3, "more", 1)]
+        f.write(b" no more\nnext")
+    at, rows = _trigger(r, at)
+    assert rows == [(len(text), "unfinished no more", 0)]
+    path.write_bytes(b"other\nlines\n")  # shorter
+    at, rows = _trigger(r, at)
+    assert rows == [(0, "other", 1), (6, "lines", 1)]
+    path.write_bytes(b"another file, longer\nthan before\n")  # longer: its reader sees that the bytes before are others
+    at, rows = _trigger(r, at)
+    assert rows == []
+    at, rows = _trigger(appended._Reader(options), at)
+    assert rows == [(0, "another file, longer", 2), (21, "than before", 2)]
+    assert _trigger(r, at) == (at, [])
+    marks = sorted(p.name.split("-", 2)[2] for p in (tmp_path / "progress").glob("mark-*"))
+    assert marks == [f"2-{path.stat().st_size}"] and not list((tmp_path / "progress").glob("replaced-*"))
+
+
+def test_new_files_go_first_and_files_are_bounded(tmp_path):
+    for n in "abc":
+        (tmp_path / f"{n}.log").write_text(f"{n}\n")
+    r = appended._Reader({"path": str(tmp_path / "?.log"), "progress": str(tmp_path / "progress"), "maxFilesPerTrigger": "1"})
+    at, first = _trigger(r, r.initialOffset())
+    (tmp_path / "a.log").open("a").write("more\n")
+    at, second = _trigger(r, at)
+    at, third = _trigger(r, at)
+    at, fourth = _trigger(r, at)
+    assert [t for _, t, _ in first + second + third + fourth] == ["a", "b", "c", "more"]
+
+
+def test_admitted_bytes_whose_offset_was_never_logged_are_read(tmp_path):
+    (tmp_path / "a.log").write_text("one\ntwo\n")
+    r = appended._Reader({"path": str(tmp_path / "*.log"), "progress": str(tmp_path / "progress"), "maxBytesPerTrigger": "4"})
+    start = r.initialOffset()
+    r.latestOffset()  # the query dies before Spark logs it
+    _, rows = _trigger(r, start)
+    assert [t for _, t, _ in rows] == ["one", "two"]
+
+
+def test_drained_runs_until_nothing_is_left(spark, tmp_path):
+    (tmp_path / "a.log").write_text("".join(f"line {i}\n" for i in range(50)))
+    spark.dataSource.register(appended.AppendedLines)
+    lines = spark.readStream.format("appended_lines").options(path=f"file://{tmp_path}/*.log", progress=f"{tmp_path}/progress", maxBytesPerTrigger="150", partBytes="40").load()
+    target, offsets = jobs.places(spark, "drained")
+    assert jobs.drained(lines.writeStream.format("parquet").option("path", target), offsets) >= 3
+    assert sorted(r["text"] for r in spark.read.parquet(target).collect()) == sorted(f"line {i}" for i in range(50))
 
 
 def test_key_points_and_look_back(spark):
