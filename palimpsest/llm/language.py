@@ -11,7 +11,8 @@ The probabilities are learned by expectation maximisation (forward and backward
 sums) from the counts of all words of a bounded sample of labelled rows: about
 ``docs_per_language`` rows of each label, ``languages`` labels at a time. Rows are held out when crc32 of
 the id as text is 1 modulo 3. Every text is then read in whole, in
-batches; a worker remembers the sums of words it has seen.
+batches; a worker remembers the sums of words it has seen. A word of any length is
+summed with bounded memory beside the word itself.
 
 Defined results: null texts and texts without a letter are `und` with score 0;
 of equal sums the alphabetically first language wins; the score is the posterior
@@ -46,6 +47,10 @@ REMEMBERED = 300_000
 ABREAST = 200
 #: Texts are read in groups of about so many characters.
 GROUP = 1 << 20
+#: Letters of a word that are looked up at once. Longer words are learned from in stretches of so many.
+STRETCH = 1 << 13
+#: Letters of remembered words before a worker starts afresh.
+LETTERS = 1 << 24
 
 
 def _step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -62,7 +67,7 @@ class Pieces:
             for n, c in enumerate(piece, 1):
                 h = _step(h, np.array([ord(c)]))
                 ids[int(h[0])] = i if n == len(piece) else ids.get(int(h[0]), -1)
-        self.n = len(pieces)
+        self.n, self.longest = len(pieces), max(map(len, pieces), default=1)
         self.keys = np.array(sorted(ids), np.uint64)
         self.ids = np.array([ids[int(k)] for k in self.keys], np.int64)
 
@@ -109,20 +114,26 @@ def _by_length(words: list[str], cells: int = 1 << 18) -> Iterator[np.ndarray]:
         at = z
 
 
-def _forward(lengths: np.ndarray, arcs: list, width: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over segmentations: alpha[word, place, language] times exp(scale[word, place])."""
-    n, languages = len(lengths), table.shape[1]
-    alpha = np.zeros((n, width + 1, languages))
-    scale = np.zeros((n, width + 1))
-    alpha[:, 0] = 1.0
-    by_end: list[list] = [[] for _ in range(width + 1)]
+def _by_end(arcs: list, width: int) -> list[list]:
+    """(piece length, words, pieces) of the arcs that end at each place."""
+    ends: list[list] = [[] for _ in range(width + 1)]
     for m, at, ids in arcs:
         word, start = np.divmod(at, width)
         order = np.argsort(start, kind="stable")
         cuts = runs(start[order])
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):
             k = order[a:z]
-            by_end[int(start[k[0]]) + m].append((m, word[k], ids[k]))
+            ends[int(start[k[0]]) + m].append((m, word[k], ids[k]))
+    return ends
+
+
+def _forward(lengths: np.ndarray, arcs: list, width: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over segmentations: alpha[word, place, language] times exp(scale[word, place])."""
+    n, languages = len(lengths), table.shape[1]
+    alpha = np.zeros((n, width + 1, languages))
+    scale = np.zeros((n, width + 1))
+    alpha[:, 0] = 1.0
+    by_end = _by_end(arcs, width)
     for j in range(1, width + 1):
         scale[:, j] = scale[:, j - 1]
         for m, word, ids in by_end[j]:
@@ -136,16 +147,46 @@ def _forward(lengths: np.ndarray, arcs: list, width: int, table: np.ndarray) ->
     return alpha, scale
 
 
+def _last_sums(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarray:
+    """Log probability of words of similar length.
+
+    The forward sums go through STRETCH letters at a time and hold the last places only, as
+    many as the longest piece has letters, so memory doesn't grow with the length of a word.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ring, ends, width = pieces.longest + 1, set(lengths.tolist()), int(lengths.max())
+    alpha = np.zeros((ring, len(words), table.shape[1]))
+    scale = np.zeros((ring, len(words)))
+    alpha[0] = 1.0
+    out = np.zeros(alpha.shape[1:])
+    for low in range(0, width, STRETCH):
+        high, back = min(width, low + STRETCH), max(0, low - pieces.longest)
+        by_end = _by_end(pieces.lattice([w[back:high] for w in words])[1], high - back)
+        for j in range(low + 1, high + 1):
+            here, scaled = alpha[j % ring], scale[j % ring]
+            here[:] = 0.0
+            scaled[:] = scale[(j - 1) % ring]
+            for m, word, ids in by_end[j - back]:
+                shift = np.exp(scale[(j - m) % ring, word] - scaled[word])[:, None]
+                here[word] += alpha[(j - m) % ring, word] * shift * table[ids]
+            if j % 16 == 0:  # keep long words from running out of range
+                most = here.max(1)
+                most[most <= 0] = 1.0
+                here /= most[:, None]
+                scaled += np.log(most)
+            if j in ends:
+                k = lengths == j
+                out[k] = np.log(np.maximum(here[k], 1e-300)) + scaled[k, None]
+    return out
+
+
 def word_sums(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarray:
     """Log probability of each word in each language."""
     out = np.zeros((len(words), table.shape[1]))
     for k in _by_length(words):
         group = [words[i] for i in k]
-        lengths, arcs = pieces.lattice(group)
-        row = np.arange(len(group))
         for a in range(0, table.shape[1], ABREAST):
-            alpha, scale = _forward(lengths, arcs, max(map(len, group)), table[:, a : a + ABREAST])
-            out[k, a : a + ABREAST] = np.log(np.maximum(alpha[row, lengths], 1e-300)) + scale[row, lengths][:, None]
+            out[k, a : a + ABREAST] = _last_sums(pieces, table[:, a : a + ABREAST], group)
     return out
 
 
@@ -161,8 +202,12 @@ def learn(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 3)
     languages, lookup = sorted(counts), Pieces(pieces)
     table = np.full((lookup.n + 1, len(languages)), UNKNOWN)
     for g, language in enumerate(languages):
-        words = list(counts[language])
-        weight = np.array([counts[language][w] for w in words], float)
+        cut: Counter = Counter()
+        for word, n in counts[language].items():
+            for at in range(0, len(word), STRETCH):
+                cut[word[at : at + STRETCH]] += n
+        words = list(cut)
+        weight = np.array([cut[w] for w in words], float)
         p = np.full((lookup.n + 1, 1), 1.0 / lookup.n)
         for _ in range(rounds):
             p[-1] = UNKNOWN
@@ -255,7 +300,7 @@ class Reader:
     """Answers for texts; the sums of words are remembered."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known, self.letters = model, {}, 0
         self.sums = np.zeros((0, len(model.languages)))
         self.most = REMEMBERED * ABREAST // max(ABREAST, len(model.languages))
 
@@ -263,11 +308,13 @@ class Reader:
         found = [_WORD.findall(t.lower()) for t in texts]
         known = self.known
         fresh = list({w for words in found for w in words if w not in known})
-        if len(known) + len(fresh) > self.most:
+        if len(known) + len(fresh) > self.most or self.letters + sum(map(len, fresh)) > LETTERS:
             known.clear()
+            self.letters = 0
             self.sums = self.sums[:0]
             fresh = list({w for words in found for w in words})
         if fresh:
+            self.letters += sum(map(len, fresh))
             known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             self.sums = np.concatenate([self.sums, word_sums(self.model.pieces, self.model.table, [MARK + w for w in fresh])])
         out = []
