@@ -1,7 +1,8 @@
 """Byte-level BPE with content-defined chunk reuse.
 
 1. A text is cut where a rolling hash of its last eight bytes says so, so equal
-   passages are cut alike wherever they lie. The core of a chunk reaches from its
+   passages are cut alike wherever they lie; a chunk that would be longer than
+   MOST_CHUNK is cut by counting from where it starts. The core of a chunk reaches from its
    first to its last word boundary (a letter or digit followed by a space), where
    encoding never depends on what lies on the other side.
 2. Digests of cores are counted over all documents. Cores met twice or more are
@@ -14,7 +15,8 @@
    sides. The sequence then agrees exactly with encoding the whole text.
 
 Texts are shuffled once, by a digest of (id, text), to meet the list of their shared
-cores; ids travel only for shared cores. Hot cores go through ``join_groups``.
+cores; ids travel only for shared cores. Ids are met through ``join_dealt``: what is broadcast are
+digests, owners and numbers of at most HOT_GROUPS hot cores, never ids.
 
 Defined results: a null text is the empty text, without ids; special tokens in a
 text are encoded as the tokenizers library does; repeated rows give equal rows; an
@@ -31,12 +33,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import col, join_groups, save, text_or_empty
+from ._shared import col, join_dealt, join_groups, save, text_or_empty
 from .arrays import batches_of
 from .tokens import ByteEncoder, byte_encoder, vocabulary
 
 #: One cut in 2^CUT_BITS bytes on average.
 CUT_BITS = 10
+#: Where no cut falls for so many bytes (periodic text), chunks end all the same.
+MOST_CHUNK = 1 << 15
 #: Shorter cores are not worth a digest.
 LEAST_CORE = 64
 _ALNUM = np.zeros(256, bool)
@@ -45,7 +49,14 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _DONE = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def segments(texts: list[bytes]) -> list[list[tuple[int, int, bool]]]:
+def _shortened(starts: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
+    """Starts of chunks of at most ``most`` bytes: a longer one is cut by counting from its own start."""
+    pieces = -(-(ends - starts) // most)
+    first = np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return np.repeat(starts, pieces) + (np.arange(len(first)) - first) * most
+
+
+def segments(texts: list[bytes], most: int = MOST_CHUNK) -> list[list[tuple[int, int, bool]]]:
     """(start, end, is a core) of each segment of each text; segments tile the text."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     begin = np.concatenate([[0], np.cumsum(sizes)])
@@ -57,6 +68,7 @@ def segments(texts: list[bytes]) -> list[list[tuple[int, int, bool]]]:
     owner = np.searchsorted(begin, cut, "right") - 1
     inside = (owner < len(texts)) & (cut + 8 < begin[np.minimum(owner + 1, len(texts))] - 1)
     starts = np.unique(np.concatenate([begin[:-1], cut[inside] + 8]))
+    starts = _shortened(starts, np.append(starts[1:], begin[-1]), most)
     ends = np.minimum(np.append(starts[1:], begin[-1]), begin[np.searchsorted(begin, starts, "right")] - 1)
     first, last = np.searchsorted(bound, starts + 1), np.searchsorted(bound, ends) - 1
     real = np.flatnonzero(last > first)
@@ -169,7 +181,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     names = F.transform(F.filter("parts", lambda p: F.substring(p, 1, 1) == F.unhex(F.lit("01"))), lambda p: F.substring(p, 2, 16))
     wants = waiting.select("did", F.explode(names).alias("digest")).distinct()
     given = save(given, "core-ids")
-    got = join_groups(wants, given, "digest", "n", refs.count()).groupBy("did").agg(F.collect_list(F.struct("digest", "ids")).alias("got"))
+    got = join_dealt(wants, given, "digest", "n", refs.count(), "did").groupBy("did").agg(F.collect_list(F.struct("digest", "ids")).alias("got"))
     last = waiting.join(got, "did").select("id", "parts", "got").mapInPandas(_finish(path, with_ids), f"id {kind}, {_DONE}" + ", ids binary" * with_ids)
     return done.unionByName(last)
 

@@ -293,6 +293,19 @@ def test_segments_tile_texts():
         assert b"".join(t[a:z] for a, z, _ in s) == t
 
 
+def test_periodic_texts_have_bounded_cores(spark):
+    periodic = "the same line again and again \n" * 9000  # no cut falls in it
+    texts = [periodic.encode(), ("other start " + periodic).encode(), b"", b"ab " * 40, b"x" * 200_000, b"short"]
+    for most in (64, 1000, bpe.MOST_CHUNK):
+        for t, s in zip(texts, bpe.segments(texts, most), strict=True):
+            assert b"".join(t[a:z] for a, z, _ in s) == t
+            assert all(z - a <= most for a, z, core in s if core)
+    made = [(1, periodic), (2, periodic), (3, "other start " + periodic), (4, "x" * 200_000), (5, periodic[:100_000])]
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    found = {r["id"]: r["ids_sha256"] for r in bpe.encode_documents(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert found == {i: brute.sha(",".join(map(str, library.encode(t, add_special_tokens=False).ids))) for i, t in made}
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoders_agree_with_the_library(name):
     encoder = (word_encoder if name[0] == "w" else byte_encoder)(vocabulary(name))
