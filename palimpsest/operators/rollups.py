@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .ordered import saved
 
 #: Metric names, kinds and help texts (fixed values).
 METRICS = [
@@ -76,10 +77,14 @@ def client_labels(clients: DataFrame, now: Column) -> DataFrame:
 
 
 def placed(rows: DataFrame, order: list) -> DataFrame:
-    """Number rows from 1 in an order: ranges of the sorted table are numbered apart, with the rows before each added."""
+    """Number rows from 1 in an order: ranges of the sorted table are numbered apart, with the rows before each added.
+
+    Spark finds the ranges from a sample, another one each time it deals the rows, so the dealt rows are
+    written and both the counts and the numbers are taken from what was written.
+    """
     ranged = rows.sparkSession
     parts = int(ranged.conf.get("spark.sql.shuffle.partitions"))
-    split = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    split = saved(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "places")
     counts = split.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # one row a partition
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__b"))
     nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
