@@ -38,6 +38,10 @@ SAMPLE, TRIED = 20_000, 64
 FIRST, KEPT = 8, 0.92
 #: Cells to a partition of the fixed rule below: finer cells leave less angle to the rows in them.
 CELLS_EACH = 2
+#: Filters on cells and angles that one query gives to the scan: cells with similar bands share one.
+GROUPS = 32
+#: Numbers that a task makes at once: similarities of rows to centres, or vectors beside each cell.
+AT_ONCE = 1 << 21
 #: Columns stored beside the vectors, so that filters need no join.
 STORED = ("chunk_type", "session_id", "project_name", "machine_id")
 _CELL = "id string, vector array<float>, cell int, angle double"
@@ -76,8 +80,9 @@ class VectorIndex:
         centres = train_cells(rows, cells or min(CELLS_EACH * cells_for(widths["n"]), widths["n"]), SAMPLE) if widths["n"] else np.zeros((0, 0))
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
+            for whole in batches:
+                for a in range(0, whole.num_rows, max(1, AT_ONCE // len(centres))):
+                    batch = whole.slice(a, max(1, AT_ONCE // len(centres)))
                     unit = blocks.unit(batch.column("vector"))
                     ahead = unit @ centres.T
                     cell = ahead.argmax(1)
@@ -112,8 +117,9 @@ class VectorIndex:
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a in range(0, batch.num_rows, 256):
-                    part = batch.slice(a, 256)
+                step = max(1, min(256, AT_ONCE // (len(numbers) * matrix.shape[1])))
+                for a in range(0, batch.num_rows, step):
+                    part = batch.slice(a, step)
                     unit = blocks.unit(part.column("vector"))
                     angle = np.where(unit.any(1, keepdims=True), np.arccos(np.clip(unit @ matrix.T, -1, 1)), np.pi / 2)
                     place = angle.argsort(1, kind="stable").argsort(1)
@@ -154,15 +160,19 @@ class VectorIndex:
         """(id, distance) of one query, and the reads of the index that it makes.
 
         ``condition`` is on the stored columns. All of it stays in the JVM: folders and
-        row groups are pruned by the cells and bands, which are literals.
+        row groups are pruned by the cells and bands, which are literals. Of an index with
+        thousands of cells these would be too many for one filter, so cells with similar bands share a
+        condition on the scan, and what it lets through is compared with the own band of its cell.
         """
         reach = self.reach() if reach is None else reach
         asked = self.spark.createDataFrame([(0, [float(x) for x in query])], "qid long, vector array<double>")
         angles = self.angles(asked).collect()  # one row a cell
         far = F.round(cosine_distance(F.col("vector"), query), 9)
 
-        def best(read: Column) -> tuple[DataFrame, DataFrame]:
+        def best(read: Column, bands: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
             rows = self.rows().where(read & ~F.isnan("angle"))
+            if bands is not None:
+                rows = rows.join(F.broadcast(bands), "cell").where("angle BETWEEN low AND high").drop("low", "high")
             wanted = rows if condition is None else rows.where(condition)
             return rows, wanted.select("id", far.alias("distance")).where("distance IS NOT NULL").orderBy("distance", "id").limit(limit)
 
@@ -174,7 +184,11 @@ class VectorIndex:
         both = self.spark.createDataFrame(held, "id string, distance double")
         if not later:
             return both, [reads]
-        more, second = best(reduce(operator.or_, [(F.col("cell") == r["cell"]) & F.col("angle").between(r["low"], r["high"]) for r in later]))
+        later.sort(key=lambda r: (r["low"], r["high"]))
+        groups = [part for part in (later[len(later) * i // GROUPS : len(later) * (i + 1) // GROUPS] for i in range(GROUPS)) if part]
+        read = [F.col("cell").isin([r["cell"] for r in part]) & F.col("angle").between(part[0]["low"], max(r["high"] for r in part)) for part in groups]
+        own = self.spark.createDataFrame([(r["cell"], r["low"], r["high"]) for r in later], "cell int, low double, high double") if len(later) > len(groups) else None
+        more, second = best(reduce(operator.or_, read), own)
         return both.unionByName(second).orderBy("distance", "id").limit(limit), [reads, more]
 
     def pairs_read(self, queries: DataFrame, limit: int, reach: float | None = None) -> DataFrame:
