@@ -108,6 +108,16 @@ def fused(vector: DataFrame, text: DataFrame, k: int = fixed.RRF_K) -> DataFrame
     return total.select("id", F.round(1 - F.least(F.lit(1.0), F.col("total") / F.lit(2.0 / (k + 1))), 9).alias("score"))
 
 
+def _wide(chunks: DataFrame, best: DataFrame) -> DataFrame:
+    """The chunks of a short result list (at most some hundred rows), with its columns.
+
+    The ids are in the plan as values, so that they are looked for where the chunks are read, before
+    any join that the chunks are made by.
+    """
+    held = best.collect()
+    return chunks.where(F.col("id").isin([r["id"] for r in held])).join(F.broadcast(best.sparkSession.createDataFrame(held, best.schema)), "id")
+
+
 def hybrid_search(chunks: DataFrame, question: str, query: list[float], limit: int = 10, filters: Filters = Filters(), pool: int = fixed.CANDIDATE_POOL, index: TextIndex | None = None) -> DataFrame:
     """Both arms under the same filters, fused, then joined with the wide columns.
 
@@ -118,19 +128,19 @@ def hybrid_search(chunks: DataFrame, question: str, query: list[float], limit: i
         return vector_search(chunks, query, limit, filters)
     pool = max(limit, pool)
     best = fused(vector_candidates(chunks, query, pool, filters), text_candidates(chunks, question, pool, filters, index)).orderBy("score", "id").limit(limit)
-    return chunks.join(F.broadcast(best), "id").select(*RESULT_COLUMNS)
+    return _wide(chunks, best).select(*RESULT_COLUMNS)
 
 
 def vector_search(chunks: DataFrame, query: list[float], limit: int = 10, filters: Filters = Filters()) -> DataFrame:
     best = vector_candidates(chunks, query, check_limit(limit), filters).withColumnRenamed("distance", "score")
-    return chunks.join(F.broadcast(best), "id").select(*RESULT_COLUMNS)
+    return _wide(chunks, best).select(*RESULT_COLUMNS)
 
 
 def text_search(chunks: DataFrame, question: str, limit: int = 10, filters: Filters = Filters(), index: TextIndex | None = None) -> DataFrame:
     """Full text alone; the score is 1 - relevance clipped to 0..1."""
     best = text_candidates(chunks, question, check_limit(limit), filters, index)
     best = best.select("id", (1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("relevance")))).alias("score"), "relevance")
-    return chunks.join(F.broadcast(best), "id").select(*RESULT_COLUMNS, "relevance")
+    return _wide(chunks, best).select(*RESULT_COLUMNS, "relevance")
 
 
 def search_batch(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
@@ -170,7 +180,7 @@ def session_summaries(chunks: DataFrame, query: list[float], count: int = 5, ses
     count = max(1, min(20, count))
     fetched = count * (50 if session is not None else 3)
     best = vector_candidates(chunks, query, fetched, Filters(chunk_type="summary")).withColumnRenamed("distance", "score")
-    rows = chunks.join(F.broadcast(best), "id").select(*RESULT_COLUMNS)
+    rows = _wide(chunks, best).select(*RESULT_COLUMNS)
     if session is not None:
         rows = rows.where(F.col("session_id") == session)
     if once_a_session:

@@ -22,6 +22,9 @@ import zlib
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,8 @@ BLOCK, BUCKET, CLASSES = 128, 4_000_000, 8
 ALIKE = 4
 #: Questions with more postings than this score blocks by their bounds, FIRST of them to begin with.
 DIRECT, FIRST = 2_000_000, 64
+#: Words in a task that makes posting rows: whole document blocks are dealt to tasks.
+WORDS_A_TASK = 500_000
 #: Block lists and lists of replaced chunks up to this number of rows are broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -45,6 +50,49 @@ BROADCAST_ROWS = 200_000
 _POSTINGS = "token string, block long, entries array<struct<id: string, tf: int, n: int>>, most int, least int, size long, bucket int"
 
 
+#: Posting rows as tasks make them; entries are three lists until they are written.
+_MADE = "token string, block long, ids array<string>, tfs array<int>, ns array<int>, most int, least int, size long"
+
+
+def _rows_of(block: int, tokens: pa.Array, docs: np.ndarray, tf: np.ndarray | None, ids: pa.Array, n: np.ndarray) -> pa.Table:
+    """Posting rows of one document block, from its tokens (each with the number of its document, and how often it is there if it is not once)."""
+    words = tokens.dictionary_encode()
+    # documents by id, so that entries are in order of id
+    order = np.array(pa.compute.sort_indices(ids))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    ids, n = ids.take(pa.array(order)), n[order].astype(np.int32)
+    pair = np.asarray(words.indices).astype(np.int64) * len(order) + place[docs]
+    met, at = np.unique(pair, return_inverse=True)
+    tf = np.bincount(at, tf, len(met)).astype(np.int32)
+    word, doc = np.divmod(met, max(len(order), 1))
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    ends = pa.array(np.append(first, len(word)), pa.int32())
+    size = np.diff(np.append(first, len(word)))
+    listed = lambda values: pa.ListArray.from_arrays(ends, values)
+    most, least = (f(v, first) if len(first) else np.zeros(0, np.int32) for f, v in ((np.maximum.reduceat, tf), (np.minimum.reduceat, n[doc])))
+    columns = [words.dictionary, pa.array(np.full(len(first), block), pa.int64()), listed(ids.take(pa.array(doc))), listed(pa.array(tf)), listed(pa.array(n[doc])), pa.array(most, pa.int32()), pa.array(least, pa.int32()), pa.array(size, pa.int64())]
+    return pa.table(columns, [f.split(" ")[0] for f in _MADE.split(", ")])
+
+
+def _of_chunks(group: pa.Table) -> pa.Table:
+    """Posting rows of one block of chunks (block, id, w)."""
+    one = group.combine_chunks()
+    w, ids = one.column("w").combine_chunks(), one.column("id").combine_chunks()
+    sizes = np.diff(np.asarray(w.offsets))
+    return _rows_of(one.column("block")[0].as_py(), w.flatten(), np.repeat(np.arange(len(sizes)), sizes), None, ids, sizes)
+
+
+def _of_uses(group: pa.Table) -> pa.Table:
+    """Posting rows of one block of uses (block, id, n, token, tf)."""
+    one = group.combine_chunks()
+    ids = one.column("id").combine_chunks().dictionary_encode()
+    docs = np.asarray(ids.indices).astype(np.int64)
+    n = np.zeros(len(ids.dictionary), np.int32)
+    n[docs] = np.asarray(one.column("n"))
+    return _rows_of(one.column("block")[0].as_py(), one.column("token").combine_chunks(), docs, np.asarray(one.column("tf"), np.float64), ids.dictionary, n)
+
+
 def _bucket(token: Column, buckets: int) -> Column:
     return (F.crc32(token.cast("binary")) % buckets).cast("int")
 
@@ -111,33 +159,41 @@ class TextIndex:
     def _segment(self, chunks: DataFrame, held: list[dict]) -> dict:
         at = f"{self.path}/{uuid.uuid4().hex}"
         kept = [c for c in FILTERED if c in chunks.columns]
-        words = chunks.select(F.col("id").cast("string").alias("id"), tokens(F.col("content")).alias("w"), *kept)
-        words.select("id", F.size("w").alias("n"), *kept).write.option("compression", "zstd").parquet(f"{at}/lengths")
-        uses = words.select("id", F.size("w").alias("n"), F.explode("w").alias("token")).groupBy("id", "n", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        words = chunks.select(F.col("id").cast("string").alias("id"), "content", *kept)
+        count = F.size(tokens(F.col("content")))
+        words.select("id", count.alias("n"), *kept).write.option("compression", "zstd").parquet(f"{at}/lengths")
         replaced = 0
         if held:
             own = self.spark.read.parquet(f"{at}/lengths").select("id")
             reduce(DataFrame.unionByName, [self._lengths_of(s).select("id") for s in held if s["docs"]]).join(own, "id", "left_semi").distinct().write.parquet(f"{at}/replaced")
             replaced = self.spark.read.parquet(f"{at}/replaced").count()
-        return self._postings(at, uses) | {"replaced": replaced}
+        return self._postings(at, words.select("id", "content"), count) | {"replaced": replaced}
 
-    def _postings(self, at: str, uses: DataFrame) -> dict:
-        """Write the posting rows of (id, n, token, tf); the lengths are there already."""
+    def _postings(self, at: str, given: DataFrame, n: Column, whole: bool = True) -> dict:
+        """Write the posting rows of chunks (id, content), or of uses (id, n, token, tf); the lengths are there already.
+
+        The rows are dealt by document block, texts as they are. All of a block is in one
+        task then, which counts its tokens and makes its posting rows; these are dealt once more, to the files.
+        """
         lengths = self.spark.read.parquet(f"{at}/lengths")
         kind = lambda n: F.floor(F.log1p(n.cast("double")) * CLASSES).cast("int")
         told = lengths.groupBy(kind(F.col("n")).alias("k")).agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words")).collect()  # some hundred classes at most
         parts = {r["k"]: max(1, math.ceil(r["docs"] / self.block)) for r in told}
-        words = sum(r["words"] for r in told)
+        words = sum(r["words"] or 0 for r in told)
         buckets = max(8, min(4096, words // BUCKET))
-        many = F.coalesce(F.create_map(*[F.lit(x) for k, p in parts.items() for x in (k, p)])[kind(F.col("n"))], F.lit(1)) if parts else F.lit(1)
-        block = kind(F.col("n")).cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("id"), many)
+        many = F.coalesce(F.create_map(*[F.lit(x) for k, p in parts.items() for x in (k, p)])[kind(n)], F.lit(1)) if parts else F.lit(1)
+        block = kind(n).cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("id"), many)
+        dealt = given.withColumn("block", block).where("block IS NOT NULL").repartition(max(1, min(20_000, words // WORDS_A_TASK)), "block")
+        if whole:
+            made = dealt.select("block", "id", tokens(F.col("content")).alias("w")).groupBy("block").applyInArrow(_of_chunks, _MADE)
+        else:
+            made = dealt.select("block", "id", "n", "token", "tf").groupBy("block").applyInArrow(_of_uses, _MADE)
         # the rows of a hot token are as many as document blocks, so it is no hot key
-        entry = F.struct("id", "tf", "n")
-        rows = uses.withColumn("block", block).groupBy("token", "block").agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.max("tf").alias("most"), F.min("n").alias("least"), F.count(F.lit(1)).alias("size"))
-        rows = rows.withColumn("bucket", _bucket(F.col("token"), buckets))
+        rows = made.withColumn("bucket", _bucket(F.col("token"), buckets))
         salts = max(1, min(64, words // (buckets * BUCKET)))  # hot tokens spread over files by block
-        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(salts))).sortWithinPartitions("bucket", "token", "block")
-        dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{at}/postings")
+        dealt = rows.repartition(2 * buckets * salts, "bucket", F.pmod(F.xxhash64("block"), F.lit(salts))).sortWithinPartitions("bucket", "token", "block")
+        entries = F.transform(F.arrays_zip("ids", "tfs", "ns"), lambda e: F.struct(e["ids"].alias("id"), e["tfs"].alias("tf"), e["ns"].alias("n")))
+        dealt.select("token", "block", entries.alias("entries"), "most", "least", "size", "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{at}/postings")
         return {"name": at.rsplit("/", 1)[1], "docs": sum(r["docs"] for r in told), "words": words, "buckets": buckets}
 
     def _merged(self) -> bool:
@@ -153,7 +209,7 @@ class TextIndex:
         at = f"{self.path}/{uuid.uuid4().hex}"
         reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [self._lengths_of(s, held) for s in old if s["docs"]]).write.option("compression", "zstd").parquet(f"{at}/lengths")
         uses = reduce(DataFrame.unionByName, [self._entries(self._segment_rows(s), s, held) for s in old if s["docs"]]).select("id", "n", "token", "tf")
-        joined = self._postings(at, uses)
+        joined = self._postings(at, uses, F.col("n"), False)
         gone = [self.spark.read.parquet(f"{self.path}/{s['name']}/replaced") for s in old if s["replaced"]]
         joined["replaced"] = 0
         if gone and a:  # segments before these still hold what they replaced

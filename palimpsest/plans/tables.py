@@ -22,13 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks; the vector is null where a document has no embedding."""
-    e = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS doc_id", "embedding AS vector")
-    return table(spark, sf_dir, "documents").join(e, "doc_id", "left").selectExpr(
+def chunks(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
+    """Documents as chunks; the vector is null where a document has no embedding.
+
+    Without ``vectors`` there is no such column, and texts are not shuffled for a join (a
+    document has one embedding at most).
+    """
+    documents = table(spark, sf_dir, "documents")
+    if vectors:
+        e = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS doc_id", "embedding AS vector")
+        documents = documents.join(e, "doc_id", "left")
+    return documents.selectExpr(
         "doc_id",
         "substring(sha2(concat('chunk-', doc_id), 256), 1, 16) AS id",
-        "text AS content", "vector",
+        "text AS content", *(["vector"] if vectors else []),
         "CASE WHEN doc_id % 4 < 2 THEN 'turn' WHEN doc_id % 4 = 2 THEN 'file_change' ELSE 'summary' END AS chunk_type",
         "concat('s', doc_id % 50) AS session_id",
         "concat('/work/', source) AS project_path", "source AS project_name",
@@ -60,7 +67,7 @@ def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     path = f"{sf_dir}/documents.parquet"
     key = (spark.sparkContext.applicationId, path, state_of(spark, path))
     if key not in _INDEXES or not _INDEXES[key].exists():
-        _INDEXES[key] = TextIndex(spark, scratch(spark, "text-index")).build(chunks(spark, sf_dir))
+        _INDEXES[key] = TextIndex(spark, scratch(spark, "text-index")).build(chunks(spark, sf_dir, vectors=False))
     return _INDEXES[key]
 
 
