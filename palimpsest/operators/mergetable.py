@@ -9,7 +9,8 @@ disks do.)
 * A write adds a delta: the rows of the batch, of each key the one that is greatest by
   ``order``. The table itself is not read. A batch known by its number is written once.
 * A read takes the newest row of each key. Only keys of the deltas are compared, and
-  only with files whose range of keys meets theirs; other files are read as they are.
+  only with files whose range of keys meets theirs; other files are read as they are. Places of rows that
+  lost go to the executors as bitmaps, so no whole row is shuffled.
 * A merge folds deltas into the table. Rows that lost are listed as dead beside their file; only
   files with a large dead share, and small files, are rewritten. Rewritten rows are ordered
   by interleaved places of the ``cluster`` columns, so filters on either of them skip row groups.
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..paths import file_system, names_in, read_text, stored
+from .ordered import saved
 
 #: A merged file is rewritten when this share of its rows is dead, or when it has fewer bytes than SMALL of TARGET.
 DEAD, SMALL, TARGET = 0.2, 0.25, 256 << 20
@@ -80,8 +82,8 @@ class MergeTable:
 
     def _scan(self, files: list[dict], schema: StructType) -> DataFrame:
         if not files:
-            return self.spark.createDataFrame([], schema).withColumn("__file", F.lit(None).cast("string"))
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{f['file']}" for f in files]).withColumn("__file", F.col("_metadata.file_name"))
+            return self.spark.createDataFrame([], schema).withColumns({"__file": F.lit(None).cast("string"), "__row": F.lit(None).cast("long")})
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{f['file']}" for f in files]).withColumns({"__file": F.col("_metadata.file_name"), "__row": F.col("_metadata.row_index")})
 
     def _live(self, files: list[dict], v: dict, schema: StructType) -> DataFrame:
         """Rows of merged files, with their file, but for the dead ones."""
@@ -101,17 +103,35 @@ class MergeTable:
         meets = [any(f["low"] <= d["high"] and d["low"] <= f["high"] for d in deltas) for f in merged]
         return [f for f, m in zip(merged, meets, strict=True) if not m], [f for f, m in zip(merged, meets, strict=True) if m], deltas
 
-    def _winners(self, v: dict, schema: StructType) -> tuple[DataFrame, DataFrame]:
-        """Rows of the met files whose keys no delta has, and all rows of the deltas' keys with their place (__nth)."""
+    def _lost(self, v: dict, schema: StructType) -> DataFrame | None:
+        """(__file, __row, __old, keys) of the rows of deltas and of the files they meet that are not the newest of their key; None if there can be none.
+
+        Only keys and orders are read and shuffled. ``__old`` marks rows of merged files.
+        """
         _, met, deltas = self._split(v)
-        fresh = self._scan(deltas, schema).withColumn("__file", F.lit(None).cast("string"))
+        if not met and len({f["file"].split("/")[0] for f in deltas}) <= 1:
+            return None  # a delta has each key once
+        place = [F.col("__file"), F.col("__row"), *map(F.col, self.keys), *[F.col(c) for c in self.order if c not in self.keys]]
+        fresh = self._scan(deltas, schema).select(*place, F.lit(False).alias("__old"))
         names = fresh.select(self.keys).distinct()
         if sum(f["rows"] for f in deltas) <= BROADCAST_ROWS:
             names = F.broadcast(names)
-        held = self._live(met, v, schema)
-        both = fresh.unionByName(held.join(names, self.keys, "left_semi"))
+        held = self._live(met, v, schema).select(*place, F.lit(True).alias("__old")).join(names, self.keys, "left_semi")
         newest = Window.partitionBy(self.keys).orderBy(*[F.col(c).desc_nulls_last() for c in self.order])
-        return held.join(names, self.keys, "left_anti"), both.withColumn("__nth", F.row_number().over(newest))
+        ranked = fresh.unionByName(held).withColumn("__nth", F.row_number().over(newest)).where("__nth > 1")
+        return saved(ranked.select("__file", "__row", "__old", *self.keys), "lost")
+
+    def _newest(self, rows: DataFrame, lost: DataFrame | None) -> DataFrame:
+        """Rows (with __file and __row) but for those that lost: these go to all executors as bitmaps, one bit a row of a file, so rows stay where they are read."""
+        if lost is None:
+            return rows
+        number = F.col("__row") + 1
+        bits = lost.groupBy("__file", F.bitmap_bucket_number(number).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("__bits"))
+        marked = rows.withColumn("__bucket", F.bitmap_bucket_number(number)).join(F.broadcast(bits), ["__file", "__bucket"], "left")
+        at = F.bitmap_bit_position(number)
+        byte = F.ascii(F.decode(F.substring("__bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+        dead = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), at.bitwiseAND(F.lit(7)).cast("int") + 1)) != 0
+        return marked.where(F.col("__bits").isNull() | ~dead).drop("__bucket", "__bits")
 
     def read(self, n: int | None = None) -> DataFrame:
         """The table as of a version, the newest by default."""
@@ -122,9 +142,9 @@ class MergeTable:
         far, met, deltas = self._split(v)
         rows = self._live(far + met, v, schema)
         if deltas:
-            rest, placed = self._winners(v, schema)
-            won = placed.where("__nth = 1 AND NOT __gone").drop("__nth")
-            rows = reduce(DataFrame.unionByName, [self._live(far, v, schema), rest, won])
+            near = self._scan(deltas, schema).unionByName(self._live(met, v, schema))
+            won = self._newest(near, self._lost(v, schema)).where("NOT __gone")
+            rows = self._live(far, v, schema).unionByName(won)
         return rows.select([f.name for f in schema if not f.name.startswith("__")])
 
     # --- writing ---
@@ -172,11 +192,22 @@ class MergeTable:
         told = {"__batch": F.lit(v["n"] + 1).cast("long"), "__seq": F.col("seq").cast("long") if "seq" in batch.columns else F.lit(0).cast("long"), "__gone": F.lit(False) if gone is None else F.coalesce(gone, F.lit(False))}
         rows = batch.withColumns(told)
         rows = rows.drop(*[c for c in ("seq",) if c in batch.columns and c not in self.order])
-        newest = Window.partitionBy(self.keys).orderBy(*[F.col(c).desc_nulls_last() for c in self.order])
-        rows = rows.withColumn("__nth", F.row_number().over(newest)).where("__nth = 1").drop("__nth")
         schema = v["schemas"].get(self.side) or json.loads(rows.schema.json())
-        rows = rows.select([f.name for f in StructType.fromJson(schema)]).sortWithinPartitions(*self.keys)
-        return schema, self._write(rows, True)
+        files = self._write(rows.select([f.name for f in StructType.fromJson(schema)]), True)
+        return schema, self._once(files, StructType.fromJson(schema))
+
+    def _once(self, files: list[dict], schema: StructType) -> list[dict]:
+        """The files of a batch, written again without repeated keys if it has any. Only keys and orders are shuffled to see that."""
+        held = self._scan(files, schema)
+        if held.groupBy(self.keys).count().where("count > 1").isEmpty():
+            return files
+        newest = Window.partitionBy(self.keys).orderBy(*[F.col(c).desc_nulls_last() for c in self.order])
+        lost = saved(held.withColumn("__nth", F.row_number().over(newest)).where("__nth > 1").select("__file", "__row"), "lost")
+        again = self._write(self._newest(held, lost).drop("__file", "__row"), True)
+        for folder in {f["file"].split("/")[0] for f in files}:
+            system, at = file_system(self.spark, f"{self.path}/data/{folder}")
+            system.delete(at, True)
+        return again
 
     def delete(self, keys: DataFrame) -> bool:
         """Delete the rows with these keys."""
@@ -205,10 +236,10 @@ class MergeTable:
         name = lambda f: f["file"].rsplit("/", 1)[1]
         lost, rows, counts = None, None, {}
         if deltas:
-            _, placed = self._winners(v, schema)
-            lost = placed.where("__nth > 1 AND __file IS NOT NULL").select("__file", *self.keys)
-            rows = placed.where("__nth = 1 AND NOT __gone AND __file IS NULL").drop("__nth", "__file")
-            counts = {r["__file"]: r["count"] for r in lost.groupBy("__file").count().collect()}  # one row a file
+            lost = self._lost(v, schema)
+            rows = self._newest(self._scan(deltas, schema), lost).where("NOT __gone").drop("__file", "__row")
+            if lost is not None:
+                counts = {r["__file"]: r["count"] for r in lost.where("__old").groupBy("__file").count().collect()}  # one row a file
         merged = [f | {"dead": f["dead"] + counts.get(name(f), 0)} for f in far + met]
         small = [f for f in merged if f["bytes"] < SMALL * self.target]
         stale = [f for f in merged if f["dead"] >= DEAD * f["rows"] and f["dead"]]
@@ -217,9 +248,8 @@ class MergeTable:
             return Merged(0, 0, len(merged), sum(f["bytes"] for f in merged), 0)
         old = [f for f in far + met if name(f) in again]
         if old:
-            left = self._live(old, v, schema)
-            left = left.join(lost, ["__file", *self.keys], "left_anti") if lost is not None else left
-            rows = left.drop("__file") if rows is None else rows.unionByName(left.drop("__file"))
+            left = self._newest(self._live(old, v, schema), lost).drop("__file", "__row")
+            rows = left if rows is None else rows.unionByName(left)
         amount = sum(f["bytes"] for f in old) + sum(f["bytes"] for f in deltas)
         written = self._write(self._clustered(rows, max(1, -(-amount // self.target))), False)
         kept = [f for f in merged if name(f) not in again]
@@ -227,7 +257,7 @@ class MergeTable:
         dead, others = [d for d in v["dead"] if d["side"] == self.side], [d for d in v["dead"] if d["side"] != self.side]
         if lost is not None and any(counts.get(name(f)) for f in kept):
             dead.append({"name": uuid.uuid4().hex, "side": self.side})
-            lost.where(~F.col("__file").isin(sorted(again))).write.parquet(f"{self.path}/dead/{dead[-1]['name']}")
+            lost.where(F.col("__old") & ~F.col("__file").isin(sorted(again))).select("__file", *self.keys).write.parquet(f"{self.path}/dead/{dead[-1]['name']}")
         if not any(f["dead"] for f in kept):
             dead = []
         self._commit(v, files=beside + kept + written, dead=others + dead)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from palimpsest.operators import search
+from palimpsest.operators.mergetable import MergeTable
 from palimpsest.operators.textindex import TextIndex
 from palimpsest.plans import tables
 
@@ -41,3 +44,18 @@ def test_results_are_found_before_texts_are_joined(spark):
     joined = next(k for k, line in enumerate(plan) if "LeftOuter" in line)
     assert any("sha2" in line and "Filter" in line and " IN " in line.upper() for line in plan[joined + 1 :])
     assert wide.count() == 5
+
+
+def test_writes_and_reads_of_a_table_shuffle_keys_only(spark, tmp_path):
+    """Rows of 2 KB that don't compress, a third of them changed, some of them twice in a batch."""
+    rows = spark.range(3000).selectExpr("cast(id AS string) AS id", "id AS n", "concat_ws('', transform(sequence(1, 32), k -> sha2(concat(id, '-', k), 256))) AS content").coalesce(2)
+    changed = rows.where("n % 3 = 0")
+    batch = changed.selectExpr("*", "1 AS seq").unionByName(changed.where("n % 2 = 0").selectExpr("id", "n + 100000 AS n", "content", "2 AS seq"))
+    held = MergeTable(spark, str(tmp_path))
+    table = lambda: {r["id"]: r["n"] for r in held.read().select("id", "n", F.md5("content")).collect()}
+    _, moved = shuffled(spark, lambda: (held.upsert(rows.withColumn("seq", F.lit(0))), held.upsert(batch), table()))
+    assert table() == {str(i): i + 100000 if i % 6 == 0 else i for i in range(3000)}
+    assert moved < 3000 * 2048 / 4
+    held.delete(rows.where("n % 5 = 1").select("id"))
+    held.merge()
+    assert table() == {str(i): i + 100000 if i % 6 == 0 else i for i in range(3000) if i % 5 != 1}
