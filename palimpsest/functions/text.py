@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import functools
 import re
@@ -274,8 +275,38 @@ def clean_text(texts: pd.Series) -> pd.Series:
 
 
 def similarity(a: str, b: str) -> float:
-    """Ratcliff-Obershelp ratio of two comparable texts."""
-    return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    """Ratcliff-Obershelp ratio of two comparable texts, as ``difflib`` has it.
+
+    ``difflib`` starts matches of long texts from rare characters only but goes through all characters of the first
+    text for each match. Here the places of those characters are known beforehand, so a match goes through these.
+    """
+    if not a or not b:
+        return 0.0
+    starts = difflib.SequenceMatcher(None, "", b).b2j  # without frequent characters of long texts
+    places = [i for i, c in enumerate(a) if c in starts]
+    matched, open_ = 0, [(0, len(a), 0, len(b))]
+    while open_:
+        alo, ahi, blo, bhi = open_.pop()
+        i, j, size = alo, blo, 0
+        before, runs = -2, {}
+        for at in places[bisect.bisect_left(places, alo) : bisect.bisect_left(places, ahi)]:
+            last, runs = runs if at == before + 1 else {}, {}
+            before, known = at, starts[a[at]]
+            for k in range(bisect.bisect_left(known, blo), len(known)):
+                z = known[k]
+                if z >= bhi:
+                    break
+                n = runs[z] = last.get(z - 1, 0) + 1
+                if n > size:
+                    i, j, size = at - n + 1, z - n + 1, n
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j, size = i - 1, j - 1, size + 1
+        while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
+            size += 1
+        if size:
+            matched += size
+            open_ += [x for x in ((alo, i, blo, j), (i + size, ahi, j + size, bhi)) if x[0] < x[1] and x[2] < x[3]]
+    return 2.0 * matched / (len(a) + len(b))
 
 
 def alike(a: str, b: str, least: float, equal: bool) -> bool:
