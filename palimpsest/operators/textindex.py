@@ -6,7 +6,9 @@ that grows in N batches has about log N segments, and each posting is rewritten
 
 A segment deals its chunks to document blocks of chunks of similar length. A posting
 row holds what one token has in one document block, with the greatest frequency and the least
-length in it. These two bound the token's share of any BM25 score in the block,
+length in it. Whole blocks share a file, whose rows are in order of token: posting rows are
+written where they are made, and a file names its own chunks only, so its ids stay a small
+dictionary however many chunks there are. These two bound the token's share of any BM25 score in the block,
 whatever the statistics are by then. A question over many postings scores
 the most promising blocks first and then only blocks that may still reach the k-th best score.
 
@@ -18,7 +20,6 @@ from __future__ import annotations
 import json
 import math
 import uuid
-import zlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -34,20 +35,20 @@ from ..paths import file_system, names_in, read_text
 
 #: Columns that filters may name, kept beside the length of a chunk.
 FILTERED = ("project_path", "project_name", "chunk_type", "file_path", "operation", "session_id", "timestamp")
-#: Chunks in a document block, postings of a token bucket, and length classes to a factor of e.
-BLOCK, BUCKET, CLASSES = 128, 4_000_000, 8
+#: Chunks in a document block, and length classes to a factor of e.
+BLOCK, CLASSES = 128, 8
 #: Segments of one size class that are merged, and the factor between size classes.
 ALIKE = 4
 #: Questions with more postings than this score blocks by their bounds, FIRST of them to begin with.
 DIRECT, FIRST = 2_000_000, 64
-#: Words in a task that makes posting rows: whole document blocks are dealt to tasks.
-WORDS_A_TASK = 500_000
+#: Words in a task that makes posting rows, which is a file: whole document blocks are dealt to tasks. Small segments have tasks of FEW_WORDS, so that all cores have some.
+WORDS_A_TASK, FEW_WORDS = 2_000_000, 250_000
 #: Block lists and lists of replaced chunks up to this number of rows are broadcast.
 BROADCAST_ROWS = 200_000
 
 
 #: Given with every read: a question doesn't wait for Spark to look at files for their columns.
-_POSTINGS = "token string, block long, entries array<struct<id: string, tf: int, n: int>>, most int, least int, size long, bucket int"
+_POSTINGS = "token string, block long, entries array<struct<id: string, tf: int, n: int>>, most int, least int, size long"
 
 
 #: Posting rows as tasks make them; entries are three lists until they are written.
@@ -93,10 +94,6 @@ def _of_uses(group: pa.Table) -> pa.Table:
     return _rows_of(one.column("block")[0].as_py(), one.column("token").combine_chunks(), docs, np.asarray(one.column("tf"), np.float64), ids.dictionary, n)
 
 
-def _bucket(token: Column, buckets: int) -> Column:
-    return (F.crc32(token.cast("binary")) % buckets).cast("int")
-
-
 def share(idf: str, tf: str, n: str, mean: float) -> str:
     """What a token contributes to BM25, as SQL: it rises with tf and falls with n."""
     k, b = fixed.BM25_K1, fixed.BM25_B
@@ -121,7 +118,7 @@ class TextIndex:
         return bool(self._versions())
 
     def segments(self) -> list[dict]:
-        """The segments in force, oldest first: name, docs, words, buckets, postings, replaced."""
+        """The segments in force, oldest first: name, docs, words, replaced."""
         versions = self._versions()
         return json.loads(read_text(self.spark, f"{self.path}/log/{versions[-1]}.json")) if versions else []
 
@@ -151,7 +148,7 @@ class TextIndex:
         at, held = f"{self.path}/{uuid.uuid4().hex}", self.segments()
         self.lengths().select("id").join(ids.select("id").distinct(), "id", "left_semi").write.parquet(f"{at}/replaced")
         n = self.spark.read.parquet(f"{at}/replaced").count()
-        self._commit([*held, {"name": at.rsplit("/", 1)[1], "docs": 0, "words": 0, "buckets": 1, "replaced": n}])
+        self._commit([*held, {"name": at.rsplit("/", 1)[1], "docs": 0, "words": 0, "replaced": n}])
         while self._merged():
             pass
         return self
@@ -173,28 +170,25 @@ class TextIndex:
         """Write the posting rows of chunks (id, content), or of uses (id, n, token, tf); the lengths are there already.
 
         The rows are dealt by document block, texts as they are. All of a block is in one
-        task then, which counts its tokens and makes its posting rows; these are dealt once more, to the files.
+        task then, which counts its tokens, makes its posting rows and writes them, in order of token.
         """
         lengths = self.spark.read.parquet(f"{at}/lengths")
         kind = lambda n: F.floor(F.log1p(n.cast("double")) * CLASSES).cast("int")
         told = lengths.groupBy(kind(F.col("n")).alias("k")).agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words")).collect()  # some hundred classes at most
         parts = {r["k"]: max(1, math.ceil(r["docs"] / self.block)) for r in told}
         words = sum(r["words"] or 0 for r in told)
-        buckets = max(8, min(4096, words // BUCKET))
+        tasks = max(1, min(self.spark.sparkContext.defaultParallelism, words // FEW_WORDS), words // WORDS_A_TASK)
         many = F.coalesce(F.create_map(*[F.lit(x) for k, p in parts.items() for x in (k, p)])[kind(n)], F.lit(1)) if parts else F.lit(1)
         block = kind(n).cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("id"), many)
-        dealt = given.withColumn("block", block).where("block IS NOT NULL").repartition(max(1, min(20_000, words // WORDS_A_TASK)), "block")
+        dealt = given.withColumn("block", block).where("block IS NOT NULL").repartition(tasks, "block")
         if whole:
             made = dealt.select("block", "id", tokens(F.col("content")).alias("w")).groupBy("block").applyInArrow(_of_chunks, _MADE)
         else:
             made = dealt.select("block", "id", "n", "token", "tf").groupBy("block").applyInArrow(_of_uses, _MADE)
-        # the rows of a hot token are as many as document blocks, so it is no hot key
-        rows = made.withColumn("bucket", _bucket(F.col("token"), buckets))
-        salts = max(1, min(64, words // (buckets * BUCKET)))  # hot tokens spread over files by block
-        dealt = rows.repartition(2 * buckets * salts, "bucket", F.pmod(F.xxhash64("block"), F.lit(salts))).sortWithinPartitions("bucket", "token", "block")
         entries = F.transform(F.arrays_zip("ids", "tfs", "ns"), lambda e: F.struct(e["ids"].alias("id"), e["tfs"].alias("tf"), e["ns"].alias("n")))
-        dealt.select("token", "block", entries.alias("entries"), "most", "least", "size", "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{at}/postings")
-        return {"name": at.rsplit("/", 1)[1], "docs": sum(r["docs"] for r in told), "words": words, "buckets": buckets}
+        rows = made.sortWithinPartitions("token", "block").select("token", "block", entries.alias("entries"), "most", "least", "size")
+        rows.write.option("compression", "zstd").parquet(f"{at}/postings")
+        return {"name": at.rsplit("/", 1)[1], "docs": sum(r["docs"] for r in told), "words": words}
 
     def _merged(self) -> bool:
         """Merge the ALIKE segments of one size class, if there are as many; neighbours only, so that newer ones stay newer."""
@@ -252,11 +246,10 @@ class TextIndex:
         return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [self._lengths_of(s, held) for s in held if s["docs"]])
 
     def _segment_rows(self, segment: dict, terms: list[str] | None = None) -> DataFrame:
-        """Posting rows of a segment; only the folders and row groups of ``terms`` are read."""
+        """Posting rows of a segment; of each file only the pages of ``terms`` are read."""
         rows = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/{segment['name']}/postings")
         if terms is not None:
-            buckets = sorted({zlib.crc32(t.encode()) % segment["buckets"] for t in terms})
-            rows = rows.where(F.col("token").isin(terms) & F.col("bucket").isin(buckets))
+            rows = rows.where(F.col("token").isin(terms))
         return rows.withColumn("segment", F.lit(segment["name"]))
 
     def _entries(self, rows: DataFrame, segment: dict, held: list[dict]) -> DataFrame:
