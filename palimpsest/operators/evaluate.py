@@ -27,18 +27,20 @@ def distance(score: Column) -> Column:
 def marked(analysis: DataFrame, results: DataFrame) -> DataFrame:
     """Every result under every question, with its mark and place.
 
-    ``results`` is a top-k list of at most MOST_RESULTS rows.
+    ``results`` is a top-k list of at most MOST_RESULTS rows. What depends on a result alone (its place and
+    its tokens) is told once, before the results meet the questions.
     """
     one = F.lit(1).alias("one")
-    both = analysis.select("qid", "q", "intent", "techs", "terms", F.col("confidence").alias("analysis_confidence"), one).join(F.broadcast(results.limit(fixed.MOST_RESULTS).select("*", one)), "one").drop("one")
+    nth = (F.row_number().over(Window.orderBy("score", "id")) - 1).alias("nth")  # at most MOST_RESULTS rows
+    told = results.limit(fixed.MOST_RESULTS).select("*", F.array_distinct(tokens(F.col("content"))).alias("held"), nth, one)
+    both = analysis.select("qid", "q", "intent", "techs", "terms", F.col("confidence").alias("analysis_confidence"), F.array_distinct(tokens(F.col("q"))).alias("words"), one).join(F.broadcast(told), "one").drop("one")
     low = F.lower("content")
-    asked, held = F.array_distinct(tokens(F.col("q"))), F.array_distinct(tokens(F.col("content")))
-    both = both.select("*", F.size(asked).alias("asked"), F.size(F.array_intersect(asked, held)).cast("long").alias("shared"))
+    both = both.select("*", F.size("words").alias("asked"), F.size(F.array_intersect("words", "held")).cast("long").alias("shared")).drop("words", "held")
     named = F.exists("techs", lambda t: low.contains(t))
     change = F.when(F.col("chunk_type") == "file_change", 0.1).otherwise(0.0)
     kind = F.when(F.col("intent") == "file_history", change).otherwise(F.when(F.col("chunk_type") == "turn", 0.05).otherwise(0.0))
     mark = (1 - distance(F.col("score"))) * 0.4 + F.when(F.col("asked") > 0, F.col("shared") / F.col("asked") * 0.3).otherwise(0.0) + F.when(named, 0.1).otherwise(0.0) + intent_mark(low, F.col("intent")) * 0.2 + kind
-    return both.select("*", F.least(F.lit(1.0), mark).alias("mark"), (F.row_number().over(Window.partitionBy("qid").orderBy("score", "id")) - 1).alias("nth"))
+    return both.select("*", F.least(F.lit(1.0), mark).alias("mark"))
 
 
 def evaluation(marks: DataFrame) -> DataFrame:
