@@ -253,20 +253,65 @@ def split_parts(texts: pd.Series) -> pd.Series:
     return texts.map(split_text, na_action="ignore")
 
 
+#: Characters of which a match of the second and third rule of NOISE is made, once blanks are in place, and how many it has at least.
+_MADE_OF = [(b"0123456789abcdefABCDEF\t\n\r :,", 16), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=", 40)]
+
+
 @functools.lru_cache(1)
-def _cleaning() -> list[tuple[re.Pattern, str]]:
-    """Replacements in order: one class of all characters to blank out, built from their categories, then the fixed ones."""
-    plain = {9, 10, 13, *range(0x20, 0x7F)}
-    gone = [c for c in range(sys.maxunicode + 1) if c not in plain and unicodedata.category(chr(c))[0] not in fixed.KEPT_CATEGORIES]
-    cuts = np.flatnonzero(np.diff(gone) > 1)
-    first, last = np.array(gone)[np.append(0, cuts + 1)], np.array(gone)[np.append(cuts, len(gone) - 1)]
-    blank = "[" + "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in zip(first.tolist(), last.tolist(), strict=True)) + "]"
-    return [(re.compile(blank), " "), *[(re.compile(p), put) for p, put in fixed.NOISE]]
+def _cleaning() -> tuple[np.ndarray, list[tuple[np.ndarray, int, re.Pattern, str]]]:
+    """Which characters are blanked out, by their categories; of the rules within stretches of few characters, which these are, the least length, pattern and replacement."""
+    gone = np.fromiter((unicodedata.category(chr(c))[0] not in fixed.KEPT_CATEGORIES for c in range(sys.maxunicode + 1)), bool)
+    gone[[9, 10, 13, *range(0x20, 0x7F)]] = False
+    rules = []
+    for (letters, least), (pattern, put) in zip(_MADE_OF, fixed.NOISE[1:3], strict=True):
+        inside = np.zeros(128, bool)
+        inside[list(letters)] = True
+        rules.append((inside, least, re.compile(pattern), put))
+    return gone, rules
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _text(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _without_long_runs(codes: np.ndarray) -> np.ndarray:
+    """Two of every character that stands four times or more in a row, lines' ends aside."""
+    same = codes[1:] == codes[:-1]
+    four = same[:-2] & same[1:-1] & same[2:] & (codes[3:] != 10)
+    if not four.any():
+        return codes
+    within = np.zeros(len(codes), bool)  # third and later places of a long run
+    within[2:-1] = four
+    within[3:] |= four
+    return codes[~within]
 
 
 def clean_for_embedding(text: str) -> str:
-    """Unicode NFC; letters, numbers, punctuation and marks kept; long runs, hex and base64 shortened."""
-    return functools.reduce(lambda t, rule: rule[0].sub(rule[1], t), _cleaning(), unicodedata.normalize("NFC", text)).strip()
+    """Unicode NFC; letters, numbers, punctuation and marks kept; long runs, hex and base64 shortened.
+
+    The rules of NOISE in their order. Single characters are compared as arrays; patterns go
+    through stretches alone that can hold a match, as they have no other characters in them.
+    """
+    gone, rules = _cleaning()
+    codes = _codes(text if text.isascii() else unicodedata.normalize("NFC", text))
+    codes = _without_long_runs(np.where(gone[codes], np.uint32(32), codes)) if len(codes) else codes
+    for inside, least, pattern, put in rules:
+        edges = np.flatnonzero(np.diff(inside[np.minimum(codes, 127)], prepend=False, append=False))
+        first, last = edges[::2], edges[1::2]
+        long = last - first >= least
+        parts, done = [], 0
+        for a, z in zip(first[long].tolist(), last[long].tolist(), strict=True):
+            parts += [codes[done:a], _codes(pattern.sub(put, _text(codes[a:z])))]
+            done = z
+        codes = np.concatenate([*parts, codes[done:]]) if parts else codes
+    blank = codes == 32
+    blank[1:] &= blank[:-1].copy()
+    blank[:1] = False
+    return _text(codes[~blank]).strip()
 
 
 @F.pandas_udf(T.StringType())
