@@ -191,6 +191,8 @@ class _Links:
 MEMBERS, SALTS, GROUP_BYTES = 64, 1 << 16, 1 << 23
 #: Rows of a list of shingles that meet all of its other side in one task.
 LIST_ROWS = 1000
+#: Keys right before a posting's own, by which a pair that met already is known.
+EARLIER = 8
 #: Sizes of sets in one class differ by at most this factor.
 SIZE_STEP = 1.03
 
@@ -219,20 +221,23 @@ def _prefix_pairs(sets: DataFrame, grouped: DataFrame, percent: int) -> DataFram
     prefix = prefix.select("key", "v", "n", "nth").join(grouped, "v", "left").withColumn("root", F.coalesce("root", "v"))
     prefix = save(prefix, "prefixes")
     mixed = prefix.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("z"), F.count(F.lit(1)).alias("size")).where("x != z").select("key", "size")
-    left = save(join_dealt(prefix, save(mixed, "lists-open"), "key", "size", prefix.count(), "v"), "prefixes-open")
+    left = join_dealt(prefix, save(mixed, "lists-open"), "key", "size", prefix.count(), "v")
+    left = save(left.withColumn("before", F.collect_list("key").over(own.orderBy("nth").rowsBetween(-EARLIER, -1))), "prefixes-open")
     # the smaller side: the overlap with a set of n shingles, at most m - nth + 1, must reach percent / (100 + percent) of n + m
     most = F.expr(f"least((n - nth + 1) * {100 + percent} div {percent} - n, n * 100 div {percent})")  # the largest partner
     sized = lambda c: F.floor(F.log(c.cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
     salts = (F.col("size") / LIST_ROWS).cast("int")
     small = left.withColumn("most", most).where(F.col("most") >= F.col("n"))
     small = small.select(
-        "key", F.col("v").alias("b"), F.col("n").alias("n_b"), F.col("nth").alias("nth_b"), F.col("root").alias("root_b"), salts.alias("salts"),
+        "key", F.col("v").alias("b"), F.col("n").alias("n_b"), F.col("nth").alias("nth_b"), F.col("root").alias("root_b"), F.col("before").alias("before_b"), salts.alias("salts"),
         F.explode(F.sequence(sized(F.col("n")), sized(F.col("most")))).alias("class"),
     ).select("*", F.explode(F.sequence(F.lit(0), F.col("salts"))).alias("salt"))
-    large = left.select("key", "v", "n", "nth", "root", sized(F.col("n")).alias("class"), F.pmod(F.xxhash64("v"), salts + 1).cast("int").alias("salt"))
+    large = left.select("key", "v", "n", "nth", "root", "before", sized(F.col("n")).alias("class"), F.pmod(F.xxhash64("v"), salts + 1).cast("int").alias("salt"))
     overlap = 1 + F.least(F.col("n") - F.col("nth"), F.col("n_b") - F.col("nth_b"))
     enough = (100 + percent) * overlap >= percent * (F.col("n") + F.col("n_b"))
-    found = large.join(small, ["key", "class", "salt"]).where((F.col("n") >= F.col("n_b")) & (F.col("root") != F.col("root_b")) & _close("n", "n_b", percent) & enough)
+    # a pair that shares a key shortly before this one meets there: the bounds above only narrow with the place
+    fresh = ~F.arrays_overlap("before", "before_b")
+    found = large.join(small, ["key", "class", "salt"]).where((F.col("n") >= F.col("n_b")) & (F.col("root") != F.col("root_b")) & _close("n", "n_b", percent) & enough & fresh)
     return found.select(F.least("v", "b").alias("a"), F.greatest("v", "b").alias("b")).distinct().withColumn("collisions", F.lit(0).cast("long"))
 
 
