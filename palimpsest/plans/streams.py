@@ -31,10 +31,10 @@ def stm06(spark, sf_dir):
 
 @query("stm04_snk02_streamed_upserts", "SELECT doc_id % 300 AS id, max(doc_id) AS doc_id FROM documents GROUP BY 1")
 def stm04(spark, sf_dir):
-    d = _stream(spark, sf_dir, "documents").select((F.col("doc_id") % 300).alias("id"), "doc_id", F.col("doc_id").alias("seq"))
+    d = _stream(spark, sf_dir, "documents").select((F.col("doc_id") % 300).alias("id"), "doc_id")
     target, offsets = jobs.places(spark, "upserts")
-    jobs.upsert_to(d, target, offsets)
-    return jobs.latest_version(spark, target)
+    jobs.upsert_to(d, target, offsets, order=("doc_id",))
+    return jobs.latest_version(spark, target, order=("doc_id",))
 
 
 def _machine():

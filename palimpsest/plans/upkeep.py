@@ -267,12 +267,12 @@ def stm20(spark, sf_dir):
     target, offsets = jobs.places(spark, "reindexed")
 
     def run():
-        jobs.upsert_to(_stream(spark, sf_dir, "documents").select((F.col("doc_id") % 300).alias("id"), "doc_id", F.col("doc_id").alias("seq")), target, offsets)
+        jobs.upsert_to(_stream(spark, sf_dir, "documents").select((F.col("doc_id") % 300).alias("id"), "doc_id"), target, offsets, order=("doc_id",))
 
     run()
-    first = jobs.latest_version(spark, target).count()
+    first = jobs.latest_version(spark, target, order=("doc_id",)).count()
     maintenance.reindexed(spark, target, offsets, run)
-    return jobs.latest_version(spark, target).agg(F.lit(first).cast("long").alias("first"), F.count(F.lit(1)).alias("again"))
+    return jobs.latest_version(spark, target, order=("doc_id",)).agg(F.lit(first).cast("long").alias("first"), F.count(F.lit(1)).alias("again"))
 
 
 # --- sources ---

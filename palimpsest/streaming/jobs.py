@@ -11,6 +11,10 @@ from ..paths import scratch
 from .pairing import streamed_pairs
 
 
+#: Rows in order of their arrival.
+ARRIVED = ("__batch", "__seq")
+
+
 def _drained(stream, checkpoint: str):
     """Start with AvailableNow and wait; a restart goes on from the checkpoint."""
     query = stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -54,12 +58,16 @@ def _merged_to(stream: DataFrame, table: MergeTable, checkpoint: str, prepare: C
     _drained(stream.writeStream.foreachBatch(write), checkpoint)
 
 
-def upsert_to(rows: DataFrame, target: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
-    """Upsert every micro-batch by id; of equal ids in a batch the last by ``seq`` wins."""
-    _merged_to(rows, MergeTable(rows.sparkSession, target), checkpoint, prepare)
+def upsert_to(rows: DataFrame, target: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df, order: tuple[str, ...] = ARRIVED) -> None:
+    """Upsert every micro-batch by id; of equal ids in a batch the last by ``seq`` wins, and a later batch wins over an earlier one.
+
+    ``order`` names columns that say which row is newer whatever batch brings it: files of a folder come in order of
+    their times, which need not be that of their rows.
+    """
+    _merged_to(rows, MergeTable(rows.sparkSession, target, order=order), checkpoint, prepare)
 
 
-def latest_version(spark: SparkSession, target: str, keys: tuple[str, ...] = ("id",), order: tuple[str, ...] = ("__batch", "__seq")) -> DataFrame:
+def latest_version(spark: SparkSession, target: str, keys: tuple[str, ...] = ("id",), order: tuple[str, ...] = ARRIVED) -> DataFrame:
     """The table that a job keeps, as of its last complete batch."""
     return MergeTable(spark, target, keys, order).read()
 
