@@ -87,8 +87,7 @@ class VersionedStore:
 
     def backfill(self, embed: store.Embed) -> None:
         """Only chunks that get a vector are written."""
-        found = store.backfill(self.table().where("vector IS NULL"), embed).where("vector IS NOT NULL")
-        self.held.upsert(found)
+        self.held.upsert(store.filled(self.table().where("vector IS NULL"), embed).where("vector IS NOT NULL"))
 
     def statistics(self) -> DataFrame:
         return store.statistics(self.table())

@@ -51,3 +51,7 @@ def test_a_model_that_refuses_blank_texts_leaves_them_alone(spark):
     done = table.where("vector IS NULL").mapInArrow(run, table.schema).collect()
     assert {r["n"]: r["vector"] for r in done} == {1: [1.0], 2: [2.0], 3: [3.0], 4: None, 5: None}
     assert {r["n"]: r["vector"] and len(r["vector"]) for r in store.backfill(table, store.hashed_vectors(4), 2).collect()} == dict.fromkeys(range(1, 6), 4) | {6: 1}
+
+
+def test_periodic_jobs(spark, blanks):
+    agrees(spark, blanks, "stm15_stm16_periodic_jobs")
