@@ -319,38 +319,111 @@ def clean_text(texts: pd.Series) -> pd.Series:
     return texts.map(clean_for_embedding, na_action="ignore")
 
 
+#: Common runs of up to so many characters are looked up; longer ones begin with a run of so many.
+_RUN = 8
+
+
+def _common_runs(a: str, b: str) -> tuple[list[int], list[int], list[dict[str, list[int]]]]:
+    """Runs of characters that ``difflib`` starts matches from, that stand in both texts.
+
+    Places in ``a`` where one begins, the most characters it may have, and by length (up to _RUN) the runs with their
+    places in ``b``.
+    """
+    x, y = _codes(a), _codes(b)
+    times = np.bincount(y, minlength=int(x.max()) + 1)
+    starts = times > 0
+    if len(b) >= 200:  # characters of more than a hundredth of a long text start no match
+        starts &= times <= len(b) // 100 + 1
+    here, there = np.flatnonzero(starts[x]).tolist(), np.flatnonzero(starts[y]).tolist()
+    most: dict[int, int] = {}
+    runs: list[dict[str, list[int]]] = [{}]
+    for n in range(1, _RUN + 1):
+        if n > 1:  # a run of n is one of n - 1 there and at the next place
+            here = [i for i, k in zip(here, here[1:]) if k == i + 1]  # noqa: B905
+            there = [j for j, k in zip(there, there[1:]) if k == j + 1]  # noqa: B905
+        wanted = {a[i : i + n] for i in here}
+        there = [j for j in there if b[j : j + n] in wanted]
+        known: dict[str, list[int]] = {}
+        for j in there:
+            known.setdefault(b[j : j + n], []).append(j)
+        here = [i for i in here if a[i : i + n] in known]
+        if not here:
+            break
+        runs.append(known)
+        most.update(dict.fromkeys(here, n))
+    else:
+        for i in reversed(here):
+            most[i] = max(_RUN, most.get(i + 1, 0) + 1)
+    places = sorted(most)
+    return places, [most[i] for i in places], runs
+
+
+def _equal(a: str, i: int, b: str, j: int, most: int) -> int:
+    """How many characters are the same from i and from j on, ``most`` at most."""
+    n, step = 0, 1
+    while step and n < most:
+        step = min(step, most - n)
+        if a[i + n : i + n + step] == b[j + n : j + n + step]:
+            n, step = n + step, 2 * step
+        else:
+            step //= 2
+            most = min(most, n + 2 * step)
+    return n
+
+
 def similarity(a: str, b: str) -> float:
     """Ratcliff-Obershelp ratio of two comparable texts, as ``difflib`` has it.
 
-    ``difflib`` starts matches of long texts from rare characters only but goes through all characters of the first
-    text for each match. Here the places of those characters are known beforehand, so a match goes through these.
+    ``difflib`` starts matches of long texts from runs of rare characters only, takes the longest run, of those the
+    first, and goes on to the left and to the right of the match; for each match it goes through all characters of the
+    first text and all their places in the second. Here the places of common runs are known beforehand. To the left
+    of a match all runs are shorter, to the right of it none is longer, so the search on the right ends with the
+    first run of that length: places are gone through about as often as there are lengths, not once a match.
     """
     if not a or not b:
         return 0.0
-    starts = difflib.SequenceMatcher(None, "", b).b2j  # without frequent characters of long texts
-    places = [i for i, c in enumerate(a) if c in starts]
-    matched, open_ = 0, [(0, len(a), 0, len(b))]
+    if a == b:
+        return 1.0
+    places, most, runs = _common_runs(a, b)
+    matched, open_ = 0, [(0, len(a), 0, len(b), len(a))]
     while open_:
-        alo, ahi, blo, bhi = open_.pop()
+        alo, ahi, blo, bhi, bound = open_.pop()
         i, j, size = alo, blo, 0
-        before, runs = -2, {}
-        for at in places[bisect.bisect_left(places, alo) : bisect.bisect_left(places, ahi)]:
-            last, runs = runs if at == before + 1 else {}, {}
-            before, known = at, starts[a[at]]
-            for k in range(bisect.bisect_left(known, blo), len(known)):
-                z = known[k]
-                if z >= bhi:
+        for p in range(bisect.bisect_left(places, alo), bisect.bisect_left(places, ahi)) if bound else ():
+            if most[p] <= size:
+                continue
+            at = places[p]
+            n = min(most[p], ahi - at, bhi - blo)
+            if n <= size:
+                continue
+            where, found = -1, 0
+            if n >= _RUN:
+                known = runs[_RUN][a[at : at + _RUN]]
+                for k in range(bisect.bisect_left(known, blo), bisect.bisect_right(known, bhi - _RUN)):
+                    z, least = known[k], max(found, size)
+                    if least == n or bhi - z <= least:
+                        break
+                    if a[at + least] == b[z + least] and (m := _RUN + _equal(a, at + _RUN, b, z + _RUN, min(n, bhi - z) - _RUN)) > least:
+                        where, found = z, m
+                n = _RUN - 1
+            while not found and n > size:
+                known = runs[n][a[at : at + n]]
+                k = bisect.bisect_left(known, blo)
+                if k < len(known) and known[k] <= bhi - n:
+                    where, found = known[k], n
+                n -= 1
+            most[p] = found or size  # in parts of these ranges it is no longer
+            if found > size:
+                i, j, size = at, where, found
+                if size == bound:
                     break
-                n = runs[z] = last.get(z - 1, 0) + 1
-                if n > size:
-                    i, j, size = at - n + 1, z - n + 1, n
+        run = size
         while i > alo and j > blo and a[i - 1] == b[j - 1]:
             i, j, size = i - 1, j - 1, size + 1
-        while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
-            size += 1
+        size += _equal(a, i + size, b, j + size, min(ahi - i, bhi - j) - size)
         if size:
             matched += size
-            open_ += [x for x in ((alo, i, blo, j), (i + size, ahi, j + size, bhi)) if x[0] < x[1] and x[2] < x[3]]
+            open_ += [x for x in ((alo, i, blo, j, max(run - 1, 0)), (i + size, ahi, j + size, bhi, run)) if x[0] < x[1] and x[2] < x[3]]
     return 2.0 * matched / (len(a) + len(b))
 
 
