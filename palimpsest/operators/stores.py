@@ -87,7 +87,8 @@ class VersionedStore:
 
     def backfill(self, embed: store.Embed) -> None:
         """Only chunks that get a vector are written."""
-        self.held.upsert(store.filled(self.table().where("vector IS NULL"), embed).where("vector IS NOT NULL"))
+        found = store.filled(self.table().where("vector IS NULL"), embed).where("vector IS NOT NULL")
+        self.held.upsert(found.hint("rebalance"))  # files of a good size, not one a shard
 
     def statistics(self) -> DataFrame:
         return store.statistics(self.table())
